@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adpulse.functions.measures import MEASURES, RECORD, csum, derived_rates, out_measure, roas
 from adpulse.operators.anchors import Anchors, anchors_of
@@ -168,9 +169,12 @@ def media_daily_pivot(fact: DataFrame, start: dt.date | None = None,
     """Media × day matrix of DB revenue, missing cells 0, days as columns
     labelled yyyy-MM-dd (with the year, so labels never collide).
 
-    The day list is collected once (bounded by the calendar) and passed
-    explicitly, which saves Spark's own distinct-values job and fixes the
-    column order.
+    The day list is collected once (bounded by the calendar: one entry per
+    day with data) because the output columns must be known when the plan is
+    built. Each media row is assembled as one day→revenue map over its
+    (media, day) sums, zero-filled against the full day list and expanded
+    through a struct schema: three expressions instead of one expression per
+    day, which keeps planning and code generation flat for thousands of days.
     """
     d = F.col("report_date")
     f = fact.where(d.isNotNull())
@@ -178,13 +182,17 @@ def media_daily_pivot(fact: DataFrame, start: dt.date | None = None,
         f = f.where(d >= F.lit(start))
     if end is not None:
         f = f.where(d <= F.lit(end))
-    labels = [r[0] for r in f.select(F.date_format(d, "yyyy-MM-dd").alias("day"))
-              .distinct().orderBy("day").collect()]
-    g = f.groupBy("media", F.date_format(d, "yyyy-MM-dd").alias("day")) \
-         .agg(F.sum("rev_db").alias("rev_db"))
-    p = g.groupBy("media").pivot("day", labels).agg(F.first("rev_db"))
-    return p.select("media", *[F.coalesce(F.col(f"`{x}`").cast("double"), F.lit(0.0)).alias(x)
-                               for x in labels])
+    day = F.date_format(d, "yyyy-MM-dd")
+    labels = [r[0] for r in f.select(day.alias("day")).distinct().orderBy("day").collect()]
+    sums = f.groupBy("media", day.alias("day")).agg(F.sum("rev_db").cast("double").alias("v"))
+    per_media = sums.groupBy("media").agg(
+        F.map_from_entries(F.collect_list(F.struct("day", "v"))).alias("m"))
+    keys = F.split(F.lit(",".join(labels)), ",")
+    zero = F.map_from_arrays(keys, F.array_repeat(F.lit(0.0), F.size(keys)))
+    full = F.map_zip_with(zero, F.col("m"), lambda k, z, v: F.coalesce(v, z))
+    schema = T.StructType([T.StructField(x, T.DoubleType()) for x in labels])
+    return (per_media.select("media", F.from_json(F.to_json(full), schema).alias("s"))
+                     .select("media", "s.*"))
 
 
 def date_extent(fact: DataFrame) -> DataFrame:

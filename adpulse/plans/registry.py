@@ -22,6 +22,7 @@ from adpulse.operators import dimensions, drivers, kpi, periods, products, promo
 from adpulse.operators.anchors import Anchors, report_anchors, resolve_anchors
 from adpulse.operators.compare import two_day_compare
 from adpulse.operators.parity import snapshot_parity
+from adpulse.sources.snapshots import file_identity
 from adpulse.sources.targets import targets_frame
 from adpulse.sources.tpch_fact import FACT_CTE, ad_fact
 
@@ -40,9 +41,19 @@ BRAND = "O"
 DETAIL_BRAND = "F"
 
 
+SOURCE_TABLES = ("lineitem", "supplier", "nation", "region", "part")
+_ANCHORS: dict[tuple, Anchors] = {}
+
+
 def _fa(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Anchors]:
+    """The fact and its anchors. A snapshot is immutable, so its anchors are
+    resolved once per report run: they are remembered under the identity
+    (path, size, mtime) of the source files and recomputed when any changes."""
     f = ad_fact(spark, sf_dir)
-    return f, resolve_anchors(f)
+    key = file_identity(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES])
+    if key not in _ANCHORS:
+        _ANCHORS[key] = resolve_anchors(f)
+    return f, _ANCHORS[key]
 
 
 def q_compare_media_ss(spark, sf_dir):

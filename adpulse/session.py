@@ -27,6 +27,7 @@ def build_session(master: str | None = None, app: str = "adpulse",
         b = b.master(master)
     conf = dict(REPORT_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -55,6 +55,19 @@ def _fs_entries(spark: SparkSession, folder: str) -> list[tuple]:
     return out
 
 
+def file_identity(spark: SparkSession, paths: list[str]) -> tuple:
+    """(path, length, modification time) of each path: the identity of an
+    immutable snapshot. A rewritten file changes it."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        st = p.getFileSystem(conf).getFileStatus(p)
+        out.append((path, int(st.getLen()), int(st.getModificationTime())))
+    return tuple(out)
+
+
 def snapshot_catalog(spark: SparkSession, folder: str, name_re: str = REPORT_NAME_RE) -> DataFrame:
     """Matching snapshot files with their date tag and ranks.
 

@@ -36,7 +36,10 @@ def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = (li.join(supp_geo, F.col("l_suppkey") == F.col("s_suppkey"))
            .join(part, F.col("l_partkey") == F.col("p_partkey")))
 
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    # Precision stays <= 18 through the products below (decimal(12,2) ×
+    # decimal(4,2) → decimal(17,4)), so Spark keeps the long-backed decimal
+    # path; extended prices are far below 10^10.
+    price = F.col("l_extendedprice").cast("decimal(12,2)")
     label = F.when(F.col("l_returnflag") == "N", F.lit("-")).otherwise(F.col("p_name"))
     zero = F.lit(0).cast(MONEY_TYPE)
     out = f.select(
@@ -62,7 +65,8 @@ def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("clicks"),
         (price * F.col("l_discount").cast("decimal(4,2)")).cast(MONEY_TYPE).alias("cost"),
         price.cast(MONEY_TYPE).alias("rev_ss"),
-        (price * (F.lit(1) - F.col("l_tax").cast("decimal(4,2)"))).cast(MONEY_TYPE).alias("rev_db"),
+        (price * (F.lit(1).cast("decimal(1,0)") - F.col("l_tax").cast("decimal(4,2)")))
+        .cast(MONEY_TYPE).alias("rev_db"),
         F.col("l_quantity").cast("bigint").alias("buy_ss"),
         F.col("l_linenumber").cast("bigint").alias("buy_db"),
         zero.alias("rev_market_a"),
@@ -90,10 +94,10 @@ WITH ad_fact AS (
                   ELSE p.p_type END AS promo,
     CAST(l.l_quantity * 100 AS BIGINT) AS impressions,
     CAST(l.l_quantity AS BIGINT) AS clicks,
-    CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(l.l_discount AS DECIMAL(4,2))
+    CAST(CAST(l.l_extendedprice AS DECIMAL(12,2)) * CAST(l.l_discount AS DECIMAL(4,2))
          AS DECIMAL(18,4)) AS cost,
-    CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(18,4)) AS rev_ss,
-    CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l.l_tax AS DECIMAL(4,2)))
+    CAST(CAST(l.l_extendedprice AS DECIMAL(12,2)) AS DECIMAL(18,4)) AS rev_ss,
+    CAST(CAST(l.l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l.l_tax AS DECIMAL(4,2)))
          AS DECIMAL(18,4)) AS rev_db,
     CAST(l.l_quantity AS BIGINT) AS buy_ss,
     CAST(l.l_linenumber AS BIGINT) AS buy_db,
