@@ -1,0 +1,165 @@
+import datetime as dt
+
+import pytest
+
+from adpulse.operators import dimensions, kpi, products, promo, ranking
+from adpulse.operators.anchors import Anchors
+from adpulse.sources.targets import load_targets, targets_frame
+from conftest import CFG, D0
+
+D1 = D0 + dt.timedelta(days=1)
+A = Anchors(d_max=D1, d_prev=D0, d_min=D0)
+
+
+def test_kpi_rules_null_channel_and_bands(spark, make_fact):
+    """H9 + N7: store / marketplace / everything else / unknown; a null channel
+    counts as 'everything else'; target 0 → rate 0; later duplicate wins."""
+    f = make_fact([dict(report_date=D1, channel="my store", rev_ss=90),
+                   dict(report_date=D1, channel="Mkt 1", rev_ss=40),
+                   dict(report_date=D1, channel=None, rev_ss=7),
+                   dict(report_date=D1, channel="web", rev_ss=3),
+                   dict(report_date=dt.date(2026, 3, 31), channel="web", rev_ss=1000)])
+    t = targets_frame(spark, [("StoreA", 1, 100, 1), ("mkt", 0, 100, 0), ("othermall", 0, 5, 0),
+                              ("nobody", 0, 10, 0), ("zero store", 0, 0, 0), ("mkt", 0, 50, 0),
+                              (" blank ", None, None, None)])
+    rows = {r["channel"]: r for r in kpi.kpi_attainment(f, t, CFG, A).collect()}
+    assert rows["StoreA"]["achieved"] == 90.0 and rows["StoreA"]["band"] == "green"
+    assert rows["mkt"]["target_rev"] == 50.0 and rows["mkt"]["rate_pct"] == 80.0
+    assert rows["othermall"]["achieved"] == 10.0  # 7 (null channel) + 3; March row excluded
+    assert rows["othermall"]["rate_pct"] == 100.0 and rows["othermall"]["rate_pct_uncapped"] == 200.0
+    assert rows["nobody"]["achieved"] == 0.0 and rows["nobody"]["band"] == "red"
+    assert rows["zero store"]["rate_pct"] == 0.0
+    assert rows["blank"]["target_rev"] == 0.0
+    assert [r["channel"] for r in kpi.kpi_attainment(f, t, CFG, A).collect()][:2] == ["StoreA", "othermall"]
+
+
+def test_kpi_rule_classes_partition_revenue(make_fact):
+    f = make_fact([dict(report_date=D1, channel=c, rev_ss=v)
+                   for c, v in [("store 1", 5), ("Mkt", 6), (None, 7), ("x", 8)]])
+    got = {r["rule"]: float(r["achieved"]) for r in kpi.rule_revenue(f, CFG, A).collect()}
+    assert sum(got.values()) == 26.0
+
+
+def test_load_targets_failure_is_empty(spark, tmp_path):
+    assert load_targets(spark, str(tmp_path / "missing.csv")).count() == 0
+    p = tmp_path / "t.csv"
+    p.write_text("ch , cost, rev, roas\n StoreA ,1,,3\nStoreA,1,9,3\n")
+    rows = load_targets(spark, str(p)).collect()
+    assert len(rows) == 1 and rows[0]["channel"] == "StoreA" and rows[0]["target_rev"] == 9.0
+
+
+def product_fact(make_fact):
+    rows = []
+    for k, (media, prod, rc, rp) in enumerate([
+            ("Search", "apple", 50, 10), ("Search", "berry", 10, 60), ("Search", "cherry", 30, 30),
+            ("Search", "-", 99, 0), ("Search", None, 99, 0), ("Mkt", "apple", 500, 0),
+            (None, "dates", 20, 5), ("Shop Search", "apple", 5, 1)]):
+        rows.append(dict(report_date=D1, channel="StoreA", media=media, product=prod, rev_ss=rc,
+                         buy_ss=1, cost=10, rev_db=rc, buy_db=1))
+        rows.append(dict(report_date=D0, channel="StoreA", media=media, product=prod, rev_ss=rp,
+                         buy_ss=1, cost=10, rev_db=rp, buy_db=1))
+    rows.append(dict(report_date=D1, channel="other", media="Search", product="zeta", rev_ss=1000))
+    return make_fact(rows)
+
+
+def test_product_rows_filters(make_fact):
+    """F4 + F5 + F8 (N8): store channel, valid label, excluded media removed,
+    null media kept."""
+    got = {(r["media"], r["product"]) for r in ranking.product_rows(product_fact(make_fact), CFG).collect()}
+    assert ("Mkt", "apple") not in got and (None, "dates") in got
+    assert not any(p in ("-", None, "zeta") for _, p in got)
+
+
+def test_top_products_and_per_media(make_fact):
+    f = product_fact(make_fact)
+    top = ranking.mtd_top_products(f, CFG, A, k=2).collect()
+    # month to date covers both days: berry 10+60, apple 50+10+5+1
+    assert [(r["rank"], r["product"]) for r in top] == [(1, "berry"), (2, "apple")]
+    per = ranking.media_top_products(f, CFG, A, k=1, last_day_only=True).collect()
+    assert {(r["media"], r["product"]) for r in per} == {("Search", "apple"), ("Shop Search", "apple")}
+
+
+def test_gainers_losers(make_fact):
+    f = product_fact(make_fact)
+    g = products.product_movers(f, CFG, A, gainers=True).collect()
+    assert [r["product"] for r in g] == ["apple", "dates"]  # +44 (Search+Shop Search), +15
+    lo = products.product_movers(f, CFG, A, gainers=False).collect()
+    assert [r["product"] for r in lo] == ["berry"]
+    pm = products.media_product_movers(f, CFG, A, gainers=True).collect()
+    assert {(r["media"], r["product"]) for r in pm} == {("Search", "apple"), ("Shop Search", "apple")}
+
+
+def test_product_top10_and_summary(make_fact):
+    f = product_fact(make_fact)
+    t = {(r["media"], r["product"]): r for r in products.product_top10(f, CFG, A, k=3).collect()}
+    r = t[("Search", "apple")]
+    assert r["roas_cur"] == 500.0 and r["roas_prev"] == 100.0 and r["roas_delta"] == 400.0
+    assert ("Search", CFG.missing) in t  # null product kept as the missing bucket
+    s = {x["media"]: x for x in products.product_top10_summary(
+        products.product_top10(f, CFG, A)).collect()}
+    assert s["Search"]["n_down"] == 1 and s["Search"]["top_gainer_1"] in ("-", CFG.missing)
+
+
+def test_top_k_ties_are_deterministic(make_fact):
+    """H6: equal revenue ranks by the key."""
+    f = make_fact([dict(report_date=D1, media="Search", keyword=k, rev_ss=10, cost=1)
+                   for k in ("b", "a", "c")])
+    rows = ranking.keyword_mtd_top(f, CFG, A, k=2).collect()
+    assert [r["keyword"] for r in rows] == ["a", "b"]
+
+
+def test_campaign_and_creative_tops(make_fact):
+    f = make_fact([dict(report_date=D1, media="Banner", campaign=None, ad_group=None,
+                        creative="x", rev_ss=5, rev_db=9, cost=3),
+                   dict(report_date=D1, media="Banner", campaign="c", ad_group="g",
+                        creative="-", rev_ss=7, rev_db=1, cost=1)])
+    camp = ranking.campaign_mtd_top(f, A, k=30).collect()
+    assert [r["campaign"] for r in camp] == ["c", None]
+    cr = ranking.creative_mtd_top(f, CFG, A).collect()
+    assert [r["creative"] for r in cr] == ["x"] and cr[0]["roas_db"] == 300.0
+
+
+def test_promo_class_survives_without_rows_on_the_two_days(make_fact):
+    """A class with rows only on other days still prints, with zeros."""
+    f = make_fact([dict(report_date=D1, media="Search", promo="always on", cost=10, rev_db=20),
+                   dict(report_date=D0 - dt.timedelta(days=9), media="Search", promo="Spring sale",
+                        cost=1, rev_db=1),
+                   dict(report_date=D1, media="Search", promo="  ", cost=5, rev_db=5)])
+    rows = {r["promo_class"]: r for r in promo.promo_split(f, CFG, A).collect()}
+    assert set(rows) == {"always_on", "promotion"}
+    assert rows["promotion"]["cost_cur"] == 0.0 and rows["always_on"]["roas_cur"] == 200.0
+
+
+def test_dimensions_and_labels(make_fact):
+    f = make_fact([dict(brand="b", media="Banner", campaign="c", ad_group=None, creative="x",
+                        product="p" * 60),
+                   dict(brand=None, media="Banner", campaign="c", ad_group="g", creative="x")])
+    dims = {(r["dimension"], r["value"]) for r in dimensions.dimension_values(f).collect()}
+    assert ("brand", "b") in dims and not any(v is None for _, v in dims)
+    casc = {(r["campaign"], r["ad_group"]) for r in dimensions.cascading_filter(f, CFG).collect()}
+    assert casc == {("c", "g")}
+    lab = {r["product"]: r for r in dimensions.product_labels(f, CFG).collect()}
+    assert lab["p" * 60]["label_long"] == "p" * 50 + "…"
+    assert lab["p" * 60]["label_short"] == "p" * 35 + "…"
+
+
+def test_label_rules_h7(make_fact):
+    from adpulse.functions.labels import valid_label
+    f = make_fact([dict(product=p) for p in ["-", "", "   ", " - ", "ok", "(none)", None]])
+    got = [r["product"] for r in f.where(valid_label("product", CFG)).collect()]
+    assert got == ["ok"]
+
+
+@pytest.mark.parametrize("v,money,pct,signed,points", [
+    (1234567.5, "1,234,568", "1234567.5%", "+1,234,568", "+1234567.5p"),
+    (-0.25, "0", "-0.2%", "+0", "-0.2p"),
+    (2.5, "2", "2.5%", "+2", "+2.5p"),
+])
+def test_formatting(spark, v, money, pct, signed, points):
+    from pyspark.sql import functions as F
+
+    from adpulse.functions.formatting import money_text, pct_text, signed_money_text, signed_points_text
+    r = spark.range(1).select(F.lit(v).alias("v")).select(
+        money_text("v").alias("m"), pct_text("v").alias("p"), signed_money_text("v").alias("s"),
+        signed_points_text("v").alias("q")).collect()[0]
+    assert (r["m"], r["p"], r["s"], r["q"]) == (money, pct, signed, points)
