@@ -20,9 +20,8 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import re
-from urllib.parse import unquote
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +42,8 @@ QUARANTINE_SCHEMA = T.StructType([
 
 def _write_tag(df: DataFrame, out_dir: str, tag: str, headers, extra_headers) -> None:
     fact = conform(df, headers, extra_headers)
+    if fact.where(F.col("report_date").isNotNull()).limit(1).count() == 0:
+        raise ValueError(f"snapshot {tag} has no row with a readable date")
     (fact.hint("rebalance", "report_date")
          .write.mode("overwrite").partitionBy("report_date")
          .parquet(f"{out_dir.rstrip('/')}/tag={tag}"))
@@ -52,28 +53,30 @@ def make_batch_writer(out_dir: str, name_re: str = REPORT_NAME_RE, headers: dict
                       extra_headers: dict | None = None):
     """foreachBatch function: split a micro-batch by file tag, write each."""
 
-    pattern = re.compile(name_re)
-
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        # Tags of this micro-batch from its file list (metadata only, no scan).
-        by_tag: dict[str, list[str]] = {}
-        for path in batch.inputFiles():
-            m = pattern.match(unquote(path.rstrip("/").rsplit("/", 1)[-1]))
-            if m:
-                by_tag.setdefault(m.group(3), []).append(path)
         name = F.regexp_extract(F.col("_source"), r"([^/]+)$", 1)
-        tagged = batch.withColumn("_tag", F.regexp_extract(name, name_re, 3))
-        bad = []
-        for tag in sorted(by_tag):
-            part = tagged.where(F.col("_tag") == tag).drop("_tag", "_source")
-            try:
-                _write_tag(part, out_dir, tag, headers, extra_headers)
-            except Exception as e:  # a bad file must not stop the stream
-                bad.append((tag, ",".join(sorted(by_tag[tag])), str(e)[:1000], int(batch_id),
-                            dt.datetime.now()))
-        if bad:
-            (batch.sparkSession.createDataFrame(bad, QUARANTINE_SCHEMA)
-                  .write.mode("append").parquet(f"{out_dir.rstrip('/')}/_quarantine"))
+        tagged = batch.withColumn("_tag", F.regexp_extract(name, name_re, 3)) \
+                      .where(F.col("_tag") != "")
+        # The batch feeds one write per tag: read the new files once.
+        tagged.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            files = tagged.select("_tag", "_source").distinct().collect()  # one row per file
+            by_tag: dict[str, list[str]] = {}
+            for r in files:
+                by_tag.setdefault(r["_tag"], []).append(r["_source"])
+            bad = []
+            for tag in sorted(by_tag):
+                part = tagged.where(F.col("_tag") == tag).drop("_tag", "_source")
+                try:
+                    _write_tag(part, out_dir, tag, headers, extra_headers)
+                except Exception as e:  # a bad file must not stop the stream
+                    bad.append((tag, ",".join(sorted(by_tag[tag])), str(e)[:1000], int(batch_id),
+                                dt.datetime.now()))
+            if bad:
+                (batch.sparkSession.createDataFrame(bad, QUARANTINE_SCHEMA)
+                      .write.mode("append").parquet(f"{out_dir.rstrip('/')}/_quarantine"))
+        finally:
+            tagged.unpersist()
 
     return write_batch
 
@@ -93,7 +96,7 @@ def start_ingest_stream(spark: SparkSession, watch_dir: str, out_dir: str,
     ext = {"csv": "csv", "parquet": "parquet", "json": "json"}.get(fmt, fmt)
     src = (reader.option("pathGlobFilter", f"*.{ext}")
                  .load(watch_dir)
-                 .withColumn("_source", F.col("_metadata.file_path")))
+                 .withColumn("_source", F.url_decode(F.col("_metadata.file_path"))))
     digest = hashlib.sha1(out_dir.encode()).hexdigest()[:12]
     ckpt = checkpoint or scratch_path(spark, f"ingest-stream-{digest}")
     w = (src.writeStream.foreachBatch(make_batch_writer(out_dir, name_re, headers, extra_headers))
