@@ -1,0 +1,123 @@
+"""A daily report run: the three report pages as named DataFrames.
+
+``DailyReport`` takes the canonical fact of ONE snapshot (see
+``sources.snapshots``), resolves its anchors once and hands out every figure
+of the summary, product and media pages as a lazy DataFrame. Nothing is
+collected except the one-row anchors; each figure is its own Spark plan, and
+the caller decides what to run (``.write``, ``.toPandas`` of a small result,
+...).
+
+``persist=True`` keeps the fact's projected columns cached for the run, the
+equivalent of the reference app's in-process cache of the loaded snapshot;
+leave it off for very large snapshots stored date-partitioned, where every
+figure prunes to the days it needs instead.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+
+from adpulse.config import ReportConfig
+from adpulse.operators import dimensions, drivers, kpi, periods, products, promo, ranking, totals
+from adpulse.operators.anchors import Anchors, resolve_anchors
+from adpulse.operators.compare import two_day_compare
+
+
+class DailyReport:
+    def __init__(self, fact: DataFrame, cfg: ReportConfig, targets: DataFrame | None = None,
+                 brand: str | None = None, persist: bool = False,
+                 anchors: Anchors | None = None):
+        self.cfg = cfg
+        self.brand = brand
+        self.targets = targets
+        self.fact = fact.persist(StorageLevel.MEMORY_AND_DISK) if persist else fact
+        self._persisted = persist
+        # Anchors come from the unfiltered fact even when a brand is chosen.
+        self.anchors = anchors or resolve_anchors(self.fact)
+
+    def close(self) -> None:
+        if self._persisted:
+            self.fact.unpersist()
+
+    # ── summary page ─────────────────────────────────────────────────────
+    def summary(self, base: tuple[dt.date, dt.date] | None = None,
+                comp: tuple[dt.date, dt.date] | None = None,
+                trend_end: dt.date | None = None, trend_days: int = 7) -> dict[str, DataFrame]:
+        f, a, c, b = self.fact, self.anchors, self.cfg, self.brand
+        pages = {
+            "mtd_basis_table": totals.basis_table(totals.mtd_totals(f, a, b)),
+            "daily_detail": totals.daily_detail(f, a, b),
+            "period_delta": periods.period_delta(f, base, comp, a, b),
+            "roas_trend": totals.roas_trend(f, trend_end or a.d_max, trend_days, a),
+            "daily_headline": periods.daily_headline(f, a),
+            "channel_headline": drivers.channel_headline(f, c, a),
+            "channel_drivers": drivers.channel_drivers(f, c, a, c.k_drivers),
+            "media_product_drivers": drivers.media_product_drivers(f, c, a, c.k_drivers, c.k_drivers),
+            "display_media_breakdown": drivers.display_media_breakdown(f, c, a),
+            "media_campaign_drivers": drivers.media_campaign_drivers(f, c, a, c.k_drivers),
+            "media_summary": drivers.media_summary(f, c, a),
+        }
+        if self.targets is not None:
+            pages["kpi_attainment"] = kpi.kpi_attainment(f, self.targets, c, a)
+        return pages
+
+    # ── products page ────────────────────────────────────────────────────
+    def product_page(self) -> dict[str, DataFrame]:
+        f, a, c, b = self.fact, self.anchors, self.cfg, self.brand
+        k = c.k_products
+        return {
+            "mtd_top_products": ranking.mtd_top_products(f, c, a, k, b),
+            "product_gainers": products.product_movers(f, c, a, True, c.k_gainers, b),
+            "product_losers": products.product_movers(f, c, a, False, c.k_gainers, b),
+            "media_top_products_mtd": ranking.media_top_products(f, c, a, k, False, b),
+            "media_top_products_day": ranking.media_top_products(f, c, a, k, True, b),
+            "media_product_gainers": products.media_product_movers(f, c, a, True, c.k_gainers, b),
+            "media_product_losers": products.media_product_movers(f, c, a, False, c.k_gainers, b),
+        }
+
+    # ── media page ───────────────────────────────────────────────────────
+    def media_page(self) -> dict[str, DataFrame]:
+        f, a, c = self.fact, self.anchors, self.cfg
+        return {
+            "media_mtd": totals.media_mtd(f, a, self.brand),
+            "campaign_mtd_top": ranking.campaign_mtd_top(f, a, c.k_campaign_mtd),
+            "campaign_change_top": drivers.campaign_change_top(f, c, a, c.k_detail),
+            "keyword_mtd_top": ranking.keyword_mtd_top(f, c, a, c.k_detail),
+            "keyword_change_top": drivers.keyword_change_top(f, c, a, c.k_detail),
+            "creative_mtd_top": ranking.creative_mtd_top(f, c, a, c.k_detail),
+            "creative_change_top": drivers.creative_change_top(f, c, a, c.k_detail),
+            "dimension_values": dimensions.dimension_values(f),
+            "cascading_filter": dimensions.cascading_filter(f, c),
+        }
+
+    # ── figures defined by the reference but not placed on a page ──────
+    def extras(self) -> dict[str, DataFrame]:
+        f, a, c = self.fact, self.anchors, self.cfg
+        top10 = products.product_top10(f, c, a, k=c.k_products)
+        return {
+            "multi_period": periods.multi_period(f, anchors=a),
+            "multi_period_delta_ss": periods.multi_period_delta(f, "ss", anchors=a),
+            "multi_period_delta_db": periods.multi_period_delta(f, "db", anchors=a),
+            "promo_split": promo.promo_split(f, c, a),
+            "product_top10": top10,
+            "product_top10_summary": products.product_top10_summary(top10),
+            "media_daily_pivot_mtd": totals.media_daily_pivot(f, a.month_start, a.d_max),
+            "compare_media_ss": two_day_compare(f, ["media"], "ss", a.d_max, a.d_prev, c),
+            "drilldown_tree": drivers.drilldown_tree(f, c, a, c.k_drivers),
+        }
+
+    def all_figures(self) -> dict[str, DataFrame]:
+        out: dict[str, DataFrame] = {}
+        for page in (self.summary, self.product_page, self.media_page, self.extras):
+            out.update(page())
+        return out
+
+    def write_all(self, out_dir: str, writer: Callable[[DataFrame, str], None] | None = None) -> None:
+        """Materialise every figure as Parquet under ``out_dir/<figure>``."""
+        write = writer or (lambda df, p: df.write.mode("overwrite").parquet(p))
+        for name, df in self.all_figures().items():
+            write(df, f"{out_dir.rstrip('/')}/{name}")
