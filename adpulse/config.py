@@ -9,58 +9,65 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# ── Fixed values: must equal the reference report's labels ─────────────────
+MISSING_LABEL = "(미입력)"                 # bucket for a missing group key
+STORE_CHANNEL = "네이버브랜드스토어"         # exact channel name of the brand store
+STORE_MARKER = "네이버"                     # store rows (KPI rule, case-insensitive)
+STORE_TARGET_ALIASES = ("naver", "네이버")  # target names attained by store revenue
+MARKET_MARKER = "쿠팡"                      # marketplace rows / media
+MARKET_TARGET_ALIASES = ("쿠팡", "coup")    # target names attained by marketplace revenue
+OTHER_TARGET = "othermall"                  # target attained by everything else
+PRODUCT_EXCLUDED_MEDIA = "쿠팡|G마켓"        # media removed from the product pages
+DISPLAY_MARKER = "성과형디스플레이"          # media that get the display breakdown
+DISPLAY_SUB_MEDIA = ("네이버 메인배너", "네이버 쇼핑프로모션", "네이버 스마트채널")
+KEYWORD_MEDIA = ("네이버 파워링크", "네이버 쇼핑검색", "네이버 브랜드검색", "네이버 신제품검색")
+CREATIVE_MEDIA = ("네이버 쇼핑프로모션", "네이버 스마트채널", "네이버 메인배너")
+ALWAYS_ON_MARKER = "상시"                   # promo name marking always-on spend
+PATH_FALLBACK_DRIVER = "(기타)"             # campaign > group path with no parts
+PATH_FALLBACK_SUMMARY = "-"                 # same, in the media summary
+LABEL_LEN_LONG, LABEL_LEN_SHORT = 50, 35    # label truncation lengths
+BAND_GREEN, BAND_AMBER = 80.0, 50.0         # attainment bands, percent
+K_PRODUCTS, K_CAMPAIGN_MTD, K_DETAIL, K_DRIVERS, K_GAINERS = 10, 30, 20, 3, 10
+# ────────────────────────────────────────────────────────────────────────────
+
 
 @dataclass(frozen=True)
 class ReportConfig:
-    # Label that replaces a missing group key in comparisons.
-    missing: str = "(미입력)"
-    # Exact (trimmed) channel name of the brand store; the product pages and the
-    # first drill-down section use it.
-    store_channel: str = "네이버브랜드스토어"
-    # Substring that marks store rows for the KPI rule (case-insensitive).
-    store_marker: str = "네이버"
+    missing: str = MISSING_LABEL
+    store_channel: str = STORE_CHANNEL
+    store_marker: str = STORE_MARKER
     # A target row whose lower-cased, trimmed name equals store_channel or
     # contains one of these is attained by store revenue.
-    store_target_aliases: tuple[str, ...] = ("naver", "네이버")
-    # Substring that marks marketplace rows (KPI rule, second drill-down
-    # section, and media skipped by the product drill-down).
-    market_marker: str = "쿠팡"
-    market_target_aliases: tuple[str, ...] = ("쿠팡", "coup")
-    # Target row that is attained by everything that is neither store nor market.
-    other_target: str = "othermall"
-    # Media removed from the product tables (regular expression).
-    product_excluded_media: str = "쿠팡|G마켓"
-    # A media whose name contains this gets the display sub-media breakdown.
-    display_marker: str = "성과형디스플레이"
-    display_sub_media: tuple[str, ...] = ("네이버 메인배너", "네이버 쇼핑프로모션", "네이버 스마트채널")
-    keyword_media: tuple[str, ...] = ("네이버 파워링크", "네이버 쇼핑검색", "네이버 브랜드검색", "네이버 신제품검색")
-    creative_media: tuple[str, ...] = ("네이버 쇼핑프로모션", "네이버 스마트채널", "네이버 메인배너")
-    # Promo classification: a promo name containing the marker is always-on,
-    # any other non-blank name is a promotion, blank/null is unclassified.
-    always_on_marker: str = "상시"
-    # Fallback labels of the campaign > group path.
-    path_fallback_driver: str = "(기타)"
-    path_fallback_summary: str = "-"
-    # Label truncation lengths (drill-down text, product chart labels).
-    label_len_long: int = 50
-    label_len_short: int = 35
-    # KPI attainment bands (percent of target).
-    band_green: float = 80.0
-    band_amber: float = 50.0
-    # Top-k sizes used by the report pages.
-    k_products: int = 10
-    k_campaign_mtd: int = 30
-    k_detail: int = 20
-    k_drivers: int = 3
-    k_gainers: int = 10
+    store_target_aliases: tuple[str, ...] = STORE_TARGET_ALIASES
+    market_marker: str = MARKET_MARKER
+    market_target_aliases: tuple[str, ...] = MARKET_TARGET_ALIASES
+    other_target: str = OTHER_TARGET
+    # Regular expression on the media name.
+    product_excluded_media: str = PRODUCT_EXCLUDED_MEDIA
+    display_marker: str = DISPLAY_MARKER
+    display_sub_media: tuple[str, ...] = DISPLAY_SUB_MEDIA
+    keyword_media: tuple[str, ...] = KEYWORD_MEDIA
+    creative_media: tuple[str, ...] = CREATIVE_MEDIA
+    # Promo classification: a name containing the marker is always-on, any
+    # other non-blank name is a promotion, blank/null is unclassified.
+    always_on_marker: str = ALWAYS_ON_MARKER
+    path_fallback_driver: str = PATH_FALLBACK_DRIVER
+    path_fallback_summary: str = PATH_FALLBACK_SUMMARY
+    label_len_long: int = LABEL_LEN_LONG
+    label_len_short: int = LABEL_LEN_SHORT
+    band_green: float = BAND_GREEN
+    band_amber: float = BAND_AMBER
+    k_products: int = K_PRODUCTS
+    k_campaign_mtd: int = K_CAMPAIGN_MTD
+    k_detail: int = K_DETAIL
+    k_drivers: int = K_DRIVERS
+    k_gainers: int = K_GAINERS
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
 
-# Fixed values of the reference report (Korean ad-report labels), used as the
-# default above. The synthetic test mapping below replaces them with labels
-# that exist in the driver tables.
 DEFAULT_CONFIG = ReportConfig()
 
+# Labels of the synthetic mapping of the driver tables (sources/tpch_fact.py).
 TEST_CONFIG = ReportConfig(
     missing="(missing)",
     store_channel="storefront",

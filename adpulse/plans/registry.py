@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import threading
 import time
 from collections.abc import Callable
 
@@ -49,6 +50,7 @@ SOURCE_TABLES = ("lineitem", "supplier", "nation", "region", "part")
 _ANCHORS: dict[tuple, Anchors] = {}
 _SNAPSHOTS: dict[tuple, str] = {}
 INGEST_SECONDS: dict[str, float] = {}
+_LOCK = threading.Lock()
 
 
 def _identity(spark: SparkSession, sf_dir: str) -> tuple:
@@ -67,8 +69,13 @@ def snapshot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     is redone.
     """
     key = _identity(spark, sf_dir)
+    with _LOCK:
+        return spark.read.parquet(_materialize(spark, sf_dir, key))
+
+
+def _materialize(spark: SparkSession, sf_dir: str, key: tuple) -> str:
     path = _SNAPSHOTS.get(key)
-    if path is None:
+    if path is None or not path_exists(spark, f"{path}/_SUCCESS"):
         digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
         path = scratch_path(spark, f"ad_fact-{digest}")
         if not path_exists(spark, f"{path}/_SUCCESS"):
@@ -76,7 +83,7 @@ def snapshot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
             write_date_ordered(ad_fact(spark, sf_dir), path)
             INGEST_SECONDS[sf_dir] = time.perf_counter() - t0
         _SNAPSHOTS[key] = path
-    return spark.read.parquet(path)
+    return path
 
 
 def _fa(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Anchors]:
