@@ -538,7 +538,8 @@ FROM (SELECT channel, media, {SUM7} FROM ad_fact, anch a WHERE {MTD} GROUP BY ch
     q["roas_trend"] = roas_trend_sql()
     q["product_top10"] = HEAD + PRODUCT_TOP10_CTE + "\nSELECT * FROM pt"
     q["product_top10_summary"] = HEAD + PRODUCT_TOP10_CTE + """
-SELECT media, count_if(rev_delta > 0) AS n_up, count_if(rev_delta < 0) AS n_down,
+SELECT media, CAST(count_if(rev_delta > 0) AS BIGINT) AS n_up,
+       CAST(count_if(rev_delta < 0) AS BIGINT) AS n_down,
   max(CASE WHEN gr = 1 THEN product END) AS top_gainer_1,
   max(CASE WHEN gr = 2 THEN product END) AS top_gainer_2
 FROM (SELECT *, row_number() OVER (PARTITION BY media ORDER BY rev_delta DESC NULLS LAST,

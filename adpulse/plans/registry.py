@@ -26,7 +26,7 @@ from adpulse.operators.anchors import Anchors, report_anchors, resolve_anchors
 from adpulse.operators.compare import two_day_compare
 from adpulse.operators.parity import snapshot_parity
 from adpulse.session import scratch_path
-from adpulse.sources.snapshots import file_identity, path_exists, write_date_ordered
+from adpulse.sources.snapshots import file_identity, files_for, path_exists, write_date_ordered
 from adpulse.sources.schema import conform
 from adpulse.sources.targets import targets_frame
 from adpulse.sources.tpch_fact import FACT_CTE, ad_fact
@@ -80,7 +80,8 @@ def _materialize(spark: SparkSession, sf_dir: str, key: tuple) -> str:
         path = scratch_path(spark, f"ad_fact-{digest}")
         if not path_exists(spark, f"{path}/_SUCCESS"):
             t0 = time.perf_counter()
-            write_date_ordered(ad_fact(spark, sf_dir), path)
+            files = files_for(spark, sum(size for _, size, _ in key))
+            write_date_ordered(ad_fact(spark, sf_dir), path, files)
             INGEST_SECONDS[sf_dir] = time.perf_counter() - t0
         _SNAPSHOTS[key] = path
     return path

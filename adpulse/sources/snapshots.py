@@ -167,6 +167,13 @@ def ingest_snapshot(spark: SparkSession, src: str, out: str, fmt: str | None = N
     return ingest_audit(spark, out)
 
 
+def files_for(spark: SparkSession, source_bytes: int, target_mb: int = 128) -> int:
+    """Output file count for a rewrite of ``source_bytes`` of input: about
+    ``target_mb`` per file, never fewer than the cluster's parallelism."""
+    per = target_mb * 1024 * 1024
+    return max(spark.sparkContext.defaultParallelism, -(-int(source_bytes) // per))
+
+
 def write_date_ordered(df: DataFrame, path: str, files: int | None = None) -> None:
     """Write a fact as Parquet files that each cover a contiguous date range,
     rows sorted by date inside: a date predicate then reaches the scan
