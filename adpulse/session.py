@@ -44,10 +44,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local
     tests) a fresh scratch folder is created and registered.
     """
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        root = spark.sparkContext.getCheckpointDir()
+    except Exception:  # no local JVM (remote session)
+        root = None
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="adpulse-ckpt-")
-        spark.sparkContext.setCheckpointDir(root)
+        try:
+            spark.sparkContext.setCheckpointDir(root)
+        except Exception:
+            pass
     return root.rstrip("/")
 
 

@@ -33,16 +33,32 @@ CATALOG_SCHEMA = T.StructType([
 ])
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(FileSystem, Path) of a URI through the session's Hadoop configuration,
+    or None when the session has no local JVM (then local paths are used)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf), p
+    except Exception:
+        return None
+
+
+def _local(path: str) -> str:
+    return path[len("file:"):] if path.startswith("file:") else path
+
+
 def _fs_entries(spark: SparkSession, folder: str) -> list[tuple]:
     """Direct children of a folder via the Hadoop file system of its URI.
 
     A directory entry (a Parquet snapshot written by Spark) reports the total
     size of its content.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(conf)
+    h = _hadoop(spark, folder)
+    if h is None:
+        return _local_entries(_local(folder))
+    fs, root = h
     if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
         return []
     out = []
@@ -55,16 +71,32 @@ def _fs_entries(spark: SparkSession, folder: str) -> list[tuple]:
     return out
 
 
+def _local_entries(folder: str) -> list[tuple]:
+    if not os.path.isdir(folder):
+        return []
+    out = []
+    for name in sorted(os.listdir(folder)):
+        full = os.path.join(folder, name)
+        is_dir = os.path.isdir(full)
+        size = (sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(full) for f in fs)
+                if is_dir else os.path.getsize(full))
+        mtime = dt.datetime.fromtimestamp(os.path.getmtime(full), dt.timezone.utc)
+        out.append((full, name, int(size), mtime.replace(tzinfo=None), is_dir))
+    return out
+
+
 def file_identity(spark: SparkSession, paths: list[str]) -> tuple:
     """(path, length, modification time) of each path: the identity of an
     immutable snapshot. A rewritten file changes it."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        st = p.getFileSystem(conf).getFileStatus(p)
-        out.append((path, int(st.getLen()), int(st.getModificationTime())))
+        h = _hadoop(spark, path)
+        if h is not None:
+            st = h[0].getFileStatus(h[1])
+            out.append((path, int(st.getLen()), int(st.getModificationTime())))
+        else:
+            st = os.stat(_local(path))
+            out.append((path, int(st.st_size), int(st.st_mtime * 1000)))
     return tuple(out)
 
 
@@ -190,18 +222,36 @@ def write_date_ordered(df: DataFrame, path: str, files: int | None = None) -> No
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+    h = _hadoop(spark, path)
+    return bool(h[0].exists(h[1])) if h is not None else os.path.exists(_local(path))
+
+
+def path_size(spark: SparkSession, path: str) -> int:
+    h = _hadoop(spark, path)
+    if h is not None:
+        return int(h[0].getContentSummary(h[1]).getLength())
+    return sum(x[2] for x in _local_entries(_local(path)))
+
+
+def _mtime_ms(spark: SparkSession, path: str) -> int | None:
+    h = _hadoop(spark, path)
+    if h is not None:
+        return int(h[0].getFileStatus(h[1]).getModificationTime()) if h[0].exists(h[1]) else None
+    p = _local(path)
+    return int(os.path.getmtime(p) * 1000) if os.path.exists(p) else None
+
+
+def needs_ingest(spark: SparkSession, src: str, out: str) -> bool:
+    """S7 for one snapshot: convert when the output has no commit marker or
+    is older than the source."""
+    done = _mtime_ms(spark, f"{out.rstrip('/')}/_SUCCESS")
+    return done is None or done < (_mtime_ms(spark, src) or 0)
 
 
 def ingest_audit(spark: SparkSession, path: str) -> dict:
     """Row count of a written snapshot and its size in MB."""
     rows = spark.read.parquet(path).count()
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    size = p.getFileSystem(conf).getContentSummary(p).getLength()
+    size = path_size(spark, path)
     return {"rows": int(rows), "size_mb": size / (1024 * 1024)}
 
 

@@ -1,0 +1,26 @@
+import datetime as dt
+
+from adpulse.plans.daily_job import run_daily
+from conftest import CFG
+from test_snapshots import STEM, raw_pdf
+
+
+def test_daily_job_end_to_end(spark, tmp_path):
+    reports = tmp_path / "reports"
+    reports.mkdir()
+    raw_pdf(n_days=2).to_parquet(reports / f"{STEM} Report_260401.parquet", index=False)
+    raw_pdf(n_days=3).to_parquet(reports / f"{STEM} Report_260403.parquet", index=False)
+    targets = tmp_path / "kpi.csv"
+    targets.write_text("channel,cost,rev,roas\nStoreA,1,1000,1\nothermall,0,10,0\n")
+    facts, out = str(tmp_path / "facts"), str(tmp_path / "out")
+    res = run_daily(spark, str(reports), facts, out, CFG, as_of=dt.date(2026, 4, 5),
+                    targets=str(targets))
+    assert res["tag"] == "260403" and res["ingested"]["rows"] == 9
+    assert res["d_max"] == "2026-04-03" and res["d_prev"] == "2026-04-02"
+    kpi = spark.read.parquet(f"{out}/tag=260403/kpi_attainment").collect()
+    assert {r["channel"] for r in kpi} == {"StoreA", "othermall"}
+    summary = spark.read.parquet(f"{out}/tag=260403/media_summary")
+    assert summary.count() == 3
+    # A second run finds the converted snapshot up to date and skips ingest.
+    again = run_daily(spark, str(reports), facts, out, CFG, as_of=dt.date(2026, 4, 5))
+    assert again["ingested"] is None

@@ -158,3 +158,24 @@ def test_basis_table(sample_report):
     rows = totals.basis_table(totals.mtd_totals(sample_report)).collect()
     assert [r["basis"] for r in rows] == ["SS", "DB"]
     assert rows[0]["cost"] == rows[1]["cost"] and rows[1]["revenue"] == 5 * 150000.0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(offsets=st.lists(st.tuples(st.integers(0, 20), st.integers(0, 500)), min_size=1, max_size=20),
+       span=st.integers(1, 5))
+def test_one_scan_periods_equal_separate_totals(make_fact, offsets, span):
+    """Property: the one-scan conditional aggregation over overlapping periods
+    equals computing each period on its own."""
+    f = make_fact([dict(report_date=D0 + dt.timedelta(days=o), cost=c, rev_ss=c * 2, clicks=c)
+                   for o, c in offsets])
+    end = D0 + dt.timedelta(days=15)
+    start = end - dt.timedelta(days=span - 1)
+    multi = {r["period"]: r for r in periods.multi_period(f, start, end).collect()}
+    for label, s, e in periods.standard_periods(start, end):
+        single = one(totals.period_totals(f, s, e))
+        for m in ("cost", "rev_ss", "clicks", "roas_ss", "cpc"):
+            assert multi[label][m] == single[m]
