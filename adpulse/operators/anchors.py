@@ -59,3 +59,12 @@ def resolve_anchors(fact: DataFrame) -> Anchors:
 
 def anchors_of(fact: DataFrame, anchors: Anchors | None) -> Anchors:
     return anchors if anchors is not None else resolve_anchors(fact)
+
+
+def anchors_from_dates(dates) -> Anchors:
+    """Anchors from a list of distinct dates already known (e.g. the day
+    partitions of a snapshot, read from its directory listing)."""
+    ds = sorted({d for d in dates if d is not None})
+    if not ds:
+        raise ValueError("the report has no dated rows")
+    return Anchors(d_max=ds[-1], d_prev=ds[-2] if len(ds) > 1 else ds[-1], d_min=ds[0])

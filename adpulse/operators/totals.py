@@ -138,18 +138,19 @@ def roas_trend(fact: DataFrame, end: dt.date | None = None, n: int = 7,
     0.1), cost in units of 10,000 (rounded to 0.1) and the plain mean of the
     rounded ROAS values over the window.
 
-    The n days are found on the date column alone (distinct + top-n, a bounded
-    list), then the fact is semi-joined to them; on a date-partitioned
-    snapshot this lets dynamic partition pruning read only those n days.
+    The n days are found on the date column alone (distinct + top-n) and
+    brought back as a list of at most n dates, so the fact is then read with a
+    literal ``IN`` filter: a partition filter on a day-partitioned snapshot
+    and a pushed Parquet filter on any other layout.
     """
     if end is None:
         end = anchors_of(fact, anchors).d_max
     d = F.col("report_date")
-    days = (fact.select(d).where(d.isNotNull() & (d <= F.lit(end))).distinct()
-                .orderBy(d.desc()).limit(n))
-    daily = (fact.join(F.broadcast(days), "report_date", "left_semi")
-                 .groupBy("report_date")
-                 .agg(csum("rev_ss").alias("rev_ss"), csum("cost").alias("cost")))
+    days = [r[0] for r in fact.select(d).where(d.isNotNull() & (d <= F.lit(end))).distinct()
+            .orderBy(d.desc()).limit(n).collect()]
+    picked = fact.where(d.isin(*days)) if days else fact.where(F.lit(False))
+    daily = picked.groupBy("report_date").agg(csum("rev_ss").alias("rev_ss"),
+                                              csum("cost").alias("cost"))
     roas_1 = F.bround(roas("rev_ss", "cost"), 1)
     out = daily.select(
         "report_date",
@@ -158,6 +159,7 @@ def roas_trend(fact: DataFrame, end: dt.date | None = None, n: int = 7,
         F.bround(F.col("cost").cast("double") / F.lit(10000.0), 1).alias("cost_10k"),
         roas_1.cast("decimal(20,1)").alias("_r"),
     )
+    # The window spans at most n rows (one per picked day).
     w = Window.partitionBy()
     mean = (F.sum("_r").over(w).cast("double") / F.count(F.lit(1)).over(w).cast("double"))
     return out.select("report_date", "label", "roas_ss", "cost_10k",

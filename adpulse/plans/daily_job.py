@@ -22,6 +22,7 @@ import re
 from pyspark.sql import SparkSession
 
 from adpulse.config import DEFAULT_CONFIG, TEST_CONFIG, ReportConfig
+from adpulse.operators.anchors import anchors_from_dates
 from adpulse.plans.report import DailyReport
 from adpulse.sources import snapshots
 from adpulse.sources.targets import load_targets
@@ -42,8 +43,12 @@ def run_daily(spark: SparkSession, reports: str, facts: str, out: str,
     if snapshots.needs_ingest(spark, src, fact_path):
         audit = snapshots.ingest_snapshot(spark, src, fact_path, extra_headers=extra_headers)
     fact = spark.read.parquet(fact_path)
+    # The snapshot is stored by day: its days are the partition directories,
+    # so the anchors need no scan at all.
+    days = snapshots.partition_values(spark, fact_path, "report_date")
+    anchors = anchors_from_dates(dt.date.fromisoformat(d) for d in days) if days else None
     tgt = load_targets(spark, targets) if targets else None
-    report = DailyReport(fact, cfg, tgt, persist=persist)
+    report = DailyReport(fact, cfg, tgt, persist=persist, anchors=anchors)
     try:
         dest = f"{out.rstrip('/')}/tag={tag}"
         report.write_all(dest)

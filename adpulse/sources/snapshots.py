@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -233,6 +234,15 @@ def path_size(spark: SparkSession, path: str) -> int:
     return sum(x[2] for x in _local_entries(_local(path)))
 
 
+def partition_values(spark: SparkSession, path: str, column: str = "report_date") -> list[str]:
+    """Values of a top-level ``column=value`` partition layout, from the
+    directory listing alone (no data read). The null partition is skipped."""
+    prefix = f"{column}="
+    names = [e[1] for e in _fs_entries(spark, path) if e[4] and e[1].startswith(prefix)]
+    vals = [unquote(n[len(prefix):]) for n in names]
+    return sorted(v for v in vals if v != "__HIVE_DEFAULT_PARTITION__")
+
+
 def _mtime_ms(spark: SparkSession, path: str) -> int | None:
     h = _hadoop(spark, path)
     if h is not None:

@@ -173,3 +173,20 @@ def test_parity_of_two_formats(spark, tmp_path, sample_report):
 
 def test_header_map_is_complete():
     assert set(SOURCE_HEADERS.values()) >= {"report_date", "media", "cost", "rev_ss", "rev_db"}
+
+
+def test_day_partitions_prune_and_give_anchors(spark, tmp_path, sample_report):
+    """On a day-partitioned snapshot: anchors from the directory listing equal
+    the scanned ones, and the trend reads only its days' partitions."""
+    from adpulse.operators import totals
+    from adpulse.operators.anchors import anchors_from_dates, resolve_anchors
+    out = str(tmp_path / "by_day")
+    sample_report.write.partitionBy("report_date").parquet(out)
+    days = snap.partition_values(spark, out)
+    assert len(days) == 5
+    fact = spark.read.parquet(out)
+    assert anchors_from_dates(dt.date.fromisoformat(d) for d in days) == resolve_anchors(fact)
+    q = totals.roas_trend(fact, dt.date(2026, 4, 5), 2)
+    assert [r["report_date"] for r in q.collect()] == [dt.date(2026, 4, 4), dt.date(2026, 4, 5)]
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[report_date#\d+ IN \(2026-04-05,2026-04-04\)\]", plan)

@@ -123,8 +123,7 @@ def test_multi_period_gap_and_overlap(make_fact):
     assert rows["three_days_before"]["cost"] == 3.0
     assert rows["same_weekday"]["cost"] == 0.0
     week = {r["period"]: r for r in periods.multi_period(f, d - dt.timedelta(days=6), d).collect()}
-    # The selection and the day-2 / day-3 periods overlap on d-3 is outside; the
-    # selection covers both rows, "two days before" ends at s-2.
+    # A 7-day selection holds both rows; its -7 period ends a week before d.
     assert week["selection"]["cost"] == 13.0
     assert week["same_weekday"]["period_end"] == d - dt.timedelta(days=7)
 
