@@ -15,7 +15,8 @@ STORE_CHANNEL = "네이버브랜드스토어"         # exact channel name of th
 STORE_MARKER = "네이버"                     # store rows (KPI rule, case-insensitive)
 STORE_TARGET_ALIASES = ("naver", "네이버")  # target names attained by store revenue
 MARKET_MARKER = "쿠팡"                      # marketplace rows / media
-MARKET_TARGET_ALIASES = ("쿠팡", "coup")    # target names attained by marketplace revenue
+MARKET_TARGET_NAMES = ("쿠팡",)             # target names (exact) attained by marketplace revenue
+MARKET_TARGET_ALIASES = ("coup",)           # ... or containing one of these
 OTHER_TARGET = "othermall"                  # target attained by everything else
 PRODUCT_EXCLUDED_MEDIA = "쿠팡|G마켓"        # media removed from the product pages
 DISPLAY_MARKER = "성과형디스플레이"          # media that get the display breakdown
@@ -40,6 +41,9 @@ class ReportConfig:
     # contains one of these is attained by store revenue.
     store_target_aliases: tuple[str, ...] = STORE_TARGET_ALIASES
     market_marker: str = MARKET_MARKER
+    # A target row whose lower-cased, trimmed name is one of the names or
+    # contains one of the aliases is attained by marketplace revenue.
+    market_target_names: tuple[str, ...] = MARKET_TARGET_NAMES
     market_target_aliases: tuple[str, ...] = MARKET_TARGET_ALIASES
     other_target: str = OTHER_TARGET
     # Regular expression on the media name.
@@ -74,7 +78,8 @@ TEST_CONFIG = ReportConfig(
     store_marker="storefront",
     store_target_aliases=("storefront", "store"),
     market_marker="market_a",
-    market_target_aliases=("market_a", "market"),
+    market_target_names=("market_a",),
+    market_target_aliases=("mkt",),
     other_target="othermall",
     product_excluded_media="NATION_12",
     display_marker="NATION_1",

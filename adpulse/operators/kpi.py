@@ -16,7 +16,7 @@ def target_rule(cfg: ReportConfig, col: str = "channel") -> Column:
     store = key == F.lit(cfg.store_channel.lower())
     for alias in cfg.store_target_aliases:
         store = store | key.contains(alias.lower())
-    market = F.lit(False)
+    market = key.isin(*[n.lower() for n in cfg.market_target_names])
     for alias in cfg.market_target_aliases:
         market = market | key.contains(alias.lower())
     return (F.when(store, F.lit("store"))

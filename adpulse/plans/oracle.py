@@ -348,7 +348,8 @@ def kpi_sql() -> str:
     key = "lower(trim(channel))"
     store = " OR ".join([f"{key} = {_q(CFG.store_channel.lower())}"]
                         + [f"contains({key}, {_q(x.lower())})" for x in CFG.store_target_aliases])
-    market = " OR ".join(f"contains({key}, {_q(x.lower())})" for x in CFG.market_target_aliases)
+    market = " OR ".join([f"{key} IN {_in([n.lower() for n in CFG.market_target_names])}"]
+                         + [f"contains({key}, {_q(x.lower())})" for x in CFG.market_target_aliases])
     ch = "lower(coalesce(channel, ''))"
     is_s = f"contains({ch}, {_q(CFG.store_marker.lower())})"
     is_m = f"contains({ch}, {_q(CFG.market_marker.lower())})"

@@ -31,12 +31,15 @@ from adpulse.sources.schema import conform
 from adpulse.sources.targets import targets_frame
 from adpulse.sources.tpch_fact import FACT_CTE, ad_fact
 
-# Targets of the test mapping: store, marketplace, everything else, an
-# unknown channel, an alias of the store rule with a zero target, and a
-# duplicate where the later row wins.
+# Targets of the test mapping: store, marketplace by exact name (a longer
+# name is not the marketplace) and by alias, everything else, an unknown
+# channel, an alias of the store rule with a zero target, and a duplicate
+# where the later row wins.
 TEST_TARGETS = [
     ("storefront", 50000, 2000000, 400),
     ("market_a", 40000, 1500000, 350),
+    ("market_ab", 1000, 2000, 100),
+    ("MKT team", 1000, 700000, 100),
     ("othermall", 30000, 900000, 300),
     ("unknown_x", 1000, 5000, 100),
     ("Store Team ", 0, 0, 0),

@@ -22,7 +22,8 @@ CFG = ReportConfig(
     store_marker="store",
     store_target_aliases=("store",),
     market_marker="Mkt",
-    market_target_aliases=("mkt",),
+    market_target_names=("mkt",),
+    market_target_aliases=("coup",),
     other_target="othermall",
     product_excluded_media="Mkt|Gm",
     display_marker="Display",

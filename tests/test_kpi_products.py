@@ -21,7 +21,8 @@ def test_kpi_rules_null_channel_and_bands(spark, make_fact):
                    dict(report_date=dt.date(2026, 3, 31), channel="web", rev_ss=1000)])
     t = targets_frame(spark, [("StoreA", 1, 100, 1), ("mkt", 0, 100, 0), ("othermall", 0, 5, 0),
                               ("nobody", 0, 10, 0), ("zero store", 0, 0, 0), ("mkt", 0, 50, 0),
-                              (" blank ", None, None, None)])
+                              (" blank ", None, None, None), ("mkt mall", 0, 10, 0),
+                              ("Coupon desk", 0, 40, 0)])
     rows = {r["channel"]: r for r in kpi.kpi_attainment(f, t, CFG, A).collect()}
     assert rows["StoreA"]["achieved"] == 90.0 and rows["StoreA"]["band"] == "green"
     assert rows["mkt"]["target_rev"] == 50.0 and rows["mkt"]["rate_pct"] == 80.0
@@ -30,6 +31,8 @@ def test_kpi_rules_null_channel_and_bands(spark, make_fact):
     assert rows["nobody"]["achieved"] == 0.0 and rows["nobody"]["band"] == "red"
     assert rows["zero store"]["rate_pct"] == 0.0
     assert rows["blank"]["target_rev"] == 0.0
+    assert rows["mkt mall"]["rule"] == "none"  # a longer name is not the exact market name
+    assert rows["Coupon desk"]["rule"] == "market" and rows["Coupon desk"]["achieved"] == 40.0
     assert [r["channel"] for r in kpi.kpi_attainment(f, t, CFG, A).collect()][:2] == ["StoreA", "othermall"]
 
 
