@@ -14,17 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adpulse.config import ReportConfig
-from adpulse.functions.labels import (direction, fill_missing, is_market_channel,
-                                      is_store_channel, path_label, truncate_label,
-                                      valid_label)
+from adpulse.functions.labels import (direction, is_market_channel, is_store_channel,
+                                      path_label, truncate_label, valid_label)
 from adpulse.operators.anchors import Anchors, anchors_of
 from adpulse.operators.compare import (influence_order, two_day_compare, two_day_sums,
                                        with_deltas)
 from adpulse.operators.ranking import top_k_per_group
 
-SECTIONS = ("store", "market")
-
-
 def _section(cfg: ReportConfig) -> Column:
     """Channel sections a row belongs to (a row may match both rules)."""
     tags = F.array(F.when(is_store_channel(cfg), F.lit("store")),
