@@ -17,27 +17,36 @@ def promo_split(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = No
     ROAS on the last and previous day, with changes.
 
     A class prints when the media has rows of it on ANY day, with zeros when
-    neither day has any, so the aggregate is not pre-filtered to the two days;
-    the day tests sit inside the conditional sums instead.
+    neither day has any: the class list comes from a distinct over the whole
+    history (two columns), the money from the two days only, left-joined on
+    the aggregated (media, class) keys.
     """
     a = anchors_of(fact, anchors)
     f = fact.where(F.col("media").isNotNull())
     if media is not None:
         f = f.where(F.col("media") == F.lit(media))
+    f = f.withColumn("promo_class", promo_class("promo", cfg)) \
+         .where(F.col("promo_class") != "unclassified")
+    # Which classes a media has: two narrow columns over the whole history,
+    # reduced to one row per (media, class) before any shuffle.
+    present = f.select("media", "promo_class").distinct()
+    # Their money: only the two days (pushed-down date predicate).
     d = F.col("report_date")
     cur, prev = d == F.lit(a.d_max), d == F.lit(a.d_prev)
-    f = f.select("media", promo_class("promo", cfg).alias("promo_class"), d, "cost", "rev_db") \
-         .where(F.col("promo_class") != "unclassified")
-    g = f.groupBy("media", "promo_class").agg(
+    days = f.where(d.isin(a.d_max, a.d_prev)).groupBy("media", "promo_class").agg(
         csum("cost", cur).alias("c1"), csum("rev_db", cur).alias("r1"),
         csum("cost", prev).alias("c0"), csum("rev_db", prev).alias("r0"))
+    g = present.join(days, ["media", "promo_class"], "left")
     c = F.col
-    o1, o0 = roas("r1", "c1"), roas("r0", "c0")
+    z = F.lit(0)
+    c1, r1 = F.coalesce(c("c1"), z), F.coalesce(c("r1"), z)
+    c0, r0 = F.coalesce(c("c0"), z), F.coalesce(c("r0"), z)
+    o1, o0 = roas(r1, c1), roas(r0, c0)
     return g.select(
         "media", "promo_class",
-        c("r1").cast("double").alias("rev_cur"), c("r0").cast("double").alias("rev_prev"),
-        (c("r1") - c("r0")).cast("double").alias("rev_delta"),
-        c("c1").cast("double").alias("cost_cur"), c("c0").cast("double").alias("cost_prev"),
-        (c("c1") - c("c0")).cast("double").alias("cost_delta"),
+        r1.cast("double").alias("rev_cur"), r0.cast("double").alias("rev_prev"),
+        (r1 - r0).cast("double").alias("rev_delta"),
+        c1.cast("double").alias("cost_cur"), c0.cast("double").alias("cost_prev"),
+        (c1 - c0).cast("double").alias("cost_delta"),
         o1.alias("roas_cur"), o0.alias("roas_prev"), (o1 - o0).alias("roas_delta"),
     ).orderBy("media", "promo_class")

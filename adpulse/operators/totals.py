@@ -56,17 +56,26 @@ def mtd_totals(fact: DataFrame, anchors: Anchors | None = None,
     return period_totals(fact, a.month_start, a.d_max, brand)
 
 
+def in_any_period(d: Column, ranges: list[tuple[dt.date, dt.date]]) -> Column:
+    """Rows in the union of the day ranges (not their hull): single days become
+    one IN list, longer ranges OR-ed BETWEENs; both push down to the scan."""
+    days = sorted({s for s, e in ranges if s == e})
+    spans = sorted({(s, e) for s, e in ranges if s != e})
+    cond = d.isin(*days) if days else F.lit(False)
+    for s, e in spans:
+        cond = cond | d.between(s, e)
+    return cond
+
+
 def periods_totals(fact: DataFrame, periods: list[tuple[str, dt.date, dt.date]],
                    brand: str | None = None) -> DataFrame:
     """Many periods, one scan: rows (period, period_start, period_end, record...).
 
-    Periods may overlap; each is an independent conditional sum. The scan is
-    bounded by the union of the ranges (literal predicate, pushed down).
+    Periods may overlap; each is an independent conditional sum. The scan
+    reads only the union of the ranges (literal predicate, pushed down).
     """
-    lo = min(p[1] for p in periods)
-    hi = max(p[2] for p in periods)
     d = F.col("report_date")
-    f = brand_filter(fact, brand).where(d.between(lo, hi))
+    f = brand_filter(fact, brand).where(in_any_period(d, [(s, e) for _, s, e in periods]))
     aggs = []
     for i, (_, s, e) in enumerate(periods):
         aggs += [csum(m, d.between(s, e)).alias(f"p{i}_{m}") for m in MEASURES]
