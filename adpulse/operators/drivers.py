@@ -21,6 +21,9 @@ from adpulse.operators.compare import (influence_order, two_day_compare, two_day
                                        with_deltas)
 from adpulse.operators.ranking import top_k_per_group
 
+SECTIONS = ("store", "market")
+
+
 def _section(cfg: ReportConfig) -> Column:
     """Channel sections a row belongs to (a row may match both rules)."""
     tags = F.array(F.when(is_store_channel(cfg), F.lit("store")),
@@ -170,15 +173,15 @@ def drilldown_tree(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None =
     lvl_product = shape(products, "product", F.col("media"), F.col("product_label"), "ss")
     camp = media_campaign_drivers(fact, cfg, a, k).join(F.broadcast(parents), "media")
     lvl_campaign = shape(camp, "campaign", F.col("media"), F.col("label"), "db")
-    # Every display parent gets the same sub-media breakdown; both sides are
-    # bounded by configuration (k parents per section, the display media list).
+    # Every display parent gets the same sub-media breakdown. The breakdown
+    # (one row per display sub-media, bounded by configuration) is tagged with
+    # every section and joined to the display parents on the section.
     display = (display_media_breakdown(fact, cfg, a)
                .withColumn("rank", F.row_number().over(
                    Window.partitionBy().orderBy(*influence_order(["media"]))).cast("bigint"))
                .withColumnRenamed("media", "sub_media")
-               .withColumn("_display", F.lit(True)))
-    display_parents = (parents.where(F.col("media").contains(cfg.display_marker))
-                              .withColumn("_display", F.lit(True)))
-    lvl_display = shape(display.join(F.broadcast(display_parents), "_display"),
+               .withColumn("section", F.explode(F.array(*[F.lit(x) for x in SECTIONS]))))
+    display_parents = parents.where(F.col("media").contains(cfg.display_marker))
+    lvl_display = shape(display.join(F.broadcast(display_parents), "section"),
                         "display_sub_media", F.col("media"), F.col("sub_media"), "db")
     return lvl_media.unionByName(lvl_product).unionByName(lvl_campaign).unionByName(lvl_display)
