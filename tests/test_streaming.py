@@ -66,3 +66,25 @@ def test_events_stream_smoke(spark, tmp_path):
     want = {r["event_type"]: r["n"] for r in
             spark.read.parquet(src).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == want and sum(got.values()) > 0
+
+
+def test_stream_ingest_pandas_parquet_exports(spark, tmp_path):
+    """Parquet exports written by pandas (nanosecond timestamps) stream in and
+    land with a DATE column."""
+    import pandas as pd
+    watch = tmp_path / "watch"
+    out = tmp_path / "out"
+    watch.mkdir()
+    pdf = pd.DataFrame({"날짜": pd.to_datetime(["2026-04-01", "2026-04-02"]),
+                        "매체상세": ["Search", "Search"], "비용(markup+)": [1.5, 2.5],
+                        "(스마트스토어센터기준) 전체 매출": [10.0, 20.0],
+                        "(대시보드기준) 전체 매출": [9.0, 19.0]})
+    pdf.to_parquet(watch / "Acme_Daily Report_260402.parquet", index=False)
+    schema = spark.read.parquet(str(watch)).schema
+    q = start_ingest_stream(spark, str(watch), str(out), schema, fmt="parquet",
+                            checkpoint=str(tmp_path / "ck"), available_now=True)
+    q.awaitTermination(120)
+    snap = spark.read.parquet(str(out / "tag=260402"))
+    assert isinstance(snap.schema["report_date"].dataType, T.DateType)
+    assert sorted(str(r["report_date"]) for r in snap.collect()) == ["2026-04-01", "2026-04-02"]
+    assert float(snap.agg(F.sum("cost")).collect()[0][0]) == 4.0
