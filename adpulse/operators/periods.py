@@ -1,8 +1,8 @@
 """Period comparisons: standard comparison periods of a selection, arbitrary
 base-vs-comparison ranges and the day headline (J4-J8).
 
-All periods of one question are aggregated in one scan (``periods_totals``);
-the small per-period records are then reshaped without touching the fact.
+All periods of one question are aggregated in one scan into one wide row
+(``periods_wide``); metric rows and deltas are then a projection of that row.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from adpulse.functions.labels import direction
 from adpulse.functions.measures import RECORD
 from adpulse.operators.anchors import Anchors, anchors_of
-from adpulse.operators.totals import periods_totals
+from adpulse.operators.totals import periods_totals, periods_wide
 
 DAY = dt.timedelta(days=1)
 
@@ -56,8 +56,9 @@ def multi_period(fact: DataFrame, start: dt.date | None = None, end: dt.date | N
     return periods_totals(fact, standard_periods(start, end), brand)
 
 
-def _pick(col: str, idx: int):
-    return F.max(F.when(F.col("period_idx") == idx, F.col(col).cast("double")))
+def _v(col: str, idx: int):
+    """Metric ``col`` of period ``idx`` from the one-row wide record."""
+    return F.col(f"p{idx}_{col}").cast("double")
 
 
 def multi_period_delta(fact: DataFrame, basis: str = "ss", start: dt.date | None = None,
@@ -65,16 +66,17 @@ def multi_period_delta(fact: DataFrame, basis: str = "ss", start: dt.date | None
                        brand: str | None = None) -> DataFrame:
     """Per metric of one basis (cost, purchases, revenue, ROAS): the
     selection's value and its difference to each comparison period."""
-    recs = multi_period(fact, start, end, anchors, brand)
-    metrics = BASIS_METRICS[basis]
-    wide = recs.agg(*[_pick(src, i).alias(f"{src}_{i}") for _, src in metrics for i in range(5)])
+    if start is None or end is None:
+        a = anchors_of(fact, anchors)
+        start, end = start or a.d_max, end or a.d_max
+    wide = periods_wide(fact, standard_periods(start, end), brand)
     rows = F.array(*[
         F.struct(F.lit(basis.upper()).alias("basis"), F.lit(k).alias("metric_idx"),
                  F.lit(name).alias("metric"),
-                 F.col(f"{src}_0").alias("value"),
-                 *[(F.col(f"{src}_0") - F.col(f"{src}_{i + 1}")).alias(f"delta_{lbl}")
+                 _v(src, 0).alias("value"),
+                 *[(_v(src, 0) - _v(src, i + 1)).alias(f"delta_{lbl}")
                    for i, lbl in enumerate(STANDARD_PERIODS)])
-        for k, (name, src) in enumerate(metrics)
+        for k, (name, src) in enumerate(BASIS_METRICS[basis])
     ])
     return wide.select(F.inline(rows))
 
@@ -89,12 +91,11 @@ def period_delta(fact: DataFrame, base: tuple[dt.date, dt.date] | None = None,
         a = anchors_of(fact, anchors)
         base = base or (a.d_max, a.d_max)
         comp = comp or (a.calendar_prev, a.calendar_prev)
-    recs = periods_totals(fact, [("base", base[0], base[1]), ("comp", comp[0], comp[1])], brand)
-    wide = recs.agg(*[_pick(m, i).alias(f"{m}_{i}") for m in RECORD for i in range(2)])
+    wide = periods_wide(fact, [("base", base[0], base[1]), ("comp", comp[0], comp[1])], brand)
     rows = F.array(*[
         F.struct(F.lit(k).alias("metric_idx"), F.lit(m).alias("metric"),
-                 F.col(f"{m}_0").alias("base_value"), F.col(f"{m}_1").alias("comp_value"),
-                 (F.col(f"{m}_0") - F.col(f"{m}_1")).alias("delta"))
+                 _v(m, 0).alias("base_value"), _v(m, 1).alias("comp_value"),
+                 (_v(m, 0) - _v(m, 1)).alias("delta"))
         for k, m in enumerate(RECORD)
     ])
     out = wide.select(F.inline(rows))
@@ -113,13 +114,12 @@ def daily_headline(fact: DataFrame, anchors: Anchors | None = None,
     a = anchors_of(fact, anchors)
     periods = [("cur", a.d_max, a.d_max), ("prev", a.d_prev, a.d_prev),
                ("same_weekday", a.same_weekday, a.same_weekday)]
-    recs = periods_totals(fact, periods, brand)
-    wide = recs.agg(*[_pick(m, i).alias(f"{m}_{i}") for m in HEADLINE for i in range(3)])
+    wide = periods_wide(fact, periods, brand)
     rows = F.array(*[
         F.struct(F.lit(k).alias("metric_idx"), F.lit(m).alias("metric"),
-                 F.col(f"{m}_0").alias("value"),
-                 (F.col(f"{m}_0") - F.col(f"{m}_1")).alias("delta_prev"),
-                 (F.col(f"{m}_0") - F.col(f"{m}_2")).alias("delta_same_weekday"))
+                 _v(m, 0).alias("value"),
+                 (_v(m, 0) - _v(m, 1)).alias("delta_prev"),
+                 (_v(m, 0) - _v(m, 2)).alias("delta_same_weekday"))
         for k, m in enumerate(HEADLINE)
     ])
     out = wide.select(F.inline(rows))

@@ -67,12 +67,12 @@ def in_any_period(d: Column, ranges: list[tuple[dt.date, dt.date]]) -> Column:
     return cond
 
 
-def periods_totals(fact: DataFrame, periods: list[tuple[str, dt.date, dt.date]],
-                   brand: str | None = None) -> DataFrame:
-    """Many periods, one scan: rows (period, period_start, period_end, record...).
+def periods_wide(fact: DataFrame, periods: list[tuple[str, dt.date, dt.date]],
+                 brand: str | None = None) -> DataFrame:
+    """One row: the 11-key record of every period i as columns p{i}_<metric>.
 
-    Periods may overlap; each is an independent conditional sum. The scan
-    reads only the union of the ranges (literal predicate, pushed down).
+    Periods may overlap; each is an independent conditional sum over one scan
+    that reads only the union of the ranges (literal predicate, pushed down).
     """
     d = F.col("report_date")
     f = brand_filter(fact, brand).where(in_any_period(d, [(s, e) for _, s, e in periods]))
@@ -80,14 +80,26 @@ def periods_totals(fact: DataFrame, periods: list[tuple[str, dt.date, dt.date]],
     for i, (_, s, e) in enumerate(periods):
         aggs += [csum(m, d.between(s, e)).alias(f"p{i}_{m}") for m in MEASURES]
     wide = f.agg(*aggs)
+    cols = []
+    for i in range(len(periods)):
+        typed = {m: out_measure(F.col(f"p{i}_{m}"), m) for m in MEASURES}
+        rates = dict(zip(("cpc", "ctr", "roas_ss", "roas_db"), derived_rates(f"p{i}_")))
+        cols += [(rates[k] if k in rates else typed[k]).alias(f"p{i}_{k}") for k in RECORD]
+    return wide.select(*cols)
+
+
+def periods_totals(fact: DataFrame, periods: list[tuple[str, dt.date, dt.date]],
+                   brand: str | None = None) -> DataFrame:
+    """Many periods, one scan: rows (period, period_idx, period_start,
+    period_end, record...)."""
+    wide = periods_wide(fact, periods, brand)
     rows = F.array(*[
         F.struct(F.lit(label).alias("period"), F.lit(i).alias("period_idx"),
                  F.lit(s).alias("period_start"), F.lit(e).alias("period_end"),
-                 *[F.col(f"p{i}_{m}").alias(m) for m in MEASURES])
+                 *[F.col(f"p{i}_{m}").alias(m) for m in RECORD])
         for i, (label, s, e) in enumerate(periods)
     ])
-    long = wide.select(F.inline(rows))
-    return typed_record(long, ["period", "period_idx", "period_start", "period_end"])
+    return wide.select(F.inline(rows))
 
 
 def basis_table(totals: DataFrame, keep: list[str] | None = None) -> DataFrame:
