@@ -499,7 +499,12 @@ def build() -> dict[str, str]:
     q["compare_media_ss"] = cmp_query(["media"], "ss")
     q["compare_campaign_db"] = cmp_query(["campaign", "ad_group"], "db")
     q["report_anchors"] = HEAD + "\nSELECT d_max, d_prev, d_min, month_start FROM anch"
-    q["scan_report"] = FACT_CTE + "\nSELECT * FROM ad_fact"
+    q["scan_report"] = FACT_CTE + """
+SELECT report_date, channel, media, campaign, ad_group, creative, keyword, brand, product, promo,
+       impressions, clicks, CAST(cost AS DOUBLE) AS cost, CAST(rev_ss AS DOUBLE) AS rev_ss,
+       CAST(rev_db AS DOUBLE) AS rev_db, buy_ss, buy_db,
+       CAST(rev_market_a AS DOUBLE) AS rev_market_a, CAST(rev_market_b AS DOUBLE) AS rev_market_b
+FROM ad_fact"""
     q["ingest_audit"] = FACT_CTE + """
 SELECT count(*) AS n_rows, count(DISTINCT report_date) AS n_days,
        min(report_date) AS first_day, max(report_date) AS last_day FROM ad_fact"""
@@ -624,7 +629,7 @@ SELECT trip.media, trip.campaign, trip.ad_group FROM trip
 JOIN named ON named.media = trip.media AND named.campaign = trip.campaign
 WHERE trip.ad_group IS NOT NULL OR named.n = 0"""
     q["valid_product_filter"] = FACT_CTE + f"""
-SELECT report_date, channel, media, product, rev_ss, buy_ss FROM ad_fact
+SELECT report_date, channel, media, product, CAST(rev_ss AS DOUBLE) AS rev_ss, buy_ss FROM ad_fact
 WHERE {valid_sql('product', True)}"""
     q["label_truncate"] = FACT_CTE + f"""
 SELECT product, {trunc_sql('product', CFG.label_len_long)} AS label_long,

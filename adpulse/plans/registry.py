@@ -114,9 +114,18 @@ def q_report_anchors(spark, sf_dir):
     return report_anchors(snapshot_fact(spark, sf_dir))
 
 
+MONEY_COLUMNS = ("cost", "rev_ss", "rev_db", "rev_market_a", "rev_market_b")
+
+
+def _money_as_double(df: DataFrame) -> DataFrame:
+    """Output typing for comparison: money as DOUBLE (exact DECIMAL inside)."""
+    return df.select(*[F.col(c).cast("double").alias(c) if c in MONEY_COLUMNS else F.col(c)
+                       for c in df.columns])
+
+
 def q_scan_report(spark, sf_dir):
     """The ingested snapshot read back through the canonical conform step."""
-    return conform(snapshot_fact(spark, sf_dir), headers={}, keep_extra=False)
+    return _money_as_double(conform(snapshot_fact(spark, sf_dir), headers={}, keep_extra=False))
 
 
 def q_ingest_audit(spark, sf_dir):
@@ -378,7 +387,7 @@ def q_cascading_filter(spark, sf_dir):
 
 
 def q_valid_product_filter(spark, sf_dir):
-    return dimensions.valid_product_rows(snapshot_fact(spark, sf_dir), CFG)
+    return _money_as_double(dimensions.valid_product_rows(snapshot_fact(spark, sf_dir), CFG))
 
 
 def q_label_truncate(spark, sf_dir):
