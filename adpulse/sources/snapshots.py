@@ -50,15 +50,15 @@ def _local(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
-def _fs_entries(spark: SparkSession, folder: str) -> list[tuple]:
+def _fs_entries(spark: SparkSession, folder: str, sizes: bool = True) -> list[tuple]:
     """Direct children of a folder via the Hadoop file system of its URI.
 
     A directory entry (a Parquet snapshot written by Spark) reports the total
-    size of its content.
+    size of its content when ``sizes`` is set (one extra call per directory).
     """
     h = _hadoop(spark, folder)
     if h is None:
-        return _local_entries(_local(folder))
+        return _local_entries(_local(folder), sizes)
     fs, root = h
     if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
         return []
@@ -66,21 +66,25 @@ def _fs_entries(spark: SparkSession, folder: str) -> list[tuple]:
     for st in fs.listStatus(root):
         p = st.getPath()
         is_dir = st.isDirectory()
-        length = fs.getContentSummary(p).getLength() if is_dir else st.getLen()
+        length = (fs.getContentSummary(p).getLength() if sizes else -1) if is_dir else st.getLen()
         mtime = dt.datetime.fromtimestamp(st.getModificationTime() / 1000.0, dt.timezone.utc)
         out.append((p.toString(), p.getName(), int(length), mtime.replace(tzinfo=None), is_dir))
     return out
 
 
-def _local_entries(folder: str) -> list[tuple]:
+def _local_entries(folder: str, sizes: bool = True) -> list[tuple]:
     if not os.path.isdir(folder):
         return []
     out = []
     for name in sorted(os.listdir(folder)):
         full = os.path.join(folder, name)
         is_dir = os.path.isdir(full)
-        size = (sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(full) for f in fs)
-                if is_dir else os.path.getsize(full))
+        if not is_dir:
+            size = os.path.getsize(full)
+        elif sizes:
+            size = sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(full) for f in fs)
+        else:
+            size = -1
         mtime = dt.datetime.fromtimestamp(os.path.getmtime(full), dt.timezone.utc)
         out.append((full, name, int(size), mtime.replace(tzinfo=None), is_dir))
     return out
@@ -238,7 +242,8 @@ def partition_values(spark: SparkSession, path: str, column: str = "report_date"
     """Values of a top-level ``column=value`` partition layout, from the
     directory listing alone (no data read). The null partition is skipped."""
     prefix = f"{column}="
-    names = [e[1] for e in _fs_entries(spark, path) if e[4] and e[1].startswith(prefix)]
+    names = [e[1] for e in _fs_entries(spark, path, sizes=False)
+             if e[4] and e[1].startswith(prefix)]
     vals = [unquote(n[len(prefix):]) for n in names]
     return sorted(v for v in vals if v != "__HIVE_DEFAULT_PARTITION__")
 
