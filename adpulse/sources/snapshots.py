@@ -158,6 +158,13 @@ def snapshot_by_tag(cat: DataFrame, tag: str) -> str | None:
     return rows[0]["path"] if rows else None
 
 
+def snapshot_by_name(cat: DataFrame, name: str) -> str | None:
+    """S3: the snapshot with this exact file name (case-insensitive)."""
+    rows = (cat.where(F.lower(F.col("name")) == name.lower()).orderBy("path")
+               .select("path").limit(1).collect())
+    return rows[0]["path"] if rows else None
+
+
 def _ext(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
 

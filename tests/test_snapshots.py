@@ -36,6 +36,8 @@ def test_newest_tag_wins_and_parquet_preferred(spark, tmp_path):
     assert snap.newest_snapshot(cat).endswith("Report_260405.parquet")
     assert snap.newest_snapshot(cat, ext="xlsx").endswith("Report_260405.xlsx")
     assert snap.snapshot_by_tag(cat, "260401").endswith("260401.xlsx")
+    assert snap.snapshot_by_name(cat, f"{STEM.lower()} report_260405.XLSX").endswith("260405.xlsx")
+    assert snap.snapshot_by_name(cat, "nope.xlsx") is None
 
 
 def test_name_variants_and_case(spark, tmp_path):
