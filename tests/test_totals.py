@@ -178,3 +178,17 @@ def test_one_scan_periods_equal_separate_totals(make_fact, offsets, span):
         single = one(totals.period_totals(f, s, e))
         for m in ("cost", "rev_ss", "clicks", "roas_ss", "cpc"):
             assert multi[label][m] == single[m]
+
+
+def test_null_measures_are_skipped(make_fact):
+    """H1: null measures add nothing (pandas sums skip NaN); the row still
+    counts for its keys."""
+    from adpulse.config import ReportConfig
+    from adpulse.operators.compare import two_day_compare
+    f = make_fact([dict(cost=None, rev_ss=None, clicks=None, media="a"),
+                   dict(cost=4, rev_ss=8, clicks=2, media="a"),
+                   dict(cost=None, rev_ss=None, media="b")])
+    r = one(totals.period_totals(f, D0, D0))
+    assert (r["cost"], r["rev_ss"], r["clicks"], r["roas_ss"]) == (4.0, 8.0, 2, 200.0)
+    cmp = {x["media"]: x for x in two_day_compare(f, ["media"], "ss", D0, D0, ReportConfig()).collect()}
+    assert cmp["b"]["rev_cur"] == 0.0 and cmp["a"]["roas_cur"] == 200.0
