@@ -54,6 +54,7 @@ _ANCHORS: dict[tuple, Anchors] = {}
 _SNAPSHOTS: dict[tuple, str] = {}
 INGEST_SECONDS: dict[str, float] = {}
 _LOCK = threading.Lock()
+_FRAMES: dict[tuple, DataFrame] = {}
 
 
 def _identity(spark: SparkSession, sf_dir: str) -> tuple:
@@ -73,7 +74,13 @@ def snapshot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = _identity(spark, sf_dir)
     with _LOCK:
-        return spark.read.parquet(_materialize(spark, sf_dir, key))
+        path = _materialize(spark, sf_dir, key)
+        # The snapshot never changes under its path, so its DataFrame (file
+        # listing, footer schema) is opened once per session and reused.
+        frame_key = (id(spark), path)
+        if frame_key not in _FRAMES:
+            _FRAMES[frame_key] = spark.read.parquet(path)
+        return _FRAMES[frame_key]
 
 
 def _materialize(spark: SparkSession, sf_dir: str, key: tuple) -> str:
@@ -93,8 +100,8 @@ def _materialize(spark: SparkSession, sf_dir: str, key: tuple) -> str:
 def _fa(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Anchors]:
     """The snapshot and its anchors. A snapshot is immutable, so its anchors
     are resolved once per report run (remembered under the source identity)."""
-    f = snapshot_fact(spark, sf_dir)
     key = _identity(spark, sf_dir)
+    f = snapshot_fact(spark, sf_dir)
     if key not in _ANCHORS:
         _ANCHORS[key] = resolve_anchors(f)
     return f, _ANCHORS[key]
