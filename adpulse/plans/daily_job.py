@@ -1,6 +1,8 @@
 """The daily report as one Spark application.
 
-    spark-submit -m adpulse.plans.daily_job --reports <folder> --facts <folder> --out <folder>
+    zip -r adpulse.zip adpulse
+    spark-submit --py-files adpulse.zip adpulse/plans/daily_job.py \
+        --reports <folder> --facts <folder> --out <folder>
 
 1. list the report folder and pick the newest valid snapshot (or ``--tag``);
 2. ingest it to ``<facts>/tag=<YYMMDD>`` (typed, date-partitioned Parquet)
@@ -14,6 +16,12 @@ listings and the one-row anchors reaches the driver.
 
 from __future__ import annotations
 
+import os
+import sys
+
+if __package__ in (None, ""):  # run as a script by spark-submit
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
 import argparse
 import datetime as dt
 import json
