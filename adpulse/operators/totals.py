@@ -157,7 +157,22 @@ def roas_trend(fact: DataFrame, end: dt.date | None = None, n: int = 7,
     d = F.col("report_date")
     days = [r[0] for r in fact.select(d).where(d.isNotNull() & (d <= F.lit(end))).distinct()
             .orderBy(d.desc()).limit(n).collect()]
-    picked = fact.where(d.isin(*days)) if days else fact.where(F.lit(False))
+    return _trend(fact, days)
+
+
+def roas_trend_between(fact: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """A16 for a chosen range: every day with data in [start, end] (the
+    report's chart range picker); same columns as ``roas_trend``."""
+    d = F.col("report_date")
+    return _trend(fact.where(d.between(start, end)), None)
+
+
+def _trend(fact: DataFrame, days: list | None) -> DataFrame:
+    d = F.col("report_date")
+    if days is None:
+        picked = fact.where(d.isNotNull())
+    else:
+        picked = fact.where(d.isin(*days)) if days else fact.where(F.lit(False))
     daily = picked.groupBy("report_date").agg(csum("rev_ss").alias("rev_ss"),
                                               csum("cost").alias("cost"))
     roas_1 = F.bround(roas("rev_ss", "cost"), 1)
@@ -168,7 +183,7 @@ def roas_trend(fact: DataFrame, end: dt.date | None = None, n: int = 7,
         F.bround(F.col("cost").cast("double") / F.lit(10000.0), 1).alias("cost_10k"),
         roas_1.cast("decimal(20,1)").alias("_r"),
     )
-    # The window spans at most n rows (one per picked day).
+    # One row per picked day: the window spans the chart's days only.
     w = Window.partitionBy()
     mean = (F.sum("_r").over(w).cast("double") / F.count(F.lit(1)).over(w).cast("double"))
     return out.select("report_date", "label", "roas_ss", "cost_10k",

@@ -46,13 +46,16 @@ class DailyReport:
     # ── summary page ─────────────────────────────────────────────────────
     def summary(self, base: tuple[dt.date, dt.date] | None = None,
                 comp: tuple[dt.date, dt.date] | None = None,
-                trend_end: dt.date | None = None, trend_days: int = 7) -> dict[str, DataFrame]:
+                trend_end: dt.date | None = None, trend_days: int = 7,
+                trend_range: tuple[dt.date, dt.date] | None = None) -> dict[str, DataFrame]:
         f, a, c, b = self.fact, self.anchors, self.cfg, self.brand
+        trend = (totals.roas_trend_between(f, *trend_range) if trend_range
+                 else totals.roas_trend(f, trend_end or a.d_max, trend_days, a))
         pages = {
             "mtd_basis_table": totals.basis_table(totals.mtd_totals(f, a, b)),
             "daily_detail": totals.daily_detail(f, a, b),
             "period_delta": periods.period_delta(f, base, comp, a, b),
-            "roas_trend": totals.roas_trend(f, trend_end or a.d_max, trend_days, a),
+            "roas_trend": trend,
             "daily_headline": periods.daily_headline(f, a),
             "channel_headline": drivers.channel_headline(f, c, a),
             "channel_drivers": drivers.channel_drivers(f, c, a, c.k_drivers),

@@ -192,3 +192,11 @@ def test_null_measures_are_skipped(make_fact):
     assert (r["cost"], r["rev_ss"], r["clicks"], r["roas_ss"]) == (4.0, 8.0, 2, 200.0)
     cmp = {x["media"]: x for x in two_day_compare(f, ["media"], "ss", D0, D0, ReportConfig()).collect()}
     assert cmp["b"]["rev_cur"] == 0.0 and cmp["a"]["roas_cur"] == 200.0
+
+
+def test_roas_trend_between_equals_last_n(make_fact):
+    days = [D0 + dt.timedelta(days=k) for k in (0, 2, 3, 7)]
+    f = make_fact([dict(report_date=d, cost=10, rev_ss=10 * (k + 2)) for k, d in enumerate(days)])
+    a = totals.roas_trend(f, days[-1], n=3).collect()
+    b = totals.roas_trend_between(f, days[1], days[-1]).collect()
+    assert a == b and len(a) == 3
