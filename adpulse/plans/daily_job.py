@@ -39,7 +39,8 @@ from adpulse.sources.targets import load_targets
 def run_daily(spark: SparkSession, reports: str, facts: str, out: str,
               cfg: ReportConfig = DEFAULT_CONFIG, tag: str | None = None,
               as_of: dt.date | None = None, targets: str | None = None,
-              extra_headers: dict | None = None, persist: bool = False) -> dict:
+              extra_headers: dict | None = None, persist: bool = False,
+              parallel: int = 4) -> dict:
     cat = snapshots.snapshot_catalog(spark, reports)
     src = (snapshots.snapshot_by_tag(cat, tag) if tag
            else snapshots.newest_valid_snapshot(cat, as_of=as_of))
@@ -59,8 +60,7 @@ def run_daily(spark: SparkSession, reports: str, facts: str, out: str,
     report = DailyReport(fact, cfg, tgt, persist=persist, anchors=anchors)
     try:
         dest = f"{out.rstrip('/')}/tag={tag}"
-        report.write_all(dest)
-        figures = sorted(report.all_figures())
+        figures = report.write_all(dest, parallel=parallel)
     finally:
         report.close()
     return {"tag": tag, "source": src, "ingested": audit, "out": dest, "figures": figures,

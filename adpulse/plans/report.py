@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -119,8 +120,24 @@ class DailyReport:
             out.update(page())
         return out
 
-    def write_all(self, out_dir: str, writer: Callable[[DataFrame, str], None] | None = None) -> None:
-        """Materialise every figure as Parquet under ``out_dir/<figure>``."""
+    def write_all(self, out_dir: str, writer: Callable[[DataFrame, str], None] | None = None,
+                  parallel: int = 1) -> list[str]:
+        """Materialise every figure as Parquet under ``out_dir/<figure>``.
+
+        Figures are independent Spark jobs; with ``parallel`` > 1 they are
+        submitted from that many driver threads so small jobs overlap on the
+        cluster instead of queueing one after another. Each write overwrites
+        its own folder, so a rerun after a failure is safe.
+        """
         write = writer or (lambda df, p: df.write.mode("overwrite").parquet(p))
-        for name, df in self.all_figures().items():
-            write(df, f"{out_dir.rstrip('/')}/{name}")
+        figures = self.all_figures()
+        dest = {name: f"{out_dir.rstrip('/')}/{name}" for name in figures}
+        if parallel <= 1:
+            for name, df in figures.items():
+                write(df, dest[name])
+        else:
+            with ThreadPoolExecutor(max_workers=parallel) as pool:
+                futures = [pool.submit(write, df, dest[name]) for name, df in figures.items()]
+                for fut in futures:
+                    fut.result()
+        return sorted(figures)
