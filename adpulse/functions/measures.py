@@ -2,10 +2,18 @@
 
 Sums run in DECIMAL (exact, independent of partition order); ratios divide
 DOUBLEs so every engine produces the same IEEE result.
+
+Every helper accepts column names with an optional condition given as SQL
+text; it then returns ONE ``F.expr`` instead of a tree of Column calls.
+In PySpark each Column call is a round trip to the JVM, so a figure with a
+few dozen conditional sums is built many times faster this way. The plan
+Catalyst receives is the same either way.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,39 +28,96 @@ BASIS = {
     "db": ("rev_db", "buy_db"),
 }
 
+# Order of the 11-key metric record of a period.
+RECORD = ("impressions", "clicks", "cpc", "ctr", "cost",
+          "buy_ss", "rev_ss", "roas_ss", "buy_db", "rev_db", "roas_db")
+
+
+def q(name: str) -> str:
+    """Quoted column name for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_date(d: dt.date) -> str:
+    return f"DATE'{d.isoformat()}'"
+
+
+def day_is(d: dt.date, col: str = "report_date") -> str:
+    return f"{q(col)} = {sql_date(d)}"
+
+
+def day_in(days, col: str = "report_date") -> str:
+    days = list(days)
+    if not days:
+        return "false"
+    return f"{q(col)} IN ({', '.join(sql_date(d) for d in days)})"
+
+
+def day_between(s: dt.date, e: dt.date, col: str = "report_date") -> str:
+    return f"{q(col)} BETWEEN {sql_date(s)} AND {sql_date(e)}"
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def csum(c, cond: Column | None = None) -> Column:
+def csum_sql(c: str, cond: str | None = None) -> str:
+    inner = q(c) if cond is None else f"CASE WHEN {cond} THEN {q(c)} END"
+    return f"coalesce(sum({inner}), 0)"
+
+
+def csum(c, cond: Column | str | None = None, name: str | None = None) -> Column:
     """sum(c) [where cond], 0 when nothing qualifies (pandas sum semantics)."""
+    if isinstance(c, str) and (cond is None or isinstance(cond, str)):
+        sql = csum_sql(c, cond)
+        return F.expr(f"{sql} AS {q(name)}") if name else F.expr(sql)
     x = _c(c)
     if cond is not None:
-        x = F.when(cond, x)
-    return F.coalesce(F.sum(x), F.lit(0))
+        x = F.when(F.expr(cond) if isinstance(cond, str) else cond, x)
+    out = F.coalesce(F.sum(x), F.lit(0))
+    return out.alias(name) if name else out
+
+
+def out_type(name: str) -> str:
+    return "BIGINT" if name.startswith(("impressions", "clicks", "buy")) else "DOUBLE"
 
 
 def out_measure(c, name: str) -> Column:
     """Final projection of a summed measure: money as DOUBLE, counts as BIGINT."""
-    x = _c(c)
-    if name.startswith(("impressions", "clicks", "buy")):
-        return x.cast("bigint").alias(name)
-    return x.cast("double").alias(name)
+    if isinstance(c, str):
+        return F.expr(f"CAST({q(c)} AS {out_type(name)}) AS {q(name)}")
+    return _c(c).cast(out_type(name).lower()).alias(name)
 
 
-def ratio(num, den, scale: float = 1.0) -> Column:
+def ratio_sql(num: str, den: str, scale: float = 1.0) -> str:
+    """SQL text of num / den (× scale), 0.0 when den is 0 or null; num and den
+    are SQL expressions."""
+    tail = f" * {float(scale)!r}D" if scale != 1.0 else ""
+    return (f"CASE WHEN CAST({den} AS DOUBLE) != 0 "
+            f"THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE){tail} ELSE 0.0D END")
+
+
+def ratio(num, den, scale: float = 1.0, name: str | None = None) -> Column:
     """num / den (× scale), 0.0 when den is 0 or null."""
+    if isinstance(num, str) and isinstance(den, str):
+        sql = ratio_sql(q(num), q(den), scale)
+        return F.expr(f"{sql} AS {q(name)}") if name else F.expr(sql)
     n = _c(num).cast("double")
     d = _c(den).cast("double")
-    q = n / d
+    qv = n / d
     if scale != 1.0:
-        q = q * F.lit(float(scale))
-    return F.when(d != 0, q).otherwise(F.lit(0.0))
+        qv = qv * F.lit(float(scale))
+    out = F.when(d != 0, qv).otherwise(F.lit(0.0))
+    return out.alias(name) if name else out
 
 
-def roas(rev, cost) -> Column:
-    return ratio(rev, cost, 100.0)
+def roas(rev, cost, name: str | None = None) -> Column:
+    return ratio(rev, cost, 100.0, name)
 
 
 def derived_rates(prefix: str = "", suffix: str = "") -> list[Column]:
@@ -60,13 +125,8 @@ def derived_rates(prefix: str = "", suffix: str = "") -> list[Column]:
     def n(x):
         return f"{prefix}{x}{suffix}"
     return [
-        ratio(n("cost"), n("clicks")).alias(n("cpc")),
-        ratio(n("clicks"), n("impressions"), 100.0).alias(n("ctr")),
-        roas(n("rev_ss"), n("cost")).alias(n("roas_ss")),
-        roas(n("rev_db"), n("cost")).alias(n("roas_db")),
+        ratio(n("cost"), n("clicks"), name=n("cpc")),
+        ratio(n("clicks"), n("impressions"), 100.0, name=n("ctr")),
+        roas(n("rev_ss"), n("cost"), name=n("roas_ss")),
+        roas(n("rev_db"), n("cost"), name=n("roas_db")),
     ]
-
-
-# Order of the 11-key metric record of a period.
-RECORD = ("impressions", "clicks", "cpc", "ctr", "cost",
-          "buy_ss", "rev_ss", "roas_ss", "buy_db", "rev_db", "roas_db")

@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adpulse.config import ReportConfig
-from adpulse.functions.labels import fill_missing
-from adpulse.functions.measures import BASIS, csum, roas
+from adpulse.functions.measures import BASIS, csum, day_in, day_is, q, ratio_sql, sql_str
 
 COMPARE_VALUES = ("rev_cur", "rev_prev", "rev_delta", "cost_cur", "cost_prev", "cost_delta",
                   "buy_cur", "buy_prev", "buy_delta", "roas_cur", "roas_prev", "roas_delta",
@@ -28,41 +27,38 @@ def two_day_sums(fact: DataFrame, keys: list[str], basis: str, d_cur: dt.date, d
                  cfg: ReportConfig, fill_keys: bool = True) -> DataFrame:
     """keys + rev/cost/buy summed for each of the two days (exact DECIMAL sums)."""
     rev, buy = BASIS[basis]
-    d = F.col("report_date")
-    f = fact.where(d.isin(d_cur, d_prev))
-    key_cols = [fill_missing(k, cfg).alias(k) if fill_keys else F.col(k) for k in keys]
-    f = f.select(*key_cols, d, F.col(rev).alias("_rev"), F.col("cost").alias("_cost"),
-                 F.col(buy).alias("_buy"))
-    cur = d == F.lit(d_cur)
-    prev = d == F.lit(d_prev)
+    f = fact.where(day_in([d_cur, d_prev]))
+    key_cols = [f"coalesce(CAST({q(k)} AS STRING), {sql_str(cfg.missing)}) AS {q(k)}"
+                if fill_keys else q(k) for k in keys]
+    f = f.selectExpr(*key_cols, "report_date", f"{q(rev)} AS _rev", "cost AS _cost",
+                     f"{q(buy)} AS _buy")
+    cur, prev = day_is(d_cur), day_is(d_prev)
     return f.groupBy(*keys).agg(
-        csum("_rev", cur).alias("rev_cur"), csum("_rev", prev).alias("rev_prev"),
-        csum("_cost", cur).alias("cost_cur"), csum("_cost", prev).alias("cost_prev"),
-        csum("_buy", cur).alias("buy_cur"), csum("_buy", prev).alias("buy_prev"),
+        csum("_rev", cur, "rev_cur"), csum("_rev", prev, "rev_prev"),
+        csum("_cost", cur, "cost_cur"), csum("_cost", prev, "cost_prev"),
+        csum("_buy", cur, "buy_cur"), csum("_buy", prev, "buy_prev"),
     )
 
 
 def with_deltas(sums: DataFrame, keys: list[str]) -> DataFrame:
     """Deltas, ROAS on both days, point difference and influence = |rev delta|."""
-    c = F.col
-    roas_cur = roas("rev_cur", "cost_cur")
-    roas_prev = roas("rev_prev", "cost_prev")
-    rev_delta = (c("rev_cur") - c("rev_prev")).cast("double")
-    return sums.select(
-        *keys,
-        c("rev_cur").cast("double").alias("rev_cur"),
-        c("rev_prev").cast("double").alias("rev_prev"),
-        rev_delta.alias("rev_delta"),
-        c("cost_cur").cast("double").alias("cost_cur"),
-        c("cost_prev").cast("double").alias("cost_prev"),
-        (c("cost_cur") - c("cost_prev")).cast("double").alias("cost_delta"),
-        c("buy_cur").cast("bigint").alias("buy_cur"),
-        c("buy_prev").cast("bigint").alias("buy_prev"),
-        (c("buy_cur") - c("buy_prev")).cast("bigint").alias("buy_delta"),
-        roas_cur.alias("roas_cur"),
-        roas_prev.alias("roas_prev"),
-        (roas_cur - roas_prev).alias("roas_delta"),
-        F.abs(rev_delta).alias("influence"),
+    roas_cur = ratio_sql("rev_cur", "cost_cur", 100.0)
+    roas_prev = ratio_sql("rev_prev", "cost_prev", 100.0)
+    return sums.selectExpr(
+        *[q(k) for k in keys],
+        "CAST(rev_cur AS DOUBLE) AS rev_cur",
+        "CAST(rev_prev AS DOUBLE) AS rev_prev",
+        "CAST(rev_cur - rev_prev AS DOUBLE) AS rev_delta",
+        "CAST(cost_cur AS DOUBLE) AS cost_cur",
+        "CAST(cost_prev AS DOUBLE) AS cost_prev",
+        "CAST(cost_cur - cost_prev AS DOUBLE) AS cost_delta",
+        "CAST(buy_cur AS BIGINT) AS buy_cur",
+        "CAST(buy_prev AS BIGINT) AS buy_prev",
+        "CAST(buy_cur - buy_prev AS BIGINT) AS buy_delta",
+        f"{roas_cur} AS roas_cur",
+        f"{roas_prev} AS roas_prev",
+        f"({roas_cur}) - ({roas_prev}) AS roas_delta",
+        "abs(CAST(rev_cur - rev_prev AS DOUBLE)) AS influence",
     )
 
 

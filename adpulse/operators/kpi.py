@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adpulse.config import ReportConfig
-from adpulse.functions.measures import csum
+from adpulse.functions.measures import csum, day_between, sql_str
 from adpulse.operators.anchors import Anchors, anchors_of
 
 
@@ -31,13 +31,12 @@ def rule_revenue(fact: DataFrame, cfg: ReportConfig, a: Anchors) -> DataFrame:
     Store and market rows are found by a case-insensitive contains on the
     channel; 'other' is neither, and a null channel counts as other.
     """
-    ch = F.lower(F.coalesce(F.col("channel"), F.lit("")))
-    is_store = ch.contains(cfg.store_marker.lower())
-    is_market = ch.contains(cfg.market_marker.lower())
-    f = fact.where(F.col("report_date").between(a.month_start, a.d_max))
-    agg = f.agg(csum("rev_ss", is_store).alias("store"),
-                csum("rev_ss", is_market).alias("market"),
-                csum("rev_ss", ~is_store & ~is_market).alias("other"))
+    ch = "lower(coalesce(channel, ''))"
+    is_store = f"contains({ch}, {sql_str(cfg.store_marker.lower())})"
+    is_market = f"contains({ch}, {sql_str(cfg.market_marker.lower())})"
+    f = fact.where(day_between(a.month_start, a.d_max))
+    agg = f.agg(csum("rev_ss", is_store, "store"), csum("rev_ss", is_market, "market"),
+                csum("rev_ss", f"NOT {is_store} AND NOT {is_market}", "other"))
     return agg.select(F.inline(F.array(*[
         F.struct(F.lit(r).alias("rule"), F.col(r).alias("achieved"))
         for r in ("store", "market", "other")])))

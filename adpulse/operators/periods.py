@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adpulse.functions.labels import direction
-from adpulse.functions.measures import RECORD
+from adpulse.functions.measures import RECORD, q, sql_str
 from adpulse.operators.anchors import Anchors, anchors_of
 from adpulse.operators.totals import periods_totals
 
@@ -56,8 +56,19 @@ def multi_period(fact: DataFrame, start: dt.date | None = None, end: dt.date | N
     return periods_totals(fact, standard_periods(start, end), brand)
 
 
-def _pick(col: str, idx: int):
-    return F.max(F.when(F.col("period_idx") == idx, F.col(col).cast("double")))
+def _pick(col: str, idx: int) -> str:
+    """Metric ``col`` of period ``idx`` from the period records, as DOUBLE."""
+    return f"max(CASE WHEN period_idx = {idx} THEN CAST({q(col)} AS DOUBLE) END)"
+
+
+def _wide(recs: DataFrame, cols: list[str], n: int) -> DataFrame:
+    """One row: <col>_<i> for every metric and period (a pivot of n rows)."""
+    return recs.agg(*[F.expr(f"{_pick(c, i)} AS {q(f'{c}_{i}')}") for c in cols for i in range(n)])
+
+
+def _rows(items: list[list[str]]) -> str:
+    """inline(array(struct(...), ...)) from per-row lists of 'expr AS name'."""
+    return "inline(array(" + ", ".join("struct(" + ", ".join(r) + ")" for r in items) + "))"
 
 
 def multi_period_delta(fact: DataFrame, basis: str = "ss", start: dt.date | None = None,
@@ -67,16 +78,12 @@ def multi_period_delta(fact: DataFrame, basis: str = "ss", start: dt.date | None
     selection's value and its difference to each comparison period."""
     recs = multi_period(fact, start, end, anchors, brand)
     metrics = BASIS_METRICS[basis]
-    wide = recs.agg(*[_pick(src, i).alias(f"{src}_{i}") for _, src in metrics for i in range(5)])
-    rows = F.array(*[
-        F.struct(F.lit(basis.upper()).alias("basis"), F.lit(k).alias("metric_idx"),
-                 F.lit(name).alias("metric"),
-                 F.col(f"{src}_0").alias("value"),
-                 *[(F.col(f"{src}_0") - F.col(f"{src}_{i + 1}")).alias(f"delta_{lbl}")
-                   for i, lbl in enumerate(STANDARD_PERIODS)])
-        for k, (name, src) in enumerate(metrics)
-    ])
-    return wide.select(F.inline(rows))
+    wide = _wide(recs, [src for _, src in metrics], 5)
+    return wide.selectExpr(_rows([
+        [f"{sql_str(basis.upper())} AS basis", f"{k} AS metric_idx", f"{sql_str(name)} AS metric",
+         f"{src}_0 AS value"]
+        + [f"{src}_0 - {src}_{i + 1} AS delta_{lbl}" for i, lbl in enumerate(STANDARD_PERIODS)]
+        for k, (name, src) in enumerate(metrics)]))
 
 
 def period_delta(fact: DataFrame, base: tuple[dt.date, dt.date] | None = None,
@@ -90,14 +97,11 @@ def period_delta(fact: DataFrame, base: tuple[dt.date, dt.date] | None = None,
         base = base or (a.d_max, a.d_max)
         comp = comp or (a.calendar_prev, a.calendar_prev)
     recs = periods_totals(fact, [("base", base[0], base[1]), ("comp", comp[0], comp[1])], brand)
-    wide = recs.agg(*[_pick(m, i).alias(f"{m}_{i}") for m in RECORD for i in range(2)])
-    rows = F.array(*[
-        F.struct(F.lit(k).alias("metric_idx"), F.lit(m).alias("metric"),
-                 F.col(f"{m}_0").alias("base_value"), F.col(f"{m}_1").alias("comp_value"),
-                 (F.col(f"{m}_0") - F.col(f"{m}_1")).alias("delta"))
-        for k, m in enumerate(RECORD)
-    ])
-    out = wide.select(F.inline(rows))
+    wide = _wide(recs, list(RECORD), 2)
+    out = wide.selectExpr(_rows([
+        [f"{k} AS metric_idx", f"{sql_str(m)} AS metric", f"{m}_0 AS base_value",
+         f"{m}_1 AS comp_value", f"{m}_0 - {m}_1 AS delta"]
+        for k, m in enumerate(RECORD)]))
     return out.withColumn("direction", direction("delta"))
 
 
@@ -114,15 +118,11 @@ def daily_headline(fact: DataFrame, anchors: Anchors | None = None,
     periods = [("cur", a.d_max, a.d_max), ("prev", a.d_prev, a.d_prev),
                ("same_weekday", a.same_weekday, a.same_weekday)]
     recs = periods_totals(fact, periods, brand)
-    wide = recs.agg(*[_pick(m, i).alias(f"{m}_{i}") for m in HEADLINE for i in range(3)])
-    rows = F.array(*[
-        F.struct(F.lit(k).alias("metric_idx"), F.lit(m).alias("metric"),
-                 F.col(f"{m}_0").alias("value"),
-                 (F.col(f"{m}_0") - F.col(f"{m}_1")).alias("delta_prev"),
-                 (F.col(f"{m}_0") - F.col(f"{m}_2")).alias("delta_same_weekday"))
-        for k, m in enumerate(HEADLINE)
-    ])
-    out = wide.select(F.inline(rows))
+    wide = _wide(recs, list(HEADLINE), 3)
+    out = wide.selectExpr(_rows([
+        [f"{k} AS metric_idx", f"{sql_str(m)} AS metric", f"{m}_0 AS value",
+         f"{m}_0 - {m}_1 AS delta_prev", f"{m}_0 - {m}_2 AS delta_same_weekday"]
+        for k, m in enumerate(HEADLINE)]))
     return out.select(F.lit(a.d_max).alias("day"), F.lit(a.d_prev).alias("prev_day"),
                       F.lit(a.same_weekday).alias("same_weekday_day"), "*",
                       direction("delta_prev", two_way=True).alias("direction"))

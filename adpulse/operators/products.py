@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adpulse.config import ReportConfig
-from adpulse.functions.labels import fill_missing
-from adpulse.functions.measures import csum, ratio
+from adpulse.functions.measures import csum, day_in, day_is, ratio_sql, sql_str
 from adpulse.operators.anchors import Anchors, anchors_of
 from adpulse.operators.compare import influence_order, two_day_compare
 from adpulse.operators.ranking import product_rows, top_k, top_k_per_group
@@ -24,34 +23,29 @@ def product_top10(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None =
     plus a flag for "has rows on the last day" replaces the left join.
     """
     a = anchors_of(fact, anchors)
-    d = F.col("report_date")
-    f = fact.where(d.isin(a.d_max, a.d_prev) & F.col("media").isNotNull())
+    f = fact.where(f"{day_in([a.d_max, a.d_prev])} AND media IS NOT NULL")
     if media is not None:
         f = f.where(F.col("media") == F.lit(media))
-    f = f.select("media", fill_missing("product", cfg).alias("product"), d,
-                 "rev_db", "cost", "buy_db")
-    cur, prev = d == F.lit(a.d_max), d == F.lit(a.d_prev)
+    f = f.selectExpr("media", f"coalesce(CAST(product AS STRING), {sql_str(cfg.missing)}) AS product",
+                     "report_date", "rev_db", "cost", "buy_db")
+    cur, prev = day_is(a.d_max), day_is(a.d_prev)
     g = f.groupBy("media", "product").agg(
-        F.max(cur).alias("_on_last"),
-        csum("rev_db", cur).alias("rv1"), csum("cost", cur).alias("c1"),
-        csum("buy_db", cur).alias("b1"),
-        csum("rev_db", prev).alias("rv0"), csum("cost", prev).alias("c0"),
-        csum("buy_db", prev).alias("b0"),
-    ).where(F.col("_on_last"))
+        F.expr(f"max({cur}) AS _on_last"),
+        csum("rev_db", cur, "rv1"), csum("cost", cur, "c1"), csum("buy_db", cur, "b1"),
+        csum("rev_db", prev, "rv0"), csum("cost", prev, "c0"), csum("buy_db", prev, "b0"),
+    ).where("_on_last")
     top = top_k_per_group(g, ["media"], [F.col("rv1").desc(), F.col("product").asc()], k)
-    c = F.col
-    both = (c("c1") != 0) & (c("c0") != 0)
-    roas_gap = (c("rv1").cast("double") / c("c1").cast("double")
-                - c("rv0").cast("double") / c("c0").cast("double")) * F.lit(100.0)
-    return top.select(
+    gap = ("(CAST(rv1 AS DOUBLE) / CAST(c1 AS DOUBLE) - CAST(rv0 AS DOUBLE) / CAST(c0 AS DOUBLE))"
+           " * 100.0D")
+    return top.selectExpr(
         "media", "rank", "product",
-        c("b1").cast("bigint").alias("buy_cur"), c("b0").cast("bigint").alias("buy_prev"),
-        (c("b1") - c("b0")).cast("bigint").alias("buy_delta"),
-        c("rv1").cast("double").alias("rev_cur"), c("rv0").cast("double").alias("rev_prev"),
-        (c("rv1") - c("rv0")).cast("double").alias("rev_delta"),
-        F.bround(ratio("rv1", "c1", 100.0), 1).alias("roas_cur"),
-        F.bround(ratio("rv0", "c0", 100.0), 1).alias("roas_prev"),
-        F.when(both, F.bround(roas_gap, 1)).otherwise(F.lit(0.0)).alias("roas_delta"),
+        "CAST(b1 AS BIGINT) AS buy_cur", "CAST(b0 AS BIGINT) AS buy_prev",
+        "CAST(b1 - b0 AS BIGINT) AS buy_delta",
+        "CAST(rv1 AS DOUBLE) AS rev_cur", "CAST(rv0 AS DOUBLE) AS rev_prev",
+        "CAST(rv1 - rv0 AS DOUBLE) AS rev_delta",
+        f"bround({ratio_sql('rv1', 'c1', 100.0)}, 1) AS roas_cur",
+        f"bround({ratio_sql('rv0', 'c0', 100.0)}, 1) AS roas_prev",
+        f"CASE WHEN c1 != 0 AND c0 != 0 THEN bround({gap}, 1) ELSE 0.0D END AS roas_delta",
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adpulse.config import ReportConfig
 from adpulse.functions.labels import promo_class
-from adpulse.functions.measures import csum, roas
+from adpulse.functions.measures import csum, day_in, day_is, roas
 from adpulse.operators.anchors import Anchors, anchors_of
 
 
@@ -31,11 +31,10 @@ def promo_split(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = No
     # reduced to one row per (media, class) before any shuffle.
     present = f.select("media", "promo_class").distinct()
     # Their money: only the two days (pushed-down date predicate).
-    d = F.col("report_date")
-    cur, prev = d == F.lit(a.d_max), d == F.lit(a.d_prev)
-    days = f.where(d.isin(a.d_max, a.d_prev)).groupBy("media", "promo_class").agg(
-        csum("cost", cur).alias("c1"), csum("rev_db", cur).alias("r1"),
-        csum("cost", prev).alias("c0"), csum("rev_db", prev).alias("r0"))
+    cur, prev = day_is(a.d_max), day_is(a.d_prev)
+    days = f.where(day_in([a.d_max, a.d_prev])).groupBy("media", "promo_class").agg(
+        csum("cost", cur, "c1"), csum("rev_db", cur, "r1"),
+        csum("cost", prev, "c0"), csum("rev_db", prev, "r0"))
     g = present.join(days, ["media", "promo_class"], "left")
     c = F.col
     z = F.lit(0)

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adpulse.functions.measures import MEASURES, RECORD, csum, derived_rates, out_measure, roas
+from adpulse.functions.measures import (MEASURES, RECORD, csum, day_between, day_in, out_type, q,
+                                        ratio_sql, roas, sql_date, sql_str)
 from adpulse.operators.anchors import Anchors, anchors_of
 
 
@@ -22,31 +23,39 @@ def brand_filter(fact: DataFrame, brand: str | None, col: str = "brand") -> Data
     """Optional equality filter: None ('all') or an absent column is a no-op."""
     if brand is None or col not in fact.columns:
         return fact
-    return fact.where(F.col(col).cast("string") == F.lit(brand))
+    return fact.where(f"CAST({q(col)} AS STRING) = {sql_str(brand)}")
 
 
-def _record_cols() -> list[Column]:
-    rates = dict(zip(("cpc", "ctr", "roas_ss", "roas_db"), derived_rates()))
-    return [rates[k] if k in rates else F.col(k) for k in RECORD]
+def _record_sql(prefix: str = "") -> list[str]:
+    """SQL text of the typed 11-key record from summed measure columns."""
+    def n(x):
+        return q(f"{prefix}{x}")
+    rates = {
+        "cpc": ratio_sql(n("cost"), n("clicks")),
+        "ctr": ratio_sql(n("clicks"), n("impressions"), 100.0),
+        "roas_ss": ratio_sql(n("rev_ss"), n("cost"), 100.0),
+        "roas_db": ratio_sql(n("rev_db"), n("cost"), 100.0),
+    }
+    return [f"{rates[k]} AS {k}" if k in rates else f"CAST({n(k)} AS {out_type(k)}) AS {k}"
+            for k in RECORD]
 
 
 def typed_record(df: DataFrame, keep: list[str]) -> DataFrame:
     """From summed DECIMAL/BIGINT measure columns to the typed 11-key record."""
-    typed = df.select(*keep, *[out_measure(F.col(m), m) for m in MEASURES])
-    return typed.select(*keep, *_record_cols())
+    return df.selectExpr(*[q(k) for k in keep], *_record_sql())
 
 
-def sum_measures(cond: Column | None = None) -> list[Column]:
-    return [csum(m, cond).alias(m) for m in MEASURES]
+def sum_measures(cond: str | None = None) -> list[Column]:
+    return [csum(m, cond, m) for m in MEASURES]
 
 
 def period_totals(fact: DataFrame, start: dt.date, end: dt.date,
                   brand: str | None = None) -> DataFrame:
     """A1: one row of the 11-key record for the inclusive day range [start, end]."""
-    f = brand_filter(fact, brand).where(F.col("report_date").between(start, end))
+    f = brand_filter(fact, brand).where(day_between(start, end))
     agg = f.agg(*sum_measures())
-    out = typed_record(agg, [])
-    return out.select(F.lit(start).alias("period_start"), F.lit(end).alias("period_end"), "*")
+    return agg.selectExpr(f"{sql_date(start)} AS period_start", f"{sql_date(end)} AS period_end",
+                          *_record_sql())
 
 
 def mtd_totals(fact: DataFrame, anchors: Anchors | None = None,
@@ -56,37 +65,33 @@ def mtd_totals(fact: DataFrame, anchors: Anchors | None = None,
     return period_totals(fact, a.month_start, a.d_max, brand)
 
 
-def in_any_period(d: Column, ranges: list[tuple[dt.date, dt.date]]) -> Column:
+def in_any_period(ranges: list[tuple[dt.date, dt.date]]) -> str:
     """Rows in the union of the day ranges (not their hull): single days become
     one IN list, longer ranges OR-ed BETWEENs; both push down to the scan."""
     days = sorted({s for s, e in ranges if s == e})
     spans = sorted({(s, e) for s, e in ranges if s != e})
-    cond = d.isin(*days) if days else F.lit(False)
-    for s, e in spans:
-        cond = cond | d.between(s, e)
-    return cond
+    parts = ([day_in(days)] if days else []) + [day_between(s, e) for s, e in spans]
+    return " OR ".join(f"({p})" for p in parts) or "false"
 
 
 def periods_totals(fact: DataFrame, periods: list[tuple[str, dt.date, dt.date]],
                    brand: str | None = None) -> DataFrame:
-    """Many periods, one scan: rows (period, period_start, period_end, record...).
+    """Many periods, one scan: rows (period, period_idx, period_start,
+    period_end, record...).
 
     Periods may overlap; each is an independent conditional sum. The scan
     reads only the union of the ranges (literal predicate, pushed down).
     """
-    d = F.col("report_date")
-    f = brand_filter(fact, brand).where(in_any_period(d, [(s, e) for _, s, e in periods]))
-    aggs = []
-    for i, (_, s, e) in enumerate(periods):
-        aggs += [csum(m, d.between(s, e)).alias(f"p{i}_{m}") for m in MEASURES]
+    f = brand_filter(fact, brand).where(in_any_period([(s, e) for _, s, e in periods]))
+    aggs = [csum(m, day_between(s, e), f"p{i}_{m}")
+            for i, (_, s, e) in enumerate(periods) for m in MEASURES]
     wide = f.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(label).alias("period"), F.lit(i).alias("period_idx"),
-                 F.lit(s).alias("period_start"), F.lit(e).alias("period_end"),
-                 *[F.col(f"p{i}_{m}").alias(m) for m in MEASURES])
-        for i, (label, s, e) in enumerate(periods)
-    ])
-    long = wide.select(F.inline(rows))
+    structs = ", ".join(
+        "struct(" + ", ".join([f"{sql_str(label)} AS period", f"{i} AS period_idx",
+                               f"{sql_date(s)} AS period_start", f"{sql_date(e)} AS period_end"]
+                              + [f"{q(f'p{i}_{m}')} AS {m}" for m in MEASURES]) + ")"
+        for i, (label, s, e) in enumerate(periods))
+    long = wide.selectExpr(f"inline(array({structs}))")
     return typed_record(long, ["period", "period_idx", "period_start", "period_end"])
 
 
@@ -117,15 +122,14 @@ def daily_detail(fact: DataFrame, anchors: Anchors | None = None,
     group-by with the brand test inside each conditional sum.
     """
     a = anchors_of(fact, anchors)
-    d = F.col("report_date")
-    f = fact.where(d.between(a.month_start, a.d_max))
+    f = fact.where(day_between(a.month_start, a.d_max))
     cond = None
     if brand is not None and "brand" in fact.columns:
-        cond = F.coalesce(F.col("brand").cast("string") == F.lit(brand), F.lit(False))
+        cond = f"coalesce(CAST(brand AS STRING) = {sql_str(brand)}, false)"
     agg = f.groupBy("report_date").agg(*sum_measures(cond))
-    out = typed_record(agg, ["report_date"])
-    return (out.select(F.date_format("report_date", "yyyy-MM-dd").alias("day"), "*")
-               .orderBy("report_date"))
+    out = agg.selectExpr("date_format(report_date, 'yyyy-MM-dd') AS day", "report_date",
+                         *_record_sql())
+    return out.orderBy("report_date")
 
 
 def media_mtd(fact: DataFrame, anchors: Anchors | None = None,
@@ -135,7 +139,7 @@ def media_mtd(fact: DataFrame, anchors: Anchors | None = None,
     Null channel or media stays its own group (pandas dropna=False).
     """
     a = anchors_of(fact, anchors)
-    f = brand_filter(fact, brand).where(F.col("report_date").between(a.month_start, a.d_max))
+    f = brand_filter(fact, brand).where(day_between(a.month_start, a.d_max))
     agg = f.groupBy("channel", "media").agg(*sum_measures())
     out = typed_record(agg, ["channel", "media"])
     return out.orderBy(F.col("rev_ss").desc(), F.col("channel").asc(), F.col("media").asc())
