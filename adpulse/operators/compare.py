@@ -62,8 +62,13 @@ def with_deltas(sums: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def influence_order(keys: list[str]) -> list[Column]:
-    """Largest absolute revenue change first; ties end on the keys."""
+def influence_order(keys: list[str]) -> list[str]:
+    """Largest absolute revenue change first; ties end on the keys (SQL text)."""
+    return ["influence DESC"] + [f"{q(k)} ASC" for k in keys]
+
+
+def influence_cols(keys: list[str]) -> list[Column]:
+    """The same order as sort Columns (for orderBy / window specs)."""
     return [F.col("influence").desc()] + [F.col(k).asc() for k in keys]
 
 
@@ -71,4 +76,4 @@ def two_day_compare(fact: DataFrame, keys: list[str], basis: str, d_cur: dt.date
                     d_prev: dt.date, cfg: ReportConfig, order: bool = True) -> DataFrame:
     """Per key: current/previous sums, deltas, ROAS and influence."""
     out = with_deltas(two_day_sums(fact, keys, basis, d_cur, d_prev, cfg), keys)
-    return out.orderBy(*influence_order(keys)) if order else out
+    return out.orderBy(*influence_cols(keys)) if order else out

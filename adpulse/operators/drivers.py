@@ -17,8 +17,8 @@ from adpulse.config import ReportConfig
 from adpulse.functions.labels import (direction, is_market_channel, is_store_channel,
                                       path_label, truncate_label, valid_label)
 from adpulse.operators.anchors import Anchors, anchors_of
-from adpulse.operators.compare import (influence_order, two_day_compare, two_day_sums,
-                                       with_deltas)
+from adpulse.operators.compare import (influence_cols, influence_order, two_day_compare,
+                                       two_day_sums, with_deltas)
 from adpulse.operators.ranking import top_k_per_group
 
 SECTIONS = ("store", "market")
@@ -115,7 +115,7 @@ def media_summary(fact: DataFrame, cfg: ReportConfig,
     out = ss.join(top1, "media", "left").select(
         "media", "rev_cur", "rev_delta", "cost_delta", "roas_cur", "roas_delta", "influence",
         F.coalesce(F.col("key_campaign"), F.lit(cfg.path_fallback_summary)).alias("key_campaign"))
-    return out.orderBy(*influence_order(["media"]))
+    return out.orderBy(*influence_cols(["media"]))
 
 
 def _per_media_change(fact: DataFrame, cfg: ReportConfig, a: Anchors, keys: list[str],
@@ -178,7 +178,7 @@ def drilldown_tree(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None =
     # every section and joined to the display parents on the section.
     display = (display_media_breakdown(fact, cfg, a)
                .withColumn("rank", F.row_number().over(
-                   Window.partitionBy().orderBy(*influence_order(["media"]))).cast("bigint"))
+                   Window.partitionBy().orderBy(*influence_cols(["media"]))).cast("bigint"))
                .withColumnRenamed("media", "sub_media")
                .withColumn("section", F.explode(F.array(*[F.lit(x) for x in SECTIONS]))))
     display_parents = parents.where(F.col("media").contains(cfg.display_marker))

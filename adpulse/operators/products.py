@@ -34,7 +34,7 @@ def product_top10(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None =
         csum("rev_db", cur, "rv1"), csum("cost", cur, "c1"), csum("buy_db", cur, "b1"),
         csum("rev_db", prev, "rv0"), csum("cost", prev, "c0"), csum("buy_db", prev, "b0"),
     ).where("_on_last")
-    top = top_k_per_group(g, ["media"], [F.col("rv1").desc(), F.col("product").asc()], k)
+    top = top_k_per_group(g, ["media"], ["rv1 DESC", "product ASC"], k)
     gap = ("(CAST(rv1 AS DOUBLE) / CAST(c1 AS DOUBLE) - CAST(rv0 AS DOUBLE) / CAST(c0 AS DOUBLE))"
            " * 100.0D")
     return top.selectExpr(
@@ -53,7 +53,7 @@ def product_top10_summary(top10: DataFrame) -> DataFrame:
     """Per media of a top-10 table: how many rose and fell, and the two
     largest revenue changes (whatever their sign)."""
     ranked = top_k_per_group(top10.select("media", "product", "rev_delta"), ["media"],
-                             [F.col("rev_delta").desc(), F.col("product").asc()], 10,
+                             ["rev_delta DESC", "product ASC"], 10,
                              rank_col="_gain_rank")
     return ranked.groupBy("media").agg(
         F.count_if(F.col("rev_delta") > 0).alias("n_up"),
@@ -79,9 +79,8 @@ def product_movers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None =
     a = anchors_of(fact, anchors)
     cmp = _product_compare(fact, cfg, a, ["product"], brand)
     if gainers:
-        return top_k(cmp.where(F.col("rev_delta") > 0), influence_order(["product"]), k)
-    return top_k(cmp.where(F.col("rev_delta") < 0),
-                 [F.col("rev_delta").asc(), F.col("product").asc()], k)
+        return top_k(cmp.where("rev_delta > 0"), influence_order(["product"]), k)
+    return top_k(cmp.where("rev_delta < 0"), ["rev_delta ASC", "product ASC"], k)
 
 
 def media_product_movers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
@@ -91,7 +90,7 @@ def media_product_movers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors |
     a = anchors_of(fact, anchors)
     cmp = _product_compare(fact, cfg, a, ["media", "product"], brand)
     if gainers:
-        return top_k_per_group(cmp.where(F.col("rev_delta") > 0), ["media"],
-                               [F.col("influence").desc(), F.col("product").asc()], k)
-    return top_k_per_group(cmp.where(F.col("rev_delta") < 0), ["media"],
-                           [F.col("rev_delta").asc(), F.col("product").asc()], k)
+        return top_k_per_group(cmp.where("rev_delta > 0"), ["media"],
+                               ["influence DESC", "product ASC"], k)
+    return top_k_per_group(cmp.where("rev_delta < 0"), ["media"],
+                           ["rev_delta ASC", "product ASC"], k)

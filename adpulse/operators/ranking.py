@@ -14,24 +14,48 @@ from pyspark.sql import functions as F
 
 from adpulse.config import ReportConfig
 from adpulse.functions.labels import is_store_channel, truncate_label, valid_label
-from adpulse.functions.measures import csum, out_measure, roas
+from adpulse.functions.measures import csum, out_measure, q, roas
 from adpulse.operators.anchors import Anchors, anchors_of
 from adpulse.operators.totals import brand_filter
 
 
-def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
+def _order_sql(order: list) -> str | None:
+    """ORDER BY text when every item is SQL text such as 'rev_ss DESC'."""
+    return ", ".join(order) if all(isinstance(o, str) for o in order) else None
+
+
+def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int,
                     rank_col: str = "rank") -> DataFrame:
+    """Rank 1..k per group; ``order`` items are SQL text ('rev_ss DESC') or
+    Columns. ASC puts nulls first and DESC puts them last, as Spark does."""
+    text = _order_sql(order)
+    if text is not None:
+        parts = ", ".join(q(g) for g in group)
+        ranked = df.selectExpr(
+            "*", f"CAST(row_number() OVER (PARTITION BY {parts} ORDER BY {text}) AS BIGINT)"
+                 f" AS {q(rank_col)}")
+        return ranked.where(f"{q(rank_col)} <= {int(k)}")
     w = Window.partitionBy(*group).orderBy(*order)
     return (df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
               .where(F.col(rank_col) <= k))
 
 
-def top_k(df: DataFrame, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
+def top_k(df: DataFrame, order: list, k: int, rank_col: str = "rank") -> DataFrame:
     """Global top-k with a 1..k rank column: a TakeOrderedAndProject (each task
     sends k rows), then ranks over those k rows."""
-    head = df.orderBy(*order).limit(k)
+    cols = [sort_col(o) for o in order]
+    head = df.orderBy(*cols).limit(k)
     return head.withColumn(rank_col,
-                           F.row_number().over(Window.partitionBy().orderBy(*order)).cast("bigint"))
+                           F.row_number().over(Window.partitionBy().orderBy(*cols)).cast("bigint"))
+
+
+def sort_col(o) -> Column:
+    """A sort Column from SQL-ish text 'name DESC' / 'name ASC' (or a Column)."""
+    if not isinstance(o, str):
+        return o
+    name, _, direction = o.strip().rpartition(" ")
+    name = name.strip().strip("`")
+    return F.col(name).desc() if direction.upper() == "DESC" else F.col(name).asc()
 
 
 def _mtd(fact: DataFrame, a: Anchors) -> DataFrame:
@@ -58,7 +82,7 @@ def campaign_mtd_top(fact: DataFrame, anchors: Anchors | None = None, k: int = 3
     g = f.groupBy("media", "campaign", "ad_group").agg(*_sums(ALL7))
     g = g.select("media", "campaign", "ad_group", *_typed(ALL7),
                  roas("rev_ss", "cost").alias("roas_ss"), roas("rev_db", "cost").alias("roas_db"))
-    order = [F.col("rev_ss").desc(), F.col("campaign").asc(), F.col("ad_group").asc()]
+    order = ["rev_ss DESC", "campaign ASC", "ad_group ASC"]
     return top_k_per_group(g, ["media"], order, k)
 
 
@@ -71,7 +95,7 @@ def keyword_mtd_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None
     cols = ["rev_ss", "buy_ss", "cost"]
     g = f.groupBy("media", "keyword").agg(*_sums(cols))
     g = g.select("media", "keyword", *_typed(cols), roas("rev_ss", "cost").alias("roas_ss"))
-    return top_k_per_group(g, ["media"], [F.col("rev_ss").desc(), F.col("keyword").asc()], k)
+    return top_k_per_group(g, ["media"], ["rev_ss DESC", "keyword ASC"], k)
 
 
 def creative_mtd_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
@@ -86,7 +110,7 @@ def creative_mtd_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None
     g = f.groupBy("media", "creative").agg(*_sums(cols))
     g = g.select("media", "creative", *_typed(cols), roas("rev_ss", "cost").alias("roas_ss"),
                  roas("rev_db", "cost").alias("roas_db"))
-    return top_k_per_group(g, ["media"], [F.col("rev_db").desc(), F.col("creative").asc()], k)
+    return top_k_per_group(g, ["media"], ["rev_db DESC", "creative ASC"], k)
 
 
 def product_rows(fact: DataFrame, cfg: ReportConfig, brand: str | None = None) -> DataFrame:
@@ -105,7 +129,7 @@ def mtd_top_products(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None
     f = _mtd(product_rows(fact, cfg, brand), a)
     cols = ["rev_ss", "buy_ss"]
     g = f.groupBy("product").agg(*_sums(cols)).select("product", *_typed(cols))
-    out = top_k(g, [F.col("rev_ss").desc(), F.col("product").asc()], k)
+    out = top_k(g, ["rev_ss DESC", "product ASC"], k)
     return out.select("rank", "product", truncate_label("product", cfg.label_len_short)
                       .alias("short_label"), "rev_ss", "buy_ss")
 
@@ -123,4 +147,4 @@ def media_top_products(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | No
         f = _mtd(f, a)
     cols = ["rev_ss", "buy_ss"]
     g = f.groupBy("media", "product").agg(*_sums(cols)).select("media", "product", *_typed(cols))
-    return top_k_per_group(g, ["media"], [F.col("rev_ss").desc(), F.col("product").asc()], k)
+    return top_k_per_group(g, ["media"], ["rev_ss DESC", "product ASC"], k)
