@@ -77,10 +77,19 @@ def snapshot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = _materialize(spark, sf_dir, key)
         # The snapshot never changes under its path, so its DataFrame (file
         # listing, footer schema) is opened once per session and reused.
-        frame_key = (id(spark), path)
-        if frame_key not in _FRAMES:
-            _FRAMES[frame_key] = spark.read.parquet(path)
-        return _FRAMES[frame_key]
+        frame_key = (_app_id(spark), path)
+        hit = _FRAMES.get(frame_key)
+        if hit is None or hit.sparkSession is not spark:
+            hit = spark.read.parquet(path)
+            _FRAMES[frame_key] = hit
+        return hit
+
+
+def _app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # no local context (remote session)
+        return str(id(spark))
 
 
 def _materialize(spark: SparkSession, sf_dir: str, key: tuple) -> str:

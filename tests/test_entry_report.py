@@ -58,3 +58,15 @@ def test_daily_report_builds_every_figure(spark):
             assert figs[name].count() >= 0
     finally:
         rep.close()
+
+
+@needs_data
+def test_queries_use_the_callers_session(spark):
+    """The cached snapshot frame is tied to its session: another session gets
+    its own frame and the same result. (A stopped-and-recreated context gets a
+    new application id and therefore a new frame too.)"""
+    first = queries()["compare_media_ss"](spark, SF)
+    other = spark.newSession()
+    again = queries()["compare_media_ss"](other, SF)
+    assert again.sparkSession is other
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
