@@ -36,3 +36,14 @@ def signed_money_text(c) -> Column:
 def signed_points_text(c, decimals: int = 1) -> Column:
     """Signed percentage points: '+1.2p', '-0.4p'."""
     return F.format_string(f"%+.{decimals}fp", F.bround(_c(c).cast("double"), decimals))
+
+
+def as_text(df, money=(), pct=(), signed_money=(), signed_points=(), pct_decimals: int = 1):
+    """A figure as report text: the named columns formatted, every other
+    column passed through unchanged, column order kept."""
+    rules = {}
+    rules.update({c: money_text(c) for c in money})
+    rules.update({c: pct_text(c, pct_decimals) for c in pct})
+    rules.update({c: signed_money_text(c) for c in signed_money})
+    rules.update({c: signed_points_text(c, pct_decimals) for c in signed_points})
+    return df.select(*[rules[c].alias(c) if c in rules else F.col(c) for c in df.columns])

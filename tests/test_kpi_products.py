@@ -166,3 +166,11 @@ def test_formatting(spark, v, money, pct, signed, points):
         money_text("v").alias("m"), pct_text("v").alias("p"), signed_money_text("v").alias("s"),
         signed_points_text("v").alias("q")).collect()[0]
     assert (r["m"], r["p"], r["s"], r["q"]) == (money, pct, signed, points)
+
+
+def test_figure_as_text(spark):
+    from adpulse.functions.formatting import as_text
+    df = spark.createDataFrame([("m", 1234567.5, 12.25, -3456.0, 0.05)],
+                               "media string, rev double, roas double, d double, p double")
+    r = as_text(df, money=["rev"], pct=["roas"], signed_money=["d"], signed_points=["p"]).collect()[0]
+    assert tuple(r) == ("m", "1,234,568", "12.2%", "-3,456", "+0.0p")
