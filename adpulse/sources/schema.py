@@ -92,7 +92,8 @@ def conform(df: DataFrame, headers: dict[str, str] | None = None,
     """Rename source headers to canonical names and cast to FACT_SCHEMA.
 
     Missing optional measures become 0, missing label columns NULL; a missing
-    required column raises. Extra columns pass through as strings (nulls kept).
+    required column raises; an unreadable value becomes NULL. Extra columns
+    pass through as strings (nulls kept).
     """
     mapping = dict(SOURCE_HEADERS if headers is None else headers)
     mapping.update(extra_headers or {})
@@ -116,7 +117,9 @@ def conform(df: DataFrame, headers: dict[str, str] | None = None,
         elif name == "report_date":
             cols.append(coerce_date(df, present[name]).alias(name))
         else:
-            cols.append(F.col(f"`{present[name]}`").cast(field.dataType).alias(name))
+            # try_cast: an unreadable cell (text in a measure column) becomes
+            # NULL, which every sum skips, instead of failing the whole file.
+            cols.append(F.col(f"`{present[name]}`").try_cast(field.dataType).alias(name))
     if keep_extra:
         used = set(present.values())
         for src in df.columns:

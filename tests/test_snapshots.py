@@ -192,3 +192,15 @@ def test_day_partitions_prune_and_give_anchors(spark, tmp_path, sample_report):
     assert [r["report_date"] for r in q.collect()] == [dt.date(2026, 4, 4), dt.date(2026, 4, 5)]
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[report_date#\d+ IN \(2026-04-05,2026-04-04\)\]", plan)
+
+
+def test_unreadable_measure_cell_becomes_null(spark):
+    """A text cell in a measure column does not fail the snapshot (ANSI casts
+    would): it reads as NULL and sums skip it."""
+    df = spark.createDataFrame([("2026-04-06", "Search", "100", "5", "4"),
+                                ("2026-04-06", "Search", "n/a", "5", "4")],
+                               ["날짜", "매체상세", "비용(markup+)", "(스마트스토어센터기준) 전체 매출",
+                                "(대시보드기준) 전체 매출"])
+    f = conform(df)
+    assert f.where(F.col("cost").isNull()).count() == 1
+    assert f.agg(F.sum("cost")).collect()[0][0] == 100
