@@ -49,9 +49,27 @@ def _write_tag(df: DataFrame, out_dir: str, tag: str, headers, extra_headers) ->
          .parquet(f"{out_dir.rstrip('/')}/tag={tag}"))
 
 
+def _write_report(spark: SparkSession, out_dir: str, report_out: str, tag: str, cfg,
+                  targets_path: str | None) -> None:
+    """The report of one freshly written snapshot (every figure, overwrite)."""
+    from adpulse.config import DEFAULT_CONFIG
+    from adpulse.operators.anchors import anchors_from_dates
+    from adpulse.plans.report import DailyReport
+    from adpulse.sources.snapshots import partition_values
+    from adpulse.sources.targets import load_targets
+    path = f"{out_dir.rstrip('/')}/tag={tag}"
+    days = partition_values(spark, path, "report_date")
+    anchors = anchors_from_dates(dt.date.fromisoformat(d) for d in days) if days else None
+    targets = load_targets(spark, targets_path) if targets_path else None
+    report = DailyReport(spark.read.parquet(path), cfg or DEFAULT_CONFIG, targets, anchors=anchors)
+    report.write_all(f"{report_out.rstrip('/')}/tag={tag}")
+
+
 def make_batch_writer(out_dir: str, name_re: str = REPORT_NAME_RE, headers: dict | None = None,
-                      extra_headers: dict | None = None):
-    """foreachBatch function: split a micro-batch by file tag, write each."""
+                      extra_headers: dict | None = None, report_out: str | None = None,
+                      cfg=None, targets_path: str | None = None):
+    """foreachBatch function: split a micro-batch by file tag, write each;
+    with ``report_out``, also write that tag's report figures."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         name = F.regexp_extract(F.col("_source"), r"([^/]+)$", 1)
@@ -72,6 +90,14 @@ def make_batch_writer(out_dir: str, name_re: str = REPORT_NAME_RE, headers: dict
                 except Exception as e:  # a bad file must not stop the stream
                     bad.append((tag, ",".join(sorted(by_tag[tag])), str(e)[:1000], int(batch_id),
                                 dt.datetime.now()))
+                    continue
+                if report_out:
+                    try:
+                        _write_report(batch.sparkSession, out_dir, report_out, tag, cfg,
+                                      targets_path)
+                    except Exception as e:  # the snapshot stands; record the failed report
+                        bad.append((tag, ",".join(sorted(by_tag[tag])), f"report: {e}"[:1000],
+                                    int(batch_id), dt.datetime.now()))
             if bad:
                 (batch.sparkSession.createDataFrame(bad, QUARANTINE_SCHEMA)
                       .write.mode("append").parquet(f"{out_dir.rstrip('/')}/_quarantine"))
@@ -86,10 +112,12 @@ def start_ingest_stream(spark: SparkSession, watch_dir: str, out_dir: str,
                         checkpoint: str | None = None, name_re: str = REPORT_NAME_RE,
                         headers: dict | None = None, extra_headers: dict | None = None,
                         available_now: bool = False,
-                        processing_time: str = "30 seconds") -> StreamingQuery:
+                        processing_time: str = "30 seconds", report_out: str | None = None,
+                        cfg=None, targets_path: str | None = None) -> StreamingQuery:
     """Start the watcher stream. ``source_schema`` is the raw export's schema
     (all strings is fine: ``conform`` casts). ``available_now`` processes what
-    is there and stops (scheduled runs, tests)."""
+    is there and stops (scheduled runs, tests). With ``report_out`` every new
+    snapshot is also turned into its report under ``<report_out>/tag=<tag>``."""
     reader = spark.readStream.schema(source_schema).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("mode", "PERMISSIVE")
@@ -99,7 +127,9 @@ def start_ingest_stream(spark: SparkSession, watch_dir: str, out_dir: str,
                  .withColumn("_source", F.url_decode(F.col("_metadata.file_path"))))
     digest = hashlib.sha1(out_dir.encode()).hexdigest()[:12]
     ckpt = checkpoint or scratch_path(spark, f"ingest-stream-{digest}")
-    w = (src.writeStream.foreachBatch(make_batch_writer(out_dir, name_re, headers, extra_headers))
+    writer = make_batch_writer(out_dir, name_re, headers, extra_headers, report_out, cfg,
+                               targets_path)
+    w = (src.writeStream.foreachBatch(writer)
             .option("checkpointLocation", ckpt))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()

@@ -88,3 +88,19 @@ def test_stream_ingest_pandas_parquet_exports(spark, tmp_path):
     assert isinstance(snap.schema["report_date"].dataType, T.DateType)
     assert sorted(str(r["report_date"]) for r in snap.collect()) == ["2026-04-01", "2026-04-02"]
     assert float(snap.agg(F.sum("cost")).collect()[0][0]) == 4.0
+
+
+def test_stream_writes_the_report_of_each_new_snapshot(spark, tmp_path):
+    """Watch → convert → report: a new snapshot file ends as its figures."""
+    from conftest import CFG
+    watch = tmp_path / "watch"
+    watch.mkdir()
+    write_csv(watch / "Acme_Daily Report_260402.csv",
+              [("2026-04-01", "Search", 10, 50, 40), ("2026-04-02", "Search", 5, 80, 10)])
+    out, rep = tmp_path / "out", tmp_path / "report"
+    q = start_ingest_stream(spark, str(watch), str(out), SCHEMA, checkpoint=str(tmp_path / "ck"),
+                            available_now=True, report_out=str(rep), cfg=CFG)
+    q.awaitTermination(180)
+    assert q.exception() is None
+    ms = spark.read.parquet(str(rep / "tag=260402" / "media_summary")).collect()
+    assert [(r["media"], r["rev_delta"]) for r in ms] == [("Search", 30.0)]
