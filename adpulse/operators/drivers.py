@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adpulse.config import ReportConfig
+from adpulse.functions.measures import sql_str
 from adpulse.functions.labels import (direction, is_market_channel, is_store_channel,
                                       path_label, truncate_label, valid_label)
 from adpulse.operators.anchors import Anchors, anchors_of
@@ -36,6 +37,15 @@ def _sectioned(fact: DataFrame, cfg: ReportConfig, a: Anchors) -> DataFrame:
     return f.select("*", F.explode(_section(cfg)).alias("section"))
 
 
+def _rows_of_media(fact: DataFrame, media: DataFrame, cfg: ReportConfig) -> DataFrame:
+    """Rows whose (missing-filled) media is in ``media``: a broadcast semi-join
+    with a bounded parent list, applied before any aggregation so only the
+    parents' rows are grouped and shuffled."""
+    filled = fact.withColumn(
+        "media", F.expr(f"coalesce(CAST(media AS STRING), {sql_str(cfg.missing)})"))
+    return filled.join(F.broadcast(media.select("media").distinct()), "media", "left_semi")
+
+
 def channel_headline(fact: DataFrame, cfg: ReportConfig,
                      anchors: Anchors | None = None) -> DataFrame:
     """Per channel section, SS revenue, cost and ROAS on both days and the
@@ -71,7 +81,7 @@ def media_product_drivers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors |
     parents = top_media if top_media is not None else channel_drivers(fact, cfg, a, k_media)
     parents = (parents.where(~F.col("media").contains(cfg.market_marker))
                       .select("section", F.col("rank").alias("media_rank"), "media"))
-    f = fact.where(valid_label("product", cfg))
+    f = _rows_of_media(fact.where(valid_label("product", cfg)), parents, cfg)
     cmp = two_day_compare(f, ["media", "product"], "ss", a.d_max, a.d_prev, cfg, order=False)
     joined = cmp.join(F.broadcast(parents), "media")
     top = top_k_per_group(joined, ["section", "media"], influence_order(["product"]), k)
@@ -91,10 +101,13 @@ def display_media_breakdown(fact: DataFrame, cfg: ReportConfig,
 
 
 def media_campaign_drivers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
-                           k: int = 3) -> DataFrame:
+                           k: int = 3, only_media: DataFrame | None = None) -> DataFrame:
     """Per media, the k campaign/group pairs with the largest absolute DB
-    revenue change, labelled 'campaign > group'."""
+    revenue change, labelled 'campaign > group'. ``only_media`` (a bounded
+    list) restricts the work to those media before aggregating."""
     a = anchors_of(fact, anchors)
+    if only_media is not None:
+        fact = _rows_of_media(fact, only_media, cfg)
     keys = ["media", "campaign", "ad_group"]
     cmp = two_day_compare(fact, keys, "db", a.d_max, a.d_prev, cfg, order=False)
     top = top_k_per_group(cmp, ["media"], influence_order(["campaign", "ad_group"]), k)
@@ -171,7 +184,8 @@ def drilldown_tree(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None =
     lvl_media = shape(media, "media", F.lit(None).cast("string"), F.col("media"), "ss")
     products = media_product_drivers(fact, cfg, a, k, k, top_media=media)
     lvl_product = shape(products, "product", F.col("media"), F.col("product_label"), "ss")
-    camp = media_campaign_drivers(fact, cfg, a, k).join(F.broadcast(parents), "media")
+    camp = (media_campaign_drivers(fact, cfg, a, k, only_media=parents)
+            .join(F.broadcast(parents), "media"))
     lvl_campaign = shape(camp, "campaign", F.col("media"), F.col("label"), "db")
     # Every display parent gets the same sub-media breakdown. The breakdown
     # (one row per display sub-media, bounded by configuration) is tagged with
