@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adpulse.config import ReportConfig
@@ -31,9 +31,11 @@ def cascading_filter(fact: DataFrame, cfg: ReportConfig) -> DataFrame:
                    & F.col("campaign").isNotNull())
     trip = f.select("media", F.col("campaign").cast("string").alias("campaign"),
                     F.col("ad_group").cast("string").alias("ad_group")).distinct()
-    # Keep a null group only when the campaign has no named group.
-    named = trip.groupBy("media", "campaign").agg(F.count("ad_group").alias("_named"))
-    out = trip.join(named, ["media", "campaign"]) \
+    # Keep a null group only when the campaign has no named group: a count
+    # over the campaign's distinct groups (window on the deduplicated rows,
+    # no self-join).
+    named = F.count("ad_group").over(Window.partitionBy("media", "campaign"))
+    out = trip.withColumn("_named", named) \
               .where(F.col("ad_group").isNotNull() | (F.col("_named") == 0)) \
               .drop("_named")
     return out.orderBy("media", "campaign", "ad_group")
