@@ -1,5 +1,11 @@
 """Parity of two snapshots of the same report (J20): row counts, measure
-totals within a tolerance, and per-media SS revenue."""
+totals within a tolerance, and per-media totals.
+
+Both snapshots are tagged, unioned and grouped once by media with
+conditional sums per side: one shuffle, no join, and a null media pairs with
+the other side's null media as a group. Totals are exact DECIMAL sums until
+the final projection.
+"""
 
 from __future__ import annotations
 
@@ -11,35 +17,46 @@ from adpulse.functions.measures import csum
 PARITY_MEASURES = ("cost", "rev_ss", "rev_db", "buy_ss")
 
 
-def _per_media(df: DataFrame, side: str) -> DataFrame:
-    return df.groupBy(F.col("media")).agg(
-        F.count(F.lit(1)).alias(f"rows_{side}"),
-        *[csum(m).cast("double").alias(f"{m}_{side}") for m in PARITY_MEASURES])
+def _per_media_exact(a: DataFrame, b: DataFrame) -> DataFrame:
+    cols = ["media", *PARITY_MEASURES]
+    u = (a.select(*cols).withColumn("_side", F.lit("a"))
+         .unionByName(b.select(*cols).withColumn("_side", F.lit("b"))))
+    aggs = []
+    for side in ("a", "b"):
+        cond = f"_side = '{side}'"
+        aggs.append(F.expr(f"count_if({cond}) AS rows_{side}"))
+        aggs += [csum(m, cond, f"{m}_{side}") for m in PARITY_MEASURES]
+    return u.groupBy("media").agg(*aggs)
 
 
-def snapshot_parity(a: DataFrame, b: DataFrame, eps: float = 1e-6) -> DataFrame:
-    """Per media (null media is its own group): counts and totals of both
-    snapshots and whether they agree. Full outer, null-safe join on media."""
-    pa, pb = _per_media(a, "a"), _per_media(b, "b")
-    j = pa.join(pb, pa["media"].eqNullSafe(pb["media"]), "full_outer")
-    cols = [F.coalesce(pa["media"], pb["media"]).alias("media")]
-    for side in ("a", "b"):
-        cols.append(F.coalesce(F.col(f"rows_{side}"), F.lit(0)).alias(f"rows_{side}"))
-        cols += [F.coalesce(F.col(f"{m}_{side}"), F.lit(0.0)).alias(f"{m}_{side}")
-                 for m in PARITY_MEASURES]
-    out = j.select(*cols)
+def _ok(eps: float):
     ok = F.col("rows_a") == F.col("rows_b")
     for m in PARITY_MEASURES:
-        ok = ok & (F.abs(F.col(f"{m}_a") - F.col(f"{m}_b")) < F.lit(eps))
-    return out.withColumn("ok", ok)
+        ok = ok & (F.abs(F.col(f"{m}_a").cast("double") - F.col(f"{m}_b").cast("double"))
+                   < F.lit(eps))
+    return ok
+
+
+def snapshot_parity(a: DataFrame, b: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """Per media (null media is its own group): counts and totals of both
+    snapshots and whether they agree."""
+    per = _per_media_exact(a, b).withColumn("ok", _ok(eps))
+    return per.select("media", "rows_a", "rows_b",
+                      *[F.col(f"{m}_{s}").cast("double").alias(f"{m}_{s}")
+                        for s in ("a", "b") for m in PARITY_MEASURES], "ok")
 
 
 def parity_totals(a: DataFrame, b: DataFrame, eps: float = 1e-6) -> DataFrame:
-    """One row: overall counts and totals of both snapshots, and the verdict.
-    Built from the per-media result, so each snapshot is scanned once."""
-    per = snapshot_parity(a, b, eps)
+    """One row: overall counts and totals of both snapshots, whether the
+    totals agree, and whether every media agrees. Each snapshot is scanned
+    once; totals are summed exactly from the per-media sums."""
+    per = _per_media_exact(a, b).withColumn("_media_ok", _ok(eps))
     aggs = [F.sum("rows_a").alias("rows_a"), F.sum("rows_b").alias("rows_b")]
     for m in PARITY_MEASURES:
         aggs += [F.sum(f"{m}_a").alias(f"{m}_a"), F.sum(f"{m}_b").alias(f"{m}_b")]
-    aggs.append(F.bool_and("ok").alias("media_ok"))
-    return per.agg(*aggs)
+    aggs.append(F.coalesce(F.bool_and("_media_ok"), F.lit(True)).alias("media_ok"))
+    tot = per.agg(*aggs)
+    out = tot.select("rows_a", "rows_b",
+                     *[F.col(f"{m}_{s}").cast("double").alias(f"{m}_{s}")
+                       for s in ("a", "b") for m in PARITY_MEASURES], "media_ok")
+    return out.withColumn("totals_ok", _ok(eps))

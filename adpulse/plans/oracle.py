@@ -604,18 +604,33 @@ FROM dm JOIN (SELECT section, media FROM cd
         ["keyword"], "ss", f"media IN {_in(CFG.keyword_media)} AND {valid_sql('keyword')}")
     q["creative_change_top20"] = per_media_change_sql(
         ["creative"], "db", f"media IN {_in(CFG.creative_media)} AND {valid_sql('creative')}")
-    side = ", ".join(f"CAST(coalesce(sum({m}), 0) AS DOUBLE) AS {m}_x"
-                     for m in ("cost", "rev_ss", "rev_db", "buy_ss"))
-    per = f"SELECT media, count(*) AS rows_x, {side} FROM ad_fact GROUP BY media"
-    cols = []
-    for s in ("a", "b"):
-        cols.append(f"{s}.rows_x AS rows_{s}")
-        cols += [f"{s}.{m}_x AS {m}_{s}" for m in ("cost", "rev_ss", "rev_db", "buy_ss")]
-    ok = " AND ".join(["a.rows_x = b.rows_x"] + [f"abs(a.{m}_x - b.{m}_x) < 1e-6"
-                                                  for m in ("cost", "rev_ss", "rev_db", "buy_ss")])
-    q["snapshot_parity"] = FACT_CTE + f"""
-SELECT a.media, {', '.join(cols)}, {ok} AS ok
-FROM ({per}) a JOIN ({per}) b ON a.media IS NOT DISTINCT FROM b.media"""
+    pm = ("cost", "rev_ss", "rev_db", "buy_ss")
+    per_media = FACT_CTE + """,
+u AS (SELECT media, cost, rev_ss, rev_db, buy_ss, 'a' AS side FROM ad_fact
+      UNION ALL
+      SELECT media, cost, rev_ss, rev_db, buy_ss, 'b' AS side FROM ad_fact),
+per AS (
+  SELECT media,
+    """ + ",\n    ".join(
+        [f"CAST(count(*) FILTER (WHERE side = '{x}') AS BIGINT) AS rows_{x}" for x in "ab"]
+        + [f"coalesce(sum(CASE WHEN side = '{x}' THEN {m} END), 0) AS {m}_{x}"
+           for x in "ab" for m in pm]) + """
+  FROM u GROUP BY media)"""
+    ok_per = " AND ".join(["rows_a = rows_b"] + [
+        f"abs(CAST({m}_a AS DOUBLE) - CAST({m}_b AS DOUBLE)) < 1e-6" for m in pm])
+    q["snapshot_parity"] = per_media + f"""
+SELECT media, rows_a, rows_b, {', '.join(f'CAST({m}_{x} AS DOUBLE) AS {m}_{x}' for x in 'ab' for m in pm)},
+       {ok_per} AS ok
+FROM per"""
+    q["snapshot_parity_totals"] = per_media + f""",
+tot AS (
+  SELECT CAST(sum(rows_a) AS BIGINT) AS rows_a, CAST(sum(rows_b) AS BIGINT) AS rows_b,
+         {', '.join(f'sum({m}_{x}) AS {m}_{x}' for x in 'ab' for m in pm)},
+         coalesce(bool_and({ok_per}), true) AS media_ok
+  FROM per)
+SELECT rows_a, rows_b, {', '.join(f'CAST({m}_{x} AS DOUBLE) AS {m}_{x}' for x in 'ab' for m in pm)},
+       media_ok, {ok_per} AS totals_ok
+FROM tot"""
     q["dimension_values"] = FACT_CTE + "\n" + "\nUNION\n".join(
         f"SELECT {_q(d)} AS dimension, CAST({d} AS VARCHAR) AS value FROM ad_fact WHERE {d} IS NOT NULL"
         for d in ("brand", "media", "campaign", "ad_group"))

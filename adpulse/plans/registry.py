@@ -24,7 +24,7 @@ from adpulse.functions.formatting import money_text, pct_text, signed_money_text
 from adpulse.operators import dimensions, drivers, kpi, periods, products, promo, ranking, totals
 from adpulse.operators.anchors import Anchors, report_anchors, resolve_anchors
 from adpulse.operators.compare import two_day_compare
-from adpulse.operators.parity import snapshot_parity
+from adpulse.operators.parity import parity_totals, snapshot_parity
 from adpulse.session import scratch_path
 from adpulse.sources.snapshots import file_identity, files_for, path_exists, write_date_ordered
 from adpulse.sources.schema import conform
@@ -394,6 +394,11 @@ def q_snapshot_parity(spark, sf_dir):
     return snapshot_parity(snapshot_fact(spark, sf_dir), sql_fact(spark, sf_dir))
 
 
+def q_snapshot_parity_totals(spark, sf_dir):
+    """J20 totals: row counts and the four totals of both, and the verdicts."""
+    return parity_totals(snapshot_fact(spark, sf_dir), sql_fact(spark, sf_dir))
+
+
 def q_dimension_values(spark, sf_dir):
     return dimensions.dimension_values(snapshot_fact(spark, sf_dir))
 
