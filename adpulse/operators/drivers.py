@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from adpulse.config import ReportConfig
 from adpulse.functions.measures import sql_str
+from adpulse.sources.schema import column_absent
 from adpulse.functions.labels import (direction, is_market_channel, is_store_channel,
                                       path_label, truncate_label, valid_label)
 from adpulse.operators.anchors import Anchors, anchors_of
@@ -34,6 +35,10 @@ def _section(cfg: ReportConfig) -> Column:
 
 def _sectioned(fact: DataFrame, cfg: ReportConfig, a: Anchors) -> DataFrame:
     f = fact.where(F.col("report_date").isin(a.d_max, a.d_prev))
+    if column_absent(fact, "channel"):
+        # No channel column in the source: the store section is the whole
+        # report and the market section is empty.
+        return f.withColumn("section", F.lit("store"))
     return f.select("*", F.explode(_section(cfg)).alias("section"))
 
 

@@ -17,6 +17,7 @@ from adpulse.functions.labels import is_store_channel, truncate_label, valid_lab
 from adpulse.functions.measures import csum, out_measure, q, roas
 from adpulse.operators.anchors import Anchors, anchors_of
 from adpulse.operators.totals import brand_filter
+from adpulse.sources.schema import column_absent
 
 
 def _order_sql(order: list) -> str | None:
@@ -115,9 +116,14 @@ def creative_mtd_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None
 
 def product_rows(fact: DataFrame, cfg: ReportConfig, brand: str | None = None) -> DataFrame:
     """Rows of the product pages: store channel, valid product label, excluded
-    media removed (a null media is kept, as the reference's negated match)."""
-    f = fact.where(is_store_channel(cfg) & valid_label("product")
-                   & ~F.coalesce(F.col("media"), F.lit("")).rlike(cfg.product_excluded_media))
+    media removed (a null media is kept, as the reference's negated match).
+    A source without a channel column gets no channel filter."""
+    keep = valid_label("product") & ~F.coalesce(F.col("media"), F.lit("")).rlike(
+        cfg.product_excluded_media)
+    # Without a channel column in the source, the page has no channel filter.
+    if not column_absent(fact, "channel"):
+        keep = is_store_channel(cfg) & keep
+    f = fact.where(keep)
     return brand_filter(f, brand)
 
 

@@ -36,6 +36,9 @@ FACT_SCHEMA = T.StructType([
 
 FACT_COLUMNS = tuple(f.name for f in FACT_SCHEMA.fields)
 REQUIRED = ("report_date", "media", "cost", "rev_ss", "rev_db")
+# Column metadata key set by ``conform`` on a column the source did not have.
+ABSENT = "adpulse_absent"
+
 # Optional measures count as 0 when the source lacks them.
 OPTIONAL_ZERO = ("impressions", "clicks", "buy_ss", "buy_db")
 
@@ -64,6 +67,13 @@ SOURCE_HEADERS = {
 }
 
 
+def column_absent(df: DataFrame, col: str) -> bool:
+    """True when the source had no such column (or the frame lacks it)."""
+    if col not in df.columns:
+        return True
+    return bool(df.schema[col].metadata.get(ABSENT, False))
+
+
 def coerce_date(df: DataFrame, col: str) -> F.Column:
     """Day of any stored date form; unparsable text becomes NULL.
 
@@ -113,7 +123,8 @@ def conform(df: DataFrame, headers: dict[str, str] | None = None,
         name = field.name
         if name not in present:
             default = F.lit(0) if name in OPTIONAL_ZERO else F.lit(None)
-            cols.append(default.cast(field.dataType).alias(name))
+            # Marked, so operators can tell "no such column" from "all null".
+            cols.append(default.cast(field.dataType).alias(name, metadata={ABSENT: True}))
         elif name == "report_date":
             cols.append(coerce_date(df, present[name]).alias(name))
         else:

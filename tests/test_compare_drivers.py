@@ -137,3 +137,20 @@ def test_two_day_sums_unfilled_keys(make_fact):
     f = make_fact([dict(report_date=D1, media=None, rev_ss=1)])
     r = two_day_sums(f, ["media"], "ss", D1, D0, CFG, fill_keys=False).collect()
     assert r[0]["media"] is None
+
+
+def test_source_without_channel_column(spark):
+    """with no channel column in the source, the store section is the
+    whole report, the market section is empty and the product pages apply no
+    channel filter."""
+    from adpulse.operators.ranking import product_rows
+    from adpulse.sources.schema import column_absent, conform
+    raw = spark.createDataFrame(
+        [(str(D1), "Search", "p1", 10.0, 50.0, 40.0), (str(D0), "Search", "p1", 5.0, 20.0, 10.0)],
+        ["날짜", "매체상세", "실 전환 발생 상품", "비용(markup+)",
+         "(스마트스토어센터기준) 전체 매출", "(대시보드기준) 전체 매출"])
+    f = conform(raw)
+    assert column_absent(f, "channel") and not column_absent(f, "media")
+    head = by(drivers.channel_headline(f, CFG, A), "section")
+    assert set(head) == {"store"} and head["store"]["rev_delta"] == 30.0
+    assert product_rows(f, CFG).count() == 2
