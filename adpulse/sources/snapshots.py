@@ -130,6 +130,14 @@ def _newest_first(cat: DataFrame) -> DataFrame:
                        F.col("path").asc())
 
 
+def snapshot_choices(cat: DataFrame, ext: str | None = None) -> DataFrame:
+    """S3: the snapshots to choose from, newest tag first (Parquet before
+    workbook on a tag); ``ext`` keeps one format."""
+    if ext is not None:
+        cat = cat.where(F.col("ext") == ext)
+    return _newest_first(cat).select("tag", "tag_date", "name", "path", "ext", "length", "mtime")
+
+
 def newest_snapshot(cat: DataFrame, ext: str | None = None) -> str | None:
     """Path of the newest snapshot (tag, then Parquet over workbook);
     ``ext`` restricts the pick to one format (e.g. 'xlsx' for conversion)."""

@@ -38,6 +38,9 @@ def test_newest_tag_wins_and_parquet_preferred(spark, tmp_path):
     assert snap.snapshot_by_tag(cat, "260401").endswith("260401.xlsx")
     assert snap.snapshot_by_name(cat, f"{STEM.lower()} report_260405.XLSX").endswith("260405.xlsx")
     assert snap.snapshot_by_name(cat, "nope.xlsx") is None
+    choices = [(r["tag"], r["ext"]) for r in snap.snapshot_choices(cat).collect()]
+    assert choices == [("260405", "parquet"), ("260405", "xlsx"), ("260401", "xlsx")]
+    assert [r["tag"] for r in snap.snapshot_choices(cat, ext="xlsx").collect()] == ["260405", "260401"]
 
 
 def test_name_variants_and_case(spark, tmp_path):
