@@ -113,14 +113,19 @@ def start_ingest_stream(spark: SparkSession, watch_dir: str, out_dir: str,
                         headers: dict | None = None, extra_headers: dict | None = None,
                         available_now: bool = False,
                         processing_time: str = "30 seconds", report_out: str | None = None,
-                        cfg=None, targets_path: str | None = None) -> StreamingQuery:
+                        cfg=None, targets_path: str | None = None,
+                        max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the watcher stream. ``source_schema`` is the raw export's schema
     (all strings is fine: ``conform`` casts). ``available_now`` processes what
     is there and stops (scheduled runs, tests). With ``report_out`` every new
-    snapshot is also turned into its report under ``<report_out>/tag=<tag>``."""
+    snapshot is also turned into its report under ``<report_out>/tag=<tag>``.
+    ``max_files_per_trigger`` bounds how many (possibly very large) snapshot
+    files one micro-batch takes on."""
     reader = spark.readStream.schema(source_schema).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("mode", "PERMISSIVE")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     ext = {"csv": "csv", "parquet": "parquet", "json": "json"}.get(fmt, fmt)
     src = (reader.option("pathGlobFilter", f"*.{ext}")
                  .load(watch_dir)

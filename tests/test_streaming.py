@@ -99,7 +99,8 @@ def test_stream_writes_the_report_of_each_new_snapshot(spark, tmp_path):
               [("2026-04-01", "Search", 10, 50, 40), ("2026-04-02", "Search", 5, 80, 10)])
     out, rep = tmp_path / "out", tmp_path / "report"
     q = start_ingest_stream(spark, str(watch), str(out), SCHEMA, checkpoint=str(tmp_path / "ck"),
-                            available_now=True, report_out=str(rep), cfg=CFG)
+                            available_now=True, report_out=str(rep), cfg=CFG,
+                            max_files_per_trigger=1)
     q.awaitTermination(180)
     assert q.exception() is None
     ms = spark.read.parquet(str(rep / "tag=260402" / "media_summary")).collect()
