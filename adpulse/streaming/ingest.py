@@ -6,7 +6,8 @@ source file tag and every tag is conformed and written as its own
 date-partitioned Parquet snapshot ``<out>/tag=<YYMMDD>/``, replacing that tag
 entirely (a re-delivered tag overwrites, so replays are idempotent). A tag
 that fails to conform is recorded in ``<out>/_quarantine`` and the stream
-goes on.
+goes on. Optionally each new snapshot's report (every figure of
+``DailyReport``) is written next, under ``<report_out>/tag=<YYMMDD>/``.
 
 Settling (T2): the file source never reads names starting with ``_`` or
 ``.``, so producers write under such a temporary name and rename when done;
