@@ -508,6 +508,10 @@ FROM ad_fact"""
     q["ingest_audit"] = FACT_CTE + """
 SELECT count(*) AS n_rows, count(DISTINCT report_date) AS n_days,
        min(report_date) AS first_day, max(report_date) AS last_day FROM ad_fact"""
+    q["product_date_extent"] = FACT_CTE + f"""
+SELECT min(report_date) AS first_day, max(report_date) AS last_day,
+       count(DISTINCT report_date) AS n_days
+FROM ad_fact WHERE {PRODUCT_ROWS}"""
     q["period_totals"] = totals_sql("a.d_max - 6", "a.d_max")
     q["mtd_totals"] = totals_sql("a.month_start", "a.d_max")
     q["mtd_totals_by_brand"] = totals_sql("a.month_start", "a.d_max",

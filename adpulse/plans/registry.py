@@ -151,6 +151,12 @@ def q_ingest_audit(spark, sf_dir):
                  F.min(d).alias("first_day"), F.max(d).alias("last_day"))
 
 
+def q_product_date_extent(spark, sf_dir):
+    """First and last day (and day count) of the product pages' rows."""
+    f, a = _fa(spark, sf_dir)
+    return totals.date_extent(ranking.product_rows(f, CFG))
+
+
 def q_period_totals(spark, sf_dir):
     f, a = _fa(spark, sf_dir)
     return totals.period_totals(f, a.d_max - dt.timedelta(days=6), a.d_max)
