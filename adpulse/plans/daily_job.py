@@ -40,7 +40,7 @@ def run_daily(spark: SparkSession, reports: str, facts: str, out: str,
               cfg: ReportConfig = DEFAULT_CONFIG, tag: str | None = None,
               as_of: dt.date | None = None, targets: str | None = None,
               extra_headers: dict | None = None, persist: bool = False,
-              parallel: int = 4) -> dict:
+              parallel: int = 4, cache_recent: bool = False) -> dict:
     cat = snapshots.snapshot_catalog(spark, reports)
     src = (snapshots.snapshot_by_tag(cat, tag) if tag
            else snapshots.newest_valid_snapshot(cat, as_of=as_of))
@@ -57,7 +57,8 @@ def run_daily(spark: SparkSession, reports: str, facts: str, out: str,
     days = snapshots.partition_values(spark, fact_path, "report_date")
     anchors = anchors_from_dates(dt.date.fromisoformat(d) for d in days) if days else None
     tgt = load_targets(spark, targets) if targets else None
-    report = DailyReport(fact, cfg, tgt, persist=persist, anchors=anchors)
+    report = DailyReport(fact, cfg, tgt, persist=persist, anchors=anchors,
+                         cache_recent=cache_recent)
     try:
         dest = f"{out.rstrip('/')}/tag={tag}"
         figures = report.write_all(dest, parallel=parallel)
@@ -76,12 +77,14 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--as-of", type=dt.date.fromisoformat)
     ap.add_argument("--targets")
     ap.add_argument("--config", choices=("default", "test"), default="default")
+    ap.add_argument("--cache-recent", action="store_true",
+                    help="keep the recent days (month to date + comparison days) cached for the run")
     a = ap.parse_args(argv)
     from adpulse.session import build_session
     spark = build_session()
     cfg = TEST_CONFIG if a.config == "test" else DEFAULT_CONFIG
     print(json.dumps(run_daily(spark, a.reports, a.facts, a.out, cfg, a.tag, a.as_of,
-                               a.targets), default=str))
+                               a.targets, cache_recent=a.cache_recent), default=str))
     return 0
 
 

@@ -23,6 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from adpulse.config import ReportConfig
+from adpulse.functions.measures import day_between
 from adpulse.operators import dimensions, drivers, kpi, periods, products, promo, ranking, totals
 from adpulse.operators.anchors import Anchors, resolve_anchors
 from adpulse.operators.compare import two_day_compare
@@ -31,7 +32,7 @@ from adpulse.operators.compare import two_day_compare
 class DailyReport:
     def __init__(self, fact: DataFrame, cfg: ReportConfig, targets: DataFrame | None = None,
                  brand: str | None = None, persist: bool = False,
-                 anchors: Anchors | None = None):
+                 anchors: Anchors | None = None, cache_recent: bool = False):
         self.cfg = cfg
         self.brand = brand
         self.targets = targets
@@ -39,8 +40,19 @@ class DailyReport:
         self._persisted = persist
         # Anchors come from the unfiltered fact even when a brand is chosen.
         self.anchors = anchors or resolve_anchors(self.fact)
+        # Most figures read only recent days: month to date, the previous
+        # available day, the calendar day before and the same weekday a week
+        # back. ``cache_recent`` keeps that slice once for the run; figures
+        # over the whole history still read ``fact``.
+        a = self.anchors
+        lo = min(a.month_start, a.d_prev, a.calendar_prev, a.same_weekday)
+        recent = self.fact.where(day_between(lo, a.d_max))
+        self.recent = recent.persist(StorageLevel.MEMORY_AND_DISK) if cache_recent else recent
+        self._recent_cached = cache_recent
 
     def close(self) -> None:
+        if self._recent_cached:
+            self.recent.unpersist()
         if self._persisted:
             self.fact.unpersist()
 
@@ -49,29 +61,31 @@ class DailyReport:
                 comp: tuple[dt.date, dt.date] | None = None,
                 trend_end: dt.date | None = None, trend_days: int = 7,
                 trend_range: tuple[dt.date, dt.date] | None = None) -> dict[str, DataFrame]:
-        f, a, c, b = self.fact, self.anchors, self.cfg, self.brand
+        f, r, a, c, b = self.fact, self.recent, self.anchors, self.cfg, self.brand
         trend = (totals.roas_trend_between(f, *trend_range) if trend_range
                  else totals.roas_trend(f, trend_end or a.d_max, trend_days, a))
+        # Chosen ranges may reach before the recent slice.
+        pd_src = r if base is None and comp is None else f
         pages = {
-            "mtd_basis_table": totals.basis_table(totals.mtd_totals(f, a, b)),
-            "daily_detail": totals.daily_detail(f, a, b),
-            "period_delta": periods.period_delta(f, base, comp, a, b),
+            "mtd_basis_table": totals.basis_table(totals.mtd_totals(r, a, b)),
+            "daily_detail": totals.daily_detail(r, a, b),
+            "period_delta": periods.period_delta(pd_src, base, comp, a, b),
             "roas_trend": trend,
-            "daily_headline": periods.daily_headline(f, a),
-            "channel_headline": drivers.channel_headline(f, c, a),
-            "channel_drivers": drivers.channel_drivers(f, c, a, c.k_drivers),
-            "media_product_drivers": drivers.media_product_drivers(f, c, a, c.k_drivers, c.k_drivers),
-            "display_media_breakdown": drivers.display_media_breakdown(f, c, a),
-            "media_campaign_drivers": drivers.media_campaign_drivers(f, c, a, c.k_drivers),
-            "media_summary": drivers.media_summary(f, c, a),
+            "daily_headline": periods.daily_headline(r, a),
+            "channel_headline": drivers.channel_headline(r, c, a),
+            "channel_drivers": drivers.channel_drivers(r, c, a, c.k_drivers),
+            "media_product_drivers": drivers.media_product_drivers(r, c, a, c.k_drivers, c.k_drivers),
+            "display_media_breakdown": drivers.display_media_breakdown(r, c, a),
+            "media_campaign_drivers": drivers.media_campaign_drivers(r, c, a, c.k_drivers),
+            "media_summary": drivers.media_summary(r, c, a),
         }
         if self.targets is not None:
-            pages["kpi_attainment"] = kpi.kpi_attainment(f, self.targets, c, a)
+            pages["kpi_attainment"] = kpi.kpi_attainment(r, self.targets, c, a)
         return pages
 
     # ── products page ────────────────────────────────────────────────────
     def product_page(self) -> dict[str, DataFrame]:
-        f, a, c, b = self.fact, self.anchors, self.cfg, self.brand
+        f, a, c, b = self.recent, self.anchors, self.cfg, self.brand
         k = c.k_products
         return {
             "mtd_top_products": ranking.mtd_top_products(f, c, a, k, b),
@@ -85,33 +99,36 @@ class DailyReport:
 
     # ── media page ───────────────────────────────────────────────────────
     def media_page(self) -> dict[str, DataFrame]:
-        f, a, c = self.fact, self.anchors, self.cfg
+        f, r, a, c = self.fact, self.recent, self.anchors, self.cfg
         return {
-            "media_mtd": totals.media_mtd(f, a, self.brand),
-            "campaign_mtd_top": ranking.campaign_mtd_top(f, a, c.k_campaign_mtd),
-            "campaign_change_top": drivers.campaign_change_top(f, c, a, c.k_detail),
-            "keyword_mtd_top": ranking.keyword_mtd_top(f, c, a, c.k_detail),
-            "keyword_change_top": drivers.keyword_change_top(f, c, a, c.k_detail),
-            "creative_mtd_top": ranking.creative_mtd_top(f, c, a, c.k_detail),
-            "creative_change_top": drivers.creative_change_top(f, c, a, c.k_detail),
+            "media_mtd": totals.media_mtd(r, a, self.brand),
+            "campaign_mtd_top": ranking.campaign_mtd_top(r, a, c.k_campaign_mtd),
+            "campaign_change_top": drivers.campaign_change_top(r, c, a, c.k_detail),
+            "keyword_mtd_top": ranking.keyword_mtd_top(r, c, a, c.k_detail),
+            "keyword_change_top": drivers.keyword_change_top(r, c, a, c.k_detail),
+            "creative_mtd_top": ranking.creative_mtd_top(r, c, a, c.k_detail),
+            "creative_change_top": drivers.creative_change_top(r, c, a, c.k_detail),
+            # Choice lists come from the whole history.
             "dimension_values": dimensions.dimension_values(f),
             "cascading_filter": dimensions.cascading_filter(f, c),
         }
 
     # ── figures defined by the reference but not placed on a page ──────
     def extras(self) -> dict[str, DataFrame]:
-        f, a, c = self.fact, self.anchors, self.cfg
-        top10 = products.product_top10(f, c, a, k=c.k_products)
+        f, r, a, c = self.fact, self.recent, self.anchors, self.cfg
+        top10 = products.product_top10(r, c, a, k=c.k_products)
         return {
-            "multi_period": periods.multi_period(f, anchors=a),
-            "multi_period_delta_ss": periods.multi_period_delta(f, "ss", anchors=a),
-            "multi_period_delta_db": periods.multi_period_delta(f, "db", anchors=a),
+            # The standard periods of the last day reach back 7 days at most.
+            "multi_period": periods.multi_period(r, anchors=a),
+            "multi_period_delta_ss": periods.multi_period_delta(r, "ss", anchors=a),
+            "multi_period_delta_db": periods.multi_period_delta(r, "db", anchors=a),
+            # A promo class counts when it has rows on any day: whole history.
             "promo_split": promo.promo_split(f, c, a),
             "product_top10": top10,
             "product_top10_summary": products.product_top10_summary(top10),
-            "media_daily_pivot_mtd": totals.media_daily_pivot(f, a.month_start, a.d_max),
-            "compare_media_ss": two_day_compare(f, ["media"], "ss", a.d_max, a.d_prev, c),
-            "drilldown_tree": drivers.drilldown_tree(f, c, a, c.k_drivers),
+            "media_daily_pivot_mtd": totals.media_daily_pivot(r, a.month_start, a.d_max),
+            "compare_media_ss": two_day_compare(r, ["media"], "ss", a.d_max, a.d_prev, c),
+            "drilldown_tree": drivers.drilldown_tree(r, c, a, c.k_drivers),
         }
 
     def all_figures(self) -> dict[str, DataFrame]:

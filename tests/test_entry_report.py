@@ -70,3 +70,25 @@ def test_queries_use_the_callers_session(spark):
     again = queries()["compare_media_ss"](other, SF)
     assert again.sparkSession is other
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+
+
+@needs_data
+def test_recent_slice_changes_no_figure(spark):
+    """Figures built from the cached recent slice equal those built from the
+    whole snapshot."""
+    from adpulse.plans.registry import snapshot_fact
+    fact = snapshot_fact(spark, SF)
+    targets = targets_frame(spark, TEST_TARGETS)
+    whole = DailyReport(fact, TEST_CONFIG, targets)
+    whole.recent = whole.fact  # every figure from the whole snapshot
+    plain = whole.all_figures()
+    cached = DailyReport(fact, TEST_CONFIG, targets, cache_recent=True)
+    try:
+        fast = cached.all_figures()
+        assert set(plain) == set(fast)
+        for name in plain:
+            a = sorted(map(tuple, plain[name].collect()), key=repr)
+            b = sorted(map(tuple, fast[name].collect()), key=repr)
+            assert a == b, name
+    finally:
+        cached.close()
