@@ -31,6 +31,8 @@ BASIS_METRICS = {
 def standard_periods(start: dt.date, end: dt.date) -> list[tuple[str, dt.date, dt.date]]:
     """Selection plus: directly before (same length), same weekday (both
     bounds −7 days), ending 2 days and 3 days before the start."""
+    if end < start:
+        raise ValueError(f"selection ends ({end}) before it starts ({start})")
     n = (end - start).days + 1
     span = dt.timedelta(days=n - 1)
     p1_e = start - DAY
@@ -96,6 +98,9 @@ def period_delta(fact: DataFrame, base: tuple[dt.date, dt.date] | None = None,
         a = anchors_of(fact, anchors)
         base = base or (a.d_max, a.d_max)
         comp = comp or (a.calendar_prev, a.calendar_prev)
+    for s_, e_ in (base, comp):
+        if e_ < s_:
+            raise ValueError(f"range ends ({e_}) before it starts ({s_})")
     recs = periods_totals(fact, [("base", base[0], base[1]), ("comp", comp[0], comp[1])], brand)
     wide = _wide(recs, list(RECORD), 2)
     out = wide.selectExpr(_rows([

@@ -200,3 +200,11 @@ def test_roas_trend_between_equals_last_n(make_fact):
     a = totals.roas_trend(f, days[-1], n=3).collect()
     b = totals.roas_trend_between(f, days[1], days[-1]).collect()
     assert a == b and len(a) == 3
+
+
+def test_reversed_ranges_are_rejected(make_fact):
+    f = make_fact([dict(cost=1)])
+    with pytest.raises(ValueError):
+        periods.standard_periods(D0, D0 - dt.timedelta(days=1))
+    with pytest.raises(ValueError):
+        periods.period_delta(f, (D0, D0 - dt.timedelta(days=1)), (D0, D0))
