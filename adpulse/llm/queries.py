@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adpulse.llm import packing, token_records
+from adpulse.llm import packing, quality_rules, simhash, token_records
 from adpulse.llm.common import load
 
 
@@ -26,8 +26,20 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, bits=3)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality_rules.rate(load(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op7_harmonic_packing": op7_harmonic_packing,
+    "op9_simhash": op9_simhash,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}

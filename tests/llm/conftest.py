@@ -21,12 +21,6 @@ def make_docs(spark):
     return make
 
 
-def rows_of(df, *columns):
-    """Rows as sorted tuples; None first."""
-    got = [tuple(r[c] for c in columns) for r in df.collect()]
-    return sorted(got, key=lambda r: [(x is not None, x if x is not None else 0) for x in r])
-
-
 ODD_TEXTS = [None, "", " \n\t ", "one", "it's  a\n\n two  spaces\x0b", "a\x00b \x1c c", "日本語 テキスト 漢字。",
              "éé ñ ß İ ſ", "word " * 3000, "x" * 20000, "same text", "same text", "same text",
              "+1 (555) 555-0100 a@b.co 1.2.3.4 4111 1111 1111 1111", "<|endoftext|> <s>", "\U0001f600 ok"]
