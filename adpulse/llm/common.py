@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,3 +176,56 @@ def bpe(path: str) -> PieceCache:
 
         _TOKENIZERS[path] = PieceCache(encode, _at_spaces, _AT_MARK.split)
     return _TOKENIZERS[path]
+
+
+# Letters and digits, and all characters beyond ASCII, make words; A-Z in lower case.
+_WORD_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c).isalnum() else 0x20
+                    for c in range(256))
+
+
+def lower_words(text: str) -> list[bytes]:
+    """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text in lower case (A-Z)."""
+    return text.encode().translate(_WORD_BYTES).split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), dtype=np.uint64)
+
+
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A mixed hash of each k consecutive words, from the words' hashes."""
+    n = max(0, len(words) - k + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(k if n else 0):
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out += words[j:j + n]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    return out
+
+
+class BitFilter:
+    """A fixed number of bits, set at the hashes of a column: a small test, of the
+    same size for any table, that lets through every row a join could match. It only
+    spares rows the way to that join."""
+
+    def __init__(self, df: DataFrame, column: str, log2_bits: int):
+        self.log2_bits = log2_bits
+        at = F.shiftrightunsigned(F.col(column), 64 - log2_bits) + 1
+        rows = (df.groupBy(F.bitmap_bucket_number(at).alias("bucket"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect())
+        self.bits = np.zeros((1 << log2_bits) // 8, dtype=np.uint8)
+        for row in rows:  # 4 kB each, 2^log2_bits / 32768 of them at most
+            start = (row["bucket"] - 1) * 4096
+            self.bits[start:start + 4096] = np.frombuffer(row["bits"], dtype=np.uint8)[:len(self.bits) - start]
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - self.log2_bits)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def text_key(text: str = "text"):
+    """A 16-byte name of a text's content, by which what holds for a text is joined
+    to all documents that have it."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
