@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adpulse.llm import packing, quality_rules, simhash, token_records, winnowing
+from adpulse.llm import kd_shards, packing, quality_rules, simhash, token_records, winnowing
 from adpulse.llm.common import load
 
 
@@ -23,6 +23,12 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_records(manifest)
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.shards(load(spark, sf_dir, "documents"), n_shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = winnowing.rate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10)
     return rated.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -46,6 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
+    "op3_kd_shards": op3_kd_shards,
     "op4_winnowing": op4_winnowing,
     "op7_harmonic_packing": op7_harmonic_packing,
     "op9_simhash": op9_simhash,
