@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adpulse.llm import kd_shards, packing, quality_rules, simhash, token_records, winnowing
+from adpulse.llm import kd_shards, lattice_lm, packing, quality_rules, simhash, token_records, winnowing
 from adpulse.llm.common import load
 
 
@@ -36,6 +36,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(load(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op3_kd_shards": op3_kd_shards,
     "op4_winnowing": op4_winnowing,
+    "op6_lattice_lm": op6_lattice_lm,
     "op7_harmonic_packing": op7_harmonic_packing,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
