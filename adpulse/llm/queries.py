@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adpulse.llm import kd_shards, lattice_lm, packing, quality_rules, simhash, token_records, winnowing
+from adpulse.llm import kd_shards, lattice_lm, packing, quality_rules, simhash, substring_dedup, token_records, winnowing
 from adpulse.llm.common import load
 
 
@@ -44,6 +44,10 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(load(spark, sf_dir, "documents"), window=35)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, bits=3)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_winnowing": op4_winnowing,
     "op6_lattice_lm": op6_lattice_lm,
     "op7_harmonic_packing": op7_harmonic_packing,
+    "op8_super_kmers": op8_super_kmers,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -84,4 +89,16 @@ ni AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS item
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id)""",
+    "op8_super_kmers": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM win),
+rep AS (SELECT doc_id, i FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM rep)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.j) AS kept, count(*) AS n
+         FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.j = gone.j GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
 }

@@ -1,0 +1,62 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import pytest
+from conftest_llm import rows_of
+
+from adpulse.llm import substring_dedup
+
+
+def brute(rows, k):
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    count = Counter(tuple(w[i:i + k]) for w in split for i in range(len(w) - k + 1))
+    out = []
+    for (doc_id, _), w in zip(rows, split):
+        gone = {i + j for i in range(len(w) - k + 1) if count[tuple(w[i:i + k])] > 1 for j in range(k)}
+        out.append((doc_id, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out, key=lambda r: [(x is not None, x if x is not None else 0) for x in r])
+
+
+@pytest.mark.parametrize("table", ["odd_docs", "no_docs"])
+def test_odd_tables(request, table):
+    docs = request.getfixturevalue(table)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = rows_of(substring_dedup.without_repeats(docs), "doc_id", "n_words", "n_removed", "text")
+    assert got == brute(rows, 35)
+
+
+@pytest.mark.parametrize("hot", [2_000, 3])
+@pytest.mark.parametrize("window, minimiser", [(5, 2), (8, 3), (35, 12)])
+def test_random_texts(make_docs, monkeypatch, window, minimiser, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", hot)
+    monkeypatch.setattr(substring_dedup, "GATHER_BYTES", 300)
+    rnd = random.Random(window + hot)
+    passages = [[rnd.choice("abcdef") + rnd.choice("xyzuv") for _ in range(window + rnd.randint(-2, 30))] for _ in range(5)]
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rnd.randint(0, 5)):
+            words += rnd.choice(passages) if rnd.random() < .4 else [rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 20))]
+        rows.append((i, rnd.choice([" ", "\n", "  "]).join(words)))
+    rows += [(500, "a " * 100), (501, rows[3][1]), (502, rows[3][1])]
+    got = rows_of(substring_dedup.without_repeats(make_docs(rows), window, minimiser), "doc_id", "n_words", "n_removed", "text")
+    want = brute(rows, window)
+    assert got == want and any(r[2] for r in want)
+
+
+def test_equal_windows_meet_in_a_bucket():
+    rnd = random.Random(1)
+    for _ in range(300):
+        shared = [rnd.choice(b"abc".decode()).encode() for _ in range(9)]
+        texts = [[rnd.choice([b"a", b"b", b"c"]) for _ in range(rnd.randint(0, 9))] + shared
+                 + [rnd.choice([b"a", b"b", b"c"]) for _ in range(rnd.randint(0, 9))] for _ in range(2)]
+        found = []
+        for words in texts:
+            at = words.index(shared[0])
+            at = next(i for i in range(at, len(words)) if words[i:i + 9] == shared)
+            first, n, fp = substring_dedup.runs(words, 9, 4)
+            found.append(next(h for f, m, h in zip(first, n, fp) if f <= at < f + m))
+        assert found[0] == found[1]
