@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adpulse.llm import kd_shards, lattice_lm, packing, quality_rules, simhash, substring_dedup, token_records, winnowing
+from adpulse.llm import kd_shards, lattice_lm, license_scan, packing, quality_rules, simhash, substring_dedup, token_records, winnowing
 from adpulse.llm.common import load
 
 
@@ -36,6 +36,15 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, own = F.col("places.label"), F.col("spans.label")
+    return license_scan.scan(load(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.first").alias("first_word"), F.array_max("places.first").alias("last_word"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(base))).alias("base_labels"),
+        F.concat_ws(",", F.array_sort(F.array_union(base, own))).alias("labels"), "score")
+
+
 def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(load(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -62,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op3_kd_shards": op3_kd_shards,
     "op4_winnowing": op4_winnowing,
+    "op5_license_scan": op5_license_scan,
     "op6_lattice_lm": op6_lattice_lm,
     "op7_harmonic_packing": op7_harmonic_packing,
     "op8_super_kmers": op8_super_kmers,
