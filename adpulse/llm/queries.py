@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adpulse.llm import kd_shards, lattice_lm, license_scan, packing, quality_rules, simhash, substring_dedup, token_records, winnowing
+from adpulse.llm import kd_shards, lattice_lm, license_scan, packing, pii, quality_rules, simhash, substring_dedup, token_records, winnowing
 from adpulse.llm.common import load
 
 
@@ -17,6 +17,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = lambda x: F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    found = lambda kind: lambda s: F.when(s["kind"] == kind, 1)
+    spans, kinds = F.col("spans"), list(pii.PATTERNS)
+    base = F.filter(spans, lambda s: s["kind"].isin(kinds))
+    return pii.spans(load(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[F.size(F.array_compact(F.transform(spans, found(k)))).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(F.concat_ws(",", written(base)), 256).alias("base_sha256"),
+        F.concat_ws(",", written(spans)).alias("spans"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_records.write_records(load(spark, sf_dir, "documents"),
                                            tokenizer_file("byte_bpe_50k.json"), end_id=2)
@@ -68,6 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_token_records": op2_token_records,
     "op3_kd_shards": op3_kd_shards,
     "op4_winnowing": op4_winnowing,
