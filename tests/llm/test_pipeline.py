@@ -1,0 +1,114 @@
+from __future__ import annotations
+
+import re
+import zlib
+
+import numpy as np
+import pytest
+from test_packing_brute import brute_pieces
+from test_pii import brute as brute_spans
+from test_quality_rules import PROSE
+from test_quality_rules import brute as brute_quality
+from test_simhash import brute_components, brute_print
+from test_winnowing import words_of
+
+import __spark_entry__
+import corpus_pipeline
+from adpulse.llm import pii, quality_rules
+from adpulse.llm.queries import ORACLE_SQL, QUERIES, tokenizer_file
+
+AT = "/root/testdata/sf0.001"
+
+
+def contaminated(text, windows):
+    words = words_of(text)
+    return any(tuple(words[i:i + n]) in of for n, of in windows.items() for i in range(len(words) - n + 1))
+
+
+def item_windows(items):
+    windows: dict = {}
+    for text in items:
+        own = words_of(text)
+        n = min(10, len(own))
+        if n:
+            windows.setdefault(n, set()).update(tuple(own[i:i + n]) for i in range(len(own) - n + 1))
+    return windows
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{AT}/documents.parquet")
+    windows = item_windows(r.text for r in spark.read.parquet(f"{AT}/benchmark.parquet").collect())
+    columns, rows = docs.columns, {r.doc_id: r for r in docs.collect()}
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, AT)
+        path = str(tmp_path / str(number))
+        out.write.parquet(path)
+        out = spark.read.parquet(path)
+        if number == 4:
+            pieces = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in out.collect())
+            assert pieces == sorted(p for d, r in rows.items() for p in brute_pieces(d, r.text, 1024))
+            break
+        assert out.columns == columns
+        got = {r.doc_id: r for r in out.collect()}
+        if number == 0:
+            vocabulary = tokenizer_file("piece_bpe_32k.model")
+            judged = quality_rules.judge([r.text for r in rows.values()], [r.lang for r in rows.values()],
+                                         vocabulary, quality_rules.BANDS)
+            want = {d for (d, r), j in zip(rows.items(), judged) if j[-1]}
+            assert not any(brute_quality(rows[d].text)[-1] for d in want)
+        elif number == 1:
+            prints = brute_components([(d, brute_print(r.text)) for d, r in rows.items()], 3)
+            want = {c for _, _, c in prints}
+        elif number == 2:
+            want = {d for d, r in rows.items() if not contaminated(r.text, windows)}
+        else:
+            want = set(rows)
+            for d, r in rows.items():
+                if not brute_spans(r.text):
+                    assert got[d] == r
+                else:
+                    assert got[d].text != r.text and not brute_spans(got[d].text)
+        assert set(got) == want and len(want) > 50 and out.count() == len(want)
+        if number < 3:
+            assert all(got[d] == rows[d] for d in want)
+        rows, docs = got, out
+
+
+def test_run_is_the_stages_in_a_row(spark):
+    got = corpus_pipeline.run(spark, AT)
+    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(got.columns)
+    docs = spark.read.parquet(f"{AT}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, AT)
+    key = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
+    assert key(got) == key(docs)
+
+
+@pytest.mark.parametrize("table", ["odd_docs", "no_docs"])
+def test_odd_tables_pass_every_stage(request, spark, table):
+    docs = request.getfixturevalue(table)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, AT).columns == docs.columns, name
+        stage(spark, docs, AT).count()
+    words = PROSE
+    more = docs.unionByName(docs.limit(0)).collect()
+    for d, t in [(None, words), (7, words), (7, words), (8, words + " a@b.co")]:
+        more.append((d, t, None, None, None, *[None] * 9))
+    docs = spark.createDataFrame(more, docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, AT)
+    assert docs.count() >= 1
+
+
+def test_every_query_is_registered():
+    names = [*QUERIES, "pipeline"]
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    assert set(names) <= set(__spark_entry__.queries())
+    assert set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql()) and "pipeline" not in __spark_entry__.oracle_sql()
+    assert pii.KINDS[:4] == ["email", "ip", "card", "phone"]
+
+
+def test_the_brute_pieces_are_whole():
+    got = brute_pieces(1, "some words " * 900, 1024)
+    assert [s for _, s, _, _ in got] == np.cumsum([0, *[n for _, _, n, _ in got]])[:-1].tolist()
+    assert zlib.crc32(b"") == 0

@@ -29,6 +29,12 @@ def brute(text):
             len(words) < 50 or 100 * len(covered) > 50 * len(words))
 
 
+PROSE = ("The river rises in the northern hills and runs through three towns before it meets the sea. "
+         "Many of the old mills along its banks have been turned into workshops, and one of them now holds "
+         "a small museum about the history of the valley. Visitors come in spring, when the meadows flower, "
+         "and again in autumn for the market that has been held there for more than four hundred years. ")
+
+
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -62,18 +68,14 @@ def test_measures_are_the_tokenizers(make_docs):
 
 def test_clean_text_stays_and_junk_goes(spark, make_docs):
     rnd = random.Random(5)
-    prose = ("The river rises in the northern hills and runs through three towns before it meets the sea. "
-             "Many of the old mills along its banks have been turned into workshops, and one of them now holds "
-             "a small museum about the history of the valley. Visitors come in spring, when the meadows flower, "
-             "and again in autumn for the market that has been held there for more than four hundred years. ")
     noise = " ".join("".join(rnd.choice("☃☠☺⚒⚛") for _ in range(8)) for _ in range(80))
     symbols = " ".join(rnd.choice(["|", "###", "$$$"]) + " " + rnd.choice(["aa", "bb"]) for _ in range(200))
-    got = {r.doc_id: r.kept for r in quality_rules.rate(make_docs([(1, prose), (2, noise), (3, symbols)]), FILE).collect()}
+    got = {r.doc_id: r.kept for r in quality_rules.rate(make_docs([(1, PROSE), (2, noise), (3, symbols)]), FILE).collect()}
     assert got[1] is True and got[3] is False
     strict = {"other": quality_rules.Band((1.0, 8.0), 0.2, 0.4)}
     row = quality_rules.rate(make_docs([(2, noise)]), FILE, strict).first()
     assert row.byte_share > 0.2 and not row.kept
-    kept = quality_rules.accepted(make_docs([(1, prose), (3, symbols)]), FILE)
+    kept = quality_rules.accepted(make_docs([(1, PROSE), (3, symbols)]), FILE)
     assert kept.columns == make_docs([]).columns and [r.doc_id for r in kept.collect()] == [1]
 
 
