@@ -6,8 +6,10 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import sys
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 #: Documents that a task handles at a time (bounds what it holds beside the batch).
 SLICE = 500
-#: Most distinct pieces of text a worker remembers; it then starts anew.
-CACHE_ENTRIES = 800_000
+#: Distinct pieces of text after which a worker's cache starts anew; the last one
+#: is still looked into.
+CACHE_ENTRIES = 300_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -102,9 +105,12 @@ class PieceCache:
                  cut: Callable[[str], list[str]], finer: Callable[[str], list[str]]):
         self.encode, self.cut, self.finer = encode, cut, finer
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, missing: set[str]) -> None:
-        parts = {x: self.finer(x) for x in missing}
+        older = self.older.get
+        self.known.update((x, v) for x in missing if (v := older(x)) is not None)
+        parts = {x: self.finer(x) for x in missing.difference(self.known)}
         new = list(set(itertools.chain.from_iterable(parts.values())).difference(self.known))
         self.known.update(zip(new, self.encode(new)))
         got = self.known
@@ -115,7 +121,7 @@ class PieceCache:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         get = self.known.get
         cut = [self.cut(x) for x in texts]
         found = [list(map(get, x)) for x in cut]
@@ -132,16 +138,29 @@ class PieceCache:
 _SPACE = r"[^\S\x1c-\x1f]"
 _AT_SPACE = re.compile(rf"(?<=\S)(?={_SPACE})")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_AT_MARK = re.compile(rf"(?<=[{_LETTERS}])(?=[.,;:!?|])")
+_MARKS = ".,;:!?|"
+_MARK_ELSEWHERE = re.compile(rf"[.,](?<![{_LETTERS}].)").search
 _ONE_TOKEN = re.compile(rf" ?[{_LETTERS}]+").fullmatch
-_PLAIN = re.compile(r"\s\s|\0").search
+_LETTER = re.compile(rf"[{_LETTERS}]").match
+_ODD = [chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \n"] + ["\0", "  ", "\n\n", " \n", "\n "]
 _TOKENIZERS: dict[str, PieceCache] = {}
 
 
-def _at_spaces(text: str) -> list[str]:
-    if _PLAIN(text):
-        return _AT_SPACE.split(text)
-    return text.replace(" ", "\0 ").split("\0")
+def _cut(text: str) -> list[str]:
+    """A text in pieces that the tokenizer's pattern never joins: at white space
+    and, if they all follow a letter, at full stops and commas."""
+    for x in _ODD:
+        if x in text:
+            return _AT_SPACE.split(text)
+    marked = text.replace(" ", "\0 ").replace("\n", "\0\n")
+    if not _MARK_ELSEWHERE(text):
+        marked = marked.replace(",", "\0,").replace(".", "\0.")
+    return marked.split("\0")
+
+
+def _at_marks(piece: str) -> list[str]:
+    word = piece.rstrip(_MARKS)
+    return [word, piece[len(word):]] if word and word != piece and _LETTER(word[-1]) else [piece]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -153,7 +172,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 def little(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    """The ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def bpe(path: str) -> PieceCache:
@@ -168,13 +191,13 @@ def bpe(path: str) -> PieceCache:
 
         def encode(pieces: list[str]) -> list[bytes]:
             # what the pattern leaves in one part goes to the merges at once
-            rest = tokenizer.encode_batch_fast([x for x in pieces if not _ONE_TOKEN(x)],
-                                               add_special_tokens=False)
-            rest = iter(rest)
+            one = [_ONE_TOKEN(x) is not None for x in pieces]
+            rest = iter(tokenizer.encode_batch_fast([x for x, o in zip(pieces, one) if not o],
+                                                    add_special_tokens=False))
             return [little([t.id for t in merge(x.encode().decode("latin-1").translate(letters))])
-                    if _ONE_TOKEN(x) else little(next(rest).ids) for x in pieces]
+                    if o else little(next(rest).ids) for x, o in zip(pieces, one)]
 
-        _TOKENIZERS[path] = PieceCache(encode, _at_spaces, _AT_MARK.split)
+        _TOKENIZERS[path] = PieceCache(encode, _cut, _at_marks)
     return _TOKENIZERS[path]
 
 

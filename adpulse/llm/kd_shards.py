@@ -69,7 +69,7 @@ def _rows(docs: DataFrame) -> DataFrame:
         F.least(F.floor(F.log2(size) * 30_000), F.lit(2**VALUE_BITS - 1)).cast("long").alias("v0"),
         category["source"].alias("v1"), category["lang"].alias("v2"),
         F.coalesce(F.floor(F.log2(F.abs(doc_id).cast("double") + 1) * 16_000), F.lit(0)).cast("long").alias("v3"),
-        F.monotonically_increasing_id().alias("row"))
+        F.monotonically_increasing_id().alias("row"), F.lit(0).alias("node"))
     # stored, so that a row keeps its number and its tie-break
     return stored(raw, "metadata")
 
@@ -78,7 +78,7 @@ def _points(rows: DataFrame) -> DataFrame:
     def coordinate(d: int) -> Column:
         tie = F.shiftrightunsigned(F.xxhash64("row", "doc_id", F.lit(d)), 64 - TIE_BITS)
         return F.shiftleft(F.col(f"v{d}"), TIE_BITS).bitwiseOR(tie)
-    return rows.select("row", "size", F.lit(0).alias("node"), *[coordinate(d).alias(f"c{d}") for d in range(4)])
+    return rows.select("row", "size", "node", *[coordinate(d).alias(f"c{d}") for d in range(4)])
 
 
 def _own(points: DataFrame, nodes: dict[int, Node]) -> DataFrame:
@@ -151,7 +151,7 @@ def shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | Non
         halves = [(i, open_nodes[i] // 2) for i in table] \
             + [(i + open_nodes[i] // 2, open_nodes[i] - open_nodes[i] // 2) for i in table]
         open_nodes = {i: k for i, k in halves if k > 1}
-    return _slots(rows.join(points.select("row", F.col("node").alias("shard")), "row"), n_shards)
+    return _slots(rows.drop("node").join(points.select("row", F.col("node").alias("shard")), "row"), n_shards)
 
 
 def _slots(rows: DataFrame, n_shards: int) -> DataFrame:
