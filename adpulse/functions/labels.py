@@ -13,15 +13,20 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def fill_missing(c, cfg: ReportConfig) -> Column:
-    """Group key for comparisons: null becomes the missing label, then text."""
-    return F.coalesce(_c(c).cast("string"), F.lit(cfg.missing))
+#: All white space, as Unicode and the reference's strip() have it: also the
+#: no-break and ideographic spaces that exports of this locale are full of.
+WHITE_SPACE = "".join(chr(x) for x in range(0x3001) if chr(x).isspace())
+
+
+def strip(c) -> Column:
+    """Text without white space at both ends."""
+    return F.trim(_c(c).cast("string"), F.lit(WHITE_SPACE))
 
 
 def valid_label(c, cfg: ReportConfig | None = None) -> Column:
     """Not null, trimmed text not blank and not '-' (and not the missing label
     when a config is given)."""
-    t = F.trim(_c(c).cast("string"))
+    t = strip(c)
     bad = ["", "-"] + ([cfg.missing] if cfg is not None else [])
     return _c(c).isNotNull() & ~t.isin(*bad)
 
@@ -44,7 +49,7 @@ def path_label(parts: list, cfg: ReportConfig, fallback: str) -> Column:
 
 def promo_class(c, cfg: ReportConfig) -> Column:
     """always_on / promotion / unclassified from a promo name."""
-    t = F.coalesce(F.trim(_c(c).cast("string")), F.lit(""))
+    t = F.coalesce(strip(c), F.lit(""))
     return (F.when(t.contains(cfg.always_on_marker), F.lit("always_on"))
             .when(t != "", F.lit("promotion"))
             .otherwise(F.lit("unclassified")))
@@ -52,7 +57,7 @@ def promo_class(c, cfg: ReportConfig) -> Column:
 
 def is_store_channel(cfg: ReportConfig, col: str = "channel") -> Column:
     """Exact trimmed match on the store channel (null channel is not store)."""
-    return F.coalesce(F.trim(F.col(col)) == F.lit(cfg.store_channel), F.lit(False))
+    return F.coalesce(strip(col) == F.lit(cfg.store_channel), F.lit(False))
 
 
 def is_market_channel(cfg: ReportConfig, col: str = "channel") -> Column:

@@ -28,6 +28,7 @@ import json
 import re
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from adpulse.config import DEFAULT_CONFIG, TEST_CONFIG, ReportConfig
 from adpulse.operators.anchors import anchors_from_dates
@@ -40,17 +41,23 @@ def run_daily(spark: SparkSession, reports: str, facts: str, out: str,
               cfg: ReportConfig = DEFAULT_CONFIG, tag: str | None = None,
               as_of: dt.date | None = None, targets: str | None = None,
               extra_headers: dict | None = None, persist: bool = False,
-              parallel: int = 4, cache_recent: bool = False) -> dict:
+              parallel: int = 4, cache_recent: bool = False, brand: str | None = None,
+              campaign: str | None = None, ad_group: str | None = None,
+              allow_unreadable: bool = False) -> dict:
     cat = snapshots.snapshot_catalog(spark, reports)
-    src = (snapshots.snapshot_by_tag(cat, tag) if tag
-           else snapshots.newest_valid_snapshot(cat, as_of=as_of))
+    readable = cat.where(F.col("ext").isin(*snapshots.READABLE))
+    src = (snapshots.snapshot_by_tag(readable, tag) if tag
+           else snapshots.newest_valid_snapshot(cat, as_of=as_of, exts=snapshots.READABLE))
     if src is None:
-        raise FileNotFoundError(f"no snapshot for tag {tag}")
+        raise FileNotFoundError(f"no readable snapshot for tag {tag}")
+    newest = snapshots.snapshot_by_tag(cat, tag) if tag else snapshots.newest_snapshot(cat)
+    skipped = None if newest == src else newest  # newer, or preferred, but not readable or not valid
     tag = re.search(snapshots.REPORT_NAME_RE, src.rstrip("/").rsplit("/", 1)[-1]).group(3)
     fact_path = f"{facts.rstrip('/')}/tag={tag}"
     audit = None
     if snapshots.needs_ingest(spark, src, fact_path):
-        audit = snapshots.ingest_snapshot(spark, src, fact_path, extra_headers=extra_headers)
+        audit = snapshots.ingest_snapshot(spark, src, fact_path, extra_headers=extra_headers,
+                                         allow_unreadable=allow_unreadable)
     fact = spark.read.parquet(fact_path)
     # The snapshot is stored by day: its days are the partition directories,
     # so the anchors need no scan at all.
@@ -58,13 +65,14 @@ def run_daily(spark: SparkSession, reports: str, facts: str, out: str,
     anchors = anchors_from_dates(dt.date.fromisoformat(d) for d in days) if days else None
     tgt = load_targets(spark, targets) if targets else None
     report = DailyReport(fact, cfg, tgt, persist=persist, anchors=anchors,
-                         cache_recent=cache_recent)
+                         cache_recent=cache_recent, brand=brand, campaign=campaign,
+                         ad_group=ad_group)
     try:
         dest = f"{out.rstrip('/')}/tag={tag}"
         figures = report.write_all(dest, parallel=parallel)
     finally:
         report.close()
-    return {"tag": tag, "source": src, "ingested": audit, "out": dest, "figures": figures,
+    return {"tag": tag, "source": src, "skipped": skipped, "ingested": audit, "out": dest, "figures": figures,
             "d_max": str(report.anchors.d_max), "d_prev": str(report.anchors.d_prev)}
 
 
@@ -79,12 +87,22 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--config", choices=("default", "test"), default="default")
     ap.add_argument("--cache-recent", action="store_true",
                     help="keep the recent days (month to date + comparison days) cached for the run")
+    ap.add_argument("--brand", help="only this brand's rows in the figures that can be filtered")
+    ap.add_argument("--campaign", help="only this campaign in the creative tables")
+    ap.add_argument("--ad-group", help="only this group in the creative tables")
+    ap.add_argument("--header", action="append", default=[], metavar="SOURCE=NAME",
+                    help="another source header, such as that of the brand column (NAME: brand)")
+    ap.add_argument("--allow-unreadable", action="store_true",
+                    help="take a snapshot with unreadable cells in required measures")
     a = ap.parse_args(argv)
+    headers = dict(h.rsplit("=", 1) for h in a.header)
     from adpulse.session import build_session
     spark = build_session()
     cfg = TEST_CONFIG if a.config == "test" else DEFAULT_CONFIG
     print(json.dumps(run_daily(spark, a.reports, a.facts, a.out, cfg, a.tag, a.as_of,
-                               a.targets, cache_recent=a.cache_recent), default=str))
+                               a.targets, extra_headers=headers, cache_recent=a.cache_recent, brand=a.brand,
+                               campaign=a.campaign, ad_group=a.ad_group,
+                               allow_unreadable=a.allow_unreadable), default=str))
     return 0
 
 

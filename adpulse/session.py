@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every report session should carry: AQE (coalescing, skew split of
@@ -36,27 +33,3 @@ def build_session(master: str | None = None, app: str = "adpulse",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and stream state.
-
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) a fresh scratch folder is created and registered.
-    """
-    try:
-        root = spark.sparkContext.getCheckpointDir()
-    except Exception:  # no local JVM (remote session)
-        root = None
-    root = root or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="adpulse-ckpt-")
-        try:
-            spark.sparkContext.setCheckpointDir(root)
-        except Exception:
-            pass
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_root(spark), name)

@@ -6,10 +6,12 @@ locale's headers) onto them, coerces the date and casts measures.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adpulse.functions.labels import strip
+
 MONEY_TYPE = T.DecimalType(18, 4)
 
 FACT_SCHEMA = T.StructType([
@@ -89,31 +91,77 @@ def coerce_date(df: DataFrame, col: str) -> F.Column:
         return F.to_date(c)
     if isinstance(dtype, (T.LongType, T.IntegerType)):
         return F.to_date(F.timestamp_micros(F.floor(c / 1000)))
-    text = F.trim(c.cast("string"))
+    text = strip(c)
     return F.coalesce(F.to_date(F.try_to_timestamp(text)),
                       F.try_to_date(text, "yyyy-MM-dd"),
                       F.try_to_date(text, "yyyy/MM/dd"),
                       F.try_to_date(text, "yyyyMMdd"))
 
 
-def conform(df: DataFrame, headers: dict[str, str] | None = None,
-            extra_headers: dict[str, str] | None = None,
-            keep_extra: bool = True) -> DataFrame:
-    """Rename source headers to canonical names and cast to FACT_SCHEMA.
+def csv_reader(spark: SparkSession, multi_line: bool = False) -> DataFrameReader:
+    """CSV with a header as spreadsheets and pandas write it: quotes inside a
+    quoted cell are doubled. ``multi_line`` allows line breaks in cells; such a
+    file is read by one task, so it is off by default."""
+    return (spark.read.option("header", True).option("mode", "PERMISSIVE")
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
 
-    Missing optional measures become 0, missing label columns NULL; a missing
-    required column raises; an unreadable value becomes NULL. Extra columns
-    pass through as strings (nulls kept).
-    """
+
+# 1,234 or -1,234,567.5: separators at every third digit, nothing else
+_THOUSANDS = r"^[+-]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]*)?$"
+
+
+def read_measure(df: DataFrame, col: str, dtype: T.DataType) -> F.Column:
+    """A measure cell as a number. Text may have white space around it and
+    thousands separators; blank text is NULL, and so is what can't be read (other
+    text, or too large for the type): ``unreadable`` tells these cells."""
+    c = F.col(f"`{col}`")
+    if not isinstance(df.schema[col].dataType, T.StringType):
+        return c.try_cast(dtype)
+    text = strip(c)
+    return F.when(text.rlike(_THOUSANDS), F.regexp_replace(text, ",", "")).otherwise(text).try_cast(dtype)
+
+
+def source_columns(df: DataFrame, headers: dict[str, str] | None = None,
+                   extra_headers: dict[str, str] | None = None) -> dict[str, str]:
+    """Canonical name → column of the source; the first of equal headers."""
     mapping = dict(SOURCE_HEADERS if headers is None else headers)
     mapping.update(extra_headers or {})
     for canon in FACT_COLUMNS:
         mapping.setdefault(canon, canon)
-    present = {}
+    present: dict[str, str] = {}
     for src in df.columns:
         canon = mapping.get(src.strip())
         if canon is not None and canon not in present:
             present[canon] = src
+    return present
+
+
+def unreadable(df: DataFrame, headers: dict[str, str] | None = None,
+               extra_headers: dict[str, str] | None = None) -> dict[str, F.Column]:
+    """Per date or measure column of the source, whether a row's cell holds
+    something that ``conform`` can't read and so makes NULL."""
+    present, out = source_columns(df, headers, extra_headers), {}
+    for field in FACT_SCHEMA.fields:
+        if field.name not in present or isinstance(field.dataType, T.StringType):
+            continue
+        c = F.col(f"`{present[field.name]}`")
+        value = coerce_date(df, present[field.name]) if field.name == "report_date" \
+            else read_measure(df, present[field.name], field.dataType)
+        out[field.name] = c.isNotNull() & (strip(c) != "") & value.isNull()
+    return out
+
+
+def conform(df: DataFrame, headers: dict[str, str] | None = None,
+            extra_headers: dict[str, str] | None = None,
+            keep_extra: bool = True) -> DataFrame:
+    """Rename source headers to canonical names and cast to FACT_SCHEMA.
+
+    Missing optional measures become 0, missing label columns NULL; a missing
+    required column raises; an unreadable value becomes NULL (``unreadable``
+    counts these, and ``snapshots.ingest_snapshot`` refuses them). Extra
+    columns pass through as strings (nulls kept).
+    """
+    present = source_columns(df, headers, extra_headers)
     missing = [c for c in REQUIRED if c not in present]
     if missing:
         raise ValueError(f"report is missing required columns: {missing}")
@@ -127,10 +175,10 @@ def conform(df: DataFrame, headers: dict[str, str] | None = None,
             cols.append(default.cast(field.dataType).alias(name, metadata={ABSENT: True}))
         elif name == "report_date":
             cols.append(coerce_date(df, present[name]).alias(name))
+        elif isinstance(field.dataType, T.StringType):
+            cols.append(F.col(f"`{present[name]}`").cast("string").alias(name))
         else:
-            # try_cast: an unreadable cell (text in a measure column) becomes
-            # NULL, which every sum skips, instead of failing the whole file.
-            cols.append(F.col(f"`{present[name]}`").try_cast(field.dataType).alias(name))
+            cols.append(read_measure(df, present[name], field.dataType).alias(name))
     if keep_extra:
         used = set(present.values())
         for src in df.columns:

@@ -11,14 +11,16 @@ the catalog is then an ordinary small DataFrame and every choice on it
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import os
+import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adpulse.sources.schema import conform
+from adpulse.sources.schema import REQUIRED, conform, csv_reader, unreadable
 
 # File name of a daily snapshot: <stem>_Daily Report_YYMMDD.<ext> or the
 # hyphen form "Daily-Report", case-insensitive. Groups: stem, separator, tag,
@@ -38,33 +40,36 @@ def _hadoop(spark: SparkSession, path: str):
     """(FileSystem, Path) of a URI through the session's Hadoop configuration,
     or None when the session has no local JVM (then local paths are used)."""
     try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf), p
-    except Exception:
+        context = spark.sparkContext
+    except AttributeError:  # a remote session has none
         return None
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(context._jsc.hadoopConfiguration()), p
 
 
 def _local(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
-def _fs_entries(spark: SparkSession, folder: str, sizes: bool = True) -> list[tuple]:
-    """Direct children of a folder via the Hadoop file system of its URI.
+def _fs_entries(spark: SparkSession, folder: str, sizes: bool = True,
+                match: str = "") -> list[tuple]:
+    """Direct children of a folder whose names match, via the Hadoop file system
+    of its URI.
 
     A directory entry (a Parquet snapshot written by Spark) reports the total
     size of its content when ``sizes`` is set (one extra call per directory).
     """
     h = _hadoop(spark, folder)
     if h is None:
-        return _local_entries(_local(folder), sizes)
+        return [e for e in _local_entries(_local(folder), sizes) if re.search(match, e[1])]
     fs, root = h
     if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
         return []
     out = []
     for st in fs.listStatus(root):
         p = st.getPath()
+        if not re.search(match, p.getName()):
+            continue
         is_dir = st.isDirectory()
         length = (fs.getContentSummary(p).getLength() if sizes else -1) if is_dir else st.getLen()
         mtime = dt.datetime.fromtimestamp(st.getModificationTime() / 1000.0, dt.timezone.utc)
@@ -91,27 +96,35 @@ def _local_entries(folder: str, sizes: bool = True) -> list[tuple]:
 
 
 def file_identity(spark: SparkSession, paths: list[str]) -> tuple:
-    """(path, length, modification time) of each path: the identity of an
-    immutable snapshot. A rewritten file changes it."""
+    """(path, number of files, bytes, digest of the files' names, lengths and
+    modification times) of each path, a file or a directory of part files. A
+    rewritten part file changes it."""
     out = []
     for path in paths:
-        h = _hadoop(spark, path)
+        h, files = _hadoop(spark, path), []
         if h is not None:
-            st = h[0].getFileStatus(h[1])
-            out.append((path, int(st.getLen()), int(st.getModificationTime())))
+            found = h[0].listFiles(h[1], True)
+            while found.hasNext():
+                st = found.next()
+                files.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
         else:
-            st = os.stat(_local(path))
-            out.append((path, int(st.st_size), int(st.st_mtime * 1000)))
+            top = _local(path)
+            names = [top] if os.path.isfile(top) else [
+                os.path.join(r, f) for r, _, fs in os.walk(top) for f in fs]
+            files = [(f, os.path.getsize(f), os.stat(f).st_mtime_ns) for f in names]
+        digest = hashlib.sha1(repr(sorted(files)).encode()).hexdigest()
+        out.append((path, len(files), sum(f[1] for f in files), digest))
     return tuple(out)
 
 
 def snapshot_catalog(spark: SparkSession, folder: str, name_re: str = REPORT_NAME_RE) -> DataFrame:
-    """Matching snapshot files with their date tag and ranks.
+    """Matching snapshot files with their date tag and ranks. Only the
+    matching names are sized.
 
     Columns: path, name, length, mtime, is_dir, tag, tag_date, ext, ext_rank
     (parquet 1, csv 1, xlsx 0), sep_rank (space form 1, hyphen form 0).
     """
-    rows = _fs_entries(spark, folder)
+    rows = _fs_entries(spark, folder, match=name_re)
     cat = spark.createDataFrame(rows, CATALOG_SCHEMA)
     name = F.col("name")
     ext = F.lower(F.regexp_extract(name, name_re, 4))
@@ -148,9 +161,12 @@ def newest_snapshot(cat: DataFrame, ext: str | None = None) -> str | None:
 
 
 def newest_valid_snapshot(cat: DataFrame, as_of: dt.date | None = None, max_days: int = 120,
-                          min_bytes: int = 200) -> str:
+                          min_bytes: int = 200, exts: tuple[str, ...] | None = None) -> str:
     """Newest snapshot tagged within the last ``max_days`` days (today
-    included) and larger than ``min_bytes``; error when there is none."""
+    included) and larger than ``min_bytes``; error when there is none.
+    ``exts`` keeps some formats (``READABLE``: those that can be loaded)."""
+    if exts is not None:
+        cat = cat.where(F.col("ext").isin(*exts))
     as_of = as_of or dt.date.today()
     lo = as_of - dt.timedelta(days=max_days - 1)
     ok = cat.where(F.col("tag_date").between(lo, as_of) & (F.col("length") > min_bytes))
@@ -177,8 +193,14 @@ def _ext(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
 
 
-def read_source(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Raw source frame by extension: parquet, csv (header) or json.
+#: Formats that ``read_source`` reads; workbooks must be exported first.
+READABLE = ("parquet", "csv")
+
+
+def read_source(spark: SparkSession, path: str, fmt: str | None = None,
+                multi_line: bool = False) -> DataFrame:
+    """Raw source frame by extension: parquet, csv (header, doubled quotes;
+    ``multi_line`` for line breaks in cells) or json.
 
     Workbooks need a per-file reader that this environment does not ship;
     export the raw sheet to CSV or Parquet first.
@@ -187,7 +209,7 @@ def read_source(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "csv":
-        return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        return csv_reader(spark, multi_line).csv(path)
     if fmt == "json":
         return spark.read.json(path)
     if fmt == "xlsx":
@@ -201,44 +223,77 @@ def scan_report(spark: SparkSession, path: str, fmt: str | None = None,
     return conform(read_source(spark, path, fmt), headers, extra_headers)
 
 
+class UnreadableSnapshot(ValueError):
+    """A snapshot that must not replace an earlier one: a required column is
+    missing, no row has a date, or a required measure has unreadable cells."""
+
+
 def ingest_snapshot(spark: SparkSession, src: str, out: str, fmt: str | None = None,
                     headers: dict | None = None, extra_headers: dict | None = None,
-                    partition_by: str | None = "report_date") -> dict:
+                    partition_by: str | None = "report_date", allow_unreadable: bool = False,
+                    multi_line: bool = False) -> dict:
     """S6 + S8: conform a raw export and write it as typed Parquet, partitioned
-    by day so date predicates prune files; returns the audit (rows, MB).
+    by day so date predicates prune files; returns the audit: rows, MB and,
+    per date or measure column, the cells that could not be read.
 
-    ``rebalance`` lets AQE split a day that holds a large share of the rows
-    into several files instead of one oversized task.
+    Everything is counted in the pass that writes (``observe``), beside the
+    target; the result replaces ``out`` only if a row has a date and, unless
+    ``allow_unreadable``, all cells of the required measures could be read.
+    """
+    raw = read_source(spark, src, fmt, multi_line)
+    try:
+        fact = conform(raw, headers, extra_headers)
+    except ValueError as e:
+        raise UnreadableSnapshot(str(e)) from e
+    bad = unreadable(raw, headers, extra_headers)
+    flags = [c.cast("int").alias(f"_bad_{n}") for n, c in bad.items()]
+    both = conform(raw.select("*", *flags), headers, extra_headers) if flags else fact
+    seen = Observation()
+    counted = both.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count("report_date").alias("dated"),
+        *[F.coalesce(F.sum(F.col(f"_bad_{n}").cast("long")), F.lit(0)).alias(f"bad_{n}") for n in bad])
+    staged = f"{out.rstrip('/')}.incoming"
+    write_fact(counted.select(*fact.columns), staged, partition_by)
+    got = seen.get
+    cells = {n: int(got[f"bad_{n}"]) for n in bad}
+    if not got["dated"]:
+        raise UnreadableSnapshot(f"{src} has no row with a readable date")
+    refused = {n: k for n, k in cells.items() if k and n in REQUIRED and n != "report_date"}
+    if refused and not allow_unreadable:
+        raise UnreadableSnapshot(f"{src} has unreadable cells in required measures: {refused}")
+    replace_path(spark, staged, out)
+    return {"rows": int(got["rows"]), "size_mb": path_size(spark, out) / (1024 * 1024),
+            "unreadable": {n: k for n, k in cells.items() if k}}
+
+
+def write_fact(df: DataFrame, path: str, partition_by: str | None = "report_date") -> None:
+    """Write a fact as Parquet. ``rebalance`` deals rows by day, and AQE splits a
+    day that holds a large share of them instead of writing one huge file.
+
+    Without ``partition_by`` (days too small for a folder each) rows are dealt
+    by month and sorted by date, so that row groups cover few days and date
+    predicates skip the others.
     """
-    df = scan_report(spark, src, fmt, headers, extra_headers)
-    w = df.hint("rebalance", partition_by) if partition_by else df.hint("rebalance")
-    writer = w.write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(out)
-    return ingest_audit(spark, out)
-
+        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    else:
+        (df.withColumn("_month", F.trunc("report_date", "MM")).hint("rebalance", "_month").drop("_month")
+           .sortWithinPartitions("report_date").write.mode("overwrite").parquet(path))
 
-def files_for(spark: SparkSession, source_bytes: int, target_mb: int = 128) -> int:
-    """Output file count for a rewrite of ``source_bytes`` of input: about
-    ``target_mb`` per file, never fewer than the cluster's parallelism."""
-    per = target_mb * 1024 * 1024
-    return max(spark.sparkContext.defaultParallelism, -(-int(source_bytes) // per))
 
-
-def write_date_ordered(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Write a fact as Parquet files that each cover a contiguous date range,
-    rows sorted by date inside: a date predicate then reaches the scan
-    (PushedFilters) and skips files and row groups by their min/max.
-
-    The range partitioning is on (report_date, row hash): a day that holds a
-    large share of the rows is split over several files instead of one task.
-    An alternative to ``partitionBy("report_date")`` when days are small.
-    """
-    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, F.col("report_date"), F.xxhash64(*[F.col(c) for c in df.columns]))
-       .sortWithinPartitions("report_date")
-       .write.mode("overwrite").parquet(path))
+def replace_path(spark: SparkSession, staged: str, out: str) -> None:
+    """Puts a finished folder in the place of an earlier one."""
+    h = _hadoop(spark, out)
+    if h is None:
+        import shutil
+        shutil.rmtree(_local(out), ignore_errors=True)
+        os.replace(_local(staged), _local(out))
+        return
+    fs, target = h
+    source = _hadoop(spark, staged)[1]
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"{staged} could not be renamed to {out}")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -278,11 +333,17 @@ def needs_ingest(spark: SparkSession, src: str, out: str) -> bool:
     return done is None or done < (_mtime_ms(spark, src) or 0)
 
 
+def audit_rows(fact: DataFrame) -> DataFrame:
+    """S8, what a snapshot's rows say: their number, days, first and last day."""
+    d = F.col("report_date")
+    return fact.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(d).alias("n_days"),
+                    F.min(d).alias("first_day"), F.max(d).alias("last_day"))
+
+
 def ingest_audit(spark: SparkSession, path: str) -> dict:
     """Row count of a written snapshot and its size in MB."""
-    rows = spark.read.parquet(path).count()
-    size = path_size(spark, path)
-    return {"rows": int(rows), "size_mb": size / (1024 * 1024)}
+    row = audit_rows(spark.read.parquet(path)).first()
+    return {"rows": int(row["n_rows"]), "size_mb": path_size(spark, path) / (1024 * 1024)}
 
 
 def stale_conversions(src: DataFrame, dst: DataFrame) -> DataFrame:

@@ -2,17 +2,24 @@
 
 Columns are positional (channel, target cost, target revenue, target ROAS);
 header names do not matter. The channel is trimmed, blank or unreadable
-numbers count as 0, and when a channel appears twice the later row wins.
-Any read failure gives an empty table, so a report without targets still
-runs.
+numbers count as 0. A channel that appears again keeps its first place and takes
+the later values. A missing file gives an empty table, so figures without
+targets still come out; any other failure does so as well, but is logged.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adpulse.functions.labels import strip
+from adpulse.sources.schema import csv_reader
+
+log = logging.getLogger(__name__)
+
 TARGET_SCHEMA = T.StructType([
     T.StructField("target_idx", T.LongType()),
     T.StructField("channel", T.StringType()),
@@ -23,34 +30,40 @@ TARGET_SCHEMA = T.StructType([
 
 
 def conform_targets(raw: DataFrame) -> DataFrame:
-    """Positional columns → named, trimmed and typed; last duplicate wins."""
+    """Positional columns → named, trimmed and typed; of a repeated channel the
+    first place and the last values."""
     cols = raw.columns
     if len(cols) < 4:
         raise ValueError("target table needs four columns: channel, cost, revenue, ROAS")
     named = raw.select(
         F.monotonically_increasing_id().alias("_row"),
-        F.trim(F.col(f"`{cols[0]}`").cast("string")).alias("channel"),
-        *[F.coalesce(F.trim(F.col(f"`{c}`").cast("string")).try_cast("double"), F.lit(0.0)).alias(n)
+        strip(F.col(f"`{cols[0]}`")).alias("channel"),
+        *[F.coalesce(strip(F.col(f"`{c}`")).try_cast("double"), F.lit(0.0)).alias(n)
           for c, n in zip(cols[1:4], ("target_cost", "target_rev", "target_roas"))],
     )
-    last = Window.partitionBy("channel").orderBy(F.col("_row").desc())
-    dedup = named.withColumn("_n", F.row_number().over(last)).where(F.col("_n") == 1)
+    values = F.struct("target_cost", "target_rev", "target_roas")
+    dedup = named.groupBy("channel").agg(F.min("_row").alias("_row"),
+                                         F.max_by(values, "_row").alias("v"))
+    # a few configured rows
     order = Window.partitionBy().orderBy("_row")
     return dedup.select(F.row_number().over(order).cast("bigint").alias("target_idx"),
-                        "channel", "target_cost", "target_rev", "target_roas")
+                        "channel", "v.*")
 
 
 def load_targets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Read a target file (csv with a header row, or parquet); empty on failure."""
+    """Read a target file (csv with a header row, or parquet); empty if there is
+    none, or, with a warning in the log, if it can't be read."""
     try:
         if fmt == "csv":
-            raw = spark.read.option("header", True).csv(path)
+            raw = csv_reader(spark).csv(path)
         else:
             raw = spark.read.format(fmt).load(path)
         out = conform_targets(raw)
         out.take(1)
         return out
-    except Exception:
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            log.warning("targets %s not read, their figure stays empty: %s", path, e)
         return spark.createDataFrame([], TARGET_SCHEMA)
 
 

@@ -1,37 +1,41 @@
 """Snapshot ingest as a Structured Streaming job.
 
-A folder receives daily report exports. The file source picks up every new
-file whose name matches the snapshot pattern; each micro-batch is split by
-source file tag and every tag is conformed and written as its own
-date-partitioned Parquet snapshot ``<out>/tag=<YYMMDD>/``, replacing that tag
-entirely (a re-delivered tag overwrites, so replays are idempotent). A tag
-that fails to conform is recorded in ``<out>/_quarantine`` and the stream
-goes on. Optionally each new snapshot's report (every figure of
-``DailyReport``) is written next, under ``<report_out>/tag=<YYMMDD>/``.
-
-Settling (T2): the file source never reads names starting with ``_`` or
-``.``, so producers write under such a temporary name and rename when done;
-no sleep is needed. The file source sees each path once: a file rewritten in
-place under the same name is not a new file. Re-dumps of the same tag are
-caught by running ``sources.snapshots.stale_conversions`` (mtime catalog) as
-a scheduled batch, or by versioned names.
+A folder receives daily exports: files, or directories of part files. The stream
+reads names only (the file source of ``binaryFile`` without its content). For each
+date tag that a micro-batch brings something new of, the one preferred snapshot of
+that tag in the folder (S1's order: Parquet before other formats, the space form of
+the name before the hyphen form) is ingested as ``<out>/tag=<YYMMDD>/``, replacing
+that tag entirely. Every snapshot is a full re-dump, so two files of a tag are never
+added up, and a replayed batch gives the same result. Optionally each new snapshot's
+figures are written next, under ``<report_out>/tag=<YYMMDD>/``.
+
+A snapshot that can't be used (a required column missing, no readable date,
+unreadable cells in a required measure) is recorded in ``<out>/_quarantine`` and the
+stream goes on. Any other error, such as a storage or executor failure, ends the
+batch: it is not committed and is tried again when the stream restarts.
+
+Settling (T2): the file source never reads names starting with ``_`` or ``.``, so
+producers write under such a temporary name (a directory as well) and rename when
+done; no sleep is needed. The file source sees each path once: a file rewritten in
+place under the same name is not a new file. Such re-dumps are caught by running
+``sources.snapshots.stale_conversions`` (mtime catalog) as a scheduled batch, or by
+versioned names.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from adpulse.session import scratch_path
-from adpulse.sources.schema import conform
-from adpulse.sources.snapshots import REPORT_NAME_RE
+from adpulse.sources.snapshots import (READABLE, REPORT_NAME_RE, UnreadableSnapshot, ingest_snapshot,
+                                       latest_per_tag, snapshot_catalog)
 
+# what the file source offers; only the path is used, so no file is read
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 QUARANTINE_SCHEMA = T.StructType([
     T.StructField("tag", T.StringType()),
     T.StructField("source", T.StringType()),
@@ -41,17 +45,8 @@ QUARANTINE_SCHEMA = T.StructType([
 ])
 
 
-def _write_tag(df: DataFrame, out_dir: str, tag: str, headers, extra_headers) -> None:
-    fact = conform(df, headers, extra_headers)
-    if fact.where(F.col("report_date").isNotNull()).limit(1).count() == 0:
-        raise ValueError(f"snapshot {tag} has no row with a readable date")
-    (fact.hint("rebalance", "report_date")
-         .write.mode("overwrite").partitionBy("report_date")
-         .parquet(f"{out_dir.rstrip('/')}/tag={tag}"))
-
-
 def _write_report(spark: SparkSession, out_dir: str, report_out: str, tag: str, cfg,
-                  targets_path: str | None) -> None:
+                  targets_path: str | None, brand: str | None = None) -> None:
     """The report of one freshly written snapshot (every figure, overwrite)."""
     from adpulse.config import DEFAULT_CONFIG
     from adpulse.operators.anchors import anchors_from_dates
@@ -62,80 +57,68 @@ def _write_report(spark: SparkSession, out_dir: str, report_out: str, tag: str,
     days = partition_values(spark, path, "report_date")
     anchors = anchors_from_dates(dt.date.fromisoformat(d) for d in days) if days else None
     targets = load_targets(spark, targets_path) if targets_path else None
-    report = DailyReport(spark.read.parquet(path), cfg or DEFAULT_CONFIG, targets, anchors=anchors)
+    report = DailyReport(spark.read.parquet(path), cfg or DEFAULT_CONFIG, targets, brand=brand,
+                         anchors=anchors)
     report.write_all(f"{report_out.rstrip('/')}/tag={tag}")
 
 
-def make_batch_writer(out_dir: str, name_re: str = REPORT_NAME_RE, headers: dict | None = None,
-                      extra_headers: dict | None = None, report_out: str | None = None,
-                      cfg=None, targets_path: str | None = None):
-    """foreachBatch function: split a micro-batch by file tag, write each;
-    with ``report_out``, also write that tag's report figures."""
+def make_batch_writer(watch_dir: str, out_dir: str, name_re: str = REPORT_NAME_RE,
+                      headers: dict | None = None, extra_headers: dict | None = None,
+                      report_out: str | None = None, cfg=None, targets_path: str | None = None,
+                      exts: tuple[str, ...] = READABLE, brand: str | None = None):
+    """foreachBatch function: the tags of a micro-batch's names, and for each the
+    folder's preferred snapshot ingested; with ``report_out``, also its figures."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        name = F.regexp_extract(F.col("_source"), r"([^/]+)$", 1)
-        tagged = batch.withColumn("_tag", F.regexp_extract(name, name_re, 3)) \
-                      .where(F.col("_tag") != "")
-        # The batch feeds one write per tag: read the new files once.
-        tagged.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            files = tagged.select("_tag", "_source").distinct().collect()  # one row per file
-            by_tag: dict[str, list[str]] = {}
-            for r in files:
-                by_tag.setdefault(r["_tag"], []).append(r["_source"])
-            bad = []
-            for tag in sorted(by_tag):
-                part = tagged.where(F.col("_tag") == tag).drop("_tag", "_source")
-                try:
-                    _write_tag(part, out_dir, tag, headers, extra_headers)
-                except Exception as e:  # a bad file must not stop the stream
-                    bad.append((tag, ",".join(sorted(by_tag[tag])), str(e)[:1000], int(batch_id),
-                                dt.datetime.now()))
-                    continue
-                if report_out:
-                    try:
-                        _write_report(batch.sparkSession, out_dir, report_out, tag, cfg,
-                                      targets_path)
-                    except Exception as e:  # the snapshot stands; record the failed report
-                        bad.append((tag, ",".join(sorted(by_tag[tag])), f"report: {e}"[:1000],
-                                    int(batch_id), dt.datetime.now()))
-            if bad:
-                (batch.sparkSession.createDataFrame(bad, QUARANTINE_SCHEMA)
-                      .write.mode("append").parquet(f"{out_dir.rstrip('/')}/_quarantine"))
-        finally:
-            tagged.unpersist()
+        spark, out = batch.sparkSession, out_dir.rstrip("/")
+        # a snapshot is a file or a directory below the folder: any part of the
+        # path may bear its name; one row a tag comes back
+        part = F.explode(F.split(F.url_decode("path"), "/"))
+        tags = (batch.select(part.alias("name")).where(F.col("name").rlike(name_re))
+                .select(F.regexp_extract("name", name_re, 3).alias("tag")).distinct())
+        wanted = [r["tag"] for r in tags.collect()]
+        if not wanted:
+            return
+        found = snapshot_catalog(spark, watch_dir, name_re)
+        chosen = latest_per_tag(found.where(F.col("tag").isin(*wanted) & F.col("ext").isin(*exts)))
+        bad = []
+        for row in sorted(chosen.select("tag", "path").collect()):
+            tag, path = row["tag"], row["path"]
+            try:
+                ingest_snapshot(spark, path, f"{out}/tag={tag}", headers=headers, extra_headers=extra_headers)
+            except UnreadableSnapshot as e:
+                bad.append((tag, path, str(e), int(batch_id), dt.datetime.now()))
+                continue
+            if report_out:
+                _write_report(spark, out, report_out, tag, cfg, targets_path, brand)
+        if bad:
+            (spark.createDataFrame(bad, QUARANTINE_SCHEMA)
+                  .write.mode("append").parquet(f"{out}/_quarantine"))
 
     return write_batch
 
 
 def start_ingest_stream(spark: SparkSession, watch_dir: str, out_dir: str,
-                        source_schema: T.StructType, fmt: str = "csv",
                         checkpoint: str | None = None, name_re: str = REPORT_NAME_RE,
                         headers: dict | None = None, extra_headers: dict | None = None,
                         available_now: bool = False,
                         processing_time: str = "30 seconds", report_out: str | None = None,
                         cfg=None, targets_path: str | None = None,
-                        max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the watcher stream. ``source_schema`` is the raw export's schema
-    (all strings is fine: ``conform`` casts). ``available_now`` processes what
-    is there and stops (scheduled runs, tests). With ``report_out`` every new
-    snapshot is also turned into its report under ``<report_out>/tag=<tag>``.
-    ``max_files_per_trigger`` bounds how many (possibly very large) snapshot
-    files one micro-batch takes on."""
-    reader = spark.readStream.schema(source_schema).format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "PERMISSIVE")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    ext = {"csv": "csv", "parquet": "parquet", "json": "json"}.get(fmt, fmt)
-    src = (reader.option("pathGlobFilter", f"*.{ext}")
-                 .load(watch_dir)
-                 .withColumn("_source", F.url_decode(F.col("_metadata.file_path"))))
-    digest = hashlib.sha1(out_dir.encode()).hexdigest()[:12]
-    ckpt = checkpoint or scratch_path(spark, f"ingest-stream-{digest}")
-    writer = make_batch_writer(out_dir, name_re, headers, extra_headers, report_out, cfg,
-                               targets_path)
+                        max_files_per_trigger: int = 10_000,
+                        exts: tuple[str, ...] = READABLE, brand: str | None = None) -> StreamingQuery:
+    """Start the watcher stream. ``available_now`` processes what is there and
+    stops (scheduled runs, tests). With ``report_out`` every new snapshot's
+    figures (of one ``brand`` if given) are written under
+    ``<report_out>/tag=<tag>``. The stream's state is kept under
+    ``<out_dir>/_checkpoint`` unless another place is named, so a restart goes
+    on where it stopped."""
+    src = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+                .option("recursiveFileLookup", True)
+                .option("maxFilesPerTrigger", int(max_files_per_trigger))
+                .load(watch_dir).select("path"))
+    writer = make_batch_writer(watch_dir, out_dir, name_re, headers, extra_headers, report_out, cfg,
+                               targets_path, exts, brand)
     w = (src.writeStream.foreachBatch(writer)
-            .option("checkpointLocation", ckpt))
+            .option("checkpointLocation", checkpoint or f"{out_dir.rstrip('/')}/_checkpoint"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()

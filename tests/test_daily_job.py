@@ -24,3 +24,26 @@ def test_daily_job_end_to_end(spark, tmp_path):
     # A second run finds the converted snapshot up to date and skips ingest.
     again = run_daily(spark, str(reports), facts, out, CFG, as_of=dt.date(2026, 4, 5))
     assert again["ingested"] is None
+
+
+def test_newest_readable_snapshot_is_taken(spark, tmp_path):
+    """A workbook can't be loaded here; the job names it and goes on."""
+    reports = tmp_path / "reports"
+    reports.mkdir()
+    raw_pdf(n_days=2).to_parquet(reports / f"{STEM} Report_260401.parquet", index=False)
+    (reports / f"{STEM} Report_260404.xlsx").write_bytes(b"x" * 500)
+    res = run_daily(spark, str(reports), str(tmp_path / "facts"), str(tmp_path / "out"), CFG,
+                    as_of=dt.date(2026, 4, 5))
+    assert res["tag"] == "260401" and res["skipped"].endswith("260404.xlsx")
+
+
+def test_a_brand_column_by_its_header(spark, tmp_path):
+    reports = tmp_path / "reports"
+    reports.mkdir()
+    pdf = raw_pdf(n_days=2)
+    pdf["split"] = ["one", "two", "one"] * 2
+    pdf.to_parquet(reports / f"{STEM} Report_260402.parquet", index=False)
+    res = run_daily(spark, str(reports), str(tmp_path / "facts"), str(tmp_path / "out"), CFG,
+                    as_of=dt.date(2026, 4, 5), extra_headers={"split": "brand"}, brand="two")
+    got = spark.read.parquet(f"{res['out']}/campaign_mtd_top").collect()
+    assert {r["campaign"] for r in got} == {"c1"}

@@ -14,6 +14,7 @@ from adpulse.sources import snapshots as snap
 from adpulse.sources.schema import SOURCE_HEADERS, conform
 from conftest import CFG
 
+# File names and headers as the source writes them.
 STEM = "Acme_Daily"
 
 
@@ -207,3 +208,73 @@ def test_unreadable_measure_cell_becomes_null(spark):
     f = conform(df)
     assert f.where(F.col("cost").isNull()).count() == 1
     assert f.agg(F.sum("cost")).collect()[0][0] == 100
+
+
+def write_raw(path, rows):
+    lines = ["날짜,매체상세,비용(markup+),(스마트스토어센터기준) 전체 매출,(대시보드기준) 전체 매출", *rows]
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def test_doubled_quotes_keep_columns_in_place(spark, tmp_path):
+    src = write_raw(tmp_path / "a.csv", ['2026-04-01,"a ""b"", c",10,20,30', '2026-04-01,"line\nbreak",1,2,3'])
+    rows = snap.scan_report(spark, src).where("cost = 10").collect()
+    assert [(r["media"], r["cost"], r["rev_ss"], r["rev_db"]) for r in rows] == [('a "b", c', 10, 20, 30)]
+    whole = conform(snap.read_source(spark, src, multi_line=True)).collect()
+    assert sorted(r["media"] for r in whole) == ['a "b", c', "line\nbreak"]
+
+
+def test_thousands_and_unreadable_cells(spark, tmp_path):
+    """1,234 is a number; 50%, 1,23 and amounts too wide are counted and refused."""
+    good = write_raw(tmp_path / "good.csv", ['2026-04-01,Search,"1,234"," 2,345,678.5 ",-3', '2026-04-01,Search,,1,2'])
+    audit = snap.ingest_snapshot(spark, good, str(tmp_path / "out"))
+    assert audit["rows"] == 2 and audit["unreadable"] == {}
+    got = spark.read.parquet(str(tmp_path / "out")).agg(F.sum("cost"), F.sum("rev_ss"), F.sum("rev_db")).first()
+    assert [float(x) for x in got] == [1234.0, 2345679.5, -1.0]
+    bad = write_raw(tmp_path / "bad.csv", ["2026-04-01,Search,50%,100000000000000,4", '2026-04-01,Search,"1,23",2,3',
+                                          "soon,Search,1,2,3"])
+    with pytest.raises(snap.UnreadableSnapshot, match="'cost': 2, 'rev_ss': 1"):
+        snap.ingest_snapshot(spark, bad, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2  # the earlier one stays
+    audit = snap.ingest_snapshot(spark, bad, str(tmp_path / "out"), allow_unreadable=True)
+    assert audit["rows"] == 3 and audit["unreadable"] == {"report_date": 1, "cost": 2, "rev_ss": 1}
+
+
+def test_missing_columns_and_dates_refuse_a_snapshot(spark, tmp_path):
+    with pytest.raises(snap.UnreadableSnapshot, match="readable date"):
+        snap.ingest_snapshot(spark, write_raw(tmp_path / "a.csv", ["x,Search,1,2,3"]), str(tmp_path / "out"))
+    (tmp_path / "b.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(snap.UnreadableSnapshot, match="missing required"):
+        snap.ingest_snapshot(spark, str(tmp_path / "b.csv"), str(tmp_path / "out"))
+
+
+def test_latest_per_tag(spark, tmp_path):
+    """The preferred file of every tag."""
+    for name in ("260401.xlsx", "260401.parquet", "260402.xlsx"):
+        touch(tmp_path, f"{STEM} Report_{name}")
+    touch(tmp_path, f"{STEM}-Report_260401.parquet")
+    got = snap.latest_per_tag(snap.snapshot_catalog(spark, str(tmp_path))).collect()
+    assert sorted(r["name"] for r in got) == [f"{STEM} Report_260401.parquet", f"{STEM} Report_260402.xlsx"]
+
+
+def test_storage_errors_are_not_an_empty_folder(spark):
+    with pytest.raises(Exception, match="(?i)no filesystem|nosuch"):
+        snap.snapshot_catalog(spark, "nosuch://bucket/reports")
+
+
+def test_file_identity_sees_part_files(spark, tmp_path):
+    d = tmp_path / "t.parquet"
+    d.mkdir()
+    part = touch(d, "part-0", mtime=1_000_000_000)
+    one = snap.file_identity(spark, [str(d)])
+    assert one == snap.file_identity(spark, [str(d)]) and one[0][1:3] == (1, 500)
+    part.write_bytes(b"y" * 500)
+    assert snap.file_identity(spark, [str(d)]) != one
+
+
+def test_parity_is_exact(spark, make_fact):
+    """Totals beyond a DOUBLE's digits that differ by 0.01 are not equal."""
+    rows = [dict(media="a", rev_ss="99999999999999.99")] * 2
+    other = [dict(media="a", rev_ss="99999999999999.99"), dict(media="a", rev_ss="99999999999999.98")]
+    assert snapshot_parity(make_fact(rows), make_fact(other)).first()["ok"] is False
+    assert snapshot_parity(make_fact(rows), make_fact(rows)).first()["ok"] is True

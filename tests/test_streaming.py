@@ -3,8 +3,8 @@ from pyspark.sql import types as T
 
 from adpulse.streaming.ingest import start_ingest_stream
 
+# Headers and file names as the source writes them.
 HEAD = ["날짜", "매체상세", "비용(markup+)", "(스마트스토어센터기준) 전체 매출", "(대시보드기준) 전체 매출"]
-SCHEMA = T.StructType([T.StructField(h, T.StringType()) for h in HEAD])
 
 
 def write_csv(path, rows):
@@ -24,7 +24,7 @@ def test_stream_ingest_per_tag_and_quarantine(spark, tmp_path):
     write_csv(watch / "_Acme_Daily Report_260402.csv", [("2026-04-02", "Search", 1, 1, 1)])
     write_csv(watch / "notes.csv", [("2026-04-02", "Search", 1, 1, 1)])
     ckpt = str(tmp_path / "ckpt")
-    q = start_ingest_stream(spark, str(watch), str(out), SCHEMA, checkpoint=ckpt, available_now=True)
+    q = start_ingest_stream(spark, str(watch), str(out), checkpoint=ckpt, available_now=True)
     q.awaitTermination(120)
     snap = spark.read.parquet(str(out / "tag=260401"))
     assert snap.count() == 2
@@ -34,7 +34,7 @@ def test_stream_ingest_per_tag_and_quarantine(spark, tmp_path):
     # Second delivery: a new tag plus a broken file (no readable date).
     write_csv(watch / "Acme_Daily Report_260402.csv", [("2026-04-02", "Search", 3, 9, 9)])
     write_csv(watch / "Acme_Daily-Report_260403.csv", [("garbage", "Search", 3, 9, 9)])
-    q = start_ingest_stream(spark, str(watch), str(out), SCHEMA, checkpoint=ckpt, available_now=True)
+    q = start_ingest_stream(spark, str(watch), str(out), checkpoint=ckpt, available_now=True)
     q.awaitTermination(120)
     assert q.exception() is None
     assert spark.read.parquet(str(out / "tag=260402")).count() == 1
@@ -45,29 +45,6 @@ def test_stream_ingest_per_tag_and_quarantine(spark, tmp_path):
     assert spark.read.parquet(str(out / "tag=260401")).count() == 2
 
 
-def test_events_stream_smoke(spark, tmp_path):
-    """The driver's event table through the Structured Streaming file source
-    (parquet, availableNow) into a memory sink: every row arrives once."""
-    import os
-    import shutil
-    src = "/root/testdata/sf0.001/events.parquet"
-    if not os.path.exists(src):
-        return
-    watch = tmp_path / "events"
-    watch.mkdir()
-    shutil.copy(src, watch / "part-0.parquet")
-    schema = spark.read.parquet(str(watch)).schema
-    stream = (spark.readStream.schema(schema).parquet(str(watch))
-                   .groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
-    q = (stream.writeStream.outputMode("complete").format("memory").queryName("events_smoke")
-               .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    got = {r["event_type"]: r["n"] for r in spark.sql("SELECT * FROM events_smoke").collect()}
-    want = {r["event_type"]: r["n"] for r in
-            spark.read.parquet(src).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert got == want and sum(got.values()) > 0
-
-
 def test_stream_ingest_pandas_parquet_exports(spark, tmp_path):
     """Parquet exports written by pandas (nanosecond timestamps) stream in and
     land with a DATE column."""
@@ -80,9 +57,7 @@ def test_stream_ingest_pandas_parquet_exports(spark, tmp_path):
                         "(스마트스토어센터기준) 전체 매출": [10.0, 20.0],
                         "(대시보드기준) 전체 매출": [9.0, 19.0]})
     pdf.to_parquet(watch / "Acme_Daily Report_260402.parquet", index=False)
-    schema = spark.read.parquet(str(watch)).schema
-    q = start_ingest_stream(spark, str(watch), str(out), schema, fmt="parquet",
-                            checkpoint=str(tmp_path / "ck"), available_now=True)
+    q = start_ingest_stream(spark, str(watch), str(out), checkpoint=str(tmp_path / "ck"), available_now=True)
     q.awaitTermination(120)
     snap = spark.read.parquet(str(out / "tag=260402"))
     assert isinstance(snap.schema["report_date"].dataType, T.DateType)
@@ -98,10 +73,76 @@ def test_stream_writes_the_report_of_each_new_snapshot(spark, tmp_path):
     write_csv(watch / "Acme_Daily Report_260402.csv",
               [("2026-04-01", "Search", 10, 50, 40), ("2026-04-02", "Search", 5, 80, 10)])
     out, rep = tmp_path / "out", tmp_path / "report"
-    q = start_ingest_stream(spark, str(watch), str(out), SCHEMA, checkpoint=str(tmp_path / "ck"),
+    q = start_ingest_stream(spark, str(watch), str(out), checkpoint=str(tmp_path / "ck"),
                             available_now=True, report_out=str(rep), cfg=CFG,
                             max_files_per_trigger=1)
     q.awaitTermination(180)
     assert q.exception() is None
     ms = spark.read.parquet(str(rep / "tag=260402" / "media_summary")).collect()
     assert [(r["media"], r["rev_delta"]) for r in ms] == [("Search", 30.0)]
+
+
+def run(spark, watch, out, **more):
+    q = start_ingest_stream(spark, str(watch), str(out), available_now=True, **more)
+    q.awaitTermination(180)
+    assert q.exception() is None
+
+
+def test_one_file_of_a_tag_wins(spark, tmp_path):
+    """Two names of one tag are the same report: S1's order picks one, also when
+    the other arrives later; nothing is added up."""
+    watch, out = tmp_path / "watch", tmp_path / "out"
+    watch.mkdir()
+    write_csv(watch / "Acme_Daily-Report_260401.csv", [("2026-04-01", "Search", 1, 1, 1)])
+    run(spark, watch, out)
+    assert spark.read.parquet(str(out / "tag=260401")).first()["cost"] == 1
+    write_csv(watch / "Acme_Daily Report_260401.csv", [("2026-04-01", "Search", 10, 50, 40)])
+    write_csv(watch / "Bcme_Daily Report_260401.csv", [("2026-04-01", "Search", 77, 50, 40)])
+    run(spark, watch, out)
+    assert [r["cost"] for r in spark.read.parquet(str(out / "tag=260401")).collect()] == [10]
+
+
+def test_a_directory_of_part_files_is_a_snapshot(spark, tmp_path):
+    watch, out = tmp_path / "watch", tmp_path / "out"
+    watch.mkdir()
+    rows = spark.createDataFrame([("2026-04-01", "Search", 1.0, 2.0, 3.0), ("2026-04-02", "Search", 4.0, 2.0, 3.0)], HEAD)
+    rows.repartition(2).write.parquet(str(watch / "_writing"))
+    run(spark, watch, out)
+    (watch / "_writing").rename(watch / "Acme_Daily Report_260402.parquet")
+    run(spark, watch, out)
+    assert spark.read.parquet(str(out / "tag=260402")).agg(F.sum("cost")).first()[0] == 5
+
+
+def test_a_passing_error_is_tried_again_and_a_restart_reads_nothing_twice(spark, tmp_path, monkeypatch):
+    from adpulse.streaming import ingest
+    watch, out = tmp_path / "watch", tmp_path / "out"
+    watch.mkdir()
+    write_csv(watch / "Acme_Daily Report_260401.csv", [("2026-04-01", "Search", 10, 50, 40)])
+    calls, real = [], ingest.ingest_snapshot
+
+    def fails_once(*args, **kw):
+        calls.append(args[1])
+        if len(calls) == 1:
+            raise OSError("storage is away")
+        return real(*args, **kw)
+
+    monkeypatch.setattr(ingest, "ingest_snapshot", fails_once)
+    q = start_ingest_stream(spark, str(watch), str(out), available_now=True)
+    try:
+        q.awaitTermination(120)
+    except Exception as e:  # the stream ends with the error
+        assert "storage is away" in str(e)
+    assert not (out / "tag=260401").exists() and not (out / "_quarantine").exists()
+    run(spark, watch, out)
+    assert spark.read.parquet(str(out / "tag=260401")).count() == 1 and len(calls) == 2
+    run(spark, watch, out)
+    assert len(calls) == 2
+
+
+def test_unreadable_cells_go_to_quarantine(spark, tmp_path):
+    watch, out = tmp_path / "watch", tmp_path / "out"
+    watch.mkdir()
+    write_csv(watch / "Acme_Daily Report_260401.csv", [("2026-04-01", "Search", "50%", 50, 40)])
+    run(spark, watch, out)
+    bad = spark.read.parquet(str(out / "_quarantine")).first()
+    assert bad["tag"] == "260401" and "'cost': 1" in bad["error"] and not (out / "tag=260401").exists()
