@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A click rate is a few tenths of a percent, so it is shown finer than ROAS.
+CTR_DECIMALS = 3
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

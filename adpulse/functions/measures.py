@@ -118,15 +118,3 @@ def ratio(num, den, scale: float = 1.0, name: str | None = None) -> Column:
 
 def roas(rev, cost, name: str | None = None) -> Column:
     return ratio(rev, cost, 100.0, name)
-
-
-def derived_rates(prefix: str = "", suffix: str = "") -> list[Column]:
-    """CPC, CTR(%), ROAS SS and ROAS DB from already summed measure columns."""
-    def n(x):
-        return f"{prefix}{x}{suffix}"
-    return [
-        ratio(n("cost"), n("clicks"), name=n("cpc")),
-        ratio(n("clicks"), n("impressions"), 100.0, name=n("ctr")),
-        roas(n("rev_ss"), n("cost"), name=n("roas_ss")),
-        roas(n("rev_db"), n("cost"), name=n("roas_db")),
-    ]

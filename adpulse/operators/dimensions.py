@@ -14,12 +14,13 @@ FILTER_DIMENSIONS = ("brand", "media", "campaign", "ad_group")
 def dimension_values(fact: DataFrame, dims: tuple[str, ...] = FILTER_DIMENSIONS) -> DataFrame:
     """distinct non-null values of each filter dimension, as text, sorted.
 
-    One scan: each row fans out to one (dimension, value) pair per dimension
-    and a single distinct aggregate (partial per task) removes repeats.
+    The distinct combinations come first (partial aggregation leaves a few
+    thousand rows of them); only these fan out to one pair per dimension.
     """
-    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
-                      for d in dims if d in fact.columns])
-    out = fact.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+    dims = [d for d in dims if d in fact.columns]
+    keys = fact.select(*[F.col(d).cast("string").alias(d) for d in dims]).distinct()
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims])
+    out = keys.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
     return out.orderBy("dimension", "value")
 
 
@@ -41,6 +42,16 @@ def cascading_filter(fact: DataFrame, cfg: ReportConfig) -> DataFrame:
     return out.orderBy("media", "campaign", "ad_group")
 
 
+def choice_keys(fact: DataFrame, cfg: ReportConfig) -> DataFrame:
+    """The distinct keys that the choice lists and the promo classes of the whole
+    history need, from one pass: its rows stand for the fact's in
+    ``dimension_values``, ``cascading_filter`` and as ``history`` of ``promo_split``
+    (which look at keys, not at measures)."""
+    cols = [c for c in (*FILTER_DIMENSIONS, "promo") if c in fact.columns]
+    usable = F.when(valid_label("creative"), F.lit("x"))
+    return fact.select(*cols, usable.alias("creative")).distinct()
+
+
 def valid_product_rows(fact: DataFrame, cfg: ReportConfig) -> DataFrame:
     """fact rows whose product label is usable (not null, not blank, not
     '-', not the missing label)."""

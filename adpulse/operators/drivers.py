@@ -21,7 +21,8 @@ from adpulse.functions.labels import (direction, is_market_channel, is_store_cha
 from adpulse.operators.anchors import Anchors, anchors_of
 from adpulse.operators.compare import (influence_cols, influence_order, two_day_compare,
                                        two_day_sums, with_deltas)
-from adpulse.operators.ranking import top_k_per_group
+from adpulse.operators.ranking import creative_rows, top_k_per_group
+from adpulse.operators.totals import brand_filter
 
 SECTIONS = ("store", "market")
 
@@ -43,12 +44,13 @@ def _sectioned(fact: DataFrame, cfg: ReportConfig, a: Anchors) -> DataFrame:
 
 
 def _rows_of_media(fact: DataFrame, media: DataFrame, cfg: ReportConfig) -> DataFrame:
-    """Rows whose (missing-filled) media is in ``media``: a broadcast semi-join
-    with a bounded parent list, applied before any aggregation so only the
-    parents' rows are grouped and shuffled."""
+    """Rows whose (missing-filled) media is in ``media``: a semi-join with the
+    parent list, applied before any aggregation so only the parents' rows are
+    grouped and shuffled. The list is the caller's, so Spark picks the join by
+    its size."""
     filled = fact.withColumn(
         "media", F.expr(f"coalesce(CAST(media AS STRING), {sql_str(cfg.missing)})"))
-    return filled.join(F.broadcast(media.select("media").distinct()), "media", "left_semi")
+    return filled.join(media.select("media").distinct(), "media", "left_semi")
 
 
 def channel_headline(fact: DataFrame, cfg: ReportConfig,
@@ -88,7 +90,7 @@ def media_product_drivers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors |
                       .select("section", F.col("rank").alias("media_rank"), "media"))
     f = _rows_of_media(fact.where(valid_label("product", cfg)), parents, cfg)
     cmp = two_day_compare(f, ["media", "product"], "ss", a.d_max, a.d_prev, cfg, order=False)
-    joined = cmp.join(F.broadcast(parents), "media")
+    joined = cmp.join(parents, "media")
     top = top_k_per_group(joined, ["section", "media"], influence_order(["product"]), k)
     return top.select("section", "media_rank", "media", "rank", "product",
                       truncate_label("product", cfg.label_len_long).alias("product_label"),
@@ -97,11 +99,11 @@ def media_product_drivers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors |
 
 
 def display_media_breakdown(fact: DataFrame, cfg: ReportConfig,
-                            anchors: Anchors | None = None) -> DataFrame:
+                            anchors: Anchors | None = None, order: bool = True) -> DataFrame:
     """The display sub-media, DB basis, all of them, by influence."""
     a = anchors_of(fact, anchors)
     f = fact.where(F.col("media").isin(*cfg.display_sub_media))
-    cmp = two_day_compare(f, ["media"], "db", a.d_max, a.d_prev, cfg)
+    cmp = two_day_compare(f, ["media"], "db", a.d_max, a.d_prev, cfg, order=order)
     return cmp.withColumn("direction", direction("rev_delta", True))
 
 
@@ -144,25 +146,28 @@ def _per_media_change(fact: DataFrame, cfg: ReportConfig, a: Anchors, keys: list
 
 
 def campaign_change_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
-                        k: int = 20) -> DataFrame:
+                        k: int = 20, brand: str | None = None) -> DataFrame:
     """Per media, top k campaign/group pairs by absolute DB change."""
     a = anchors_of(fact, anchors)
-    return _per_media_change(fact, cfg, a, ["campaign", "ad_group"], "db", k)
+    return _per_media_change(brand_filter(fact, brand), cfg, a, ["campaign", "ad_group"], "db", k)
 
 
 def keyword_change_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
-                       k: int = 20) -> DataFrame:
+                       k: int = 20, brand: str | None = None) -> DataFrame:
     """Keyword media, valid keywords, top k by absolute SS change."""
     a = anchors_of(fact, anchors)
-    f = fact.where(F.col("media").isin(*cfg.keyword_media) & valid_label("keyword"))
+    f = brand_filter(fact, brand).where(
+        F.col("media").isin(*cfg.keyword_media) & valid_label("keyword"))
     return _per_media_change(f, cfg, a, ["keyword"], "ss", k)
 
 
 def creative_change_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
-                        k: int = 20) -> DataFrame:
-    """Creative media, valid creatives, top k by absolute DB change."""
+                        k: int = 20, campaign: str | None = None, ad_group: str | None = None,
+                        brand: str | None = None) -> DataFrame:
+    """Creative media, valid creatives (optionally one campaign and group),
+    top k by absolute DB change."""
     a = anchors_of(fact, anchors)
-    f = fact.where(F.col("media").isin(*cfg.creative_media) & valid_label("creative"))
+    f = creative_rows(fact, cfg, campaign, ad_group, brand)
     return _per_media_change(f, cfg, a, ["creative"], "db", k)
 
 
@@ -195,7 +200,7 @@ def drilldown_tree(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None =
     # Every display parent gets the same sub-media breakdown. The breakdown
     # (one row per display sub-media, bounded by configuration) is tagged with
     # every section and joined to the display parents on the section.
-    display = (display_media_breakdown(fact, cfg, a)
+    display = (display_media_breakdown(fact, cfg, a, order=False)
                .withColumn("rank", F.row_number().over(
                    Window.partitionBy().orderBy(*influence_cols(["media"]))).cast("bigint"))
                .withColumnRenamed("media", "sub_media")

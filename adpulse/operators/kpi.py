@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adpulse.config import ReportConfig
+from adpulse.functions.labels import strip
 from adpulse.functions.measures import csum, day_between, sql_str
 from adpulse.operators.anchors import Anchors, anchors_of
 
 
 def target_rule(cfg: ReportConfig, col: str = "channel") -> Column:
     """Rule of a target row: store / market / other / none (checked in order)."""
-    key = F.lower(F.trim(F.col(col)))
+    key = F.lower(strip(col))
     store = key == F.lit(cfg.store_channel.lower())
     for alias in cfg.store_target_aliases:
         store = store | key.contains(alias.lower())

@@ -9,6 +9,8 @@ the final projection.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,11 @@ def _per_media_exact(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _ok(eps: float):
+    """Exact sums are compared as such: as DOUBLEs, totals beyond 2^53 units of
+    the last digit would hide a difference."""
     ok = F.col("rows_a") == F.col("rows_b")
     for m in PARITY_MEASURES:
-        ok = ok & (F.abs(F.col(f"{m}_a").cast("double") - F.col(f"{m}_b").cast("double"))
-                   < F.lit(eps))
+        ok = ok & (F.abs(F.col(f"{m}_a") - F.col(f"{m}_b")) < F.lit(Decimal(repr(eps))))
     return ok
 
 

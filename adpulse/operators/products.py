@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adpulse.config import ReportConfig
+from adpulse.functions.labels import strip
 from adpulse.functions.measures import csum, day_in, day_is, ratio_sql, sql_str
 from adpulse.operators.anchors import Anchors, anchors_of
 from adpulse.operators.compare import influence_order, two_day_compare
@@ -50,11 +51,11 @@ def product_top10(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None =
 
 
 def product_top10_summary(top10: DataFrame) -> DataFrame:
-    """Per media of a top-10 table: how many rose and fell, and the two
-    largest revenue changes (whatever their sign)."""
-    ranked = top_k_per_group(top10.select("media", "product", "rev_delta"), ["media"],
-                             ["rev_delta DESC", "product ASC"], 10,
-                             rank_col="_gain_rank")
+    """Per media of a top table of any length: how many rose and fell, and
+    the two largest revenue changes (whatever their sign). All its rows count."""
+    ranked = top10.selectExpr(
+        "media", "product", "rev_delta",
+        "row_number() OVER (PARTITION BY media ORDER BY rev_delta DESC, product ASC) AS _gain_rank")
     return ranked.groupBy("media").agg(
         F.count_if(F.col("rev_delta") > 0).alias("n_up"),
         F.count_if(F.col("rev_delta") < 0).alias("n_down"),
@@ -69,7 +70,7 @@ def _product_compare(fact: DataFrame, cfg: ReportConfig, a: Anchors, keys: list[
     if "media" in keys:
         f = f.where(F.col("media").isNotNull())
     cmp = two_day_compare(f, keys, "ss", a.d_max, a.d_prev, cfg, order=False)
-    return cmp.where((F.col("product") != cfg.missing) & (F.trim("product") != "-"))
+    return cmp.where((F.col("product") != cfg.missing) & (strip("product") != "-"))
 
 
 def product_movers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,

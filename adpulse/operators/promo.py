@@ -12,24 +12,29 @@ from adpulse.operators.anchors import Anchors, anchors_of
 
 
 def promo_split(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
-                media: str | None = None) -> DataFrame:
+                media: str | None = None, history: DataFrame | None = None) -> DataFrame:
     """Per media and promo class (unclassified dropped): cost, DB revenue and
     ROAS on the last and previous day, with changes.
 
     A class prints when the media has rows of it on ANY day, with zeros when
     neither day has any: the class list comes from a distinct over the whole
     history (two columns), the money from the two days only, left-joined on
-    the aggregated (media, class) keys.
+    the aggregated (media, class) keys. ``history`` stands in for the whole
+    history (``dimensions.choice_keys``), so that it need not be read again.
     """
     a = anchors_of(fact, anchors)
-    f = fact.where(F.col("media").isNotNull())
-    if media is not None:
-        f = f.where(F.col("media") == F.lit(media))
-    f = f.withColumn("promo_class", promo_class("promo", cfg)) \
-         .where(F.col("promo_class") != "unclassified")
+
+    def classed(df: DataFrame) -> DataFrame:
+        f = df.where(F.col("media").isNotNull())
+        if media is not None:
+            f = f.where(F.col("media") == F.lit(media))
+        return f.withColumn("promo_class", promo_class("promo", cfg)) \
+                .where(F.col("promo_class") != "unclassified")
+
+    f = classed(fact)
     # Which classes a media has: two narrow columns over the whole history,
     # reduced to one row per (media, class) before any shuffle.
-    present = f.select("media", "promo_class").distinct()
+    present = classed(history if history is not None else fact).select("media", "promo_class").distinct()
     # Their money: only the two days (pushed-down date predicate).
     cur, prev = day_is(a.d_max), day_is(a.d_prev)
     days = f.where(day_in([a.d_max, a.d_prev])).groupBy("media", "promo_class").agg(

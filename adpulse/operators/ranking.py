@@ -88,25 +88,33 @@ def campaign_mtd_top(fact: DataFrame, anchors: Anchors | None = None, k: int = 3
 
 
 def keyword_mtd_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
-                    k: int = 20) -> DataFrame:
+                    k: int = 20, brand: str | None = None) -> DataFrame:
     """Keyword media only, valid keywords, month-to-date SS revenue,
     purchases, cost and SS ROAS, top k per media by SS revenue."""
     a = anchors_of(fact, anchors)
-    f = _mtd(fact, a).where(F.col("media").isin(*cfg.keyword_media) & valid_label("keyword"))
+    f = _mtd(brand_filter(fact, brand), a).where(
+        F.col("media").isin(*cfg.keyword_media) & valid_label("keyword"))
     cols = ["rev_ss", "buy_ss", "cost"]
     g = f.groupBy("media", "keyword").agg(*_sums(cols))
     g = g.select("media", "keyword", *_typed(cols), roas("rev_ss", "cost").alias("roas_ss"))
     return top_k_per_group(g, ["media"], ["rev_ss DESC", "keyword ASC"], k)
 
 
+def creative_rows(fact: DataFrame, cfg: ReportConfig, campaign: str | None = None,
+                  ad_group: str | None = None, brand: str | None = None) -> DataFrame:
+    """Creative media's rows with a valid creative, by brand, campaign and group."""
+    f = fact.where(F.col("media").isin(*cfg.creative_media) & valid_label("creative"))
+    f = brand_filter(brand_filter(f, campaign, "campaign"), ad_group, "ad_group")
+    return brand_filter(f, brand)
+
+
 def creative_mtd_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
                      k: int = 20, campaign: str | None = None,
-                     ad_group: str | None = None) -> DataFrame:
+                     ad_group: str | None = None, brand: str | None = None) -> DataFrame:
     """A10: creative media only, valid creatives (optionally one campaign and
     group), month-to-date sums and both ROAS, top k per media by DB revenue."""
     a = anchors_of(fact, anchors)
-    f = _mtd(fact, a).where(F.col("media").isin(*cfg.creative_media) & valid_label("creative"))
-    f = brand_filter(brand_filter(f, campaign, "campaign"), ad_group, "ad_group")
+    f = _mtd(creative_rows(fact, cfg, campaign, ad_group, brand), a)
     cols = ["rev_ss", "buy_ss", "cost", "rev_db", "buy_db"]
     g = f.groupBy("media", "creative").agg(*_sums(cols))
     g = g.select("media", "creative", *_typed(cols), roas("rev_ss", "cost").alias("roas_ss"),

@@ -12,16 +12,17 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from adpulse.functions.measures import (MEASURES, RECORD, csum, day_between, day_in, out_type, q,
                                         ratio_sql, roas, sql_date, sql_str)
 from adpulse.operators.anchors import Anchors, anchors_of
+from adpulse.sources.schema import column_absent
 
 
 def brand_filter(fact: DataFrame, brand: str | None, col: str = "brand") -> DataFrame:
-    """Optional equality filter: None ('all') or an absent column is a no-op."""
-    if brand is None or col not in fact.columns:
+    """Optional equality filter: None ('all') is a no-op, and so is a column that
+    the source did not have."""
+    if brand is None or column_absent(fact, col):
         return fact
     return fact.where(f"CAST({q(col)} AS STRING) = {sql_str(brand)}")
 
@@ -124,7 +125,7 @@ def daily_detail(fact: DataFrame, anchors: Anchors | None = None,
     a = anchors_of(fact, anchors)
     f = fact.where(day_between(a.month_start, a.d_max))
     cond = None
-    if brand is not None and "brand" in fact.columns:
+    if brand is not None and not column_absent(fact, "brand"):
         cond = f"coalesce(CAST(brand AS STRING) = {sql_str(brand)}, false)"
     agg = f.groupBy("report_date").agg(*sum_measures(cond))
     out = agg.selectExpr("date_format(report_date, 'yyyy-MM-dd') AS day", "report_date",
@@ -165,10 +166,13 @@ def roas_trend(fact: DataFrame, end: dt.date | None = None, n: int = 7,
 
 
 def roas_trend_between(fact: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """A16 for a chosen range: every day with data in [start, end] (the
-    report's chart range picker); same columns as ``roas_trend``."""
-    d = F.col("report_date")
-    return _trend(fact.where(d.between(start, end)), None)
+    """A16 for a chosen range: every day with data in [start, end] (the chart's
+    range picker), or the last 7 days up to its end if it has none; same
+    columns as ``roas_trend``."""
+    chosen = fact.where(F.col("report_date").between(start, end))
+    if chosen.isEmpty():
+        return roas_trend(fact, end, 7)
+    return _trend(chosen, None)
 
 
 def _trend(fact: DataFrame, days: list | None) -> DataFrame:
@@ -194,37 +198,44 @@ def _trend(fact: DataFrame, days: list | None) -> DataFrame:
                       mean.alias("avg_roas_ss")).orderBy("report_date")
 
 
-def media_daily_pivot(fact: DataFrame, start: dt.date | None = None,
-                      end: dt.date | None = None) -> DataFrame:
-    """Media × day matrix of DB revenue, missing cells 0, days as columns
-    labelled yyyy-MM-dd (with the year, so labels never collide).
-
-    The day list is collected once (bounded by the calendar: one entry per
-    day with data) because the output columns must be known when the plan is
-    built. Each media row is assembled as one day→revenue map over its
-    (media, day) sums, zero-filled against the full day list and expanded
-    through a struct schema: three expressions instead of one expression per
-    day, which keeps planning and code generation flat for thousands of days.
-    """
+def _media_days(fact: DataFrame, start: dt.date | None, end: dt.date | None) -> tuple[DataFrame, list[str]]:
+    """The rows of the range with their day as yyyy-MM-dd (with the year, so
+    labels never collide), and the days with data (one entry a day)."""
     d = F.col("report_date")
     f = fact.where(d.isNotNull())
     if start is not None:
         f = f.where(d >= F.lit(start))
     if end is not None:
         f = f.where(d <= F.lit(end))
-    day = F.date_format(d, "yyyy-MM-dd")
-    # One label per day with data (bounded by the calendar); sorting that short
-    # list here saves the range-sampling and sort jobs of a global orderBy.
-    labels = sorted(r[0] for r in f.select(day.alias("day")).distinct().collect())
-    sums = f.groupBy("media", day.alias("day")).agg(F.sum("rev_db").cast("double").alias("v"))
+    f = f.select("media", F.date_format(d, "yyyy-MM-dd").alias("day"), "rev_db")
+    return f, sorted(r[0] for r in f.select("day").distinct().collect())
+
+
+def media_daily(fact: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+    """A14 as rows: DB revenue of every media on every day with data, missing
+    cells 0. One (media, day) aggregate, then each media's map is read off for
+    every day: the form for a long history."""
+    f, days = _media_days(fact, start, end)
+    sums = f.groupBy("media", "day").agg(F.sum("rev_db").cast("double").alias("v"))
     per_media = sums.groupBy("media").agg(
         F.map_from_entries(F.collect_list(F.struct("day", "v"))).alias("m"))
-    keys = F.split(F.lit(",".join(labels)), ",")
-    zero = F.map_from_arrays(keys, F.array_repeat(F.lit(0.0), F.size(keys)))
-    full = F.map_zip_with(zero, F.col("m"), lambda k, z, v: F.coalesce(v, z))
-    schema = T.StructType([T.StructField(x, T.DoubleType()) for x in labels])
-    return (per_media.select("media", F.from_json(F.to_json(full), schema).alias("s"))
-                     .select("media", "s.*"))
+    day = F.explode(F.split(F.lit(",".join(days)), ","))
+    return per_media.select("media", "m", day.alias("day")).select(
+        "media", "day", F.coalesce(F.col("m")[F.col("day")], F.lit(0.0)).alias("rev_db"))
+
+
+def media_daily_pivot(fact: DataFrame, start: dt.date | None = None,
+                      end: dt.date | None = None) -> DataFrame:
+    """Media × day matrix of DB revenue, missing cells 0, one column a day.
+
+    Made for a bounded range such as a month: the days are looked up first, as
+    the columns must be known when the plan is built.
+    """
+    f, days = _media_days(fact, start, end)
+    if not days:
+        return f.select("media").distinct()
+    wide = f.groupBy("media").pivot("day", days).agg(F.sum("rev_db").cast("double"))
+    return wide.na.fill(0.0, days)
 
 
 def date_extent(fact: DataFrame) -> DataFrame:

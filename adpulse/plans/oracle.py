@@ -8,7 +8,8 @@ top-k spell out NULLS FIRST/LAST to match Spark's defaults.
 from __future__ import annotations
 
 from adpulse.config import TEST_CONFIG as CFG
-from adpulse.plans.registry import BRAND, DETAIL_BRAND, TEST_TARGETS
+from adpulse.functions.labels import WHITE_SPACE
+from adpulse.plans.registry import AD_GROUP, BRAND, CAMPAIGN, DETAIL_BRAND, TEST_TARGETS
 from adpulse.sources.tpch_fact import FACT_CTE
 
 M = CFG.missing
@@ -18,6 +19,10 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def strip_sql(c: str) -> str:
+    return f"trim({c}, {_q(WHITE_SPACE)})"
+
+
 def _in(values) -> str:
     return "(" + ", ".join(_q(v) for v in values) + ")"
 
@@ -42,14 +47,14 @@ def roas_sql(rev: str, cost: str, scale: str = " * 100.0") -> str:
 
 def valid_sql(c: str, with_missing: bool = False) -> str:
     bad = ["", "-"] + ([M] if with_missing else [])
-    return f"({c} IS NOT NULL AND trim(CAST({c} AS VARCHAR)) NOT IN {_in(bad)})"
+    return f"({c} IS NOT NULL AND {strip_sql(f"CAST({c} AS VARCHAR)")} NOT IN {_in(bad)})"
 
 
 def trunc_sql(c: str, n: int) -> str:
     return f"CASE WHEN length({c}) > {n} THEN substring({c}, 1, {n}) || '…' ELSE {c} END"
 
 
-STORE = f"coalesce(trim(channel) = {_q(CFG.store_channel)}, false)"
+STORE = f"coalesce({strip_sql("channel")} = {_q(CFG.store_channel)}, false)"
 MARKET = f"coalesce(contains(channel, {_q(CFG.market_marker)}), false)"
 PRODUCT_ROWS = (f"{STORE} AND {valid_sql('product')} AND NOT regexp_matches("
                 f"coalesce(media, ''), {_q(CFG.product_excluded_media)})")
@@ -345,7 +350,7 @@ def kpi_sql() -> str:
     vals = ",\n    ".join(
         f"({i}, {_q(ch)}, {float(c)}, {float(r)}, {float(o)})"
         for i, (ch, c, r, o) in enumerate(TEST_TARGETS, start=1))
-    key = "lower(trim(channel))"
+    key = f"lower({strip_sql('channel')})"
     store = " OR ".join([f"{key} = {_q(CFG.store_channel.lower())}"]
                         + [f"contains({key}, {_q(x.lower())})" for x in CFG.store_target_aliases])
     market = " OR ".join([f"{key} IN {_in([n.lower() for n in CFG.market_target_names])}"]
@@ -357,12 +362,14 @@ def kpi_sql() -> str:
 traw(idx, channel, target_cost, target_rev, target_roas) AS (VALUES
     {vals}),
 tdedup AS (
-  SELECT *, row_number() OVER (PARTITION BY trim(channel) ORDER BY idx DESC) AS rn FROM traw),
+  SELECT {strip_sql('channel')} AS channel, min(idx) AS idx, max_by(target_cost, idx) AS target_cost,
+         max_by(target_rev, idx) AS target_rev, max_by(target_roas, idx) AS target_roas
+  FROM traw GROUP BY 1),
 t AS (
-  SELECT CAST(row_number() OVER (ORDER BY idx) AS BIGINT) AS target_idx, trim(channel) AS channel,
+  SELECT CAST(row_number() OVER (ORDER BY idx) AS BIGINT) AS target_idx, channel,
          CAST(target_cost AS DOUBLE) AS target_cost, CAST(target_rev AS DOUBLE) AS target_rev,
          CAST(target_roas AS DOUBLE) AS target_roas
-  FROM tdedup WHERE rn = 1),
+  FROM tdedup),
 tr AS (
   SELECT *, CASE WHEN {store} THEN 'store' WHEN {market} THEN 'market'
                  WHEN {key} = {_q(CFG.other_target.lower())} THEN 'other' ELSE 'none' END AS rule
@@ -390,21 +397,19 @@ SELECT *, CASE WHEN rate_pct >= {CFG.band_green} THEN 'green'
 FROM k"""
 
 
-def pivot_sql() -> str:
+def media_daily_sql() -> str:
     return HEAD + """,
 g AS (SELECT media, strftime(report_date, '%Y-%m-%d') AS day, sum(rev_db) AS v
       FROM ad_fact WHERE report_date IS NOT NULL GROUP BY media, day),
 ms AS (SELECT DISTINCT media FROM g),
-ds AS (SELECT DISTINCT day FROM g),
-grid AS (
-  SELECT ms.media, ds.day, coalesce(CAST(g.v AS DOUBLE), 0.0) AS v
-  FROM ms CROSS JOIN ds
-  LEFT JOIN g ON g.media IS NOT DISTINCT FROM ms.media AND g.day = ds.day)
-SELECT * FROM (PIVOT grid ON day USING first(v) GROUP BY media)"""
+ds AS (SELECT DISTINCT day FROM g)
+SELECT ms.media, ds.day, coalesce(CAST(g.v AS DOUBLE), 0.0) AS rev_db
+FROM ms CROSS JOIN ds
+LEFT JOIN g ON g.media IS NOT DISTINCT FROM ms.media AND g.day = ds.day"""
 
 
 def promo_sql() -> str:
-    t = "coalesce(trim(CAST(promo AS VARCHAR)), '')"
+    t = f"coalesce({strip_sql('CAST(promo AS VARCHAR)')}, '')"
     cls = (f"CASE WHEN contains({t}, {_q(CFG.always_on_marker)}) THEN 'always_on' "
            f"WHEN {t} <> '' THEN 'promotion' ELSE 'unclassified' END")
     return HEAD + f""",
@@ -474,7 +479,7 @@ def product_movers_sql(per_media: bool, gainers: bool) -> str:
     keys = ["media", "product"] if per_media else ["product"]
     where = PRODUCT_ROWS + (" AND media IS NOT NULL" if per_media else "")
     cmp = (f"(SELECT * FROM {cmp_sql(keys, 'ss', where)} c "
-           f"WHERE product <> {_q(M)} AND trim(product) <> '-' "
+           f"WHERE product <> {_q(M)} AND {strip_sql('product')} <> '-' "
            f"AND rev_delta {'>' if gainers else '<'} 0)")
     order = infl(["product"]) if gainers else "rev_delta ASC NULLS FIRST, product ASC NULLS FIRST"
     return HEAD + "\n" + topk_sql(cmp, "media" if per_media else "", order, 10)
@@ -543,7 +548,7 @@ FROM (SELECT channel, media, {SUM7} FROM ad_fact, anch a WHERE {MTD} GROUP BY ch
     q["media_top_products_mtd"] = media_top_products_sql(MTD)
     q["media_top_products_all"] = media_top_products_sql(ALLH)
     q["media_top_products_day"] = media_top_products_sql("report_date = a.d_max")
-    q["media_daily_pivot"] = pivot_sql()
+    q["media_daily"] = media_daily_sql()
     q["promo_split"] = promo_sql()
     q["roas_trend"] = roas_trend_sql()
     q["product_top10"] = HEAD + PRODUCT_TOP10_CTE + "\nSELECT * FROM pt"
@@ -599,6 +604,19 @@ SELECT par.section, 'display_sub_media', par.media, dm.rank, dm.media, 'db',
        dm.rev_cur, dm.rev_delta, dm.cost_cur, dm.cost_delta, dm.buy_delta, dm.roas_cur, dm.roas_delta
 FROM dm JOIN (SELECT section, media FROM cd
               WHERE contains(media, {_q(CFG.display_marker)})) par ON TRUE""")
+    in_brand = f"brand = {_q(BRAND)}"
+    in_detail = f"brand = {_q(DETAIL_BRAND)}"
+    q["keyword_mtd_top20_by_brand"] = keyword_top_sql(f"{ALLH} AND {in_detail}")
+    q["creative_mtd_top20_by_brand"] = creative_top_sql(f"{ALLH} AND {in_detail}")
+    keyword_rows = f"media IN {_in(CFG.keyword_media)} AND {valid_sql('keyword')}"
+    creative_rows = f"media IN {_in(CFG.creative_media)} AND {valid_sql('creative')}"
+    q["campaign_change_top20_by_brand"] = per_media_change_sql(["campaign", "ad_group"], "db", in_brand)
+    q["keyword_change_top20_by_brand"] = per_media_change_sql(["keyword"], "ss", f"{keyword_rows} AND {in_brand}")
+    q["creative_change_top20_by_brand"] = per_media_change_sql(["creative"], "db", f"{creative_rows} AND {in_brand}")
+    q["creative_top20_of_campaign"] = creative_top_sql(
+        f"{ALLH} AND campaign = {_q(CAMPAIGN)} AND ad_group = {_q(AD_GROUP)}")
+    q["creative_change_of_group"] = per_media_change_sql(
+        ["creative"], "db", f"{creative_rows} AND ad_group = {_q(AD_GROUP)}")
     q["product_gainers"] = product_movers_sql(False, True)
     q["product_losers"] = product_movers_sql(False, False)
     q["media_product_gainers"] = product_movers_sql(True, True)
@@ -609,23 +627,29 @@ FROM dm JOIN (SELECT section, media FROM cd
     q["creative_change_top20"] = per_media_change_sql(
         ["creative"], "db", f"media IN {_in(CFG.creative_media)} AND {valid_sql('creative')}")
     pm = ("cost", "rev_ss", "rev_db", "buy_ss")
-    per_media = FACT_CTE + """,
+    both = """,
 u AS (SELECT media, cost, rev_ss, rev_db, buy_ss, 'a' AS side FROM ad_fact
       UNION ALL
-      SELECT media, cost, rev_ss, rev_db, buy_ss, 'b' AS side FROM ad_fact),
-per AS (
+      SELECT media, {cost}, rev_ss, rev_db, buy_ss, 'b' AS side FROM ad_fact WHERE {where}),
+per AS ("""
+    per_of = lambda cost, where: FACT_CTE + both.format(cost=cost, where=where) + """
   SELECT media,
     """ + ",\n    ".join(
         [f"CAST(count(*) FILTER (WHERE side = '{x}') AS BIGINT) AS rows_{x}" for x in "ab"]
         + [f"coalesce(sum(CASE WHEN side = '{x}' THEN {m} END), 0) AS {m}_{x}"
            for x in "ab" for m in pm]) + """
   FROM u GROUP BY media)"""
+    per_media = per_of("cost", "TRUE")
     ok_per = " AND ".join(["rows_a = rows_b"] + [
-        f"abs(CAST({m}_a AS DOUBLE) - CAST({m}_b AS DOUBLE)) < 1e-6" for m in pm])
-    q["snapshot_parity"] = per_media + f"""
+        f"abs({m}_a - {m}_b) < 0.000001" for m in pm])
+    verdict = f"""
 SELECT media, rows_a, rows_b, {', '.join(f'CAST({m}_{x} AS DOUBLE) AS {m}_{x}' for x in 'ab' for m in pm)},
        {ok_per} AS ok
 FROM per"""
+    q["snapshot_parity"] = per_media + verdict
+    q["snapshot_parity_diff"] = per_of(
+        "CASE WHEN media = 'CHINA' AND buy_db = 1 THEN CAST(cost + 0.01 AS DECIMAL(18,4)) ELSE cost END",
+        "NOT coalesce(media = 'FRANCE' AND brand = 'F', false)") + verdict
     q["snapshot_parity_totals"] = per_media + f""",
 tot AS (
   SELECT CAST(sum(rows_a) AS BIGINT) AS rows_a, CAST(sum(rows_b) AS BIGINT) AS rows_b,
@@ -658,7 +682,8 @@ FROM (SELECT DISTINCT product FROM ad_fact WHERE product IS NOT NULL) p"""
     pct = "metric IN ('ctr', 'roas_ss', 'roas_db')"
     q["format_metrics"] = period_delta_core() + f"""
 SELECT metric,
-  CASE WHEN {pct} THEN format('{{:.1f}}%', round_even(base_value, 1)) ELSE {fmt_money('base_value')} END
+  CASE WHEN metric = 'ctr' THEN format('{{:.3f}}%', round_even(base_value, 3))
+       WHEN {pct} THEN format('{{:.1f}}%', round_even(base_value, 1)) ELSE {fmt_money('base_value')} END
     AS value_text,
   CASE WHEN {pct} THEN format('{{:+.1f}}p', round_even(delta, 1)) ELSE {fmt_signed_money('delta')} END
     AS delta_text,

@@ -15,19 +15,19 @@ import hashlib
 import threading
 import time
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adpulse.config import TEST_CONFIG as CFG
-from adpulse.functions.formatting import money_text, pct_text, signed_money_text, signed_points_text
+from adpulse.functions.formatting import CTR_DECIMALS, money_text, pct_text, signed_money_text, signed_points_text
 from adpulse.operators import dimensions, drivers, kpi, periods, products, promo, ranking, totals
 from adpulse.operators.anchors import Anchors, report_anchors, resolve_anchors
 from adpulse.operators.compare import two_day_compare
 from adpulse.operators.parity import parity_totals, snapshot_parity
-from adpulse.session import scratch_path
-from adpulse.sources.snapshots import file_identity, files_for, path_exists, write_date_ordered
-from adpulse.sources.schema import conform
+from adpulse.sources.schema import FACT_SCHEMA, conform
+from adpulse.sources.snapshots import audit_rows, file_identity, path_exists, write_fact
 from adpulse.sources.targets import targets_frame
 from adpulse.sources.tpch_fact import FACT_CTE, ad_fact
 
@@ -47,73 +47,52 @@ TEST_TARGETS = [
 ]
 BRAND = "O"
 DETAIL_BRAND = "F"
+CAMPAIGN, AD_GROUP = "Brand#8", "PROMO"
 
 
 SOURCE_TABLES = ("lineitem", "supplier", "nation", "region", "part")
-_ANCHORS: dict[tuple, Anchors] = {}
-_SNAPSHOTS: dict[tuple, str] = {}
+#: The setting that names the folder for snapshots (shared by all executors).
+SNAPSHOT_SETTING = "spark.adpulse.snapshots"
 INGEST_SECONDS: dict[str, float] = {}
 _LOCK = threading.Lock()
-_FRAMES: dict[tuple, DataFrame] = {}
 
 
-def _identity(spark: SparkSession, sf_dir: str) -> tuple:
-    return file_identity(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES])
+def snapshot_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.adpulse.snapshots`` names, else that of
+    ``spark.checkpoint.dir``; in local mode, where one machine does all, the
+    warehouse folder will do."""
+    folder = spark.conf.get(SNAPSHOT_SETTING, None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError(f"set {SNAPSHOT_SETTING} to a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/adpulse"
 
 
 def snapshot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report snapshot of the driver tables, ingested once.
+    """The snapshot of the driver tables, ingested once.
 
     As in the reference (a workbook is converted to Parquet once, then every
-    figure reads the Parquet), the fact derived from the source tables is
-    written once per source identity (path, size, mtime) to the shared
-    checkpoint folder, ordered by date, and every query reads that snapshot:
-    date predicates reach its scan. A changed source file gives a new
-    identity and a new snapshot; an interrupted write (no _SUCCESS marker)
-    is redone.
+    figure reads the Parquet), the fact is derived from the source tables once
+    per state of their files (names, lengths, modification times) and written
+    by the same step as any snapshot. A changed part file gives another
+    snapshot; an interrupted write (no _SUCCESS marker) is redone.
     """
-    key = _identity(spark, sf_dir)
+    tables = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
+    state = repr((file_identity(spark, tables), FACT_CTE))
+    path = f"{snapshot_folder(spark)}/ad_fact-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
     with _LOCK:
-        path = _materialize(spark, sf_dir, key)
-        # The snapshot never changes under its path, so its DataFrame (file
-        # listing, footer schema) is opened once per session and reused.
-        frame_key = (_app_id(spark), path)
-        hit = _FRAMES.get(frame_key)
-        if hit is None or hit.sparkSession is not spark:
-            hit = spark.read.parquet(path)
-            _FRAMES[frame_key] = hit
-        return hit
-
-
-def _app_id(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # no local context (remote session)
-        return str(id(spark))
-
-
-def _materialize(spark: SparkSession, sf_dir: str, key: tuple) -> str:
-    path = _SNAPSHOTS.get(key)
-    if path is None or not path_exists(spark, f"{path}/_SUCCESS"):
-        digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
-        path = scratch_path(spark, f"ad_fact-{digest}")
         if not path_exists(spark, f"{path}/_SUCCESS"):
             t0 = time.perf_counter()
-            files = files_for(spark, sum(size for _, size, _ in key))
-            write_date_ordered(ad_fact(spark, sf_dir), path, files)
+            write_fact(ad_fact(spark, sf_dir), path, partition_by=None)
             INGEST_SECONDS[sf_dir] = time.perf_counter() - t0
-        _SNAPSHOTS[key] = path
-    return path
+    return spark.read.schema(FACT_SCHEMA).parquet(path)
 
 
 def _fa(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Anchors]:
-    """The snapshot and its anchors. A snapshot is immutable, so its anchors
-    are resolved once per report run (remembered under the source identity)."""
-    key = _identity(spark, sf_dir)
+    """The snapshot and its anchors (a one-row job)."""
     f = snapshot_fact(spark, sf_dir)
-    if key not in _ANCHORS:
-        _ANCHORS[key] = resolve_anchors(f)
-    return f, _ANCHORS[key]
+    return f, resolve_anchors(f)
 
 
 def q_compare_media_ss(spark, sf_dir):
@@ -145,10 +124,7 @@ def q_scan_report(spark, sf_dir):
 
 
 def q_ingest_audit(spark, sf_dir):
-    f = snapshot_fact(spark, sf_dir)
-    d = F.col("report_date")
-    return f.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(d).alias("n_days"),
-                 F.min(d).alias("first_day"), F.max(d).alias("last_day"))
+    return audit_rows(snapshot_fact(spark, sf_dir))
 
 
 def q_product_date_extent(spark, sf_dir):
@@ -259,8 +235,9 @@ def q_media_top_products_day(spark, sf_dir):
     return ranking.media_top_products(f, CFG, a, k=10, last_day_only=True)
 
 
-def q_media_daily_pivot(spark, sf_dir):
-    return totals.media_daily_pivot(snapshot_fact(spark, sf_dir))
+def q_media_daily(spark, sf_dir):
+    """A14 as rows (the wide form's columns depend on the data)."""
+    return totals.media_daily(snapshot_fact(spark, sf_dir))
 
 
 def q_promo_split(spark, sf_dir):
@@ -384,6 +361,41 @@ def q_creative_change_top20(spark, sf_dir):
     return drivers.creative_change_top(f, CFG, a)
 
 
+def q_keyword_mtd_top20_by_brand(spark, sf_dir):
+    f, a = _fa(spark, sf_dir)
+    return ranking.keyword_mtd_top(f, CFG, _all_month(a), k=20, brand=DETAIL_BRAND)
+
+
+def q_creative_mtd_top20_by_brand(spark, sf_dir):
+    f, a = _fa(spark, sf_dir)
+    return ranking.creative_mtd_top(f, CFG, _all_month(a), k=20, brand=DETAIL_BRAND)
+
+
+def q_campaign_change_top20_by_brand(spark, sf_dir):
+    f, a = _fa(spark, sf_dir)
+    return drivers.campaign_change_top(f, CFG, a, brand=BRAND)
+
+
+def q_keyword_change_top20_by_brand(spark, sf_dir):
+    f, a = _fa(spark, sf_dir)
+    return drivers.keyword_change_top(f, CFG, a, brand=BRAND)
+
+
+def q_creative_change_top20_by_brand(spark, sf_dir):
+    f, a = _fa(spark, sf_dir)
+    return drivers.creative_change_top(f, CFG, a, brand=BRAND)
+
+
+def q_creative_top20_of_campaign(spark, sf_dir):
+    f, a = _fa(spark, sf_dir)
+    return ranking.creative_mtd_top(f, CFG, _all_month(a), k=20, campaign=CAMPAIGN, ad_group=AD_GROUP)
+
+
+def q_creative_change_of_group(spark, sf_dir):
+    f, a = _fa(spark, sf_dir)
+    return drivers.creative_change_top(f, CFG, a, ad_group=AD_GROUP)
+
+
 def sql_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact derived a second way: the oracle's SQL text run by Spark SQL
     over the same files (same columns, independent expression tree)."""
@@ -405,6 +417,21 @@ def q_snapshot_parity_totals(spark, sf_dir):
     return parity_totals(snapshot_fact(spark, sf_dir), sql_fact(spark, sf_dir))
 
 
+def other_snapshot(fact: DataFrame) -> DataFrame:
+    """A snapshot that differs from the first: one media lacks a brand's rows,
+    another has 0.01 more cost in a row of each day."""
+    fewer = (F.col("media") == "FRANCE") & (F.col("brand") == "F")
+    more = (F.col("media") == "CHINA") & (F.col("buy_db") == 1)
+    cost = F.when(more, F.col("cost") + F.lit(Decimal("0.0100"))).otherwise(F.col("cost"))
+    return fact.where(~F.coalesce(fewer, F.lit(False))).withColumn("cost", cost.cast("decimal(18,4)"))
+
+
+def q_snapshot_parity_diff(spark, sf_dir):
+    """J20 on two snapshots that differ."""
+    f = snapshot_fact(spark, sf_dir)
+    return snapshot_parity(f, other_snapshot(f))
+
+
 def q_dimension_values(spark, sf_dir):
     return dimensions.dimension_values(snapshot_fact(spark, sf_dir))
 
@@ -428,7 +455,8 @@ def q_format_metrics(spark, sf_dir):
     is_pct = F.col("metric").isin("ctr", "roas_ss", "roas_db")
     return pd_.select(
         "metric",
-        F.when(is_pct, pct_text("base_value", 1)).otherwise(money_text("base_value"))
+        F.when(F.col("metric") == "ctr", pct_text("base_value", CTR_DECIMALS))
+         .when(is_pct, pct_text("base_value")).otherwise(money_text("base_value"))
          .alias("value_text"),
         F.when(is_pct, signed_points_text("delta", 1)).otherwise(signed_money_text("delta"))
          .alias("delta_text"),

@@ -32,9 +32,12 @@ from adpulse.operators.compare import two_day_compare
 class DailyReport:
     def __init__(self, fact: DataFrame, cfg: ReportConfig, targets: DataFrame | None = None,
                  brand: str | None = None, persist: bool = False,
-                 anchors: Anchors | None = None, cache_recent: bool = False):
+                 anchors: Anchors | None = None, cache_recent: bool = False,
+                 campaign: str | None = None, ad_group: str | None = None):
         self.cfg = cfg
         self.brand = brand
+        # the creative tables' campaign and group, if chosen
+        self.creative_of = (campaign, ad_group)
         self.targets = targets
         self.fact = fact.persist(StorageLevel.MEMORY_AND_DISK) if persist else fact
         self._persisted = persist
@@ -49,10 +52,14 @@ class DailyReport:
         recent = self.fact.where(day_between(lo, a.d_max))
         self.recent = recent.persist(StorageLevel.MEMORY_AND_DISK) if cache_recent else recent
         self._recent_cached = cache_recent
+        # Whole-history keys for the choice lists: read once where kept.
+        keys = dimensions.choice_keys(self.fact, cfg)
+        self.keys = keys.persist(StorageLevel.MEMORY_AND_DISK) if cache_recent else keys
 
     def close(self) -> None:
         if self._recent_cached:
             self.recent.unpersist()
+            self.keys.unpersist()
         if self._persisted:
             self.fact.unpersist()
 
@@ -99,23 +106,23 @@ class DailyReport:
 
     # ── media page ───────────────────────────────────────────────────────
     def media_page(self) -> dict[str, DataFrame]:
-        f, r, a, c = self.fact, self.recent, self.anchors, self.cfg
+        r, a, c, b = self.recent, self.anchors, self.cfg, self.brand
         return {
-            "media_mtd": totals.media_mtd(r, a, self.brand),
-            "campaign_mtd_top": ranking.campaign_mtd_top(r, a, c.k_campaign_mtd),
-            "campaign_change_top": drivers.campaign_change_top(r, c, a, c.k_detail),
-            "keyword_mtd_top": ranking.keyword_mtd_top(r, c, a, c.k_detail),
-            "keyword_change_top": drivers.keyword_change_top(r, c, a, c.k_detail),
-            "creative_mtd_top": ranking.creative_mtd_top(r, c, a, c.k_detail),
-            "creative_change_top": drivers.creative_change_top(r, c, a, c.k_detail),
+            "media_mtd": totals.media_mtd(r, a, b),
+            "campaign_mtd_top": ranking.campaign_mtd_top(r, a, c.k_campaign_mtd, b),
+            "campaign_change_top": drivers.campaign_change_top(r, c, a, c.k_detail, b),
+            "keyword_mtd_top": ranking.keyword_mtd_top(r, c, a, c.k_detail, b),
+            "keyword_change_top": drivers.keyword_change_top(r, c, a, c.k_detail, b),
+            "creative_mtd_top": ranking.creative_mtd_top(r, c, a, c.k_detail, *self.creative_of, b),
+            "creative_change_top": drivers.creative_change_top(r, c, a, c.k_detail, *self.creative_of, b),
             # Choice lists come from the whole history.
-            "dimension_values": dimensions.dimension_values(f),
-            "cascading_filter": dimensions.cascading_filter(f, c),
+            "dimension_values": dimensions.dimension_values(self.keys),
+            "cascading_filter": dimensions.cascading_filter(self.keys, c),
         }
 
     # ── figures defined by the reference but not placed on a page ──────
     def extras(self) -> dict[str, DataFrame]:
-        f, r, a, c = self.fact, self.recent, self.anchors, self.cfg
+        r, a, c = self.recent, self.anchors, self.cfg
         top10 = products.product_top10(r, c, a, k=c.k_products)
         return {
             # The standard periods of the last day reach back 7 days at most.
@@ -123,7 +130,7 @@ class DailyReport:
             "multi_period_delta_ss": periods.multi_period_delta(r, "ss", anchors=a),
             "multi_period_delta_db": periods.multi_period_delta(r, "db", anchors=a),
             # A promo class counts when it has rows on any day: whole history.
-            "promo_split": promo.promo_split(f, c, a),
+            "promo_split": promo.promo_split(r, c, a, history=self.keys),
             "product_top10": top10,
             "product_top10_summary": products.product_top10_summary(top10),
             "media_daily_pivot_mtd": totals.media_daily_pivot(r, a.month_start, a.d_max),

@@ -1,4 +1,5 @@
 import os
+import re
 
 import duckdb
 import pytest
@@ -8,27 +9,32 @@ from adpulse.plans.report import DailyReport
 from adpulse.sources.tpch_fact import ad_fact
 from adpulse.config import TEST_CONFIG
 from adpulse.sources.targets import targets_frame
-from adpulse.plans.registry import TEST_TARGETS
+from conftest import CFG, D0
+from adpulse.plans.registry import QUERIES, TEST_TARGETS
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
-    assert len(queries()) >= 50
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) <= set(oracle_sql())
+    assert len(QUERIES) >= 60
 
 
 @needs_data
 def test_entry_smoke(spark):
     df = entry(spark)
     assert df.columns[0] == "media" and "roas_delta" in df.columns
-    assert df.count() >= 0
+    rows = df.collect()
+    assert rows and len({r["media"] for r in rows}) == len(rows)
+    assert [r["influence"] for r in rows] == sorted((r["influence"] for r in rows), reverse=True)
 
 
 @needs_data
 @pytest.mark.parametrize("key", ["compare_media_ss", "kpi_attainment", "drilldown_tree",
-                                 "media_daily_pivot", "roas_trend", "multi_period_week",
+                                 "media_daily", "roas_trend", "creative_top20_of_campaign", "snapshot_parity_diff",
+                                 "format_metrics", "keyword_change_top20_by_brand", "product_top10_summary", "multi_period_week",
                                  "product_top10", "media_summary"])
 def test_query_matches_oracle_small(spark, key):
     con = duckdb.connect()
@@ -54,17 +60,16 @@ def test_daily_report_builds_every_figure(spark):
         figs = rep.all_figures()
         assert {"kpi_attainment", "media_summary", "mtd_top_products", "creative_change_top",
                 "drilldown_tree"} <= set(figs)
-        for name in ("media_summary", "kpi_attainment", "channel_drivers"):
-            assert figs[name].count() >= 0
+        assert figs["kpi_attainment"].count() == len({r[0].strip() for r in TEST_TARGETS})
+        media = {r["media"] for r in figs["media_summary"].collect()}
+        assert media and {r["media"] for r in figs["channel_drivers"].collect()} <= media
     finally:
         rep.close()
 
 
 @needs_data
 def test_queries_use_the_callers_session(spark):
-    """The cached snapshot frame is tied to its session: another session gets
-    its own frame and the same result. (A stopped-and-recreated context gets a
-    new application id and therefore a new frame too.)"""
+    """Another session gets its own frame and the same result."""
     first = queries()["compare_media_ss"](spark, SF)
     other = spark.newSession()
     again = queries()["compare_media_ss"](other, SF)
@@ -92,3 +97,48 @@ def test_recent_slice_changes_no_figure(spark):
             assert a == b, name
     finally:
         cached.close()
+
+
+@needs_data
+def test_a_rewritten_part_file_changes_the_result(spark, tmp_path):
+    """Tables may be directories of part files: their state is that of the files
+    inside, so a rewritten one gives another snapshot."""
+    from adpulse.plans.registry import SOURCE_TABLES, snapshot_fact
+    for t in SOURCE_TABLES:
+        spark.read.parquet(f"{SF}/{t}.parquet").repartition(2).write.parquet(str(tmp_path / f"{t}.parquet"))
+    before = snapshot_fact(spark, str(tmp_path)).count()
+    assert snapshot_fact(spark, str(tmp_path)).count() == before
+    part = sorted((tmp_path / "lineitem.parquet").glob("part-*"))[0]
+    import pyarrow.parquet as pq
+    half = pq.read_table(part).slice(0, 10)
+    pq.write_table(half, part)
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    spark.catalog.clearCache()
+    assert snapshot_fact(spark, str(tmp_path)).count() < before
+
+
+@needs_data
+def test_date_predicates_reach_the_snapshot_scan(spark):
+    plan = queries()["compare_media_ss"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[.*In\(report_date|PushedFilters: \[.*report_date", plan)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from adpulse.plans.registry import SNAPSHOT_SETTING, snapshot_folder
+    other = spark.newSession()
+    other.conf.set(SNAPSHOT_SETTING, "s3a://bucket/facts/")
+    assert snapshot_folder(other) == "s3a://bucket/facts/adpulse"
+
+
+@needs_data
+def test_a_brand_filters_every_table_of_the_media_page(spark, make_fact):
+    rows = [dict(report_date=D0, brand=b, media=m, campaign=f"{b}-c", ad_group=f"{b}-g", keyword=f"{b}-k",
+                 creative=f"{b}-r", rev_ss=5, rev_db=7, cost=3) for b in ("b1", "b2") for m in ("Search", "Banner")]
+    rep = DailyReport(make_fact(rows), CFG, brand="b1")
+    for name, df in rep.media_page().items():
+        text = str(df.collect())
+        if name not in ("media_mtd", "dimension_values", "cascading_filter"):
+            assert "b1-" in text and "b2-" not in text, name
+    one = DailyReport(make_fact(rows), CFG, campaign="b2-c", ad_group="b2-g").media_page()
+    for name in ("creative_mtd_top", "creative_change_top"):
+        assert [r["creative"] for r in one[name].collect()] == ["b2-r"]

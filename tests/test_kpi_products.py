@@ -13,7 +13,7 @@ A = Anchors(d_max=D1, d_prev=D0, d_min=D0)
 
 def test_kpi_rules_null_channel_and_bands(spark, make_fact):
     """H9 + N7: store / marketplace / everything else / unknown; a null channel
-    counts as 'everything else'; target 0 → rate 0; later duplicate wins."""
+    counts as 'everything else'; target 0 → rate 0; a duplicate gives its values, not its place."""
     f = make_fact([dict(report_date=D1, channel="my store", rev_ss=90),
                    dict(report_date=D1, channel="Mkt 1", rev_ss=40),
                    dict(report_date=D1, channel=None, rev_ss=7),
@@ -33,7 +33,7 @@ def test_kpi_rules_null_channel_and_bands(spark, make_fact):
     assert rows["blank"]["target_rev"] == 0.0
     assert rows["mkt mall"]["rule"] == "none"  # a longer name is not the exact market name
     assert rows["Coupon desk"]["rule"] == "market" and rows["Coupon desk"]["achieved"] == 40.0
-    assert [r["channel"] for r in kpi.kpi_attainment(f, t, CFG, A).collect()][:2] == ["StoreA", "othermall"]
+    assert [r["channel"] for r in kpi.kpi_attainment(f, t, CFG, A).collect()][:3] == ["StoreA", "mkt", "othermall"]
 
 
 def test_kpi_rule_classes_partition_revenue(make_fact):
@@ -174,3 +174,38 @@ def test_figure_as_text(spark):
                                "media string, rev double, roas double, d double, p double")
     r = as_text(df, money=["rev"], pct=["roas"], signed_money=["d"], signed_points=["p"]).collect()[0]
     assert tuple(r) == ("m", "1,234,568", "12.2%", "-3,456", "+0.0p")
+
+
+def test_top10_summary_counts_every_row(make_fact):
+    """A17 for k = 20: 11 rise and 8 fall, the falling ones beyond the first ten."""
+    change = [5] * 11 + [0] + [-5] * 8
+    rows = [dict(report_date=D0 - dt.timedelta(days=1), media="m", product=f"p{i:02}", rev_db=100) for i in range(20)]
+    rows += [dict(report_date=D0, media="m", product=f"p{i:02}", rev_db=100 + c) for i, c in enumerate(change)]
+    top = products.product_top10(make_fact(rows), CFG, k=20)
+    got = products.product_top10_summary(top).first()
+    assert (got["n_up"], got["n_down"], got["top_gainer_1"], got["top_gainer_2"]) == (11, 8, "p00", "p01")
+
+
+def test_a_repeated_target_keeps_its_place(spark):
+    """A, B, A gives A first with the later values."""
+    got = targets_frame(spark, [("A", 1, 2, 3), ("B", 1, 1, 1), ("\u3000A\t", 9, 8, 7)]).orderBy("target_idx").collect()
+    assert [(r["channel"], r["target_cost"]) for r in got] == [("A", 9.0), ("B", 1.0)]
+
+
+def test_targets_that_cannot_be_read_are_logged(spark, tmp_path, caplog):
+    from adpulse.sources.targets import load_targets
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n")
+    assert load_targets(spark, str(tmp_path / "none.csv")).count() == 0 and not caplog.records
+    assert load_targets(spark, str(tmp_path / "t.csv")).count() == 0 and "not read" in caplog.text
+
+
+def test_white_space_of_every_kind(spark):
+    """Tab, newline, no-break and ideographic space are white space at a label's ends."""
+    from adpulse.functions.labels import is_store_channel, promo_class, strip, valid_label
+    rows = [("\t-",), ("-\n",), ("\u00a0",), ("\u3000",), (" \u3000-\u00a0",), ("a\u3000b",), (None,)]
+    df = spark.createDataFrame(rows, "x string")
+    assert [bool(r[0]) for r in df.select(valid_label("x")).collect()] == [False] * 5 + [True, False]
+    assert df.select(strip("x")).collect()[5][0] == "a\u3000b"
+    assert {r[0] for r in df.where("x is not null").limit(4).select(promo_class("x", CFG)).collect()} <= {"promotion", "unclassified"}
+    stores = spark.createDataFrame([(f"\u00a0{CFG.store_channel}\u3000\n",), ("x",)], "channel string")
+    assert [r[0] for r in stores.select(is_store_channel(CFG)).collect()] == [True, False]

@@ -9,9 +9,9 @@ from decimal import Decimal
 
 import pytest
 
-from __spark_entry__ import queries
 from adpulse.operators.compare import two_day_compare
 from adpulse.operators.ranking import top_k_per_group
+from adpulse.plans.registry import QUERIES
 from conftest import CFG, D0
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +28,7 @@ def executed_plan(df) -> str:
 @needs_data
 def test_no_cartesian_nested_loop_or_python_in_any_query(spark):
     bad = {}
-    for name, fn in queries().items():
+    for name, fn in QUERIES.items():
         plan = executed_plan(fn(spark, SF))
         hits = [p for p in FORBIDDEN if p in plan]
         if hits:

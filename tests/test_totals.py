@@ -208,3 +208,42 @@ def test_reversed_ranges_are_rejected(make_fact):
         periods.standard_periods(D0, D0 - dt.timedelta(days=1))
     with pytest.raises(ValueError):
         periods.period_delta(f, (D0, D0 - dt.timedelta(days=1)), (D0, D0))
+
+
+def test_media_daily_rows_are_the_pivots_cells(make_fact):
+    f = make_fact([dict(report_date=D0 + dt.timedelta(days=d), media=m, rev_db=d + 1)
+                   for d in range(4) for m in ("a", "b", None) if (d, m) != (2, "b")])
+    wide = {r["media"]: r.asDict() for r in totals.media_daily_pivot(f).collect()}
+    rows = totals.media_daily(f).collect()
+    assert len(rows) == 12 and all(wide[r["media"]][r["day"]] == r["rev_db"] for r in rows)
+    assert totals.media_daily(f.limit(0)).count() == 0 and totals.media_daily_pivot(f.limit(0)).count() == 0
+
+
+def test_an_absent_brand_column_is_no_filter(spark, make_fact):
+    """a source without the column gives the unfiltered frame."""
+    from adpulse.sources.schema import conform
+    f = make_fact([dict(cost=3), dict(cost=4)])
+    bare = conform(f.drop("brand"), headers={})
+    assert totals.mtd_totals(bare, brand="x").first()["cost"] == 7.0
+    assert totals.daily_detail(bare, brand="x").first()["cost"] == 7.0
+    assert totals.mtd_totals(f, brand="x").first()["cost"] == 0.0
+
+
+def test_a_range_without_data_falls_back_to_the_last_days(make_fact):
+    f = make_fact([dict(report_date=D0 + dt.timedelta(days=d), cost=1, rev_ss=d) for d in range(10)])
+    far = D0 + dt.timedelta(days=40)
+    got = totals.roas_trend_between(f, far, far + dt.timedelta(days=3)).collect()
+    assert [r["report_date"] for r in got] == [D0 + dt.timedelta(days=d) for d in range(3, 10)]
+
+
+def test_choice_keys_stand_for_the_history(make_fact):
+    from adpulse.operators import dimensions, promo
+    from conftest import CFG
+    f = make_fact([dict(report_date=D0 + dt.timedelta(days=d), media=m, campaign=c, ad_group=g, creative=r, promo=p, rev_db=d)
+                   for d in range(3) for m, c, g, r, p in [("Banner", "c", "g", "x", "always"), ("Banner", "c", None, "-", "q"),
+                                                           ("Promo", "d", None, "y", None), (None, "e", "h", "z", " ")]])
+    keys = dimensions.choice_keys(f, CFG)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(dimensions.dimension_values(keys)) == rows(dimensions.dimension_values(f))
+    assert rows(dimensions.cascading_filter(keys, CFG)) == rows(dimensions.cascading_filter(f, CFG))
+    assert rows(promo.promo_split(f, CFG, history=keys)) == rows(promo.promo_split(f, CFG))

@@ -24,8 +24,8 @@ from adpulse.config import TEST_CONFIG as CFG  # noqa: E402
 from adpulse.operators import drivers, kpi, periods, ranking, totals  # noqa: E402
 from adpulse.operators.anchors import anchors_from_dates  # noqa: E402
 from adpulse.operators.compare import two_day_compare  # noqa: E402
-from adpulse.plans.registry import TEST_TARGETS, snapshot_fact  # noqa: E402
-from adpulse.session import build_session, scratch_path  # noqa: E402
+from adpulse.plans.registry import TEST_TARGETS, snapshot_fact, snapshot_folder  # noqa: E402
+from adpulse.session import build_session  # noqa: E402
 from adpulse.sources.snapshots import partition_values, path_exists  # noqa: E402
 from adpulse.sources.targets import targets_frame  # noqa: E402
 
@@ -36,7 +36,7 @@ def main() -> None:
     spark = build_session("local[8]", app="adpulse-scale", shuffle_partitions=8,
                           extra={"spark.driver.memory": "16g"})
     base = snapshot_fact(spark, sf)
-    path = scratch_path(spark, f"scale-probe-{os.path.basename(sf)}-x{copies}")
+    path = f"{snapshot_folder(spark)}/" + (f"scale-probe-{os.path.basename(sf)}-x{copies}")
     t0 = time.perf_counter()
     if not path_exists(spark, f"{path}/_SUCCESS"):
         big = (base.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
