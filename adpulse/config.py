@@ -1,15 +1,15 @@
-"""Report configuration: labels, channel rules and media sets.
+"""Configuration: labels, channel rules and media sets.
 
-Everything a report rule needs to recognise (a store channel, a marketplace
+Everything a rule needs to recognise (a store channel, a marketplace
 channel, the display media, the always-on promo marker) is data here, so the
-same operators serve any locale's report and the synthetic test mapping.
+same operators serve any locale's data and the synthetic test mapping.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-# ── Fixed values: must equal the reference report's labels ─────────────────
+# ── Fixed values: must equal the reference's labels ─────────────────
 MISSING_LABEL = "(미입력)"                 # bucket for a missing group key
 STORE_CHANNEL = "네이버브랜드스토어"         # exact channel name of the brand store
 STORE_MARKER = "네이버"                     # store rows (KPI rule, case-insensitive)
@@ -33,7 +33,7 @@ K_PRODUCTS, K_CAMPAIGN_MTD, K_DETAIL, K_DRIVERS, K_GAINERS = 10, 30, 20, 3, 10
 
 
 @dataclass(frozen=True)
-class ReportConfig:
+class FigureConfig:
     missing: str = MISSING_LABEL
     store_channel: str = STORE_CHANNEL
     store_marker: str = STORE_MARKER
@@ -68,10 +68,10 @@ class ReportConfig:
     k_gainers: int = K_GAINERS
 
 
-DEFAULT_CONFIG = ReportConfig()
+DEFAULT_CONFIG = FigureConfig()
 
 # Labels of the synthetic mapping of the driver tables (sources/tpch_fact.py).
-TEST_CONFIG = ReportConfig(
+TEST_CONFIG = FigureConfig(
     missing="(missing)",
     store_channel="storefront",
     store_marker="storefront",

@@ -43,7 +43,7 @@ def signed_points_text(c, decimals: int = 1) -> Column:
 
 
 def as_text(df, money=(), pct=(), signed_money=(), signed_points=(), pct_decimals: int = 1):
-    """A figure as report text: the named columns formatted, every other
+    """A figure as text: the named columns formatted, every other
     column passed through unchanged, column order kept."""
     rules = {}
     rules.update({c: money_text(c) for c in money})

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from adpulse.config import ReportConfig
+from adpulse.config import FigureConfig
 
 
 def _c(c) -> Column:
@@ -23,7 +23,7 @@ def strip(c) -> Column:
     return F.trim(_c(c).cast("string"), F.lit(WHITE_SPACE))
 
 
-def valid_label(c, cfg: ReportConfig | None = None) -> Column:
+def valid_label(c, cfg: FigureConfig | None = None) -> Column:
     """Not null, trimmed text not blank and not '-' (and not the missing label
     when a config is given)."""
     t = strip(c)
@@ -37,7 +37,7 @@ def truncate_label(c, n: int) -> Column:
     return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("…"))).otherwise(x)
 
 
-def path_label(parts: list, cfg: ReportConfig, fallback: str) -> Column:
+def path_label(parts: list, cfg: FigureConfig, fallback: str) -> Column:
     """'A > B' over the parts that are not null, blank, the missing label or 'nan'."""
     cleaned = [
         F.when(_c(p).isNull() | _c(p).isin("", cfg.missing, "nan"), F.lit(None)).otherwise(_c(p))
@@ -47,7 +47,7 @@ def path_label(parts: list, cfg: ReportConfig, fallback: str) -> Column:
     return F.when(joined == "", F.lit(fallback)).otherwise(joined)
 
 
-def promo_class(c, cfg: ReportConfig) -> Column:
+def promo_class(c, cfg: FigureConfig) -> Column:
     """always_on / promotion / unclassified from a promo name."""
     t = F.coalesce(strip(c), F.lit(""))
     return (F.when(t.contains(cfg.always_on_marker), F.lit("always_on"))
@@ -55,12 +55,12 @@ def promo_class(c, cfg: ReportConfig) -> Column:
             .otherwise(F.lit("unclassified")))
 
 
-def is_store_channel(cfg: ReportConfig, col: str = "channel") -> Column:
+def is_store_channel(cfg: FigureConfig, col: str = "channel") -> Column:
     """Exact trimmed match on the store channel (null channel is not store)."""
     return F.coalesce(strip(col) == F.lit(cfg.store_channel), F.lit(False))
 
 
-def is_market_channel(cfg: ReportConfig, col: str = "channel") -> Column:
+def is_market_channel(cfg: FigureConfig, col: str = "channel") -> Column:
     """Case-sensitive contains of the market marker (null channel is not market)."""
     return F.coalesce(F.col(col).contains(cfg.market_marker), F.lit(False))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 MONEY = ("cost", "rev_ss", "rev_db")
 COUNTS = ("impressions", "clicks", "buy_ss", "buy_db")
-# The seven summed measures of a period record, in report order.
+# The seven summed measures of a period record, in order.
 MEASURES = ("impressions", "clicks", "cost", "buy_ss", "rev_ss", "buy_db", "rev_db")
 
 # Attribution bases: revenue and purchase columns over the same cost.
@@ -47,18 +47,18 @@ def sql_date(d: dt.date) -> str:
     return f"DATE'{d.isoformat()}'"
 
 
-def day_is(d: dt.date, col: str = "report_date") -> str:
+def day_is(d: dt.date, col: str = "activity_date") -> str:
     return f"{q(col)} = {sql_date(d)}"
 
 
-def day_in(days, col: str = "report_date") -> str:
+def day_in(days, col: str = "activity_date") -> str:
     days = list(days)
     if not days:
         return "false"
     return f"{q(col)} IN ({', '.join(sql_date(d) for d in days)})"
 
 
-def day_between(s: dt.date, e: dt.date, col: str = "report_date") -> str:
+def day_between(s: dt.date, e: dt.date, col: str = "activity_date") -> str:
     return f"{q(col)} BETWEEN {sql_date(s)} AND {sql_date(e)}"
 
 

@@ -1,6 +1,6 @@
-"""Report anchors: last and previous available day of the unfiltered fact.
+"""Anchors: last and previous available day of the unfiltered fact.
 
-``report_anchors`` is a one-row DataFrame computed from the distinct dates
+``day_anchors`` is a one-row DataFrame computed from the distinct dates
 (partial aggregation, then a per-partition top-2); ``resolve_anchors`` brings
 that single row to the driver so every later query filters with literal dates
 that Catalyst pushes into the Parquet scan (row-group skipping, partition
@@ -35,12 +35,12 @@ class Anchors:
         return self.d_max - dt.timedelta(days=1)
 
 
-def report_anchors(fact: DataFrame) -> DataFrame:
+def day_anchors(fact: DataFrame) -> DataFrame:
     """One row: d_max, d_prev (= d_max when only one date), d_min, month_start."""
-    dates = fact.select("report_date").where(F.col("report_date").isNotNull()).distinct()
-    top2 = dates.orderBy(F.col("report_date").desc()).limit(2).withColumn("top", F.lit(True))
-    first = dates.orderBy(F.col("report_date").asc()).limit(1).withColumn("top", F.lit(False))
-    d = F.col("report_date")
+    dates = fact.select("activity_date").where(F.col("activity_date").isNotNull()).distinct()
+    top2 = dates.orderBy(F.col("activity_date").desc()).limit(2).withColumn("top", F.lit(True))
+    first = dates.orderBy(F.col("activity_date").asc()).limit(1).withColumn("top", F.lit(False))
+    d = F.col("activity_date")
     return (top2.unionByName(first)
             .agg(F.max(d).alias("d_max"),
                  F.min(F.when(F.col("top"), d)).alias("d_prev"),
@@ -50,9 +50,9 @@ def report_anchors(fact: DataFrame) -> DataFrame:
 
 
 def resolve_anchors(fact: DataFrame) -> Anchors:
-    rows = report_anchors(fact).collect()
+    rows = day_anchors(fact).collect()
     if not rows:
-        raise ValueError("the report has no dated rows")
+        raise ValueError("the snapshot has no dated rows")
     r = rows[0]
     return Anchors(d_max=r["d_max"], d_prev=r["d_prev"], d_min=r["d_min"])
 
@@ -66,5 +66,5 @@ def anchors_from_dates(dates) -> Anchors:
     partitions of a snapshot, read from its directory listing)."""
     ds = sorted({d for d in dates if d is not None})
     if not ds:
-        raise ValueError("the report has no dated rows")
+        raise ValueError("the snapshot has no dated rows")
     return Anchors(d_max=ds[-1], d_prev=ds[-2] if len(ds) > 1 else ds[-1], d_min=ds[0])

@@ -15,7 +15,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adpulse.config import ReportConfig
+from adpulse.config import FigureConfig
 from adpulse.functions.measures import BASIS, csum, day_in, day_is, q, ratio_sql, sql_str
 
 COMPARE_VALUES = ("rev_cur", "rev_prev", "rev_delta", "cost_cur", "cost_prev", "cost_delta",
@@ -24,13 +24,13 @@ COMPARE_VALUES = ("rev_cur", "rev_prev", "rev_delta", "cost_cur", "cost_prev", "
 
 
 def two_day_sums(fact: DataFrame, keys: list[str], basis: str, d_cur: dt.date, d_prev: dt.date,
-                 cfg: ReportConfig, fill_keys: bool = True) -> DataFrame:
+                 cfg: FigureConfig, fill_keys: bool = True) -> DataFrame:
     """keys + rev/cost/buy summed for each of the two days (exact DECIMAL sums)."""
     rev, buy = BASIS[basis]
     f = fact.where(day_in([d_cur, d_prev]))
     key_cols = [f"coalesce(CAST({q(k)} AS STRING), {sql_str(cfg.missing)}) AS {q(k)}"
                 if fill_keys else q(k) for k in keys]
-    f = f.selectExpr(*key_cols, "report_date", f"{q(rev)} AS _rev", "cost AS _cost",
+    f = f.selectExpr(*key_cols, "activity_date", f"{q(rev)} AS _rev", "cost AS _cost",
                      f"{q(buy)} AS _buy")
     cur, prev = day_is(d_cur), day_is(d_prev)
     return f.groupBy(*keys).agg(
@@ -73,7 +73,7 @@ def influence_cols(keys: list[str]) -> list[Column]:
 
 
 def two_day_compare(fact: DataFrame, keys: list[str], basis: str, d_cur: dt.date,
-                    d_prev: dt.date, cfg: ReportConfig, order: bool = True) -> DataFrame:
+                    d_prev: dt.date, cfg: FigureConfig, order: bool = True) -> DataFrame:
     """Per key: current/previous sums, deltas, ROAS and influence."""
     out = with_deltas(two_day_sums(fact, keys, basis, d_cur, d_prev, cfg), keys)
     return out.orderBy(*influence_cols(keys)) if order else out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adpulse.config import ReportConfig
+from adpulse.config import FigureConfig
 from adpulse.functions.labels import truncate_label, valid_label
 
 FILTER_DIMENSIONS = ("brand", "media", "campaign", "ad_group")
@@ -24,7 +24,7 @@ def dimension_values(fact: DataFrame, dims: tuple[str, ...] = FILTER_DIMENSIONS)
     return out.orderBy("dimension", "value")
 
 
-def cascading_filter(fact: DataFrame, cfg: ReportConfig) -> DataFrame:
+def cascading_filter(fact: DataFrame, cfg: FigureConfig) -> DataFrame:
     """for creative media, the campaign choices and, under each, the group
     choices (rows with a valid creative only). A campaign whose groups are all
     null appears once with a null group."""
@@ -42,7 +42,7 @@ def cascading_filter(fact: DataFrame, cfg: ReportConfig) -> DataFrame:
     return out.orderBy("media", "campaign", "ad_group")
 
 
-def choice_keys(fact: DataFrame, cfg: ReportConfig) -> DataFrame:
+def choice_keys(fact: DataFrame, cfg: FigureConfig) -> DataFrame:
     """The distinct keys that the choice lists and the promo classes of the whole
     history need, from one pass: its rows stand for the fact's in
     ``dimension_values``, ``cascading_filter`` and as ``history`` of ``promo_split``
@@ -52,14 +52,14 @@ def choice_keys(fact: DataFrame, cfg: ReportConfig) -> DataFrame:
     return fact.select(*cols, usable.alias("creative")).distinct()
 
 
-def valid_product_rows(fact: DataFrame, cfg: ReportConfig) -> DataFrame:
+def valid_product_rows(fact: DataFrame, cfg: FigureConfig) -> DataFrame:
     """fact rows whose product label is usable (not null, not blank, not
     '-', not the missing label)."""
     return fact.where(valid_label("product", cfg)).select(
-        "report_date", "channel", "media", "product", "rev_ss", "buy_ss")
+        "activity_date", "channel", "media", "product", "rev_ss", "buy_ss")
 
 
-def product_labels(fact: DataFrame, cfg: ReportConfig) -> DataFrame:
+def product_labels(fact: DataFrame, cfg: FigureConfig) -> DataFrame:
     """Every distinct product with its long (drill-down) and short (chart)
     label."""
     p = fact.select("product").where(F.col("product").isNotNull()).distinct()

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adpulse.config import ReportConfig
+from adpulse.config import FigureConfig
 from adpulse.functions.measures import sql_str
 from adpulse.sources.schema import column_absent
 from adpulse.functions.labels import (direction, is_market_channel, is_store_channel,
@@ -27,23 +27,23 @@ from adpulse.operators.totals import brand_filter
 SECTIONS = ("store", "market")
 
 
-def _section(cfg: ReportConfig) -> Column:
+def _section(cfg: FigureConfig) -> Column:
     """Channel sections a row belongs to (a row may match both rules)."""
     tags = F.array(F.when(is_store_channel(cfg), F.lit("store")),
                    F.when(is_market_channel(cfg), F.lit("market")))
     return F.filter(tags, lambda x: x.isNotNull())
 
 
-def _sectioned(fact: DataFrame, cfg: ReportConfig, a: Anchors) -> DataFrame:
-    f = fact.where(F.col("report_date").isin(a.d_max, a.d_prev))
+def _sectioned(fact: DataFrame, cfg: FigureConfig, a: Anchors) -> DataFrame:
+    f = fact.where(F.col("activity_date").isin(a.d_max, a.d_prev))
     if column_absent(fact, "channel"):
         # No channel column in the source: the store section is the whole
-        # report and the market section is empty.
+        # fact and the market section is empty.
         return f.withColumn("section", F.lit("store"))
     return f.select("*", F.explode(_section(cfg)).alias("section"))
 
 
-def _rows_of_media(fact: DataFrame, media: DataFrame, cfg: ReportConfig) -> DataFrame:
+def _rows_of_media(fact: DataFrame, media: DataFrame, cfg: FigureConfig) -> DataFrame:
     """Rows whose (missing-filled) media is in ``media``: a semi-join with the
     parent list, applied before any aggregation so only the parents' rows are
     grouped and shuffled. The list is the caller's, so Spark picks the join by
@@ -53,7 +53,7 @@ def _rows_of_media(fact: DataFrame, media: DataFrame, cfg: ReportConfig) -> Data
     return filled.join(media.select("media").distinct(), "media", "left_semi")
 
 
-def channel_headline(fact: DataFrame, cfg: ReportConfig,
+def channel_headline(fact: DataFrame, cfg: FigureConfig,
                      anchors: Anchors | None = None) -> DataFrame:
     """Per channel section, SS revenue, cost and ROAS on both days and the
     changes. A section without rows on either day has no row."""
@@ -63,7 +63,7 @@ def channel_headline(fact: DataFrame, cfg: ReportConfig,
     return with_deltas(sums, ["section"]).withColumn("direction", direction("rev_delta", True))
 
 
-def channel_drivers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def channel_drivers(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                     k: int = 3) -> DataFrame:
     """Per channel section, the k media with the largest absolute SS
     revenue change."""
@@ -75,7 +75,7 @@ def channel_drivers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None
     return top.withColumn("direction", direction("rev_delta", True))
 
 
-def media_product_drivers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def media_product_drivers(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                           k_media: int = 3, k: int = 3,
                           top_media: DataFrame | None = None) -> DataFrame:
     """Under each top media of a section (media holding the market marker
@@ -98,7 +98,7 @@ def media_product_drivers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors |
                       direction("rev_delta", True).alias("direction"))
 
 
-def display_media_breakdown(fact: DataFrame, cfg: ReportConfig,
+def display_media_breakdown(fact: DataFrame, cfg: FigureConfig,
                             anchors: Anchors | None = None, order: bool = True) -> DataFrame:
     """The display sub-media, DB basis, all of them, by influence."""
     a = anchors_of(fact, anchors)
@@ -107,7 +107,7 @@ def display_media_breakdown(fact: DataFrame, cfg: ReportConfig,
     return cmp.withColumn("direction", direction("rev_delta", True))
 
 
-def media_campaign_drivers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def media_campaign_drivers(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                            k: int = 3, only_media: DataFrame | None = None) -> DataFrame:
     """Per media, the k campaign/group pairs with the largest absolute DB
     revenue change, labelled 'campaign > group'. ``only_media`` (a bounded
@@ -123,7 +123,7 @@ def media_campaign_drivers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors
               .withColumn("direction", direction("rev_delta", True))
 
 
-def media_summary(fact: DataFrame, cfg: ReportConfig,
+def media_summary(fact: DataFrame, cfg: FigureConfig,
                   anchors: Anchors | None = None) -> DataFrame:
     """Every media by absolute SS revenue change with its top campaign/
     group by DB change as 'campaign > group' ('-' when none)."""
@@ -138,21 +138,21 @@ def media_summary(fact: DataFrame, cfg: ReportConfig,
     return out.orderBy(*influence_cols(["media"]))
 
 
-def _per_media_change(fact: DataFrame, cfg: ReportConfig, a: Anchors, keys: list[str],
+def _per_media_change(fact: DataFrame, cfg: FigureConfig, a: Anchors, keys: list[str],
                       basis: str, k: int) -> DataFrame:
     cmp = two_day_compare(fact.where(F.col("media").isNotNull()), ["media"] + keys, basis,
                           a.d_max, a.d_prev, cfg, order=False)
     return top_k_per_group(cmp, ["media"], influence_order(keys), k)
 
 
-def campaign_change_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def campaign_change_top(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                         k: int = 20, brand: str | None = None) -> DataFrame:
     """Per media, top k campaign/group pairs by absolute DB change."""
     a = anchors_of(fact, anchors)
     return _per_media_change(brand_filter(fact, brand), cfg, a, ["campaign", "ad_group"], "db", k)
 
 
-def keyword_change_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def keyword_change_top(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                        k: int = 20, brand: str | None = None) -> DataFrame:
     """Keyword media, valid keywords, top k by absolute SS change."""
     a = anchors_of(fact, anchors)
@@ -161,7 +161,7 @@ def keyword_change_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | No
     return _per_media_change(f, cfg, a, ["keyword"], "ss", k)
 
 
-def creative_change_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def creative_change_top(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                         k: int = 20, campaign: str | None = None, ad_group: str | None = None,
                         brand: str | None = None) -> DataFrame:
     """Creative media, valid creatives (optionally one campaign and group),
@@ -175,7 +175,7 @@ TREE_COLUMNS = ("section", "level", "parent", "rank", "label", "basis", "rev_cur
                 "rev_delta", "cost_cur", "cost_delta", "buy_delta", "roas_cur", "roas_delta")
 
 
-def drilldown_tree(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def drilldown_tree(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                    k: int = 3) -> DataFrame:
     """The whole day-change tree as one long frame: for each channel section,
     its top media (SS), under each the top products (SS, market media

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adpulse.config import ReportConfig
+from adpulse.config import FigureConfig
 from adpulse.functions.labels import strip
 from adpulse.functions.measures import csum, day_between, sql_str
 from adpulse.operators.anchors import Anchors, anchors_of
 
 
-def target_rule(cfg: ReportConfig, col: str = "channel") -> Column:
+def target_rule(cfg: FigureConfig, col: str = "channel") -> Column:
     """Rule of a target row: store / market / other / none (checked in order)."""
     key = F.lower(strip(col))
     store = key == F.lit(cfg.store_channel.lower())
@@ -26,7 +26,7 @@ def target_rule(cfg: ReportConfig, col: str = "channel") -> Column:
              .otherwise(F.lit("none")))
 
 
-def rule_revenue(fact: DataFrame, cfg: ReportConfig, a: Anchors) -> DataFrame:
+def rule_revenue(fact: DataFrame, cfg: FigureConfig, a: Anchors) -> DataFrame:
     """Month-to-date SS revenue per rule, one scan, three rows.
 
     Store and market rows are found by a case-insensitive contains on the
@@ -43,7 +43,7 @@ def rule_revenue(fact: DataFrame, cfg: ReportConfig, a: Anchors) -> DataFrame:
         for r in ("store", "market", "other")])))
 
 
-def kpi_attainment(fact: DataFrame, targets: DataFrame, cfg: ReportConfig,
+def kpi_attainment(fact: DataFrame, targets: DataFrame, cfg: FigureConfig,
                    anchors: Anchors | None = None) -> DataFrame:
     """A5 + A6: for every target row, achieved month-to-date SS revenue by its
     rule (unknown rule → 0), the attainment rate capped at 100 % (0 when the

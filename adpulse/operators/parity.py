@@ -1,4 +1,4 @@
-"""Parity of two snapshots of the same report (J20): row counts, measure
+"""Parity of two snapshots of the same data (J20): row counts, measure
 totals within a tolerance, and per-media totals.
 
 Both snapshots are tagged, unioned and grouped once by media with

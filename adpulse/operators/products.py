@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adpulse.config import ReportConfig
+from adpulse.config import FigureConfig
 from adpulse.functions.labels import strip
 from adpulse.functions.measures import csum, day_in, day_is, ratio_sql, sql_str
 from adpulse.operators.anchors import Anchors, anchors_of
@@ -14,7 +14,7 @@ from adpulse.operators.compare import influence_order, two_day_compare
 from adpulse.operators.ranking import product_rows, top_k, top_k_per_group
 
 
-def product_top10(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def product_top10(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                   media: str | None = None, k: int = 10) -> DataFrame:
     """Per media, the last day's top k products by DB revenue, joined to
     the previous day (missing there = 0). ROAS rounded to 0.1; the ROAS change
@@ -28,7 +28,7 @@ def product_top10(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None =
     if media is not None:
         f = f.where(F.col("media") == F.lit(media))
     f = f.selectExpr("media", f"coalesce(CAST(product AS STRING), {sql_str(cfg.missing)}) AS product",
-                     "report_date", "rev_db", "cost", "buy_db")
+                     "activity_date", "rev_db", "cost", "buy_db")
     cur, prev = day_is(a.d_max), day_is(a.d_prev)
     g = f.groupBy("media", "product").agg(
         F.expr(f"max({cur}) AS _on_last"),
@@ -64,7 +64,7 @@ def product_top10_summary(top10: DataFrame) -> DataFrame:
     )
 
 
-def _product_compare(fact: DataFrame, cfg: ReportConfig, a: Anchors, keys: list[str],
+def _product_compare(fact: DataFrame, cfg: FigureConfig, a: Anchors, keys: list[str],
                      brand: str | None) -> DataFrame:
     f = product_rows(fact, cfg, brand)
     if "media" in keys:
@@ -73,7 +73,7 @@ def _product_compare(fact: DataFrame, cfg: ReportConfig, a: Anchors, keys: list[
     return cmp.where((F.col("product") != cfg.missing) & (strip("product") != "-"))
 
 
-def product_movers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def product_movers(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                    gainers: bool = True, k: int = 10, brand: str | None = None) -> DataFrame:
     """Product-page day-over-day SS comparison; gainers (change > 0) in
     influence order, or losers (change < 0) from the largest fall; top k."""
@@ -84,7 +84,7 @@ def product_movers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None =
     return top_k(cmp.where("rev_delta < 0"), ["rev_delta ASC", "product ASC"], k)
 
 
-def media_product_movers(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def media_product_movers(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                          gainers: bool = True, k: int = 10,
                          brand: str | None = None) -> DataFrame:
     """J15 per media of the product pages."""

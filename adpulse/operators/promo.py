@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adpulse.config import ReportConfig
+from adpulse.config import FigureConfig
 from adpulse.functions.labels import promo_class
 from adpulse.functions.measures import csum, day_in, day_is, roas
 from adpulse.operators.anchors import Anchors, anchors_of
 
 
-def promo_split(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def promo_split(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                 media: str | None = None, history: DataFrame | None = None) -> DataFrame:
     """Per media and promo class (unclassified dropped): cost, DB revenue and
     ROAS on the last and previous day, with changes.

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adpulse.config import ReportConfig
+from adpulse.config import FigureConfig
 from adpulse.functions.labels import is_store_channel, truncate_label, valid_label
 from adpulse.functions.measures import csum, out_measure, q, roas
 from adpulse.operators.anchors import Anchors, anchors_of
@@ -60,7 +60,7 @@ def sort_col(o) -> Column:
 
 
 def _mtd(fact: DataFrame, a: Anchors) -> DataFrame:
-    return fact.where(F.col("report_date").between(a.month_start, a.d_max))
+    return fact.where(F.col("activity_date").between(a.month_start, a.d_max))
 
 
 def _sums(cols: list[str]) -> list[Column]:
@@ -87,7 +87,7 @@ def campaign_mtd_top(fact: DataFrame, anchors: Anchors | None = None, k: int = 3
     return top_k_per_group(g, ["media"], order, k)
 
 
-def keyword_mtd_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def keyword_mtd_top(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                     k: int = 20, brand: str | None = None) -> DataFrame:
     """Keyword media only, valid keywords, month-to-date SS revenue,
     purchases, cost and SS ROAS, top k per media by SS revenue."""
@@ -100,7 +100,7 @@ def keyword_mtd_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None
     return top_k_per_group(g, ["media"], ["rev_ss DESC", "keyword ASC"], k)
 
 
-def creative_rows(fact: DataFrame, cfg: ReportConfig, campaign: str | None = None,
+def creative_rows(fact: DataFrame, cfg: FigureConfig, campaign: str | None = None,
                   ad_group: str | None = None, brand: str | None = None) -> DataFrame:
     """Creative media's rows with a valid creative, by brand, campaign and group."""
     f = fact.where(F.col("media").isin(*cfg.creative_media) & valid_label("creative"))
@@ -108,7 +108,7 @@ def creative_rows(fact: DataFrame, cfg: ReportConfig, campaign: str | None = Non
     return brand_filter(f, brand)
 
 
-def creative_mtd_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def creative_mtd_top(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                      k: int = 20, campaign: str | None = None,
                      ad_group: str | None = None, brand: str | None = None) -> DataFrame:
     """A10: creative media only, valid creatives (optionally one campaign and
@@ -122,7 +122,7 @@ def creative_mtd_top(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None
     return top_k_per_group(g, ["media"], ["rev_db DESC", "creative ASC"], k)
 
 
-def product_rows(fact: DataFrame, cfg: ReportConfig, brand: str | None = None) -> DataFrame:
+def product_rows(fact: DataFrame, cfg: FigureConfig, brand: str | None = None) -> DataFrame:
     """Rows of the product pages: store channel, valid product label, excluded
     media removed (a null media is kept, as the reference's negated match).
     A source without a channel column gets no channel filter."""
@@ -135,7 +135,7 @@ def product_rows(fact: DataFrame, cfg: ReportConfig, brand: str | None = None) -
     return brand_filter(f, brand)
 
 
-def mtd_top_products(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def mtd_top_products(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                      k: int = 10, brand: str | None = None) -> DataFrame:
     """A11 + F13: month-to-date top k products by SS revenue, ranked 1..k,
     with the short chart label."""
@@ -148,7 +148,7 @@ def mtd_top_products(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None
                       .alias("short_label"), "rev_ss", "buy_ss")
 
 
-def media_top_products(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | None = None,
+def media_top_products(fact: DataFrame, cfg: FigureConfig, anchors: Anchors | None = None,
                        k: int = 10, last_day_only: bool = False,
                        brand: str | None = None) -> DataFrame:
     """Per media of the product pages, top k products by SS revenue,
@@ -156,7 +156,7 @@ def media_top_products(fact: DataFrame, cfg: ReportConfig, anchors: Anchors | No
     a = anchors_of(fact, anchors)
     f = product_rows(fact, cfg, brand).where(F.col("media").isNotNull())
     if last_day_only:
-        f = f.where(F.col("report_date") == F.lit(a.d_max))
+        f = f.where(F.col("activity_date") == F.lit(a.d_max))
     else:
         f = _mtd(f, a)
     cols = ["rev_ss", "buy_ss"]

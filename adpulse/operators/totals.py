@@ -127,10 +127,10 @@ def daily_detail(fact: DataFrame, anchors: Anchors | None = None,
     cond = None
     if brand is not None and not column_absent(fact, "brand"):
         cond = f"coalesce(CAST(brand AS STRING) = {sql_str(brand)}, false)"
-    agg = f.groupBy("report_date").agg(*sum_measures(cond))
-    out = agg.selectExpr("date_format(report_date, 'yyyy-MM-dd') AS day", "report_date",
+    agg = f.groupBy("activity_date").agg(*sum_measures(cond))
+    out = agg.selectExpr("date_format(activity_date, 'yyyy-MM-dd') AS day", "activity_date",
                          *_record_sql())
-    return out.orderBy("report_date")
+    return out.orderBy("activity_date")
 
 
 def media_mtd(fact: DataFrame, anchors: Anchors | None = None,
@@ -159,7 +159,7 @@ def roas_trend(fact: DataFrame, end: dt.date | None = None, n: int = 7,
     """
     if end is None:
         end = anchors_of(fact, anchors).d_max
-    d = F.col("report_date")
+    d = F.col("activity_date")
     days = [r[0] for r in fact.select(d).where(d.isNotNull() & (d <= F.lit(end))).distinct()
             .orderBy(d.desc()).limit(n).collect()]
     return _trend(fact, days)
@@ -169,23 +169,23 @@ def roas_trend_between(fact: DataFrame, start: dt.date, end: dt.date) -> DataFra
     """A16 for a chosen range: every day with data in [start, end] (the chart's
     range picker), or the last 7 days up to its end if it has none; same
     columns as ``roas_trend``."""
-    chosen = fact.where(F.col("report_date").between(start, end))
+    chosen = fact.where(F.col("activity_date").between(start, end))
     if chosen.isEmpty():
         return roas_trend(fact, end, 7)
     return _trend(chosen, None)
 
 
 def _trend(fact: DataFrame, days: list | None) -> DataFrame:
-    d = F.col("report_date")
+    d = F.col("activity_date")
     if days is None:
         picked = fact.where(d.isNotNull())
     else:
         picked = fact.where(d.isin(*days)) if days else fact.where(F.lit(False))
-    daily = picked.groupBy("report_date").agg(csum("rev_ss").alias("rev_ss"),
+    daily = picked.groupBy("activity_date").agg(csum("rev_ss").alias("rev_ss"),
                                               csum("cost").alias("cost"))
     roas_1 = F.bround(roas("rev_ss", "cost"), 1)
     out = daily.select(
-        "report_date",
+        "activity_date",
         F.date_format(d, "MM/dd").alias("label"),
         roas_1.alias("roas_ss"),
         F.bround(F.col("cost").cast("double") / F.lit(10000.0), 1).alias("cost_10k"),
@@ -194,14 +194,14 @@ def _trend(fact: DataFrame, days: list | None) -> DataFrame:
     # One row per picked day: the window spans the chart's days only.
     w = Window.partitionBy()
     mean = (F.sum("_r").over(w).cast("double") / F.count(F.lit(1)).over(w).cast("double"))
-    return out.select("report_date", "label", "roas_ss", "cost_10k",
-                      mean.alias("avg_roas_ss")).orderBy("report_date")
+    return out.select("activity_date", "label", "roas_ss", "cost_10k",
+                      mean.alias("avg_roas_ss")).orderBy("activity_date")
 
 
 def _media_days(fact: DataFrame, start: dt.date | None, end: dt.date | None) -> tuple[DataFrame, list[str]]:
     """The rows of the range with their day as yyyy-MM-dd (with the year, so
     labels never collide), and the days with data (one entry a day)."""
-    d = F.col("report_date")
+    d = F.col("activity_date")
     f = fact.where(d.isNotNull())
     if start is not None:
         f = f.where(d >= F.lit(start))
@@ -240,6 +240,6 @@ def media_daily_pivot(fact: DataFrame, start: dt.date | None = None,
 
 def date_extent(fact: DataFrame) -> DataFrame:
     """First and last day of a (filtered) fact, and the number of days."""
-    d = F.col("report_date")
+    d = F.col("activity_date")
     return fact.agg(F.min(d).alias("first_day"), F.max(d).alias("last_day"),
                     F.count_distinct(d).alias("n_days"))

@@ -1,6 +1,6 @@
-"""A daily report run: the three report pages as named DataFrames.
+"""A run of all figures: the three pages as named DataFrames.
 
-``DailyReport`` takes the canonical fact of ONE snapshot (see
+``Figures`` takes the canonical fact of ONE snapshot (see
 ``sources.snapshots``), resolves its anchors once and hands out every figure
 of the summary, product and media pages as a lazy DataFrame. Nothing is
 collected except the one-row anchors; each figure is its own Spark plan, and
@@ -22,15 +22,15 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from adpulse.config import ReportConfig
+from adpulse.config import FigureConfig
 from adpulse.functions.measures import day_between
 from adpulse.operators import dimensions, drivers, kpi, periods, products, promo, ranking, totals
 from adpulse.operators.anchors import Anchors, resolve_anchors
 from adpulse.operators.compare import two_day_compare
 
 
-class DailyReport:
-    def __init__(self, fact: DataFrame, cfg: ReportConfig, targets: DataFrame | None = None,
+class Figures:
+    def __init__(self, fact: DataFrame, cfg: FigureConfig, targets: DataFrame | None = None,
                  brand: str | None = None, persist: bool = False,
                  anchors: Anchors | None = None, cache_recent: bool = False,
                  campaign: str | None = None, ad_group: str | None = None):

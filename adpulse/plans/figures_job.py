@@ -1,16 +1,16 @@
-"""The daily report as one Spark application.
+"""All figures of a day as one Spark application.
 
     zip -r adpulse.zip adpulse
-    spark-submit --py-files adpulse.zip adpulse/plans/daily_job.py \
-        --reports <folder> --facts <folder> --out <folder>
+    spark-submit --py-files adpulse.zip adpulse/plans/figures_job.py \
+        --snapshots <folder> --facts <folder> --out <folder>
 
-1. list the report folder and pick the newest valid snapshot (or ``--tag``);
+1. list the snapshot folder and pick the newest valid snapshot (or ``--tag``);
 2. ingest it to ``<facts>/tag=<YYMMDD>`` (typed, date-partitioned Parquet)
    unless that output is already newer than the source;
-3. build every figure of the report from that snapshot and write each as
+3. build every figure from that snapshot and write each as
    Parquet under ``<out>/tag=<YYMMDD>/<figure>``.
 
-The steps are the reference's convert-then-report flow; nothing but file
+The steps are the reference's convert-then-show flow; nothing but file
 listings and the one-row anchors reaches the driver.
 """
 
@@ -30,21 +30,21 @@ import re
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from adpulse.config import DEFAULT_CONFIG, TEST_CONFIG, ReportConfig
+from adpulse.config import DEFAULT_CONFIG, TEST_CONFIG, FigureConfig
 from adpulse.operators.anchors import anchors_from_dates
-from adpulse.plans.report import DailyReport
+from adpulse.plans.figures import Figures
 from adpulse.sources import snapshots
 from adpulse.sources.targets import load_targets
 
 
-def run_daily(spark: SparkSession, reports: str, facts: str, out: str,
-              cfg: ReportConfig = DEFAULT_CONFIG, tag: str | None = None,
+def run_figures_job(spark: SparkSession, folder: str, facts: str, out: str,
+              cfg: FigureConfig = DEFAULT_CONFIG, tag: str | None = None,
               as_of: dt.date | None = None, targets: str | None = None,
               extra_headers: dict | None = None, persist: bool = False,
               parallel: int = 4, cache_recent: bool = False, brand: str | None = None,
               campaign: str | None = None, ad_group: str | None = None,
               allow_unreadable: bool = False) -> dict:
-    cat = snapshots.snapshot_catalog(spark, reports)
+    cat = snapshots.snapshot_catalog(spark, folder)
     readable = cat.where(F.col("ext").isin(*snapshots.READABLE))
     src = (snapshots.snapshot_by_tag(readable, tag) if tag
            else snapshots.newest_valid_snapshot(cat, as_of=as_of, exts=snapshots.READABLE))
@@ -52,7 +52,7 @@ def run_daily(spark: SparkSession, reports: str, facts: str, out: str,
         raise FileNotFoundError(f"no readable snapshot for tag {tag}")
     newest = snapshots.snapshot_by_tag(cat, tag) if tag else snapshots.newest_snapshot(cat)
     skipped = None if newest == src else newest  # newer, or preferred, but not readable or not valid
-    tag = re.search(snapshots.REPORT_NAME_RE, src.rstrip("/").rsplit("/", 1)[-1]).group(3)
+    tag = re.search(snapshots.SNAPSHOT_NAME_RE, src.rstrip("/").rsplit("/", 1)[-1]).group(3)
     fact_path = f"{facts.rstrip('/')}/tag={tag}"
     audit = None
     if snapshots.needs_ingest(spark, src, fact_path):
@@ -61,24 +61,24 @@ def run_daily(spark: SparkSession, reports: str, facts: str, out: str,
     fact = spark.read.parquet(fact_path)
     # The snapshot is stored by day: its days are the partition directories,
     # so the anchors need no scan at all.
-    days = snapshots.partition_values(spark, fact_path, "report_date")
+    days = snapshots.partition_values(spark, fact_path, "activity_date")
     anchors = anchors_from_dates(dt.date.fromisoformat(d) for d in days) if days else None
     tgt = load_targets(spark, targets) if targets else None
-    report = DailyReport(fact, cfg, tgt, persist=persist, anchors=anchors,
+    run = Figures(fact, cfg, tgt, persist=persist, anchors=anchors,
                          cache_recent=cache_recent, brand=brand, campaign=campaign,
                          ad_group=ad_group)
     try:
         dest = f"{out.rstrip('/')}/tag={tag}"
-        figures = report.write_all(dest, parallel=parallel)
+        figures = run.write_all(dest, parallel=parallel)
     finally:
-        report.close()
+        run.close()
     return {"tag": tag, "source": src, "skipped": skipped, "ingested": audit, "out": dest, "figures": figures,
-            "d_max": str(report.anchors.d_max), "d_prev": str(report.anchors.d_prev)}
+            "d_max": str(run.anchors.d_max), "d_prev": str(run.anchors.d_prev)}
 
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(description=__doc__.split("\n")[0])
-    ap.add_argument("--reports", required=True)
+    ap.add_argument("--snapshots", required=True)
     ap.add_argument("--facts", required=True)
     ap.add_argument("--out", required=True)
     ap.add_argument("--tag")
@@ -99,7 +99,7 @@ def main(argv: list[str] | None = None) -> int:
     from adpulse.session import build_session
     spark = build_session()
     cfg = TEST_CONFIG if a.config == "test" else DEFAULT_CONFIG
-    print(json.dumps(run_daily(spark, a.reports, a.facts, a.out, cfg, a.tag, a.as_of,
+    print(json.dumps(run_figures_job(spark, a.snapshots, a.facts, a.out, cfg, a.tag, a.as_of,
                                a.targets, extra_headers=headers, cache_recent=a.cache_recent, brand=a.brand,
                                campaign=a.campaign, ad_group=a.ad_group,
                                allow_unreadable=a.allow_unreadable), default=str))

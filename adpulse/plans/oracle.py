@@ -28,7 +28,7 @@ def _in(values) -> str:
 
 
 ANCHORS_CTE = """,
-dates AS (SELECT DISTINCT report_date AS d FROM ad_fact WHERE report_date IS NOT NULL),
+dates AS (SELECT DISTINCT activity_date AS d FROM ad_fact WHERE activity_date IS NOT NULL),
 anch AS (
   SELECT max(d) AS d_max,
          coalesce(max(d) FILTER (WHERE d < (SELECT max(d) FROM dates)), max(d)) AS d_prev,
@@ -58,8 +58,8 @@ STORE = f"coalesce({strip_sql("channel")} = {_q(CFG.store_channel)}, false)"
 MARKET = f"coalesce(contains(channel, {_q(CFG.market_marker)}), false)"
 PRODUCT_ROWS = (f"{STORE} AND {valid_sql('product')} AND NOT regexp_matches("
                 f"coalesce(media, ''), {_q(CFG.product_excluded_media)})")
-MTD = "report_date BETWEEN a.month_start AND a.d_max"
-ALLH = "report_date BETWEEN a.d_min AND a.d_max"
+MTD = "activity_date BETWEEN a.month_start AND a.d_max"
+ALLH = "activity_date BETWEEN a.d_min AND a.d_max"
 
 CMP_COLS = ("rev_cur, rev_prev, rev_delta, cost_cur, cost_prev, cost_delta, buy_cur, buy_prev, "
             "buy_delta, roas_cur, roas_prev, roas_delta, influence")
@@ -85,15 +85,15 @@ def cmp_sql(keys: list[str], basis: str, where: str = "TRUE", fill: bool = True,
     abs(CAST(rc - rp AS DOUBLE)) AS influence
   FROM (
     SELECT {ks},
-      coalesce(sum(CASE WHEN report_date = a.d_max THEN rev END), 0) AS rc,
-      coalesce(sum(CASE WHEN report_date = a.d_prev THEN rev END), 0) AS rp,
-      coalesce(sum(CASE WHEN report_date = a.d_max THEN cost END), 0) AS cc,
-      coalesce(sum(CASE WHEN report_date = a.d_prev THEN cost END), 0) AS cp,
-      coalesce(sum(CASE WHEN report_date = a.d_max THEN buy END), 0) AS bc,
-      coalesce(sum(CASE WHEN report_date = a.d_prev THEN buy END), 0) AS bp
-    FROM (SELECT {kx}, report_date, {rev} AS rev, cost, {buy} AS buy
+      coalesce(sum(CASE WHEN activity_date = a.d_max THEN rev END), 0) AS rc,
+      coalesce(sum(CASE WHEN activity_date = a.d_prev THEN rev END), 0) AS rp,
+      coalesce(sum(CASE WHEN activity_date = a.d_max THEN cost END), 0) AS cc,
+      coalesce(sum(CASE WHEN activity_date = a.d_prev THEN cost END), 0) AS cp,
+      coalesce(sum(CASE WHEN activity_date = a.d_max THEN buy END), 0) AS bc,
+      coalesce(sum(CASE WHEN activity_date = a.d_prev THEN buy END), 0) AS bp
+    FROM (SELECT {kx}, activity_date, {rev} AS rev, cost, {buy} AS buy
           FROM {src}, anch a
-          WHERE report_date IN (a.d_max, a.d_prev) AND ({where})) x, anch a
+          WHERE activity_date IN (a.d_max, a.d_prev) AND ({where})) x, anch a
     GROUP BY {ks}
   ) s
 )"""
@@ -136,7 +136,7 @@ def totals_sql(start: str, end: str, extra: str = "TRUE") -> str:
     return HEAD + f"""
 SELECT {start} AS period_start, {end} AS period_end, {record_cols()}
 FROM (SELECT {SUM7} FROM ad_fact, anch a
-      WHERE report_date BETWEEN {start} AND {end} AND ({extra})) t, anch a"""
+      WHERE activity_date BETWEEN {start} AND {end} AND ({extra})) t, anch a"""
 
 
 def periods_cte(rows: str) -> str:
@@ -147,7 +147,7 @@ r AS (
   SELECT p.period, p.period_idx, p.s AS period_start, p.e AS period_end, {record_cols('t.')}
   FROM p LEFT JOIN (
     SELECT p.period_idx, {SUM7.replace('sum(', 'sum(f.')}
-    FROM p JOIN ad_fact f ON f.report_date BETWEEN p.s AND p.e
+    FROM p JOIN ad_fact f ON f.activity_date BETWEEN p.s AND p.e
     GROUP BY p.period_idx) t ON t.period_idx = p.period_idx
 )"""
 
@@ -399,8 +399,8 @@ FROM k"""
 
 def media_daily_sql() -> str:
     return HEAD + """,
-g AS (SELECT media, strftime(report_date, '%Y-%m-%d') AS day, sum(rev_db) AS v
-      FROM ad_fact WHERE report_date IS NOT NULL GROUP BY media, day),
+g AS (SELECT media, strftime(activity_date, '%Y-%m-%d') AS day, sum(rev_db) AS v
+      FROM ad_fact WHERE activity_date IS NOT NULL GROUP BY media, day),
 ms AS (SELECT DISTINCT media FROM g),
 ds AS (SELECT DISTINCT day FROM g)
 SELECT ms.media, ds.day, coalesce(CAST(g.v AS DOUBLE), 0.0) AS rev_db
@@ -415,11 +415,11 @@ def promo_sql() -> str:
     return HEAD + f""",
 g AS (
   SELECT media, promo_class,
-    coalesce(sum(CASE WHEN report_date = a.d_max THEN cost END), 0) AS c1,
-    coalesce(sum(CASE WHEN report_date = a.d_max THEN rev_db END), 0) AS r1,
-    coalesce(sum(CASE WHEN report_date = a.d_prev THEN cost END), 0) AS c0,
-    coalesce(sum(CASE WHEN report_date = a.d_prev THEN rev_db END), 0) AS r0
-  FROM (SELECT media, {cls} AS promo_class, report_date, cost, rev_db
+    coalesce(sum(CASE WHEN activity_date = a.d_max THEN cost END), 0) AS c1,
+    coalesce(sum(CASE WHEN activity_date = a.d_max THEN rev_db END), 0) AS r1,
+    coalesce(sum(CASE WHEN activity_date = a.d_prev THEN cost END), 0) AS c0,
+    coalesce(sum(CASE WHEN activity_date = a.d_prev THEN rev_db END), 0) AS r0
+  FROM (SELECT media, {cls} AS promo_class, activity_date, cost, rev_db
         FROM ad_fact WHERE media IS NOT NULL) x, anch a
   WHERE promo_class <> 'unclassified'
   GROUP BY media, promo_class)
@@ -436,13 +436,13 @@ def roas_trend_sql() -> str:
     return HEAD + f""",
 days AS (SELECT d FROM dates, anch a WHERE d <= a.d_max ORDER BY d DESC LIMIT 7),
 daily AS (
-  SELECT report_date, coalesce(sum(rev_ss), 0) AS rev_ss, coalesce(sum(cost), 0) AS cost
-  FROM ad_fact WHERE report_date IN (SELECT d FROM days) GROUP BY report_date),
+  SELECT activity_date, coalesce(sum(rev_ss), 0) AS rev_ss, coalesce(sum(cost), 0) AS cost
+  FROM ad_fact WHERE activity_date IN (SELECT d FROM days) GROUP BY activity_date),
 t AS (
-  SELECT report_date, strftime(report_date, '%m/%d') AS label, {r} AS roas_ss,
+  SELECT activity_date, strftime(activity_date, '%m/%d') AS label, {r} AS roas_ss,
          round_even(CAST(cost AS DOUBLE) / 10000.0, 1) AS cost_10k
   FROM daily)
-SELECT report_date, label, roas_ss, cost_10k,
+SELECT activity_date, label, roas_ss, cost_10k,
   CAST(sum(CAST(roas_ss AS DECIMAL(20,1))) OVER () AS DOUBLE) / CAST(count(*) OVER () AS DOUBLE)
     AS avg_roas_ss
 FROM t"""
@@ -451,17 +451,17 @@ FROM t"""
 PRODUCT_TOP10_CTE = f""",
 pg AS (
   SELECT media, product,
-    bool_or(report_date = a.d_max) AS on_last,
-    coalesce(sum(CASE WHEN report_date = a.d_max THEN rev_db END), 0) AS rv1,
-    coalesce(sum(CASE WHEN report_date = a.d_max THEN cost END), 0) AS c1,
-    coalesce(sum(CASE WHEN report_date = a.d_max THEN buy_db END), 0) AS b1,
-    coalesce(sum(CASE WHEN report_date = a.d_prev THEN rev_db END), 0) AS rv0,
-    coalesce(sum(CASE WHEN report_date = a.d_prev THEN cost END), 0) AS c0,
-    coalesce(sum(CASE WHEN report_date = a.d_prev THEN buy_db END), 0) AS b0
-  FROM (SELECT media, coalesce(CAST(product AS VARCHAR), {_q(M)}) AS product, report_date,
+    bool_or(activity_date = a.d_max) AS on_last,
+    coalesce(sum(CASE WHEN activity_date = a.d_max THEN rev_db END), 0) AS rv1,
+    coalesce(sum(CASE WHEN activity_date = a.d_max THEN cost END), 0) AS c1,
+    coalesce(sum(CASE WHEN activity_date = a.d_max THEN buy_db END), 0) AS b1,
+    coalesce(sum(CASE WHEN activity_date = a.d_prev THEN rev_db END), 0) AS rv0,
+    coalesce(sum(CASE WHEN activity_date = a.d_prev THEN cost END), 0) AS c0,
+    coalesce(sum(CASE WHEN activity_date = a.d_prev THEN buy_db END), 0) AS b0
+  FROM (SELECT media, coalesce(CAST(product AS VARCHAR), {_q(M)}) AS product, activity_date,
                rev_db, cost, buy_db
         FROM ad_fact, anch a
-        WHERE report_date IN (a.d_max, a.d_prev) AND media IS NOT NULL) x, anch a
+        WHERE activity_date IN (a.d_max, a.d_prev) AND media IS NOT NULL) x, anch a
   GROUP BY media, product),
 pt AS (
   SELECT media, rank, product,
@@ -503,19 +503,19 @@ def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["compare_media_ss"] = cmp_query(["media"], "ss")
     q["compare_campaign_db"] = cmp_query(["campaign", "ad_group"], "db")
-    q["report_anchors"] = HEAD + "\nSELECT d_max, d_prev, d_min, month_start FROM anch"
-    q["scan_report"] = FACT_CTE + """
-SELECT report_date, channel, media, campaign, ad_group, creative, keyword, brand, product, promo,
+    q["day_anchors"] = HEAD + "\nSELECT d_max, d_prev, d_min, month_start FROM anch"
+    q["scan_snapshot"] = FACT_CTE + """
+SELECT activity_date, channel, media, campaign, ad_group, creative, keyword, brand, product, promo,
        impressions, clicks, CAST(cost AS DOUBLE) AS cost, CAST(rev_ss AS DOUBLE) AS rev_ss,
        CAST(rev_db AS DOUBLE) AS rev_db, buy_ss, buy_db,
        CAST(rev_market_a AS DOUBLE) AS rev_market_a, CAST(rev_market_b AS DOUBLE) AS rev_market_b
 FROM ad_fact"""
     q["ingest_audit"] = FACT_CTE + """
-SELECT count(*) AS n_rows, count(DISTINCT report_date) AS n_days,
-       min(report_date) AS first_day, max(report_date) AS last_day FROM ad_fact"""
+SELECT count(*) AS n_rows, count(DISTINCT activity_date) AS n_days,
+       min(activity_date) AS first_day, max(activity_date) AS last_day FROM ad_fact"""
     q["product_date_extent"] = FACT_CTE + f"""
-SELECT min(report_date) AS first_day, max(report_date) AS last_day,
-       count(DISTINCT report_date) AS n_days
+SELECT min(activity_date) AS first_day, max(activity_date) AS last_day,
+       count(DISTINCT activity_date) AS n_days
 FROM ad_fact WHERE {PRODUCT_ROWS}"""
     q["period_totals"] = totals_sql("a.d_max - 6", "a.d_max")
     q["mtd_totals"] = totals_sql("a.month_start", "a.d_max")
@@ -531,8 +531,8 @@ SELECT 'DB', impressions, clicks, cpc, ctr, cost, buy_db, rev_db, roas_db FROM t
     sums_b = ", ".join(f"coalesce(sum(CASE WHEN {cond} THEN {m} END), 0) AS {m}" for m in
                        ("impressions", "clicks", "cost", "buy_ss", "rev_ss", "buy_db", "rev_db"))
     q["daily_detail"] = HEAD + f"""
-SELECT strftime(report_date, '%Y-%m-%d') AS day, report_date, {record_cols()}
-FROM (SELECT report_date, {sums_b} FROM ad_fact, anch a WHERE {MTD} GROUP BY report_date) t"""
+SELECT strftime(activity_date, '%Y-%m-%d') AS day, activity_date, {record_cols()}
+FROM (SELECT activity_date, {sums_b} FROM ad_fact, anch a WHERE {MTD} GROUP BY activity_date) t"""
     q["media_mtd"] = HEAD + f"""
 SELECT channel, media, {record_cols()}
 FROM (SELECT channel, media, {SUM7} FROM ad_fact, anch a WHERE {MTD} GROUP BY channel, media) t"""
@@ -547,7 +547,7 @@ FROM (SELECT channel, media, {SUM7} FROM ad_fact, anch a WHERE {MTD} GROUP BY ch
     q["top_products_all"] = top_products_sql(ALLH)
     q["media_top_products_mtd"] = media_top_products_sql(MTD)
     q["media_top_products_all"] = media_top_products_sql(ALLH)
-    q["media_top_products_day"] = media_top_products_sql("report_date = a.d_max")
+    q["media_top_products_day"] = media_top_products_sql("activity_date = a.d_max")
     q["media_daily"] = media_daily_sql()
     q["promo_split"] = promo_sql()
     q["roas_trend"] = roas_trend_sql()
@@ -672,7 +672,7 @@ SELECT trip.media, trip.campaign, trip.ad_group FROM trip
 JOIN named ON named.media = trip.media AND named.campaign = trip.campaign
 WHERE trip.ad_group IS NOT NULL OR named.n = 0"""
     q["valid_product_filter"] = FACT_CTE + f"""
-SELECT report_date, channel, media, product, CAST(rev_ss AS DOUBLE) AS rev_ss, buy_ss FROM ad_fact
+SELECT activity_date, channel, media, product, CAST(rev_ss AS DOUBLE) AS rev_ss, buy_ss FROM ad_fact
 WHERE {valid_sql('product', True)}"""
     q["label_truncate"] = FACT_CTE + f"""
 SELECT product, {trunc_sql('product', CFG.label_len_long)} AS label_long,

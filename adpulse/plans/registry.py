@@ -1,4 +1,4 @@
-"""Registered report queries over the driver tables.
+"""Registered queries over the driver tables.
 
 Each entry takes (spark, sf_dir) and returns a DataFrame. The fact is the
 fixed mapping of the TPC-H-shaped tables (``sources.tpch_fact``); anchors are
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from adpulse.config import TEST_CONFIG as CFG
 from adpulse.functions.formatting import CTR_DECIMALS, money_text, pct_text, signed_money_text, signed_points_text
 from adpulse.operators import dimensions, drivers, kpi, periods, products, promo, ranking, totals
-from adpulse.operators.anchors import Anchors, report_anchors, resolve_anchors
+from adpulse.operators.anchors import Anchors, day_anchors, resolve_anchors
 from adpulse.operators.compare import two_day_compare
 from adpulse.operators.parity import parity_totals, snapshot_parity
 from adpulse.sources.schema import FACT_SCHEMA, conform
@@ -105,8 +105,8 @@ def q_compare_campaign_db(spark, sf_dir):
     return two_day_compare(f, ["campaign", "ad_group"], "db", a.d_max, a.d_prev, CFG)
 
 
-def q_report_anchors(spark, sf_dir):
-    return report_anchors(snapshot_fact(spark, sf_dir))
+def q_day_anchors(spark, sf_dir):
+    return day_anchors(snapshot_fact(spark, sf_dir))
 
 
 MONEY_COLUMNS = ("cost", "rev_ss", "rev_db", "rev_market_a", "rev_market_b")
@@ -118,7 +118,7 @@ def _money_as_double(df: DataFrame) -> DataFrame:
                        for c in df.columns])
 
 
-def q_scan_report(spark, sf_dir):
+def q_scan_snapshot(spark, sf_dir):
     """The ingested snapshot read back through the canonical conform step."""
     return _money_as_double(conform(snapshot_fact(spark, sf_dir), headers={}, keep_extra=False))
 
@@ -449,7 +449,7 @@ def q_label_truncate(spark, sf_dir):
 
 
 def q_format_metrics(spark, sf_dir):
-    """The base-vs-comparison table as report text."""
+    """The base-vs-comparison table as text."""
     f, a = _fa(spark, sf_dir)
     pd_ = periods.period_delta(f, anchors=a)
     is_pct = F.col("metric").isin("ctr", "roas_ss", "roas_db")

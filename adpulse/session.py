@@ -1,13 +1,13 @@
-"""Session settings the report jobs rely on."""
+"""Session settings the jobs rely on."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Settings every report session should carry: AQE (coalescing, skew split of
+# Settings every session should carry: AQE (coalescing, skew split of
 # joins and rebalances), UTC session time so day boundaries are stable, and
 # nanosecond Parquet timestamps readable as longs (files written by pandas).
-REPORT_CONF = {
+SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -22,7 +22,7 @@ def build_session(master: str | None = None, app: str = "adpulse",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    conf = dict(REPORT_CONF)
+    conf = dict(SESSION_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:

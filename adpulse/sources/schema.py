@@ -15,7 +15,7 @@ from adpulse.functions.labels import strip
 MONEY_TYPE = T.DecimalType(18, 4)
 
 FACT_SCHEMA = T.StructType([
-    T.StructField("report_date", T.DateType()),
+    T.StructField("activity_date", T.DateType()),
     T.StructField("channel", T.StringType()),
     T.StructField("media", T.StringType()),
     T.StructField("campaign", T.StringType()),
@@ -37,18 +37,18 @@ FACT_SCHEMA = T.StructType([
 ])
 
 FACT_COLUMNS = tuple(f.name for f in FACT_SCHEMA.fields)
-REQUIRED = ("report_date", "media", "cost", "rev_ss", "rev_db")
+REQUIRED = ("activity_date", "media", "cost", "rev_ss", "rev_db")
 # Column metadata key set by ``conform`` on a column the source did not have.
 ABSENT = "adpulse_absent"
 
 # Optional measures count as 0 when the source lacks them.
 OPTIONAL_ZERO = ("impressions", "clicks", "buy_ss", "buy_db")
 
-# Source headers of the reference's daily report sheet, mapped
-# to canonical names. The brand-split column is report specific; pass its
+# Source headers of the reference's daily sheet, mapped
+# to canonical names. The brand-split column is source specific; pass its
 # header through ``extra_headers`` (e.g. {"<header>": "brand"}).
 SOURCE_HEADERS = {
-    "날짜": "report_date",
+    "날짜": "activity_date",
     "채널": "channel",
     "매체상세": "media",
     "캠페인": "campaign",
@@ -145,7 +145,7 @@ def unreadable(df: DataFrame, headers: dict[str, str] | None = None,
         if field.name not in present or isinstance(field.dataType, T.StringType):
             continue
         c = F.col(f"`{present[field.name]}`")
-        value = coerce_date(df, present[field.name]) if field.name == "report_date" \
+        value = coerce_date(df, present[field.name]) if field.name == "activity_date" \
             else read_measure(df, present[field.name], field.dataType)
         out[field.name] = c.isNotNull() & (strip(c) != "") & value.isNull()
     return out
@@ -164,7 +164,7 @@ def conform(df: DataFrame, headers: dict[str, str] | None = None,
     present = source_columns(df, headers, extra_headers)
     missing = [c for c in REQUIRED if c not in present]
     if missing:
-        raise ValueError(f"report is missing required columns: {missing}")
+        raise ValueError(f"snapshot is missing required columns: {missing}")
 
     cols = []
     for field in FACT_SCHEMA.fields:
@@ -173,7 +173,7 @@ def conform(df: DataFrame, headers: dict[str, str] | None = None,
             default = F.lit(0) if name in OPTIONAL_ZERO else F.lit(None)
             # Marked, so operators can tell "no such column" from "all null".
             cols.append(default.cast(field.dataType).alias(name, metadata={ABSENT: True}))
-        elif name == "report_date":
+        elif name == "activity_date":
             cols.append(coerce_date(df, present[name]).alias(name))
         elif isinstance(field.dataType, T.StringType):
             cols.append(F.col(f"`{present[name]}`").cast("string").alias(name))

@@ -25,7 +25,7 @@ from adpulse.sources.schema import REQUIRED, conform, csv_reader, unreadable
 # File name of a daily snapshot: <stem>_Daily Report_YYMMDD.<ext> or the
 # hyphen form "Daily-Report", case-insensitive. Groups: stem, separator, tag,
 # extension.
-REPORT_NAME_RE = r"(?i)^(.+)_daily([- ])report_([0-9]{6})\.(xlsx|parquet|csv)$"
+SNAPSHOT_NAME_RE = r"(?i)^(.+)_daily([- ])report_([0-9]{6})\.(xlsx|parquet|csv)$"
 
 CATALOG_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -56,7 +56,7 @@ def _fs_entries(spark: SparkSession, folder: str, sizes: bool = True,
     """Direct children of a folder whose names match, via the Hadoop file system
     of its URI.
 
-    A directory entry (a Parquet snapshot written by Spark) reports the total
+    A directory entry (a Parquet snapshot written by Spark) has the total
     size of its content when ``sizes`` is set (one extra call per directory).
     """
     h = _hadoop(spark, folder)
@@ -117,7 +117,7 @@ def file_identity(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(out)
 
 
-def snapshot_catalog(spark: SparkSession, folder: str, name_re: str = REPORT_NAME_RE) -> DataFrame:
+def snapshot_catalog(spark: SparkSession, folder: str, name_re: str = SNAPSHOT_NAME_RE) -> DataFrame:
     """Matching snapshot files with their date tag and ranks. Only the
     matching names are sized.
 
@@ -172,7 +172,7 @@ def newest_valid_snapshot(cat: DataFrame, as_of: dt.date | None = None, max_days
     ok = cat.where(F.col("tag_date").between(lo, as_of) & (F.col("length") > min_bytes))
     rows = _newest_first(ok).select("path").limit(1).collect()
     if not rows:
-        raise FileNotFoundError(f"no valid report within the last {max_days} days")
+        raise FileNotFoundError(f"no valid snapshot within the last {max_days} days")
     return rows[0]["path"]
 
 
@@ -217,7 +217,7 @@ def read_source(spark: SparkSession, path: str, fmt: str | None = None,
     return spark.read.format(fmt).load(path)
 
 
-def scan_report(spark: SparkSession, path: str, fmt: str | None = None,
+def scan_snapshot(spark: SparkSession, path: str, fmt: str | None = None,
                 headers: dict | None = None, extra_headers: dict | None = None) -> DataFrame:
     """A snapshot as the canonical fact (headers mapped, date coerced)."""
     return conform(read_source(spark, path, fmt), headers, extra_headers)
@@ -230,7 +230,7 @@ class UnreadableSnapshot(ValueError):
 
 def ingest_snapshot(spark: SparkSession, src: str, out: str, fmt: str | None = None,
                     headers: dict | None = None, extra_headers: dict | None = None,
-                    partition_by: str | None = "report_date", allow_unreadable: bool = False,
+                    partition_by: str | None = "activity_date", allow_unreadable: bool = False,
                     multi_line: bool = False) -> dict:
     """S6 + S8: conform a raw export and write it as typed Parquet, partitioned
     by day so date predicates prune files; returns the audit: rows, MB and,
@@ -250,7 +250,7 @@ def ingest_snapshot(spark: SparkSession, src: str, out: str, fmt: str | None = N
     both = conform(raw.select("*", *flags), headers, extra_headers) if flags else fact
     seen = Observation()
     counted = both.observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.count("report_date").alias("dated"),
+        seen, F.count(F.lit(1)).alias("rows"), F.count("activity_date").alias("dated"),
         *[F.coalesce(F.sum(F.col(f"_bad_{n}").cast("long")), F.lit(0)).alias(f"bad_{n}") for n in bad])
     staged = f"{out.rstrip('/')}.incoming"
     write_fact(counted.select(*fact.columns), staged, partition_by)
@@ -258,7 +258,7 @@ def ingest_snapshot(spark: SparkSession, src: str, out: str, fmt: str | None = N
     cells = {n: int(got[f"bad_{n}"]) for n in bad}
     if not got["dated"]:
         raise UnreadableSnapshot(f"{src} has no row with a readable date")
-    refused = {n: k for n, k in cells.items() if k and n in REQUIRED and n != "report_date"}
+    refused = {n: k for n, k in cells.items() if k and n in REQUIRED and n != "activity_date"}
     if refused and not allow_unreadable:
         raise UnreadableSnapshot(f"{src} has unreadable cells in required measures: {refused}")
     replace_path(spark, staged, out)
@@ -266,7 +266,7 @@ def ingest_snapshot(spark: SparkSession, src: str, out: str, fmt: str | None = N
             "unreadable": {n: k for n, k in cells.items() if k}}
 
 
-def write_fact(df: DataFrame, path: str, partition_by: str | None = "report_date") -> None:
+def write_fact(df: DataFrame, path: str, partition_by: str | None = "activity_date") -> None:
     """Write a fact as Parquet. ``rebalance`` deals rows by day, and AQE splits a
     day that holds a large share of them instead of writing one huge file.
 
@@ -277,8 +277,8 @@ def write_fact(df: DataFrame, path: str, partition_by: str | None = "report_date
     if partition_by:
         df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
     else:
-        (df.withColumn("_month", F.trunc("report_date", "MM")).hint("rebalance", "_month").drop("_month")
-           .sortWithinPartitions("report_date").write.mode("overwrite").parquet(path))
+        (df.withColumn("_month", F.trunc("activity_date", "MM")).hint("rebalance", "_month").drop("_month")
+           .sortWithinPartitions("activity_date").write.mode("overwrite").parquet(path))
 
 
 def replace_path(spark: SparkSession, staged: str, out: str) -> None:
@@ -308,7 +308,7 @@ def path_size(spark: SparkSession, path: str) -> int:
     return sum(x[2] for x in _local_entries(_local(path)))
 
 
-def partition_values(spark: SparkSession, path: str, column: str = "report_date") -> list[str]:
+def partition_values(spark: SparkSession, path: str, column: str = "activity_date") -> list[str]:
     """Values of a top-level ``column=value`` partition layout, from the
     directory listing alone (no data read). The null partition is skipped."""
     prefix = f"{column}="
@@ -335,7 +335,7 @@ def needs_ingest(spark: SparkSession, src: str, out: str) -> bool:
 
 def audit_rows(fact: DataFrame) -> DataFrame:
     """S8, what a snapshot's rows say: their number, days, first and last day."""
-    d = F.col("report_date")
+    d = F.col("activity_date")
     return fact.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(d).alias("n_days"),
                     F.min(d).alias("first_day"), F.max(d).alias("last_day"))
 

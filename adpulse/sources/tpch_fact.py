@@ -1,4 +1,4 @@
-"""Ad-report fact derived from the driver's TPC-H-shaped tables.
+"""Advertising fact derived from the driver's TPC-H-shaped tables.
 
 The driver tables carry no advertising data, so the fact is a fixed mapping of
 ``lineitem ⋈ supplier ⋈ nation ⋈ region ⋈ part`` onto the canonical schema.
@@ -43,7 +43,7 @@ def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("l_returnflag") == "N", F.lit("-")).otherwise(F.col("p_name"))
     zero = F.lit(0).cast(MONEY_TYPE)
     out = f.select(
-        F.to_date("l_shipdate").alias("report_date"),
+        F.to_date("l_shipdate").alias("activity_date"),
         (F.when(F.col("r_name") == "ASIA", F.lit("storefront"))
           .when(F.col("r_name") == "EUROPE", F.lit("market_a"))
           .when(F.col("r_name") == "MIDDLE EAST", F.lit(None).cast("string"))
@@ -79,7 +79,7 @@ def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 FACT_CTE = """
 WITH ad_fact AS (
   SELECT
-    CAST(l.l_shipdate AS DATE) AS report_date,
+    CAST(l.l_shipdate AS DATE) AS activity_date,
     CASE r.r_name WHEN 'ASIA' THEN 'storefront' WHEN 'EUROPE' THEN 'market_a'
                   WHEN 'MIDDLE EAST' THEN NULL ELSE lower(r.r_name) END AS channel,
     n.n_name AS media,

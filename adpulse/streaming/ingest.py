@@ -7,7 +7,7 @@ that tag in the folder (S1's order: Parquet before other formats, the space form
 the name before the hyphen form) is ingested as ``<out>/tag=<YYMMDD>/``, replacing
 that tag entirely. Every snapshot is a full re-dump, so two files of a tag are never
 added up, and a replayed batch gives the same result. Optionally each new snapshot's
-figures are written next, under ``<report_out>/tag=<YYMMDD>/``.
+figures are written next, under ``<figures_out>/tag=<YYMMDD>/``.
 
 A snapshot that can't be used (a required column missing, no readable date,
 unreadable cells in a required measure) is recorded in ``<out>/_quarantine`` and the
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from adpulse.sources.snapshots import (READABLE, REPORT_NAME_RE, UnreadableSnapshot, ingest_snapshot,
+from adpulse.sources.snapshots import (READABLE, SNAPSHOT_NAME_RE, UnreadableSnapshot, ingest_snapshot,
                                        latest_per_tag, snapshot_catalog)
 
 # what the file source offers; only the path is used, so no file is read
@@ -45,29 +45,29 @@ QUARANTINE_SCHEMA = T.StructType([
 ])
 
 
-def _write_report(spark: SparkSession, out_dir: str, report_out: str, tag: str, cfg,
+def _write_figures(spark: SparkSession, out_dir: str, figures_out: str, tag: str, cfg,
                   targets_path: str | None, brand: str | None = None) -> None:
-    """The report of one freshly written snapshot (every figure, overwrite)."""
+    """The figures of one freshly written snapshot (every figure, overwrite)."""
     from adpulse.config import DEFAULT_CONFIG
     from adpulse.operators.anchors import anchors_from_dates
-    from adpulse.plans.report import DailyReport
+    from adpulse.plans.figures import Figures
     from adpulse.sources.snapshots import partition_values
     from adpulse.sources.targets import load_targets
     path = f"{out_dir.rstrip('/')}/tag={tag}"
-    days = partition_values(spark, path, "report_date")
+    days = partition_values(spark, path, "activity_date")
     anchors = anchors_from_dates(dt.date.fromisoformat(d) for d in days) if days else None
     targets = load_targets(spark, targets_path) if targets_path else None
-    report = DailyReport(spark.read.parquet(path), cfg or DEFAULT_CONFIG, targets, brand=brand,
+    figures = Figures(spark.read.parquet(path), cfg or DEFAULT_CONFIG, targets, brand=brand,
                          anchors=anchors)
-    report.write_all(f"{report_out.rstrip('/')}/tag={tag}")
+    figures.write_all(f"{figures_out.rstrip('/')}/tag={tag}")
 
 
-def make_batch_writer(watch_dir: str, out_dir: str, name_re: str = REPORT_NAME_RE,
+def make_batch_writer(watch_dir: str, out_dir: str, name_re: str = SNAPSHOT_NAME_RE,
                       headers: dict | None = None, extra_headers: dict | None = None,
-                      report_out: str | None = None, cfg=None, targets_path: str | None = None,
+                      figures_out: str | None = None, cfg=None, targets_path: str | None = None,
                       exts: tuple[str, ...] = READABLE, brand: str | None = None):
     """foreachBatch function: the tags of a micro-batch's names, and for each the
-    folder's preferred snapshot ingested; with ``report_out``, also its figures."""
+    folder's preferred snapshot ingested; with ``figures_out``, also its figures."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark, out = batch.sparkSession, out_dir.rstrip("/")
@@ -89,8 +89,8 @@ def make_batch_writer(watch_dir: str, out_dir: str, name_re: str = REPORT_NAME_R
             except UnreadableSnapshot as e:
                 bad.append((tag, path, str(e), int(batch_id), dt.datetime.now()))
                 continue
-            if report_out:
-                _write_report(spark, out, report_out, tag, cfg, targets_path, brand)
+            if figures_out:
+                _write_figures(spark, out, figures_out, tag, cfg, targets_path, brand)
         if bad:
             (spark.createDataFrame(bad, QUARANTINE_SCHEMA)
                   .write.mode("append").parquet(f"{out}/_quarantine"))
@@ -99,24 +99,24 @@ def make_batch_writer(watch_dir: str, out_dir: str, name_re: str = REPORT_NAME_R
 
 
 def start_ingest_stream(spark: SparkSession, watch_dir: str, out_dir: str,
-                        checkpoint: str | None = None, name_re: str = REPORT_NAME_RE,
+                        checkpoint: str | None = None, name_re: str = SNAPSHOT_NAME_RE,
                         headers: dict | None = None, extra_headers: dict | None = None,
                         available_now: bool = False,
-                        processing_time: str = "30 seconds", report_out: str | None = None,
+                        processing_time: str = "30 seconds", figures_out: str | None = None,
                         cfg=None, targets_path: str | None = None,
                         max_files_per_trigger: int = 10_000,
                         exts: tuple[str, ...] = READABLE, brand: str | None = None) -> StreamingQuery:
     """Start the watcher stream. ``available_now`` processes what is there and
-    stops (scheduled runs, tests). With ``report_out`` every new snapshot's
+    stops (scheduled runs, tests). With ``figures_out`` every new snapshot's
     figures (of one ``brand`` if given) are written under
-    ``<report_out>/tag=<tag>``. The stream's state is kept under
+    ``<figures_out>/tag=<tag>``. The stream's state is kept under
     ``<out_dir>/_checkpoint`` unless another place is named, so a restart goes
     on where it stopped."""
     src = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
                 .option("recursiveFileLookup", True)
                 .option("maxFilesPerTrigger", int(max_files_per_trigger))
                 .load(watch_dir).select("path"))
-    writer = make_batch_writer(watch_dir, out_dir, name_re, headers, extra_headers, report_out, cfg,
+    writer = make_batch_writer(watch_dir, out_dir, name_re, headers, extra_headers, figures_out, cfg,
                                targets_path, exts, brand)
     w = (src.writeStream.foreachBatch(writer)
             .option("checkpointLocation", checkpoint or f"{out_dir.rstrip('/')}/_checkpoint"))

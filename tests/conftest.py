@@ -9,14 +9,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from adpulse.config import ReportConfig  # noqa: E402
+from adpulse.config import FigureConfig  # noqa: E402
 from adpulse.session import build_session  # noqa: E402
 from adpulse.sources.schema import FACT_SCHEMA  # noqa: E402
 
 D0 = dt.date(2026, 4, 1)
 
-# Labels used by the hand-built frames (same roles as the reference report's).
-CFG = ReportConfig(
+# Labels used by the hand-built frames (same roles as the reference's).
+CFG = FigureConfig(
     missing="(none)",
     store_channel="StoreA",
     store_marker="store",
@@ -43,7 +43,7 @@ def spark():
 
 def row(**kw):
     """A fact row with defaults; money given as numbers becomes Decimal."""
-    base = dict(report_date=D0, channel="StoreA", media="Search", campaign="c", ad_group="g",
+    base = dict(activity_date=D0, channel="StoreA", media="Search", campaign="c", ad_group="g",
                 creative="cr", keyword="kw", brand="b1", product="p", promo=None,
                 impressions=0, clicks=0, cost=0, rev_ss=0, rev_db=0, buy_ss=0, buy_db=0,
                 rev_market_a=0, rev_market_b=0)
@@ -67,13 +67,13 @@ MEDIA3 = ["Search", "Mkt", "Gm"]
 
 
 @pytest.fixture
-def sample_report(make_fact):
+def sample_fact(make_fact):
     """5 days × 3 media, every day identical (measures depend on i)."""
     rows = []
     for day in range(5):
         for i, media in enumerate(MEDIA3):
             rows.append(dict(
-                report_date=D0 + dt.timedelta(days=day),
+                activity_date=D0 + dt.timedelta(days=day),
                 channel=STORE_WORD if i == 0 else media, media=media,
                 campaign=f"camp_{i}", ad_group=f"grp_{i}", creative=f"kw_{i}",
                 keyword=f"sskw_{i}", brand="brand_a" if i % 2 == 0 else "brand_b",

@@ -17,9 +17,9 @@ def by(df, *keys):
     return {tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: r.asDict() for r in df.collect()}
 
 
-def test_identical_days_give_zero_deltas(sample_report):
+def test_identical_days_give_zero_deltas(sample_fact):
     d = D0 + dt.timedelta(days=4)
-    rows = two_day_compare(sample_report, ["media"], "ss", d, d - dt.timedelta(days=1), CFG).collect()
+    rows = two_day_compare(sample_fact, ["media"], "ss", d, d - dt.timedelta(days=1), CFG).collect()
     assert len(rows) == 3
     assert all(r["rev_delta"] == 0 and r["roas_delta"] == 0 and r["influence"] == 0 for r in rows)
     # Ties on influence end on the key.
@@ -29,9 +29,9 @@ def test_identical_days_give_zero_deltas(sample_report):
 def test_one_sided_keys_and_missing_bucket(make_fact):
     """H3 + N4 + N10: keys on one day only get zeros on the other; a null key is
     the missing bucket."""
-    f = make_fact([dict(report_date=D1, media="only_cur", rev_db=10, cost=5, buy_db=1),
-                   dict(report_date=D0, media="only_prev", rev_db=4, cost=2, buy_db=2),
-                   dict(report_date=D1, media=None, rev_db=1, cost=0)])
+    f = make_fact([dict(activity_date=D1, media="only_cur", rev_db=10, cost=5, buy_db=1),
+                   dict(activity_date=D0, media="only_prev", rev_db=4, cost=2, buy_db=2),
+                   dict(activity_date=D1, media=None, rev_db=1, cost=0)])
     r = by(two_day_compare(f, ["media"], "db", D1, D0, CFG), "media")
     assert r["only_cur"]["rev_prev"] == 0.0 and r["only_cur"]["rev_delta"] == 10.0
     assert r["only_cur"]["roas_cur"] == 200.0 and r["only_cur"]["roas_prev"] == 0.0
@@ -42,7 +42,7 @@ def test_one_sided_keys_and_missing_bucket(make_fact):
 
 def test_single_date_compare(make_fact):
     """H5: previous day = last day → every delta is 0."""
-    f = make_fact([dict(report_date=D0, rev_ss=5, cost=1)])
+    f = make_fact([dict(activity_date=D0, rev_ss=5, cost=1)])
     r = two_day_compare(f, ["media"], "ss", D0, D0, CFG).collect()[0]
     assert r["rev_cur"] == r["rev_prev"] == 5.0 and r["rev_delta"] == 0.0
 
@@ -56,12 +56,12 @@ rows_strategy = st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]), st.bo
 def test_conditional_aggregation_equals_full_outer_join(make_fact, rows):
     """Property: one-scan conditional aggregation == per-day group-by + full
     outer join + fillna(0); swapping the days negates the deltas."""
-    f = make_fact([dict(report_date=D1 if cur else D0, media=m, rev_ss=r, cost=c)
+    f = make_fact([dict(activity_date=D1 if cur else D0, media=m, rev_ss=r, cost=c)
                    for m, cur, r, c in rows])
     got = by(two_day_compare(f, ["media"], "ss", D1, D0, CFG), "media")
     keyed = f.withColumn("media", F.coalesce("media", F.lit(CFG.missing)))
-    a = keyed.where(F.col("report_date") == D1).groupBy("media").agg(F.sum("rev_ss").alias("x"))
-    b = keyed.where(F.col("report_date") == D0).groupBy("media").agg(F.sum("rev_ss").alias("y"))
+    a = keyed.where(F.col("activity_date") == D1).groupBy("media").agg(F.sum("rev_ss").alias("x"))
+    b = keyed.where(F.col("activity_date") == D0).groupBy("media").agg(F.sum("rev_ss").alias("y"))
     j = a.join(b, "media", "full_outer").na.fill(0)
     want = {r["media"]: float(r["x"]) - float(r["y"]) for r in j.collect()}
     assert {k: v["rev_delta"] for k, v in got.items()} == want
@@ -71,17 +71,17 @@ def test_conditional_aggregation_equals_full_outer_join(make_fact, rows):
 
 def drill_fact(make_fact):
     return make_fact([
-        dict(report_date=D1, channel="StoreA", media="Search", product="p1", rev_ss=100, cost=10,
+        dict(activity_date=D1, channel="StoreA", media="Search", product="p1", rev_ss=100, cost=10,
              campaign="c1", ad_group="g1", rev_db=50),
-        dict(report_date=D0, channel="StoreA", media="Search", product="p2", rev_ss=30, cost=10,
+        dict(activity_date=D0, channel="StoreA", media="Search", product="p2", rev_ss=30, cost=10,
              campaign="c2", ad_group=None, rev_db=80),
-        dict(report_date=D1, channel=" StoreA ", media="Display X", product="-", rev_ss=20, cost=1),
-        dict(report_date=D1, channel="Mkt shop", media="Mkt", product="p1", rev_ss=70, cost=7),
-        dict(report_date=D1, channel=None, media="Other", product="p9", rev_ss=999, cost=1),
-        dict(report_date=D1, channel="StoreA", media=None, product="p3", rev_ss=40, cost=4,
+        dict(activity_date=D1, channel=" StoreA ", media="Display X", product="-", rev_ss=20, cost=1),
+        dict(activity_date=D1, channel="Mkt shop", media="Mkt", product="p1", rev_ss=70, cost=7),
+        dict(activity_date=D1, channel=None, media="Other", product="p9", rev_ss=999, cost=1),
+        dict(activity_date=D1, channel="StoreA", media=None, product="p3", rev_ss=40, cost=4,
              campaign=None, ad_group=None, rev_db=40),
-        dict(report_date=D1, channel="x", media="Banner", rev_db=12, cost=3),
-        dict(report_date=D0, channel="x", media="Promo", rev_db=6, cost=3),
+        dict(activity_date=D1, channel="x", media="Banner", rev_db=12, cost=3),
+        dict(activity_date=D0, channel="x", media="Promo", rev_db=6, cost=3),
     ])
 
 
@@ -134,14 +134,14 @@ def test_per_media_change_tables(make_fact):
 
 
 def test_two_day_sums_unfilled_keys(make_fact):
-    f = make_fact([dict(report_date=D1, media=None, rev_ss=1)])
+    f = make_fact([dict(activity_date=D1, media=None, rev_ss=1)])
     r = two_day_sums(f, ["media"], "ss", D1, D0, CFG, fill_keys=False).collect()
     assert r[0]["media"] is None
 
 
 def test_source_without_channel_column(spark):
     """with no channel column in the source, the store section is the
-    whole report, the market section is empty and the product pages apply no
+    whole fact, the market section is empty and the product pages apply no
     channel filter."""
     from adpulse.operators.ranking import product_rows
     from adpulse.sources.schema import column_absent, conform

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from adpulse.plans.report import DailyReport
+from adpulse.plans.figures import Figures
 from adpulse.sources.tpch_fact import ad_fact
 from adpulse.config import TEST_CONFIG
 from adpulse.sources.targets import targets_frame
@@ -53,8 +53,8 @@ def test_query_matches_oracle_small(spark, key):
 
 
 @needs_data
-def test_daily_report_builds_every_figure(spark):
-    rep = DailyReport(ad_fact(spark, SF), TEST_CONFIG, targets_frame(spark, TEST_TARGETS),
+def test_figures_builds_every_figure(spark):
+    rep = Figures(ad_fact(spark, SF), TEST_CONFIG, targets_frame(spark, TEST_TARGETS),
                       persist=True)
     try:
         figs = rep.all_figures()
@@ -84,10 +84,10 @@ def test_recent_slice_changes_no_figure(spark):
     from adpulse.plans.registry import snapshot_fact
     fact = snapshot_fact(spark, SF)
     targets = targets_frame(spark, TEST_TARGETS)
-    whole = DailyReport(fact, TEST_CONFIG, targets)
+    whole = Figures(fact, TEST_CONFIG, targets)
     whole.recent = whole.fact  # every figure from the whole snapshot
     plain = whole.all_figures()
-    cached = DailyReport(fact, TEST_CONFIG, targets, cache_recent=True)
+    cached = Figures(fact, TEST_CONFIG, targets, cache_recent=True)
     try:
         fast = cached.all_figures()
         assert set(plain) == set(fast)
@@ -120,7 +120,7 @@ def test_a_rewritten_part_file_changes_the_result(spark, tmp_path):
 @needs_data
 def test_date_predicates_reach_the_snapshot_scan(spark):
     plan = queries()["compare_media_ss"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PushedFilters: \[.*In\(report_date|PushedFilters: \[.*report_date", plan)
+    assert re.search(r"PushedFilters: \[.*In\(activity_date|PushedFilters: \[.*activity_date", plan)
 
 
 def test_a_cluster_needs_a_shared_folder(spark):
@@ -132,13 +132,13 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
 @needs_data
 def test_a_brand_filters_every_table_of_the_media_page(spark, make_fact):
-    rows = [dict(report_date=D0, brand=b, media=m, campaign=f"{b}-c", ad_group=f"{b}-g", keyword=f"{b}-k",
+    rows = [dict(activity_date=D0, brand=b, media=m, campaign=f"{b}-c", ad_group=f"{b}-g", keyword=f"{b}-k",
                  creative=f"{b}-r", rev_ss=5, rev_db=7, cost=3) for b in ("b1", "b2") for m in ("Search", "Banner")]
-    rep = DailyReport(make_fact(rows), CFG, brand="b1")
+    rep = Figures(make_fact(rows), CFG, brand="b1")
     for name, df in rep.media_page().items():
         text = str(df.collect())
         if name not in ("media_mtd", "dimension_values", "cascading_filter"):
             assert "b1-" in text and "b2-" not in text, name
-    one = DailyReport(make_fact(rows), CFG, campaign="b2-c", ad_group="b2-g").media_page()
+    one = Figures(make_fact(rows), CFG, campaign="b2-c", ad_group="b2-g").media_page()
     for name in ("creative_mtd_top", "creative_change_top"):
         assert [r["creative"] for r in one[name].collect()] == ["b2-r"]

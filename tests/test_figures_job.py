@@ -1,19 +1,19 @@
 import datetime as dt
 
-from adpulse.plans.daily_job import run_daily
+from adpulse.plans.figures_job import run_figures_job
 from conftest import CFG
 from test_snapshots import STEM, raw_pdf
 
 
-def test_daily_job_end_to_end(spark, tmp_path):
-    reports = tmp_path / "reports"
-    reports.mkdir()
-    raw_pdf(n_days=2).to_parquet(reports / f"{STEM} Report_260401.parquet", index=False)
-    raw_pdf(n_days=3).to_parquet(reports / f"{STEM} Report_260403.parquet", index=False)
+def test_figures_job_end_to_end(spark, tmp_path):
+    folder = tmp_path / "snapshots"
+    folder.mkdir()
+    raw_pdf(n_days=2).to_parquet(folder / f"{STEM} Report_260401.parquet", index=False)
+    raw_pdf(n_days=3).to_parquet(folder / f"{STEM} Report_260403.parquet", index=False)
     targets = tmp_path / "kpi.csv"
     targets.write_text("channel,cost,rev,roas\nStoreA,1,1000,1\nothermall,0,10,0\n")
     facts, out = str(tmp_path / "facts"), str(tmp_path / "out")
-    res = run_daily(spark, str(reports), facts, out, CFG, as_of=dt.date(2026, 4, 5),
+    res = run_figures_job(spark, str(folder), facts, out, CFG, as_of=dt.date(2026, 4, 5),
                     targets=str(targets))
     assert res["tag"] == "260403" and res["ingested"]["rows"] == 9
     assert res["d_max"] == "2026-04-03" and res["d_prev"] == "2026-04-02"
@@ -22,28 +22,28 @@ def test_daily_job_end_to_end(spark, tmp_path):
     summary = spark.read.parquet(f"{out}/tag=260403/media_summary")
     assert summary.count() == 3
     # A second run finds the converted snapshot up to date and skips ingest.
-    again = run_daily(spark, str(reports), facts, out, CFG, as_of=dt.date(2026, 4, 5))
+    again = run_figures_job(spark, str(folder), facts, out, CFG, as_of=dt.date(2026, 4, 5))
     assert again["ingested"] is None
 
 
 def test_newest_readable_snapshot_is_taken(spark, tmp_path):
     """A workbook can't be loaded here; the job names it and goes on."""
-    reports = tmp_path / "reports"
-    reports.mkdir()
-    raw_pdf(n_days=2).to_parquet(reports / f"{STEM} Report_260401.parquet", index=False)
-    (reports / f"{STEM} Report_260404.xlsx").write_bytes(b"x" * 500)
-    res = run_daily(spark, str(reports), str(tmp_path / "facts"), str(tmp_path / "out"), CFG,
+    folder = tmp_path / "snapshots"
+    folder.mkdir()
+    raw_pdf(n_days=2).to_parquet(folder / f"{STEM} Report_260401.parquet", index=False)
+    (folder / f"{STEM} Report_260404.xlsx").write_bytes(b"x" * 500)
+    res = run_figures_job(spark, str(folder), str(tmp_path / "facts"), str(tmp_path / "out"), CFG,
                     as_of=dt.date(2026, 4, 5))
     assert res["tag"] == "260401" and res["skipped"].endswith("260404.xlsx")
 
 
 def test_a_brand_column_by_its_header(spark, tmp_path):
-    reports = tmp_path / "reports"
-    reports.mkdir()
+    folder = tmp_path / "snapshots"
+    folder.mkdir()
     pdf = raw_pdf(n_days=2)
     pdf["split"] = ["one", "two", "one"] * 2
-    pdf.to_parquet(reports / f"{STEM} Report_260402.parquet", index=False)
-    res = run_daily(spark, str(reports), str(tmp_path / "facts"), str(tmp_path / "out"), CFG,
+    pdf.to_parquet(folder / f"{STEM} Report_260402.parquet", index=False)
+    res = run_figures_job(spark, str(folder), str(tmp_path / "facts"), str(tmp_path / "out"), CFG,
                     as_of=dt.date(2026, 4, 5), extra_headers={"split": "brand"}, brand="two")
     got = spark.read.parquet(f"{res['out']}/campaign_mtd_top").collect()
     assert {r["campaign"] for r in got} == {"c1"}

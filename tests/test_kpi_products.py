@@ -14,11 +14,11 @@ A = Anchors(d_max=D1, d_prev=D0, d_min=D0)
 def test_kpi_rules_null_channel_and_bands(spark, make_fact):
     """H9 + N7: store / marketplace / everything else / unknown; a null channel
     counts as 'everything else'; target 0 → rate 0; a duplicate gives its values, not its place."""
-    f = make_fact([dict(report_date=D1, channel="my store", rev_ss=90),
-                   dict(report_date=D1, channel="Mkt 1", rev_ss=40),
-                   dict(report_date=D1, channel=None, rev_ss=7),
-                   dict(report_date=D1, channel="web", rev_ss=3),
-                   dict(report_date=dt.date(2026, 3, 31), channel="web", rev_ss=1000)])
+    f = make_fact([dict(activity_date=D1, channel="my store", rev_ss=90),
+                   dict(activity_date=D1, channel="Mkt 1", rev_ss=40),
+                   dict(activity_date=D1, channel=None, rev_ss=7),
+                   dict(activity_date=D1, channel="web", rev_ss=3),
+                   dict(activity_date=dt.date(2026, 3, 31), channel="web", rev_ss=1000)])
     t = targets_frame(spark, [("StoreA", 1, 100, 1), ("mkt", 0, 100, 0), ("othermall", 0, 5, 0),
                               ("nobody", 0, 10, 0), ("zero store", 0, 0, 0), ("mkt", 0, 50, 0),
                               (" blank ", None, None, None), ("mkt mall", 0, 10, 0),
@@ -37,7 +37,7 @@ def test_kpi_rules_null_channel_and_bands(spark, make_fact):
 
 
 def test_kpi_rule_classes_partition_revenue(make_fact):
-    f = make_fact([dict(report_date=D1, channel=c, rev_ss=v)
+    f = make_fact([dict(activity_date=D1, channel=c, rev_ss=v)
                    for c, v in [("store 1", 5), ("Mkt", 6), (None, 7), ("x", 8)]])
     got = {r["rule"]: float(r["achieved"]) for r in kpi.rule_revenue(f, CFG, A).collect()}
     assert sum(got.values()) == 26.0
@@ -57,11 +57,11 @@ def product_fact(make_fact):
             ("Search", "apple", 50, 10), ("Search", "berry", 10, 60), ("Search", "cherry", 30, 30),
             ("Search", "-", 99, 0), ("Search", None, 99, 0), ("Mkt", "apple", 500, 0),
             (None, "dates", 20, 5), ("Shop Search", "apple", 5, 1)]):
-        rows.append(dict(report_date=D1, channel="StoreA", media=media, product=prod, rev_ss=rc,
+        rows.append(dict(activity_date=D1, channel="StoreA", media=media, product=prod, rev_ss=rc,
                          buy_ss=1, cost=10, rev_db=rc, buy_db=1))
-        rows.append(dict(report_date=D0, channel="StoreA", media=media, product=prod, rev_ss=rp,
+        rows.append(dict(activity_date=D0, channel="StoreA", media=media, product=prod, rev_ss=rp,
                          buy_ss=1, cost=10, rev_db=rp, buy_db=1))
-    rows.append(dict(report_date=D1, channel="other", media="Search", product="zeta", rev_ss=1000))
+    rows.append(dict(activity_date=D1, channel="other", media="Search", product="zeta", rev_ss=1000))
     return make_fact(rows)
 
 
@@ -105,16 +105,16 @@ def test_product_top10_and_summary(make_fact):
 
 def test_top_k_ties_are_deterministic(make_fact):
     """H6: equal revenue ranks by the key."""
-    f = make_fact([dict(report_date=D1, media="Search", keyword=k, rev_ss=10, cost=1)
+    f = make_fact([dict(activity_date=D1, media="Search", keyword=k, rev_ss=10, cost=1)
                    for k in ("b", "a", "c")])
     rows = ranking.keyword_mtd_top(f, CFG, A, k=2).collect()
     assert [r["keyword"] for r in rows] == ["a", "b"]
 
 
 def test_campaign_and_creative_tops(make_fact):
-    f = make_fact([dict(report_date=D1, media="Banner", campaign=None, ad_group=None,
+    f = make_fact([dict(activity_date=D1, media="Banner", campaign=None, ad_group=None,
                         creative="x", rev_ss=5, rev_db=9, cost=3),
-                   dict(report_date=D1, media="Banner", campaign="c", ad_group="g",
+                   dict(activity_date=D1, media="Banner", campaign="c", ad_group="g",
                         creative="-", rev_ss=7, rev_db=1, cost=1)])
     camp = ranking.campaign_mtd_top(f, A, k=30).collect()
     assert [r["campaign"] for r in camp] == ["c", None]
@@ -124,10 +124,10 @@ def test_campaign_and_creative_tops(make_fact):
 
 def test_promo_class_survives_without_rows_on_the_two_days(make_fact):
     """A class with rows only on other days still prints, with zeros."""
-    f = make_fact([dict(report_date=D1, media="Search", promo="always on", cost=10, rev_db=20),
-                   dict(report_date=D0 - dt.timedelta(days=9), media="Search", promo="Spring sale",
+    f = make_fact([dict(activity_date=D1, media="Search", promo="always on", cost=10, rev_db=20),
+                   dict(activity_date=D0 - dt.timedelta(days=9), media="Search", promo="Spring sale",
                         cost=1, rev_db=1),
-                   dict(report_date=D1, media="Search", promo="  ", cost=5, rev_db=5)])
+                   dict(activity_date=D1, media="Search", promo="  ", cost=5, rev_db=5)])
     rows = {r["promo_class"]: r for r in promo.promo_split(f, CFG, A).collect()}
     assert set(rows) == {"always_on", "promotion"}
     assert rows["promotion"]["cost_cur"] == 0.0 and rows["always_on"]["roas_cur"] == 200.0
@@ -179,8 +179,8 @@ def test_figure_as_text(spark):
 def test_top10_summary_counts_every_row(make_fact):
     """A17 for k = 20: 11 rise and 8 fall, the falling ones beyond the first ten."""
     change = [5] * 11 + [0] + [-5] * 8
-    rows = [dict(report_date=D0 - dt.timedelta(days=1), media="m", product=f"p{i:02}", rev_db=100) for i in range(20)]
-    rows += [dict(report_date=D0, media="m", product=f"p{i:02}", rev_db=100 + c) for i, c in enumerate(change)]
+    rows = [dict(activity_date=D0 - dt.timedelta(days=1), media="m", product=f"p{i:02}", rev_db=100) for i in range(20)]
+    rows += [dict(activity_date=D0, media="m", product=f"p{i:02}", rev_db=100 + c) for i, c in enumerate(change)]
     top = products.product_top10(make_fact(rows), CFG, k=20)
     got = products.product_top10_summary(top).first()
     assert (got["n_up"], got["n_down"], got["top_gainer_1"], got["top_gainer_2"]) == (11, 8, "p00", "p01")

@@ -38,7 +38,7 @@ def test_no_cartesian_nested_loop_or_python_in_any_query(spark):
 
 def test_partial_aggregation_before_every_shuffle(spark, make_fact):
     """A hot key collapses to one row per task before the exchange."""
-    f = make_fact([dict(report_date=D0, media="hot", rev_ss=1)] * 50)
+    f = make_fact([dict(activity_date=D0, media="hot", rev_ss=1)] * 50)
     plan = two_day_compare(f, ["media"], "ss", D0, D0, CFG, order=False) \
         ._jdf.queryExecution().executedPlan().toString()
     lines = plan.split("\n")
@@ -69,14 +69,14 @@ def test_skewed_key_results_equal_brute_force(make_fact):
     for i in range(600):
         media = "hot" if i % 3 == 0 else f"m{i % 17}"
         day = d1 if i % 2 else D0
-        rows.append(dict(report_date=day, media=media, rev_ss=i % 97, cost=i % 13, buy_ss=i % 5))
+        rows.append(dict(activity_date=day, media=media, rev_ss=i % 97, cost=i % 13, buy_ss=i % 5))
     f = make_fact(rows)
     got = {r["media"]: (r["rev_delta"], r["cost_cur"], r["buy_delta"])
            for r in two_day_compare(f, ["media"], "ss", d1, D0, CFG).collect()}
     acc = defaultdict(lambda: [Decimal(0)] * 5)
     for r in rows:
         a = acc[r["media"]]
-        if r["report_date"] == d1:
+        if r["activity_date"] == d1:
             a[0] += Decimal(r["rev_ss"])
             a[2] += Decimal(r["cost"])
             a[3] += r["buy_ss"]

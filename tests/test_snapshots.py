@@ -107,9 +107,9 @@ def test_pandas_nanosecond_parquet_reads(spark, tmp_path):
     """H13 / hard 7: pandas writes TIMESTAMP(NANOS); read as long, coerced to DATE."""
     p = tmp_path / f"{STEM} Report_260403.parquet"
     raw_pdf().to_parquet(p, engine="pyarrow", index=False)
-    fact = snap.scan_report(spark, str(p))
-    assert fact.schema["report_date"].dataType == T.DateType()
-    days = sorted({r["report_date"] for r in fact.select("report_date").collect()})
+    fact = snap.scan_snapshot(spark, str(p))
+    assert fact.schema["activity_date"].dataType == T.DateType()
+    days = sorted({r["activity_date"] for r in fact.select("activity_date").collect()})
     assert days == [dt.date(2026, 4, 1), dt.date(2026, 4, 2), dt.date(2026, 4, 3)]
     assert fact.agg(F.sum("cost")).collect()[0][0] == 1800
 
@@ -151,21 +151,21 @@ def test_ingest_round_trip_prunes_partitions(spark, tmp_path):
     audit = snap.ingest_snapshot(spark, str(src), out)
     assert audit["rows"] == 9 and audit["size_mb"] > 0
     fact = spark.read.parquet(out)
-    assert fact.schema["report_date"].dataType == T.DateType()
+    assert fact.schema["activity_date"].dataType == T.DateType()
     assert fact.agg(F.sum("cost")).collect()[0][0] == 1800
     q = two_day_compare(fact, ["media"], "ss", dt.date(2026, 4, 3), dt.date(2026, 4, 2), CFG)
     plan = q._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[report_date#\d+ IN \(2026-04-03,2026-04-02\)\]", plan)
+    assert re.search(r"PartitionFilters: \[activity_date#\d+ IN \(2026-04-03,2026-04-02\)\]", plan)
     assert {r["media"] for r in q.collect()} == {"Search", "Mkt", "Gm"}
 
 
-def test_parity_of_two_formats(spark, tmp_path, sample_report):
-    """The same report in two formats agrees on counts, totals and
+def test_parity_of_two_formats(spark, tmp_path, sample_fact):
+    """The same data in two formats agrees on counts, totals and
     per-media SS revenue."""
     p = str(tmp_path / "a")
-    sample_report.write.parquet(p)
+    sample_fact.write.parquet(p)
     js = str(tmp_path / "b")
-    sample_report.write.json(js)
+    sample_fact.write.json(js)
     other = conform(spark.read.json(js), headers={})
     per = snapshot_parity(spark.read.parquet(p), other)
     assert per.where(~F.col("ok")).count() == 0 and per.count() == 3
@@ -178,24 +178,24 @@ def test_parity_of_two_formats(spark, tmp_path, sample_report):
 
 
 def test_header_map_is_complete():
-    assert set(SOURCE_HEADERS.values()) >= {"report_date", "media", "cost", "rev_ss", "rev_db"}
+    assert set(SOURCE_HEADERS.values()) >= {"activity_date", "media", "cost", "rev_ss", "rev_db"}
 
 
-def test_day_partitions_prune_and_give_anchors(spark, tmp_path, sample_report):
+def test_day_partitions_prune_and_give_anchors(spark, tmp_path, sample_fact):
     """On a day-partitioned snapshot: anchors from the directory listing equal
     the scanned ones, and the trend reads only its days' partitions."""
     from adpulse.operators import totals
     from adpulse.operators.anchors import anchors_from_dates, resolve_anchors
     out = str(tmp_path / "by_day")
-    sample_report.write.partitionBy("report_date").parquet(out)
+    sample_fact.write.partitionBy("activity_date").parquet(out)
     days = snap.partition_values(spark, out)
     assert len(days) == 5
     fact = spark.read.parquet(out)
     assert anchors_from_dates(dt.date.fromisoformat(d) for d in days) == resolve_anchors(fact)
     q = totals.roas_trend(fact, dt.date(2026, 4, 5), 2)
-    assert [r["report_date"] for r in q.collect()] == [dt.date(2026, 4, 4), dt.date(2026, 4, 5)]
+    assert [r["activity_date"] for r in q.collect()] == [dt.date(2026, 4, 4), dt.date(2026, 4, 5)]
     plan = q._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[report_date#\d+ IN \(2026-04-05,2026-04-04\)\]", plan)
+    assert re.search(r"PartitionFilters: \[activity_date#\d+ IN \(2026-04-05,2026-04-04\)\]", plan)
 
 
 def test_unreadable_measure_cell_becomes_null(spark):
@@ -218,7 +218,7 @@ def write_raw(path, rows):
 
 def test_doubled_quotes_keep_columns_in_place(spark, tmp_path):
     src = write_raw(tmp_path / "a.csv", ['2026-04-01,"a ""b"", c",10,20,30', '2026-04-01,"line\nbreak",1,2,3'])
-    rows = snap.scan_report(spark, src).where("cost = 10").collect()
+    rows = snap.scan_snapshot(spark, src).where("cost = 10").collect()
     assert [(r["media"], r["cost"], r["rev_ss"], r["rev_db"]) for r in rows] == [('a "b", c', 10, 20, 30)]
     whole = conform(snap.read_source(spark, src, multi_line=True)).collect()
     assert sorted(r["media"] for r in whole) == ['a "b", c', "line\nbreak"]
@@ -237,7 +237,7 @@ def test_thousands_and_unreadable_cells(spark, tmp_path):
         snap.ingest_snapshot(spark, bad, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2  # the earlier one stays
     audit = snap.ingest_snapshot(spark, bad, str(tmp_path / "out"), allow_unreadable=True)
-    assert audit["rows"] == 3 and audit["unreadable"] == {"report_date": 1, "cost": 2, "rev_ss": 1}
+    assert audit["rows"] == 3 and audit["unreadable"] == {"activity_date": 1, "cost": 2, "rev_ss": 1}
 
 
 def test_missing_columns_and_dates_refuse_a_snapshot(spark, tmp_path):
@@ -259,7 +259,7 @@ def test_latest_per_tag(spark, tmp_path):
 
 def test_storage_errors_are_not_an_empty_folder(spark):
     with pytest.raises(Exception, match="(?i)no filesystem|nosuch"):
-        snap.snapshot_catalog(spark, "nosuch://bucket/reports")
+        snap.snapshot_catalog(spark, "nosuch://bucket/folder")
 
 
 def test_file_identity_sees_part_files(spark, tmp_path):

@@ -60,21 +60,21 @@ def test_stream_ingest_pandas_parquet_exports(spark, tmp_path):
     q = start_ingest_stream(spark, str(watch), str(out), checkpoint=str(tmp_path / "ck"), available_now=True)
     q.awaitTermination(120)
     snap = spark.read.parquet(str(out / "tag=260402"))
-    assert isinstance(snap.schema["report_date"].dataType, T.DateType)
-    assert sorted(str(r["report_date"]) for r in snap.collect()) == ["2026-04-01", "2026-04-02"]
+    assert isinstance(snap.schema["activity_date"].dataType, T.DateType)
+    assert sorted(str(r["activity_date"]) for r in snap.collect()) == ["2026-04-01", "2026-04-02"]
     assert float(snap.agg(F.sum("cost")).collect()[0][0]) == 4.0
 
 
-def test_stream_writes_the_report_of_each_new_snapshot(spark, tmp_path):
-    """Watch → convert → report: a new snapshot file ends as its figures."""
+def test_stream_writes_the_figures_of_each_new_snapshot(spark, tmp_path):
+    """Watch → convert → figures: a new snapshot file ends as its figures."""
     from conftest import CFG
     watch = tmp_path / "watch"
     watch.mkdir()
     write_csv(watch / "Acme_Daily Report_260402.csv",
               [("2026-04-01", "Search", 10, 50, 40), ("2026-04-02", "Search", 5, 80, 10)])
-    out, rep = tmp_path / "out", tmp_path / "report"
+    out, rep = tmp_path / "out", tmp_path / "figures"
     q = start_ingest_stream(spark, str(watch), str(out), checkpoint=str(tmp_path / "ck"),
-                            available_now=True, report_out=str(rep), cfg=CFG,
+                            available_now=True, figures_out=str(rep), cfg=CFG,
                             max_files_per_trigger=1)
     q.awaitTermination(180)
     assert q.exception() is None
@@ -89,7 +89,7 @@ def run(spark, watch, out, **more):
 
 
 def test_one_file_of_a_tag_wins(spark, tmp_path):
-    """Two names of one tag are the same report: S1's order picks one, also when
+    """Two names of one tag are the same data: S1's order picks one, also when
     the other arrives later; nothing is added up."""
     watch, out = tmp_path / "watch", tmp_path / "out"
     watch.mkdir()

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from adpulse.operators import periods, totals
-from adpulse.operators.anchors import Anchors, report_anchors, resolve_anchors
+from adpulse.operators.anchors import Anchors, day_anchors, resolve_anchors
 from conftest import D0
 
 
@@ -13,9 +13,9 @@ def one(df):
     return rows[0].asDict()
 
 
-def test_sample_report_one_day_totals(sample_report):
+def test_sample_fact_one_day_totals(sample_fact):
     d = D0 + dt.timedelta(days=4)
-    r = one(totals.period_totals(sample_report, d, d))
+    r = one(totals.period_totals(sample_fact, d, d))
     assert (r["impressions"], r["clicks"], r["cost"]) == (3003, 303, 33000.0)
     assert (r["rev_ss"], r["rev_db"], r["buy_ss"], r["buy_db"]) == (156000.0, 150000.0, 18, 15)
     assert r["cpc"] == pytest.approx(33000 / 303)
@@ -24,17 +24,17 @@ def test_sample_report_one_day_totals(sample_report):
     assert r["roas_db"] == pytest.approx(150000 / 33000 * 100)
 
 
-def test_month_to_date_is_five_days(sample_report):
-    a = resolve_anchors(sample_report)
+def test_month_to_date_is_five_days(sample_fact):
+    a = resolve_anchors(sample_fact)
     assert a == Anchors(d_max=D0 + dt.timedelta(days=4), d_prev=D0 + dt.timedelta(days=3), d_min=D0)
-    r = one(totals.mtd_totals(sample_report, a))
+    r = one(totals.mtd_totals(sample_fact, a))
     assert r["cost"] == 5 * 33000 and r["impressions"] == 5 * 3003
     assert r["roas_ss"] == pytest.approx(156000 / 33000 * 100)
 
 
-def test_empty_range_gives_zeros_not_nulls(sample_report):
+def test_empty_range_gives_zeros_not_nulls(sample_fact):
     """Pandas sums of nothing are 0; N2: ratios over 0 are 0."""
-    r = one(totals.period_totals(sample_report, dt.date(2020, 1, 1), dt.date(2020, 1, 2)))
+    r = one(totals.period_totals(sample_fact, dt.date(2020, 1, 1), dt.date(2020, 1, 2)))
     assert all(r[k] == 0 for k in ("impressions", "clicks", "cost", "rev_ss", "buy_db"))
     assert r["cpc"] == 0.0 and r["ctr"] == 0.0 and r["roas_ss"] == 0.0
 
@@ -48,9 +48,9 @@ def test_zero_denominators(make_fact):
 
 def test_null_date_rows_fall_out(make_fact):
     """A null date belongs to no period and is not an anchor."""
-    f = make_fact([dict(report_date=None, cost=5), dict(cost=7)])
+    f = make_fact([dict(activity_date=None, cost=5), dict(cost=7)])
     assert one(totals.period_totals(f, D0, D0))["cost"] == 7.0
-    assert one(report_anchors(f))["d_max"] == D0
+    assert one(day_anchors(f))["d_max"] == D0
 
 
 def test_single_date_anchors_fall_back(make_fact):
@@ -61,22 +61,22 @@ def test_single_date_anchors_fall_back(make_fact):
 
 def test_daily_detail_keeps_days_without_brand_rows(make_fact):
     """A4: days come from the unfiltered fact; brand filter only zeroes measures."""
-    f = make_fact([dict(report_date=D0, brand="x", cost=3),
-                   dict(report_date=D0 + dt.timedelta(days=1), brand="y", cost=4)])
+    f = make_fact([dict(activity_date=D0, brand="x", cost=3),
+                   dict(activity_date=D0 + dt.timedelta(days=1), brand="y", cost=4)])
     rows = {r["day"]: r["cost"] for r in totals.daily_detail(f, brand="x").collect()}
     assert rows == {"2026-04-01": 3.0, "2026-04-02": 0.0}
 
 
 def test_daily_detail_is_this_month_of_this_year_only(make_fact):
     """H8: the same month a year earlier does not leak in (fixed defect)."""
-    f = make_fact([dict(report_date=dt.date(2025, 4, 3), cost=9),
-                   dict(report_date=dt.date(2026, 4, 2), cost=1)])
+    f = make_fact([dict(activity_date=dt.date(2025, 4, 3), cost=9),
+                   dict(activity_date=dt.date(2026, 4, 2), cost=1)])
     assert [r["day"] for r in totals.daily_detail(f).collect()] == ["2026-04-02"]
 
 
-def test_mtd_equals_sum_of_daily_detail(sample_report):
-    mtd = one(totals.mtd_totals(sample_report))
-    daily = totals.daily_detail(sample_report).collect()
+def test_mtd_equals_sum_of_daily_detail(sample_fact):
+    mtd = one(totals.mtd_totals(sample_fact))
+    daily = totals.daily_detail(sample_fact).collect()
     assert sum(r["cost"] for r in daily) == mtd["cost"]
     assert sum(r["buy_ss"] for r in daily) == mtd["buy_ss"]
 
@@ -90,22 +90,22 @@ def test_media_mtd_groups_null_keys(make_fact):
 
 def test_roas_trend_uses_last_n_distinct_days(make_fact):
     days = [D0 + dt.timedelta(days=k) for k in (0, 1, 5, 9)]  # gaps in the calendar
-    f = make_fact([dict(report_date=d, cost=100, rev_ss=100 * (k + 1)) for k, d in enumerate(days)])
+    f = make_fact([dict(activity_date=d, cost=100, rev_ss=100 * (k + 1)) for k, d in enumerate(days)])
     rows = totals.roas_trend(f, days[-1], n=3).collect()
-    assert [r["report_date"] for r in rows] == days[1:]
+    assert [r["activity_date"] for r in rows] == days[1:]
     assert [r["roas_ss"] for r in rows] == [200.0, 300.0, 400.0]
     assert rows[0]["avg_roas_ss"] == pytest.approx(300.0)
     assert rows[0]["label"] == "04/02" and rows[0]["cost_10k"] == 0.0
 
 
 def test_roas_trend_rounds_half_even(make_fact):
-    f = make_fact([dict(cost=8, rev_ss=1, report_date=D0)])  # 12.5 %
+    f = make_fact([dict(cost=8, rev_ss=1, activity_date=D0)])  # 12.5 %
     assert totals.roas_trend(f, D0, 7).collect()[0]["roas_ss"] == 12.5
 
 
 def test_media_daily_pivot_fills_zeros_and_labels_with_year(make_fact):
-    f = make_fact([dict(report_date=dt.date(2025, 12, 31), media="a", rev_db=5),
-                   dict(report_date=dt.date(2026, 1, 1), media="b", rev_db=7)])
+    f = make_fact([dict(activity_date=dt.date(2025, 12, 31), media="a", rev_db=5),
+                   dict(activity_date=dt.date(2026, 1, 1), media="b", rev_db=7)])
     p = totals.media_daily_pivot(f)
     assert p.columns == ["media", "2025-12-31", "2026-01-01"]
     got = {r["media"]: (r["2025-12-31"], r["2026-01-01"]) for r in p.collect()}
@@ -116,7 +116,7 @@ def test_multi_period_gap_and_overlap(make_fact):
     """Standard periods with missing days give zeros; overlapping
     periods each count their rows."""
     d = D0 + dt.timedelta(days=10)
-    f = make_fact([dict(report_date=d, cost=10), dict(report_date=d - dt.timedelta(days=3), cost=3)])
+    f = make_fact([dict(activity_date=d, cost=10), dict(activity_date=d - dt.timedelta(days=3), cost=3)])
     rows = {r["period"]: r for r in periods.multi_period(f, d, d).collect()}
     assert rows["selection"]["cost"] == 10.0
     assert rows["prev_period"]["cost"] == 0.0
@@ -137,24 +137,24 @@ def test_standard_period_bounds():
     assert p["three_days_before"] == (dt.date(2026, 4, 5), dt.date(2026, 4, 7))
 
 
-def test_period_delta_and_headline(sample_report):
-    a = resolve_anchors(sample_report)
-    pd_ = {r["metric"]: r for r in periods.period_delta(sample_report, anchors=a).collect()}
+def test_period_delta_and_headline(sample_fact):
+    a = resolve_anchors(sample_fact)
+    pd_ = {r["metric"]: r for r in periods.period_delta(sample_fact, anchors=a).collect()}
     assert pd_["cost"]["delta"] == 0.0 and pd_["cost"]["direction"] == "flat"
-    head = {r["metric"]: r for r in periods.daily_headline(sample_report, a).collect()}
+    head = {r["metric"]: r for r in periods.daily_headline(sample_fact, a).collect()}
     # No row a week before the last day: the same-weekday change is the value itself.
     assert head["rev_ss"]["delta_same_weekday"] == head["rev_ss"]["value"] == 156000.0
     assert head["rev_ss"]["delta_prev"] == 0.0 and head["rev_ss"]["direction"] == "up"
 
 
-def test_multi_period_delta_rows(sample_report):
-    rows = periods.multi_period_delta(sample_report, "db").collect()
+def test_multi_period_delta_rows(sample_fact):
+    rows = periods.multi_period_delta(sample_fact, "db").collect()
     assert [r["metric"] for r in rows] == ["cost", "purchases", "revenue", "roas"]
     assert rows[2]["value"] == 150000.0 and rows[2]["delta_prev_period"] == 0.0
 
 
-def test_basis_table(sample_report):
-    rows = totals.basis_table(totals.mtd_totals(sample_report)).collect()
+def test_basis_table(sample_fact):
+    rows = totals.basis_table(totals.mtd_totals(sample_fact)).collect()
     assert [r["basis"] for r in rows] == ["SS", "DB"]
     assert rows[0]["cost"] == rows[1]["cost"] and rows[1]["revenue"] == 5 * 150000.0
 
@@ -169,7 +169,7 @@ from hypothesis import strategies as st  # noqa: E402
 def test_one_scan_periods_equal_separate_totals(make_fact, offsets, span):
     """Property: the one-scan conditional aggregation over overlapping periods
     equals computing each period on its own."""
-    f = make_fact([dict(report_date=D0 + dt.timedelta(days=o), cost=c, rev_ss=c * 2, clicks=c)
+    f = make_fact([dict(activity_date=D0 + dt.timedelta(days=o), cost=c, rev_ss=c * 2, clicks=c)
                    for o, c in offsets])
     end = D0 + dt.timedelta(days=15)
     start = end - dt.timedelta(days=span - 1)
@@ -183,20 +183,20 @@ def test_one_scan_periods_equal_separate_totals(make_fact, offsets, span):
 def test_null_measures_are_skipped(make_fact):
     """H1: null measures add nothing (pandas sums skip NaN); the row still
     counts for its keys."""
-    from adpulse.config import ReportConfig
+    from adpulse.config import FigureConfig
     from adpulse.operators.compare import two_day_compare
     f = make_fact([dict(cost=None, rev_ss=None, clicks=None, media="a"),
                    dict(cost=4, rev_ss=8, clicks=2, media="a"),
                    dict(cost=None, rev_ss=None, media="b")])
     r = one(totals.period_totals(f, D0, D0))
     assert (r["cost"], r["rev_ss"], r["clicks"], r["roas_ss"]) == (4.0, 8.0, 2, 200.0)
-    cmp = {x["media"]: x for x in two_day_compare(f, ["media"], "ss", D0, D0, ReportConfig()).collect()}
+    cmp = {x["media"]: x for x in two_day_compare(f, ["media"], "ss", D0, D0, FigureConfig()).collect()}
     assert cmp["b"]["rev_cur"] == 0.0 and cmp["a"]["roas_cur"] == 200.0
 
 
 def test_roas_trend_between_equals_last_n(make_fact):
     days = [D0 + dt.timedelta(days=k) for k in (0, 2, 3, 7)]
-    f = make_fact([dict(report_date=d, cost=10, rev_ss=10 * (k + 2)) for k, d in enumerate(days)])
+    f = make_fact([dict(activity_date=d, cost=10, rev_ss=10 * (k + 2)) for k, d in enumerate(days)])
     a = totals.roas_trend(f, days[-1], n=3).collect()
     b = totals.roas_trend_between(f, days[1], days[-1]).collect()
     assert a == b and len(a) == 3
@@ -211,7 +211,7 @@ def test_reversed_ranges_are_rejected(make_fact):
 
 
 def test_media_daily_rows_are_the_pivots_cells(make_fact):
-    f = make_fact([dict(report_date=D0 + dt.timedelta(days=d), media=m, rev_db=d + 1)
+    f = make_fact([dict(activity_date=D0 + dt.timedelta(days=d), media=m, rev_db=d + 1)
                    for d in range(4) for m in ("a", "b", None) if (d, m) != (2, "b")])
     wide = {r["media"]: r.asDict() for r in totals.media_daily_pivot(f).collect()}
     rows = totals.media_daily(f).collect()
@@ -230,16 +230,16 @@ def test_an_absent_brand_column_is_no_filter(spark, make_fact):
 
 
 def test_a_range_without_data_falls_back_to_the_last_days(make_fact):
-    f = make_fact([dict(report_date=D0 + dt.timedelta(days=d), cost=1, rev_ss=d) for d in range(10)])
+    f = make_fact([dict(activity_date=D0 + dt.timedelta(days=d), cost=1, rev_ss=d) for d in range(10)])
     far = D0 + dt.timedelta(days=40)
     got = totals.roas_trend_between(f, far, far + dt.timedelta(days=3)).collect()
-    assert [r["report_date"] for r in got] == [D0 + dt.timedelta(days=d) for d in range(3, 10)]
+    assert [r["activity_date"] for r in got] == [D0 + dt.timedelta(days=d) for d in range(3, 10)]
 
 
 def test_choice_keys_stand_for_the_history(make_fact):
     from adpulse.operators import dimensions, promo
     from conftest import CFG
-    f = make_fact([dict(report_date=D0 + dt.timedelta(days=d), media=m, campaign=c, ad_group=g, creative=r, promo=p, rev_db=d)
+    f = make_fact([dict(activity_date=D0 + dt.timedelta(days=d), media=m, campaign=c, ad_group=g, creative=r, promo=p, rev_db=d)
                    for d in range(3) for m, c, g, r, p in [("Banner", "c", "g", "x", "always"), ("Banner", "c", None, "-", "q"),
                                                            ("Promo", "d", None, "y", None), (None, "e", "h", "z", " ")]])
     keys = dimensions.choice_keys(f, CFG)

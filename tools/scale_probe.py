@@ -1,4 +1,4 @@
-"""Scale probe: a larger, skewed report snapshot and the main operators on it.
+"""Scale probe: a larger, skewed snapshot and the main operators on it.
 
 Builds R copies of the sf snapshot (row copies get distinct campaigns so
 group counts grow too), sends about a third of all rows to ONE media (the hot
@@ -44,8 +44,8 @@ def main() -> None:
                    .withColumn("media", F.when(F.pmod(F.xxhash64("product", "_copy", "buy_db"), F.lit(3)) == 0,
                                                F.lit("NATION_HOT")).otherwise(F.col("media")))
                    .drop("_copy"))
-        (big.hint("rebalance", "report_date").write.mode("overwrite")
-            .partitionBy("report_date").parquet(path))
+        (big.hint("rebalance", "activity_date").write.mode("overwrite")
+            .partitionBy("activity_date").parquet(path))
     build = time.perf_counter() - t0
     fact = spark.read.parquet(path)
     rows = fact.count()
