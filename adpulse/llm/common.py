@@ -9,8 +9,10 @@ import re
 import sys
 import tempfile
 import uuid
+import zipfile
 from array import array
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,21 @@ def shared_folder(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, as spark-submit's --py-files would, once an
+    application: a query may run where they don't find it by themselves."""
+    context = spark.sparkContext
+    if getattr(context, "_adpulse_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="adpulse-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))  # the driver serves it to all executors
+    context._adpulse_shipped = True
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/corpus/{label}-{uuid.uuid4().hex}"
 

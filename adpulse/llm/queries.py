@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adpulse.llm import kd_shards, lattice_lm, license_scan, packing, pii, quality_rules, simhash, substring_dedup, token_records, winnowing
-from adpulse.llm.common import load
+from adpulse.llm.common import load, ship
 
 
 def tokenizer_file(name: str) -> str:
@@ -79,7 +79,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shipped(query) for name, query in {
     "op1_pii": op1_pii,
     "op2_token_records": op2_token_records,
     "op3_kd_shards": op3_kd_shards,
@@ -90,7 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_super_kmers": op8_super_kmers,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
-}
+}.items()}
 _WORDS_SQL = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 

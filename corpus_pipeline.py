@@ -18,22 +18,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from adpulse.llm import packing, pii, quality_rules, simhash, winnowing
-from adpulse.llm.common import load, stored
+from adpulse.llm.common import load, ship, stored
 from adpulse.llm.queries import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
+    ship(spark)
     return quality_rules.accepted(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that of the smallest id."""
+    ship(spark)
     return simhash.first_of_each(docs, shingle=3, bits=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that share no window with a benchmark item."""
+    ship(spark)
     return winnowing.clean(docs, load(spark, sf_dir, "benchmark"), window=10)
 
 
@@ -44,6 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
+    ship(spark)
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import types as T
 
+from adpulse.llm.common import ship
+
 # Columns that operators might use themselves.
 EXTRA = ["row_id", "kept", "n_words", "spans", "fingerprint", "component_id", "shard", "part", "key"]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -11,6 +13,12 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
                        *[T.StructField(c, T.StringType()) for c in EXTRA]])
 
 
+@pytest.fixture(autouse=True)
+def shipped(spark):
+    """Workers find the package wherever the tests are started."""
+    ship(spark)
+
+
 @pytest.fixture
 def make_docs(spark):
     """Documents from (doc_id, text) pairs, with extra columns of clashing names."""
