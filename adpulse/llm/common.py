@@ -3,7 +3,7 @@ cached tokenisation of whole texts, and streaming over sorted groups."""
 
 from __future__ import annotations
 
-import itertools
+import gc
 import os
 import re
 import sys
@@ -118,34 +118,40 @@ class PieceCache:
     ids of the pieces in a row are the ids of the text.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]],
-                 cut: Callable[[str], list[str]], finer: Callable[[str], list[str]]):
-        self.encode, self.cut, self.finer = encode, cut, finer
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], cut: Callable[[str], list[str]]):
+        self.encode, self.cut = encode, cut
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def learn(self, missing: set[str]) -> None:
         older = self.older.get
         self.known.update((x, v) for x in missing if (v := older(x)) is not None)
-        parts = {x: self.finer(x) for x in missing.difference(self.known)}
-        new = list(set(itertools.chain.from_iterable(parts.values())).difference(self.known))
+        new = list(missing.difference(self.known))
         self.known.update(zip(new, self.encode(new)))
-        got = self.known
-        for x, of in parts.items():
-            if len(of) != 1:
-                got[x] = b"".join([got[y] for y in of])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
+        # nothing here makes reference cycles, and looking for them among so
+        # many objects takes a quarter of the time
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._ids(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ENTRIES:
             self.known, self.older = {}, self.known
         get = self.known.get
         cut = [self.cut(x) for x in texts]
         found = [list(map(get, x)) for x in cut]
-        lacking = [i for i, x in enumerate(found) if None in x]
-        self.learn({p for i in lacking for p, v in zip(cut[i], found[i]) if v is None})
-        for i in lacking:
-            found[i] = map(get, cut[i])
+        lacking = [[j for j, v in enumerate(x) if v is None] for x in found]
+        self.learn({c[j] for c, js in zip(cut, lacking) for j in js})
+        for x, c, js in zip(found, cut, lacking):
+            for j in js:
+                x[j] = get(c[j])
         return [b"".join(x) for x in found]
 
 
@@ -155,10 +161,13 @@ class PieceCache:
 _SPACE = r"[^\S\x1c-\x1f]"
 _AT_SPACE = re.compile(rf"(?<=\S)(?={_SPACE})")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_MARKS = ".,;:!?|"
 _MARK_ELSEWHERE = re.compile(rf"[.,](?<![{_LETTERS}].)").search
 _ONE_TOKEN = re.compile(rf" ?[{_LETTERS}]+").fullmatch
-_LETTER = re.compile(rf"[{_LETTERS}]").match
+# Text without letters or digits beyond Latin, on whose kind all Unicode versions
+# agree, in the parts that the tokenizer's pattern makes of it.
+_LATIN = re.compile(r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*").fullmatch
+_PARTS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\x09-\x0d\x20{_LETTERS}0-9]+"
+                    r"|[\x09-\x0d\x20]+(?![^\x09-\x0d\x20])|[\x09-\x0d\x20]+").findall
 _ODD = [chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \n"] + ["\0", "  ", "\n\n", " \n", "\n "]
 _TOKENIZERS: dict[str, PieceCache] = {}
 
@@ -175,11 +184,6 @@ def _cut(text: str) -> list[str]:
     return marked.split("\0")
 
 
-def _at_marks(piece: str) -> list[str]:
-    word = piece.rstrip(_MARKS)
-    return [word, piece[len(word):]] if word and word != piece and _LETTER(word[-1]) else [piece]
-
-
 def _byte_letters() -> dict[int, str]:
     """The letter by which a byte-level vocabulary writes each byte: printable
     Latin-1 characters stand for themselves, the others for 256 and on."""
@@ -188,12 +192,13 @@ def _byte_letters() -> dict[int, str]:
     return {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(other)}
 
 
-def little(ids: list[int]) -> bytes:
-    """The ids as little-endian unsigned 32-bit integers."""
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+if sys.byteorder == "little":
+    def little(ids: list[int]) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return array("I", ids).tobytes()
+else:
+    def little(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 def bpe(path: str) -> PieceCache:
@@ -205,16 +210,30 @@ def bpe(path: str) -> PieceCache:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         merge, letters = tokenizer.model.tokenize, _byte_letters()
+        space = letters[0x20]
+
+        def ids_of(part: str) -> list[int]:
+            """Of one part of the pattern, by the tokenizer's merges."""
+            if part.isascii() and part.isprintable():  # only the space has another letter
+                return [t.id for t in merge(part.replace(" ", space))]
+            return [t.id for t in merge(part.encode().decode("latin-1").translate(letters))]
 
         def encode(pieces: list[str]) -> list[bytes]:
-            # what the pattern leaves in one part goes to the merges at once
-            one = [_ONE_TOKEN(x) is not None for x in pieces]
-            rest = iter(tokenizer.encode_batch_fast([x for x, o in zip(pieces, one) if not o],
-                                                    add_special_tokens=False))
-            return [little([t.id for t in merge(x.encode().decode("latin-1").translate(letters))])
-                    if o else little(next(rest).ids) for x, o in zip(pieces, one)]
-
-        _TOKENIZERS[path] = PieceCache(encode, _cut, _at_marks)
+            out, other = [], []
+            for x in pieces:
+                if _ONE_TOKEN(x):
+                    out.append(little(ids_of(x)))
+                elif _LATIN(x):
+                    out.append(little([i for part in _PARTS(x) for i in ids_of(part)]))
+                else:
+                    other.append(len(out))
+                    out.append(b"")
+            whole = tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)
+            for i, x in zip(other, whole):
+                out[i] = little(x.ids)
+            return out
+
+        _TOKENIZERS[path] = PieceCache(encode, _cut)
     return _TOKENIZERS[path]
 
 

@@ -79,7 +79,7 @@ def _pieces(path: str) -> tuple[PieceCache, np.ndarray]:
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         cache = PieceCache(lambda words: [little(x) for x in sp.encode([w.decode() for w in words], num_threads=1)],
-                           lambda text: text.encode().split(), lambda word: [word])
+                           lambda text: text.encode().split())
         _CACHES[path] = cache, np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
     return _CACHES[path]
 
