@@ -141,6 +141,10 @@ class PieceCache:
             if collecting:
                 gc.enable()
 
+    def forget(self) -> None:
+        """Called at a task's end, so that idle workers hold no memory."""
+        self.known, self.older = {}, {}
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ENTRIES:
             self.known, self.older = {}, self.known

@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adpulse.llm.common import PieceCache, little
+from adpulse.llm.common import SLICE, PieceCache, little
 
 #: What separates words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -133,12 +133,16 @@ def measures(vocabulary: str, bands: Mapping[str, Band] = BANDS) -> Column:
     names = [x.split()[0] for x in MEASURES.split(", ")]
 
     @F.pandas_udf(MEASURES)
-    def measure(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
-        rows = []
-        for at in range(0, len(text), 500):
-            part = text.iloc[at:at + 500].tolist()
-            rows += judge(part, lang.iloc[at:at + 500].tolist(), vocabulary, bands)
-        return pd.DataFrame(rows, columns=names)
+    def measure(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        try:
+            for text, lang in columns:
+                rows = []
+                for at in range(0, len(text), SLICE):
+                    part = text.iloc[at:at + SLICE].tolist()
+                    rows += judge(part, lang.iloc[at:at + SLICE].tolist(), vocabulary, bands)
+                yield pd.DataFrame(rows, columns=names)
+        finally:
+            _pieces(vocabulary)[0].forget()
 
     return measure(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("lang").cast("string"))
 

@@ -151,31 +151,34 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 "path": [names[0]], "index_path": [names[1]],
                 "n_records": [n_records], "n_tokens": [n_tokens], "n_bytes": [n_bytes]})
 
-        for batch in in_slices(batches):
-            if out is None:
-                store.create_dir(base, recursive=True)
-                stem = f"{part:06d}-{seq:04d}-{task.taskAttemptId()}"
-                names = (f"{folder}/{stem}.rec", f"{folder}/{stem}.idx")
-                out = store.open_output_stream(f"{base}/{stem}.rec")
-                index = store.open_output_stream(f"{base}/{stem}.idx")
-                n_records = n_tokens = n_bytes = 0
-            tail = end_id.to_bytes(4, "little")
-            ids = [np.frombuffer(x + tail, "<u4") for x in cache.ids(batch.column("text").to_pylist())]
-            framed = frames([payload(d, x) for d, x in zip(batch.column("doc_id").to_pylist(), ids)])
-            entry = np.empty((len(framed), 2), "<u8")
-            sizes = np.array([len(x) for x in framed], dtype=np.uint64)
-            entry[:, 0] = n_bytes + np.cumsum(sizes) - sizes
-            entry[:, 1] = [len(x) for x in ids]
-            out.write(b"".join(framed))
-            index.write(entry.tobytes())
-            n_records += len(framed)
-            n_tokens += int(entry[:, 1].sum())
-            n_bytes += int(sizes.sum())
-            if n_bytes >= FILE_BYTES:
+        try:
+            for batch in in_slices(batches):
+                if out is None:
+                    store.create_dir(base, recursive=True)
+                    stem = f"{part:06d}-{seq:04d}-{task.taskAttemptId()}"
+                    names = (f"{folder}/{stem}.rec", f"{folder}/{stem}.idx")
+                    out = store.open_output_stream(f"{base}/{stem}.rec")
+                    index = store.open_output_stream(f"{base}/{stem}.idx")
+                    n_records = n_tokens = n_bytes = 0
+                tail = end_id.to_bytes(4, "little")
+                ids = [np.frombuffer(x + tail, "<u4") for x in cache.ids(batch.column("text").to_pylist())]
+                framed = frames([payload(d, x) for d, x in zip(batch.column("doc_id").to_pylist(), ids)])
+                entry = np.empty((len(framed), 2), "<u8")
+                sizes = np.array([len(x) for x in framed], dtype=np.uint64)
+                entry[:, 0] = n_bytes + np.cumsum(sizes) - sizes
+                entry[:, 1] = [len(x) for x in ids]
+                out.write(b"".join(framed))
+                index.write(entry.tobytes())
+                n_records += len(framed)
+                n_tokens += int(entry[:, 1].sum())
+                n_bytes += int(sizes.sum())
+                if n_bytes >= FILE_BYTES:
+                    yield close()
+                    out, seq = None, seq + 1
+            if out is not None:
                 yield close()
-                out, seq = None, seq + 1
-        if out is not None:
-            yield close()
+        finally:
+            cache.forget()
 
     text_hash = F.xxhash64("text")
     ordered = (documents(docs).repartitionByRange("doc_id", text_hash)
