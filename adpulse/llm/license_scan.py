@@ -183,7 +183,7 @@ def chains(automaton: Automaton, found: list[tuple[int, int, int]], sizes: list[
         # (words covered, first word of the chain), by its last match
         best: list[tuple[int, int]] = []
         near = 0
-        groups: list[tuple[int, int, int, int]] = []
+        groups: list[tuple[int, int, int]] = []
         for i, (first, place, n) in enumerate(own):
             while own[near][0] + own[near][2] + GAP + sizes[template] < first:
                 near += 1
