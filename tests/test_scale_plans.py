@@ -85,3 +85,23 @@ def test_skewed_key_results_equal_brute_force(make_fact):
             a[4] += r["buy_ss"]
     want = {m: (float(a[0] - a[1]), float(a[2]), int(a[3] - a[4])) for m, a in acc.items()}
     assert got == want
+
+
+def test_choice_lists_unfold_distinct_keys_only(make_fact):
+    """the generator stands above an aggregate, so the history's rows are
+    not multiplied."""
+    from adpulse.operators import dimensions
+    f = make_fact([dict(media="a", campaign="c", brand="b", ad_group=str(i % 2)) for i in range(9)])
+    q = dimensions.dimension_values(f)
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate inline.*\n\s+\+- Aggregate", plan), plan
+    assert [(r["dimension"], r["value"]) for r in q.collect()] == [
+        ("ad_group", "0"), ("ad_group", "1"), ("brand", "b"), ("campaign", "c"), ("media", "a")]
+
+
+def test_drill_down_leaves_the_callers_lists_to_spark(make_fact):
+    """No forced broadcast of a frame that the caller passes."""
+    from adpulse.operators import drivers
+    f = make_fact([dict(activity_date=D0, media=m, rev_db=1) for m in "abc"])
+    q = drivers.media_campaign_drivers(f, CFG, only_media=f.select("media"))
+    assert "strategy=broadcast" not in q._jdf.queryExecution().analyzed().toString()
