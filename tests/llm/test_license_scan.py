@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from conftest_llm import rows_of
+from llm.conftest_llm import rows_of
 
 from adpulse.llm import license_scan
 from adpulse.llm.queries import QUERIES

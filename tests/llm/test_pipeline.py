@@ -5,12 +5,12 @@ import zlib
 
 import numpy as np
 import pytest
-from test_packing_brute import brute_pieces
-from test_pii import brute as brute_spans
-from test_quality_rules import PROSE
-from test_quality_rules import brute as brute_quality
-from test_simhash import brute_components, brute_print
-from test_winnowing import words_of
+from llm.test_packing_brute import brute_pieces
+from llm.test_pii import brute as brute_spans
+from llm.test_quality_rules import PROSE
+from llm.test_quality_rules import brute as brute_quality
+from llm.test_simhash import brute_components, brute_print
+from llm.test_winnowing import words_of
 
 import __spark_entry__
 import corpus_pipeline

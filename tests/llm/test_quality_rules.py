@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 import sentencepiece
-from conftest_llm import rows_of
+from llm.conftest_llm import rows_of
 
 from adpulse.llm import quality_rules
 from adpulse.llm.queries import tokenizer_file

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from conftest_llm import rows_of
+from llm.conftest_llm import rows_of
 
 from adpulse.llm import simhash
 

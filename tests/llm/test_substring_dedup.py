@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest_llm import rows_of
+from llm.conftest_llm import rows_of
 
 from adpulse.llm import substring_dedup
 
