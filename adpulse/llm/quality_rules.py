@@ -59,7 +59,14 @@ class Band:
 
 #: By language code or script. Alphabets need two to five characters a token in
 #: ordinary prose of 32,000 pieces; scripts written without spaces about one.
+#: The languages' floors are fitted on the labelled clean documents of sf 0.1 with an even
+#: doc_id that pass the base rules (951 en, 240 de, 233 fr, 154 es): the lowest value,
+#: less 0.1 characters a token; in hundredths and less 0.01 of entropy.
 BANDS: Mapping[str, Band] = {
+    "en": Band((1.75, 12.0), 0.25, 0.69),
+    "de": Band((1.94, 12.0), 0.25, 0.69),
+    "fr": Band((1.62, 12.0), 0.25, 0.67),
+    "es": Band((1.70, 12.0), 0.25, 0.67),
     "latin": Band((1.3, 12.0), 0.25, 0.66),
     "cyrillic": Band((1.0, 12.0), 0.35, 0.45),
     "greek": Band((0.7, 12.0), 0.6, 0.4),

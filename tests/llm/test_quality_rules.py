@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 import sentencepiece
 from llm.conftest_llm import rows_of
+from pyspark.sql import functions as F
 
 from adpulse.llm import quality_rules
 from adpulse.llm.queries import tokenizer_file
@@ -86,3 +87,14 @@ def test_labelled_clean_documents_stay(spark):
     junk = rated.join(spark.read.parquet(f"{at}/labels.parquet").where("quality = 0"), "doc_id")
     assert clean.where("not kept").count() == 0
     assert junk.where("not kept").count() > 0.4 * junk.count()
+
+
+def test_labelled_junk_goes_by_language(spark):
+    """On rows that the bands were not fitted on: odd doc_ids of sf0.1."""
+    at = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{at}/labels.parquet").where("doc_id % 2 = 1")
+    docs = spark.read.parquet(f"{at}/documents.parquet").join(labels, "doc_id")
+    rated = quality_rules.rate(docs, FILE).join(labels, "doc_id").where("not base_failed")
+    got = {(r.lang, r.quality): (r.gone, r.n) for r in rated.groupBy("lang", "quality").agg(
+        F.sum(F.expr("int(not kept)")).alias("gone"), F.count("*").alias("n")).collect()}
+    assert all(got[lang, 1][0] == 0 and got[lang, 0][0] >= 0.35 * got[lang, 0][1] for lang in ("en", "de", "fr", "es"))
