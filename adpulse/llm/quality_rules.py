@@ -71,11 +71,25 @@ BANDS: Mapping[str, Band] = {
     "cyrillic": Band((1.0, 12.0), 0.35, 0.45),
     "greek": Band((0.7, 12.0), 0.6, 0.4),
     "han": Band((0.3, 6.0), 0.9, 0.4),
-    "other": Band((0.25, 12.0), 1.0, 0.35),
+    "arabic": Band((0.5, 12.0), 0.4, 0.35),
+    "hebrew": Band((0.5, 12.0), 0.4, 0.35),
+    "indic": Band((0.35, 12.0), 0.8, 0.35),
+    "thai": Band((0.5, 12.0), 0.4, 0.35),
+    "armenian": Band((0.5, 12.0), 0.4, 0.35),
+    "georgian": Band((0.5, 12.0), 0.4, 0.35),
+    "ethiopic": Band((0.25, 12.0), 0.92, 0.35),
+    "other": Band((0.25, 12.0), 1.0, 0.35),  # scripts that may have no piece at all
+    "none": Band((0.25, 12.0), 0.25, 0.35),  # no letters
 }
 _SCRIPTS = [("latin", re.compile(r"[A-Za-zÀ-ɏ]")), ("cyrillic", re.compile(r"[Ѐ-ԯ]")),
             ("greek", re.compile(r"[Ͱ-Ͽ]")),
             ("han", re.compile(r"[぀-ヿ㐀-鿿가-힯]"))]
+_FURTHER = [("arabic", re.compile(r"[\u0600-\u06ff\u0750-\u077f]")), ("hebrew", re.compile(r"[\u0590-\u05ff]")),
+            ("indic", re.compile(r"[\u0900-\u09ff\u0b80-\u0bff\u0c00-\u0c7f]")), ("thai", re.compile(r"[\u0e00-\u0e7f]")),
+            ("armenian", re.compile(r"[\u0530-\u058f]")), ("georgian", re.compile(r"[\u10a0-\u10ff]")),
+            ("ethiopic", re.compile(r"[\u1200-\u137f]"))]
+#: Where letters of further scripts are.
+_BEYOND = re.compile(r"[\u0530-\u1dff\u2c00-\u2dff\ua000-\uabff\U00010000-\U0003ffff]")
 _ASCII = re.compile(r"[A-Za-z]+")
 _CACHES: dict[str, tuple[PieceCache, np.ndarray]] = {}
 
@@ -92,12 +106,21 @@ def _pieces(path: str) -> tuple[PieceCache, np.ndarray]:
 
 
 def script_of(text: str) -> str:
-    """The script of most of its letters; "other" if none of the named ones."""
+    """The script of most of its letters; "other" if it has no name here, "none" if
+    there are no letters."""
     if text.isascii():
-        return "latin" if _ASCII.search(text) else "other"
-    counts = [(len(p.findall(text)), name) for name, p in _SCRIPTS]
-    most = max(counts)
-    return most[1] if most[0] else "other"
+        return "latin" if _ASCII.search(text) else "none"
+    scripts, unnamed = _SCRIPTS, 0
+    if _BEYOND.search(text):
+        scripts, rest = _SCRIPTS + _FURTHER, text
+        for _, p in scripts:
+            rest = p.sub("", rest)
+        unnamed = sum(map(str.isalpha, rest))
+    counts = [(len(p.findall(text)), name) for name, p in scripts]
+    most = max([*counts, (unnamed, "other")])
+    if most[0]:
+        return most[1]
+    return "other" if any(map(str.isalpha, text)) else "none"
 
 
 def base_measures(text: str) -> tuple[int, int, int, int, int]:

@@ -98,3 +98,19 @@ def test_labelled_junk_goes_by_language(spark):
     got = {(r.lang, r.quality): (r.gone, r.n) for r in rated.groupBy("lang", "quality").agg(
         F.sum(F.expr("int(not kept)")).alias("gone"), F.count("*").alias("n")).collect()}
     assert all(got[lang, 1][0] == 0 and got[lang, 0][0] >= 0.35 * got[lang, 0][1] for lang in ("en", "de", "fr", "es"))
+
+
+def test_noise_goes_by_the_production_bands(make_docs):
+    rnd = random.Random(1)
+    noise = ["".join(map(chr, range(0xE000, 0xF8FF))), "☃☠☺⚒⚛", "".join(map(chr, range(0x2500, 0x27C0)))]
+    texts = [" ".join("".join(rnd.choice(x) for _ in range(8)) for _ in range(80)) for x in noise]
+    letters = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(80))
+    arabic = ("يولد جميع الناس أحراراً متساوين في الكرامة والحقوق، وقد وهبوا عقلاً وضميراً وعليهم أن يعامل بعضهم "
+              "بعضاً بروح الإخاء. لكل إنسان حق التمتع بكافة الحقوق والحريات الواردة في هذا الإعلان، دون أي تمييز ")
+    assert [quality_rules.script_of(x) for x in [*texts, letters, arabic, "12 34", "ខ្មែរ a"]] \
+        == ["none"] * 3 + ["latin", "arabic", "none", "other"]
+    rows = quality_rules.judge([*texts, letters, arabic + "ABC"], [None, None, None, "en", None], FILE, quality_rules.BANDS)
+    bands = quality_rules.BANDS
+    assert [(bands["en"] if i == 3 else bands[r[9]]).accepts(r[6], r[7], r[8], r[5])
+            for i, r in enumerate(rows)] == [False] * 4 + [True]
+    assert not any(r[-1] for r in rows[:4]) and not any(r[-2] for r in rows[:4])
