@@ -16,15 +16,23 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents that a task handles at a time (bounds what it holds beside the batch).
-SLICE = 500
-#: Distinct pieces of text after which a worker's cache starts anew; the last one
-#: is still looked into.
-CACHE_ENTRIES = 300_000
+#: Rows and bytes of text that a task handles at a time, one text at least (bounds
+#: what it holds beside the batch).
+SLICE = 2000
+SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch, where the session leaves Spark's default.
+BATCH_BYTES = 8 << 20
+#: Bytes (estimated) of known pieces after which a worker's cache starts anew; the
+#: last one is still looked into. Longer pieces than CACHED_PIECE are not kept.
+CACHE_BYTES = 80 << 20
+CACHED_PIECE = 64
+#: Characters of one text that are encoded at a time.
+STRETCH = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,7 +54,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def ship(spark: SparkSession) -> None:
     """Gives the workers this package, as spark-submit's --py-files would, once an
-    application: a query may run where they don't find it by themselves."""
+    application: a query may run where they don't find it by themselves. Batches of
+    very long texts are bounded too, unless the session sets that bound itself."""
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(most).rstrip("b") == str(64 << 20):  # Spark's default
+        spark.conf.set(most, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_adpulse_shipped", False):
         return
@@ -83,10 +95,21 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE,
+              most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of `rows` rows and `most` bytes of strings, one row at least."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) \
+                    or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                ends += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(ends), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -112,51 +135,78 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
 
 
 class PieceCache:
-    """Token ids of whole texts, each distinct piece of text encoded once.
+    """Token ids of whole texts, each distinct piece of text encoded once a slice,
+    and pieces that were met lately not at all.
 
-    `cut` splits a text at places where the tokenizer splits it as well, so the
-    ids of the pieces in a row are the ids of the text.
+    `split` makes lists of pieces of texts, cut at places where the tokenizer
+    splits them as well, so the ids of the pieces in a row are the ids of the text.
+    `stretches` cuts one very long text at such places. A text that `whole` picks is
+    not cut. The cache stays with the worker from task to task.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], cut: Callable[[str], list[str]]):
-        self.encode, self.cut = encode, cut
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], split: Callable[[list[str]], pa.ListArray],
+                 stretches: Callable[[str], list[str]], whole: Callable[[str], bool] = lambda text: False):
+        self.encode, self.split, self.stretches, self.whole = encode, split, stretches, whole
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def learn(self, missing: set[str]) -> None:
-        older = self.older.get
-        self.known.update((x, v) for x in missing if (v := older(x)) is not None)
-        new = list(missing.difference(self.known))
-        self.known.update(zip(new, self.encode(new)))
+        self.held = 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
+        found: dict[str, bytes] = dict.fromkeys(texts, b"")  # equal texts once
+        short = []
+        for text in found:
+            if self.whole(text):
+                found[text] = self.encode([text])[0]
+            elif len(text) > STRETCH:
+                found[text] = b"".join(self._ids([x])[0] for x in self.stretches(text))
+            else:
+                short.append(text)
         # nothing here makes reference cycles, and looking for them among so
         # many objects takes a quarter of the time
         collecting = gc.isenabled()
         gc.disable()
         try:
-            return self._ids(texts)
+            found.update(zip(short, self._ids(short)))
         finally:
             if collecting:
                 gc.enable()
-
-    def forget(self) -> None:
-        """Called at a task's end, so that idle workers hold no memory."""
-        self.known, self.older = {}, {}
+        return [found[x] for x in texts]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if self.held > CACHE_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        out = list(map(self.known.get, pieces))
+        if None in out:
+            lacking = [i for i, v in enumerate(out) if v is None]
+            found = list(map(self.older.get, [pieces[i] for i in lacking]))
+            new = [i for i, v in zip(lacking, found) if v is None]
+            ids = dict(zip(new, self.encode([pieces[i] for i in new])))
+            for i, v in zip(lacking, found):
+                out[i] = ids[i] if v is None else v
+            keep = {x: out[i] for i in lacking if len(x := pieces[i]) <= CACHED_PIECE}
+            self.known.update(keep)
+            self.held += 200 * len(keep) + sum(map(len, keep)) + sum(map(len, keep.values()))
+        return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known, self.older = {}, self.known
-        get = self.known.get
-        cut = [self.cut(x) for x in texts]
-        found = [list(map(get, x)) for x in cut]
-        lacking = [[j for j, v in enumerate(x) if v is None] for x in found]
-        self.learn({c[j] for c, js in zip(cut, lacking) for j in js})
-        for x, c, js in zip(found, cut, lacking):
-            for j in js:
-                x[j] = get(c[j])
-        return [b"".join(x) for x in found]
+        if not texts:
+            return []
+        lists = self.split(texts)
+        coded = lists.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        own = self._learn(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        flat = np.frombuffer(b"".join(own), "<u4")
+        starts = np.cumsum(lengths) - lengths
+        # the ids of piece after piece: each begins at its own start in `flat`
+        each = lengths[at]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(starts[at] - (ends - each), each) + np.arange(total)].tobytes()
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 # White space of both Python and the tokenizer's pattern. Before white space that
@@ -172,20 +222,35 @@ _ONE_TOKEN = re.compile(rf" ?[{_LETTERS}]+").fullmatch
 _LATIN = re.compile(r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*").fullmatch
 _PARTS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\x09-\x0d\x20{_LETTERS}0-9]+"
                     r"|[\x09-\x0d\x20]+(?![^\x09-\x0d\x20])|[\x09-\x0d\x20]+").findall
-_ODD = [chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \n"] + ["\0", "  ", "\n\n", " \n", "\n "]
+_ODD = [chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \n"] + ["  ", "\n\n", " \n", "\n "]
 _TOKENIZERS: dict[str, PieceCache] = {}
 
 
-def _cut(text: str) -> list[str]:
-    """A text in pieces that the tokenizer's pattern never joins: at white space
-    and, if they all follow a letter, at full stops and commas."""
+def _marked(text: str, mark: str) -> str:
+    """A text with marks where the tokenizer's pattern never joins: before white
+    space and, if they all follow a letter, full stops and commas."""
     for x in _ODD:
         if x in text:
-            return _AT_SPACE.split(text)
-    marked = text.replace(" ", "\0 ").replace("\n", "\0\n")
+            return _AT_SPACE.sub(mark, text)
+    marked = text.replace(" ", mark + " ").replace("\n", mark + "\n")
     if not _MARK_ELSEWHERE(text):
-        marked = marked.replace(",", "\0,").replace(".", "\0.")
-    return marked.split("\0")
+        marked = marked.replace(",", mark + ",").replace(".", mark + ".")
+    return marked
+
+
+def _split(texts: list[str]) -> pa.ListArray:
+    mark = next(c for c in map(chr, range(0xD800)) if not any(c in x for x in texts))
+    return pc.split_pattern(pa.array([_marked(x, mark) for x in texts], pa.string()), mark)
+
+
+def _stretches(text: str) -> list[str]:
+    """One text in parts of some STRETCH characters, cut before white space that
+    follows something else."""
+    out, at = [], 0
+    while len(text) - at > STRETCH and (found := _AT_SPACE.search(text, at + STRETCH)):
+        out.append(text[at:found.start()])
+        at = found.start()
+    return [*out, text[at:]]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -197,22 +262,26 @@ def _byte_letters() -> dict[int, str]:
 
 
 if sys.byteorder == "little":
-    def little(ids: list[int]) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return array("I", ids).tobytes()
+    _little = array.tobytes
 else:
-    def little(ids: list[int]) -> bytes:
+    def _little(ids: array) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
 
+def little(ids: list[int]) -> bytes:
+    """The ids as little-endian unsigned 32-bit integers."""
+    return _little(array("I", ids))
+
+
 def bpe(path: str) -> PieceCache:
-    """The worker's cache for the byte-level BPE file at `path`; special tokens'
-    strings in a text are ordinary text."""
+    """The worker's cache for the byte-level BPE file at `path`, with the ids of the
+    unaltered tokenizer: a text that holds an added token's string goes to it whole."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        holds_added = lambda text: any(x in text for x in added)
         merge, letters = tokenizer.model.tokenize, _byte_letters()
         space = letters[0x20]
 
@@ -225,19 +294,21 @@ def bpe(path: str) -> PieceCache:
         def encode(pieces: list[str]) -> list[bytes]:
             out, other = [], []
             for x in pieces:
-                if _ONE_TOKEN(x):
-                    out.append(little(ids_of(x)))
-                elif _LATIN(x):
-                    out.append(little([i for part in _PARTS(x) for i in ids_of(part)]))
+                if x.isascii() and _ONE_TOKEN(x):
+                    out.append(array("I", [t.id for t in merge(x.replace(" ", space))]))
+                elif _ONE_TOKEN(x):
+                    out.append(array("I", ids_of(x)))
+                elif _LATIN(x) and not holds_added(x):
+                    out.append(array("I", [i for part in _PARTS(x) for i in ids_of(part)]))
                 else:
                     other.append(len(out))
-                    out.append(b"")
+                    out.append(array("I"))
             whole = tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)
             for i, x in zip(other, whole):
-                out[i] = little(x.ids)
-            return out
+                out[i] = array("I", x.ids)
+            return list(map(_little, out))
 
-        _TOKENIZERS[path] = PieceCache(encode, _cut)
+        _TOKENIZERS[path] = PieceCache(encode, _split, _stretches, holds_added)
     return _TOKENIZERS[path]
 
 

@@ -65,27 +65,24 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
         cache, part = bpe(tokenizer), TaskContext.get().partitionId()
         ranks: Counter[int] = Counter()
         tail = end_id.to_bytes(4, "little")
-        try:
-            for batch in in_slices(batches):
-                rows = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(),
-                                       cache.ids(batch.column("text").to_pylist())):
-                    ids += tail
-                    n = len(ids) // 4
-                    view, start = memoryview(ids), 0
-                    for length in [capacity] * (n // capacity) + rests[n % capacity]:
-                        own = view[4 * start:4 * (start + length)]
-                        rows.append((doc_id, start, length, zlib.crc32(own), n, part, ranks[length],
-                                     *((bytes(own),) if with_ids else ())))
-                        ranks[length] += 1
-                        start += length
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_rank",
-                         *(["ids"] if with_ids else [])]
-                kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-        finally:
-            cache.forget()
+        for batch in in_slices(batches):
+            rows = []
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(),
+                                   cache.ids(batch.column("text").to_pylist())):
+                ids += tail
+                n = len(ids) // 4
+                view, start = memoryview(ids), 0
+                for length in [capacity] * (n // capacity) + rests[n % capacity]:
+                    own = view[4 * start:4 * (start + length)]
+                    rows.append((doc_id, start, length, zlib.crc32(own), n, part, ranks[length],
+                                 *((bytes(own),) if with_ids else ())))
+                    ranks[length] += 1
+                    start += length
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_rank",
+                     *(["ids"] if with_ids else [])]
+            kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return documents(docs).mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
 

@@ -28,10 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adpulse.llm.common import SLICE, PieceCache, little
+from adpulse.llm.common import STRETCH, PieceCache, in_slices, little
 
 #: What separates words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -91,6 +93,7 @@ _FURTHER = [("arabic", re.compile(r"[\u0600-\u06ff\u0750-\u077f]")), ("hebrew",
 #: Where letters of further scripts are.
 _BEYOND = re.compile(r"[\u0530-\u1dff\u2c00-\u2dff\ua000-\uabff\U00010000-\U0003ffff]")
 _ASCII = re.compile(r"[A-Za-z]+")
+_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]")
 _CACHES: dict[str, tuple[PieceCache, np.ndarray]] = {}
 
 
@@ -99,12 +102,21 @@ def _pieces(path: str) -> tuple[PieceCache, np.ndarray]:
     if path not in _CACHES:
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        cache = PieceCache(lambda words: [little(x) for x in sp.encode([w.decode() for w in words], num_threads=1)],
-                           lambda text: text.encode().split())
+        cache = PieceCache(lambda words: [little(x) for x in sp.encode(words, num_threads=1)],
+                           lambda texts: pc.ascii_split_whitespace(pa.array(texts, pa.string())), _stretches)
         _CACHES[path] = cache, np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
     return _CACHES[path]
 
 
+def _stretches(text: str) -> list[str]:
+    """One text in parts of some STRETCH characters, cut at white space."""
+    out, at = [], 0
+    while len(text) - at > STRETCH and (found := _SPACE.search(text, at + STRETCH)):
+        out.append(text[at:found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
 def script_of(text: str) -> str:
     """The script of most of its letters; "other" if it has no name here, "none" if
     there are no letters."""
@@ -164,15 +176,13 @@ def measures(vocabulary: str, bands: Mapping[str, Band] = BANDS) -> Column:
 
     @F.pandas_udf(MEASURES)
     def measure(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        try:
-            for text, lang in columns:
-                rows = []
-                for at in range(0, len(text), SLICE):
-                    part = text.iloc[at:at + SLICE].tolist()
-                    rows += judge(part, lang.iloc[at:at + SLICE].tolist(), vocabulary, bands)
-                yield pd.DataFrame(rows, columns=names)
-        finally:
-            _pieces(vocabulary)[0].forget()
+        for text, lang in columns:
+            rows = []
+            batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(lang, pa.string())],
+                                               names=["text", "lang"])
+            for part in in_slices(iter([batch])):
+                rows += judge(part.column("text").to_pylist(), part.column("lang").to_pylist(), vocabulary, bands)
+            yield pd.DataFrame(rows, columns=names)
 
     return measure(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("lang").cast("string"))
 

@@ -8,7 +8,6 @@ from tokenizers import Tokenizer
 from adpulse.llm.queries import tokenizer_file
 
 _T = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-_T.encode_special_tokens = True
 
 
 def brute_pieces(doc_id, text, capacity):

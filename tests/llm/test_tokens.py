@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -9,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from adpulse.llm import packing, token_records
+from adpulse.llm import common, packing, token_records
 from adpulse.llm.common import bpe, documents, whole_groups
 from adpulse.llm.queries import tokenizer_file
 
@@ -19,7 +22,6 @@ FILE = tokenizer_file("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def encode():
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -31,6 +33,63 @@ def test_cached_ids_equal_the_tokenizers(encode):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encode(x) for x in texts]
 
 
+def test_an_added_tokens_string_counts_as_that_token(encode):
+    mark = "<|endoftext|>"
+    texts = [mark, mark + " b", "a " + mark, "a " + mark + " b", "a" + mark + "b", "a  " + mark + "  b\n",
+             mark * 3, mark[:-1], "x." + mark + ",y é"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in bpe(FILE).ids(texts)]
+    assert got == [encode(x) for x in texts]
+    assert got[3] == [64, 220, 50256, 275]
+
+
+def test_very_long_texts_are_encoded_in_stretches(encode, monkeypatch):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abé.,' ") for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    monkeypatch.setattr(common, "STRETCH", 500)
+    texts = [" ".join(words), "\n \t".join(words), "z" * 3000, " " * 3000, "a" + " " * 2000 + "b"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe(FILE).ids(texts)] == [encode(x) for x in texts]
+
+
+def test_slices_are_bounded_by_bytes():
+    texts = ["x" * n for n in (10, 10, 90, 500, 5, 5, 5, 0, 0)] + [None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": texts})
+    got = [b.column("text").to_pylist() for b in common.in_slices(iter([batch]), 4, 100)]
+    assert got == [texts[:2], texts[2:3], texts[3:4], texts[4:8], texts[8:]]
+
+
+def test_a_worker_stays_small_on_many_long_texts(tmp_path):
+    """500 texts of 20,000 words, as one large batch, on both encoding paths."""
+    script = tmp_path / "grow.py"
+    script.write_text("""
+import random, resource, sys
+import pyarrow as pa
+from adpulse.llm import quality_rules
+from adpulse.llm.common import bpe, in_slices
+from adpulse.llm.queries import tokenizer_file
+rnd = random.Random(1)
+letters = "etaoinshrdlu"
+vocabulary = ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(200_000)]
+batch = pa.RecordBatch.from_pydict({"text": [" ".join(rnd.choices(vocabulary, k=20_000)) for _ in range(500)]})
+cache, vocab = bpe(tokenizer_file("byte_bpe_50k.json")), tokenizer_file("piece_bpe_32k.model")
+def peak():
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+cache.ids(vocabulary[:100])
+quality_rules.judge([""], [None], vocab, quality_rules.BANDS)
+before = peak()
+for part in in_slices(iter([batch])):
+    cache.ids(part.column("text").to_pylist())
+bpe_grown = peak() - before
+for part in in_slices(iter([batch])):
+    quality_rules.judge(part.column("text").to_pylist(), [None] * part.num_rows, vocab, quality_rules.BANDS)
+print(bpe_grown, peak() - before - bpe_grown)
+""")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, str(script)], env={**os.environ, "PYTHONPATH": root + ":" + os.environ.get("PYTHONPATH", "")},
+                         capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr
+    assert all(x < 150 for x in map(int, out.stdout.split())), out.stdout
+
+
 def crc32c(data: bytes) -> int:
     """Bit by bit."""
     r = 0xFFFFFFFF
