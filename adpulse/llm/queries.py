@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adpulse.llm import kd_shards, lattice_lm, license_scan, packing, pii, quality_rules, simhash, substring_dedup, token_records, winnowing
+from adpulse.llm import (filter_audit, kd_shards, lattice_lm, license_scan, packing, periodic_runs, pii, quality_rules, simhash,
+                         source_mix, substring_dedup, token_records, winnowing)
 from adpulse.llm.common import load, ship
 
 
@@ -79,6 +80,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = source_mix.Mix(load(spark, sf_dir, "documents"), weights=(1, 2, 3), n_shards=40)
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(load(spark, sf_dir, "documents"), least=24, times=3,
+                                        tail=periodic_runs.decimal_tail)
+    # the greatest length/period, compared without division; the first of equal ones
+    more = lambda a, b: F.when(
+        a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), more)
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"],
+                                                   F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -97,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shipped(q
     "op8_super_kmers": op8_super_kmers,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_source_mix": op11_source_mix,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
 }.items()}
 _WORDS_SQL = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
@@ -131,4 +160,37 @@ kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.j) AS kept, co
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op13_filter_audit": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+             max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT r, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             [len(w) < 50, 100 * list_unique(w) < 65 * len(w),
+              100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+              regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails
+      FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+letters AS (SELECT unnest(range(1, 6)) AS i, unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT a.c || b.c || e.c || g.c || h.c AS o, [a.i, b.i, e.i, g.i, h.i] AS x
+           FROM letters a, letters b, letters e, letters g, letters h
+           WHERE len(list_distinct([a.i, b.i, e.i, g.i, h.i])) = 5),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+parts AS (SELECT part, sum(n) AS n FROM cells GROUP BY part),
+own AS (SELECT part, i, sum(CASE WHEN fails[i] THEN n ELSE 0 END) AS fail,
+               sum(CASE WHEN fails[i] AND len([b for b in fails if b]) = 1 THEN n ELSE 0 END) AS alone
+        FROM cells, letters GROUP BY part, i),
+gone AS (SELECT part, o, x, list_position([fails[j] for j in x], true) AS step, n, good, toxic
+         FROM cells, orders),
+steps AS (SELECT part, n, o, x, step, x[step] AS i FROM parts, orders, (SELECT unnest(range(1, 6)) AS step)),
+out AS (SELECT steps.part, steps.o, steps.step, steps.i, any_value(steps.n) AS n, coalesce(sum(gone.n), 0) AS removed,
+               coalesce(sum(gone.good), 0) AS good_lost, coalesce(sum(gone.toxic), 0) AS toxic_lost
+        FROM steps LEFT JOIN gone ON steps.part = gone.part AND steps.o = gone.o AND steps.step = gone.step
+        GROUP BY steps.part, steps.o, steps.step, steps.i)
+SELECT out.part, o AS filter_order, CAST(step AS INTEGER) AS step,
+       CAST(n - sum(removed) OVER (PARTITION BY out.part, o ORDER BY step) AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(fail - removed AS BIGINT) AS redundant,
+       CAST(alone AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY out.part, out.i) AS BIGINT) AS shapley
+FROM out JOIN own ON out.part = own.part AND out.i = own.i""",
 }
