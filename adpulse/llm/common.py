@@ -3,6 +3,7 @@ cached tokenisation of whole texts, and streaming over sorted groups."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -27,9 +28,9 @@ SLICE = 2000
 SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch, where the session leaves Spark's default.
 BATCH_BYTES = 8 << 20
-#: Bytes (estimated) of known pieces after which a worker's cache starts anew; the
-#: last one is still looked into. Longer pieces than CACHED_PIECE are not kept.
-CACHE_BYTES = 80 << 20
+#: Known pieces (some 40 bytes each) after which a worker's cache starts anew; the
+#: last one is still looked into. Pieces of more than CACHED_PIECE bytes are not kept.
+CACHED = 600_000
 CACHED_PIECE = 64
 #: Characters of one text that are encoded at a time.
 STRETCH = 1 << 20
@@ -97,7 +98,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE,
               most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of `rows` rows and `most` bytes of strings, one row at least."""
+    """Slices of `rows` rows and `most` bytes of strings, one row at least. After the
+    last one the task's memory is given back."""
     for batch in batches:
         ends = np.zeros(batch.num_rows, dtype=np.int64)
         for column in batch.columns:
@@ -110,6 +112,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE,
             to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, "right"))))
             yield batch.slice(at, to - at)
             at = to
+    rest()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -134,6 +137,63 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def piece_hashes(pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each piece (128 bits name it), byte by byte, all pieces in
+    step."""
+    at = np.frombuffer(pieces.buffers()[1], "<i4")[pieces.offset:pieces.offset + len(pieces) + 1].astype(np.int64)
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+    order = np.argsort(at[:-1] - at[1:], kind="stable")  # the longest first
+    start, length = at[:-1][order], np.diff(at)[order]
+    one = length.astype(np.uint64) + np.uint64(0xCBF29CE484222325)
+    two = length.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)
+    for k in range(int(length[0]) if len(length) else 0):
+        n = int(np.searchsorted(-length, -k, "left"))  # pieces with more than k bytes
+        byte = data[start[:n] + k].astype(np.uint64)
+        one[:n] = (one[:n] ^ byte) * np.uint64(0x100000001B3)
+        x = (two[:n] + byte + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        two[:n] = x ^ (x >> np.uint64(31))
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return (one ^ (one >> np.uint64(32)))[back], two[back]
+
+
+class Known:
+    """Ids of pieces by the pieces' hashes: sorted arrays, some 40 bytes a piece."""
+
+    def __init__(self):
+        self.one, self.two = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+        self.start = np.empty(0, dtype=np.int64)
+        self.count = np.empty(0, dtype=np.int32)
+        self.ids = np.empty(0, dtype="<u4")
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Where each piece is; -1: not known."""
+        if not len(self.start):
+            return np.full(len(one), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.start) - 1)
+        return np.where((self.one[at] == one) & (self.two[at] == two), at, -1)
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and the ids behind each other."""
+        return self.count[at], self.ids[spread(self.start[at], self.count[at])]
+
+    def add(self, one: np.ndarray, two: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        starts = len(self.ids) + np.cumsum(counts, dtype=np.int64) - counts
+        order = np.argsort(one, kind="stable")
+        to = np.searchsorted(self.one, one[order])
+        self.one = np.insert(self.one, to, one[order])
+        self.two = np.insert(self.two, to, two[order])
+        self.start = np.insert(self.start, to, starts[order])
+        self.count = np.insert(self.count, to, counts[order])
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, `counts` of them, behind each other."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class PieceCache:
     """Token ids of whole texts, each distinct piece of text encoded once a slice,
     and pieces that were met lately not at all.
@@ -147,9 +207,7 @@ class PieceCache:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], split: Callable[[list[str]], pa.ListArray],
                  stretches: Callable[[str], list[str]], whole: Callable[[str], bool] = lambda text: False):
         self.encode, self.split, self.stretches, self.whole = encode, split, stretches, whole
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
+        self.known, self.older = Known(), Known()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
@@ -173,22 +231,37 @@ class PieceCache:
                 gc.enable()
         return [found[x] for x in texts]
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces."""
-        if self.held > CACHE_BYTES:
-            self.known, self.older, self.held = {}, self.known, 0
-        out = list(map(self.known.get, pieces))
-        if None in out:
-            lacking = [i for i, v in enumerate(out) if v is None]
-            found = list(map(self.older.get, [pieces[i] for i in lacking]))
-            new = [i for i, v in zip(lacking, found) if v is None]
-            ids = dict(zip(new, self.encode([pieces[i] for i in new])))
-            for i, v in zip(lacking, found):
-                out[i] = ids[i] if v is None else v
-            keep = {x: out[i] for i in lacking if len(x := pieces[i]) <= CACHED_PIECE}
-            self.known.update(keep)
-            self.held += 200 * len(keep) + sum(map(len, keep)) + sum(map(len, keep.values()))
-        return out
+    def _encoded(self, pieces: pa.StringArray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = self.encode(pieces.take(pa.array(at)).to_pylist()) if len(at) else []
+        return (np.fromiter(map(len, own), dtype=np.int32, count=len(own)) // 4, np.frombuffer(b"".join(own), "<u4"))
+
+    def _learn(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct pieces: start and number of their ids, and an array of ids."""
+        if len(self.known.start) > CACHED:
+            self.known, self.older = Known(), self.known
+        kept, short = np.arange(len(pieces)), pieces
+        long = pc.binary_length(pieces).to_numpy() > CACHED_PIECE
+        if long.any():
+            kept = np.flatnonzero(~long)
+            short = pieces.take(pa.array(kept))
+        one, two = piece_hashes(short)
+        lacking = np.flatnonzero(self.known.find(one, two) < 0)
+        if len(lacking):
+            before = self.older.find(one[lacking], two[lacking])
+            again, new = lacking[before >= 0], lacking[before < 0]
+            old, fresh = self.older.get(before[before >= 0]), self._encoded(short, new)
+            added = np.concatenate([again, new])
+            self.known.add(one[added], two[added], *map(np.concatenate, zip(old, fresh)))
+        at = np.full(len(pieces), -1)
+        at[kept] = self.known.find(one, two)
+        start, count, ids = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int32), self.known.ids
+        start[at >= 0], count[at >= 0] = self.known.start[at[at >= 0]], self.known.count[at[at >= 0]]
+        apart = np.flatnonzero(at < 0)  # long ones, and such as share their first hash with another
+        if len(apart):
+            count[apart], more = self._encoded(pieces, apart)
+            start[apart] = len(ids) + np.cumsum(count[apart], dtype=np.int64) - count[apart]
+            ids = np.concatenate([ids, more])
+        return start, count, ids
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -196,17 +269,20 @@ class PieceCache:
         lists = self.split(texts)
         coded = lists.flatten().dictionary_encode()
         at = coded.indices.to_numpy()
-        own = self._learn(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
-        flat = np.frombuffer(b"".join(own), "<u4")
-        starts = np.cumsum(lengths) - lengths
-        # the ids of piece after piece: each begins at its own start in `flat`
-        each = lengths[at]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(starts[at] - (ends - each), each) + np.arange(total)].tobytes()
-        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        start, count, ids = self._learn(coded.dictionary)
+        each = count[at]
+        # the ids of piece after piece
+        row = ids[spread(start[at], each)].tobytes()
+        bounds = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
+        return [row[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def rest() -> None:
+    """At a task's end: what the allocators hold for later goes back to the system, so
+    that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
 
 
 # White space of both Python and the tokenizer's pattern. Before white space that

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import os
 import random
 import subprocess
@@ -50,6 +51,29 @@ def test_very_long_texts_are_encoded_in_stretches(encode, monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe(FILE).ids(texts)] == [encode(x) for x in texts]
 
 
+def test_pieces_with_the_same_first_hash(encode, monkeypatch):
+    real = common.piece_hashes
+    monkeypatch.setattr(common, "piece_hashes", lambda p: (real(p)[0] % np.uint64(7), real(p)[1]))
+    monkeypatch.setattr(common, "CACHED", 40)  # the cache starts anew again and again
+    bpe(FILE).known, bpe(FILE).older = common.Known(), common.Known()
+    long = ["w" * 70, "", "é" * 50]  # nothing is known yet
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe(FILE).ids(long)] == [encode(x) for x in long]
+    rnd = random.Random(4)
+    for _ in range(6):
+        texts = [" ".join(rnd.choice(["some", "words", "w" * 70, "é", "x" * rnd.randint(1, 30)]) for _ in range(20))
+                 for _ in range(20)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe(FILE).ids(texts)] == [encode(x) for x in texts]
+    bpe(FILE).known, bpe(FILE).older = common.Known(), common.Known()
+
+
+def test_piece_hashes_tell_pieces_apart():
+    pieces = pa.array(sorted({"".join(x) for n in range(4) for x in itertools.product("ab\0é", repeat=n)} | {"a" * n for n in range(60)}))
+    one, two = common.piece_hashes(pieces)
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len(pieces)
+    again = common.piece_hashes(pieces.slice(5, 20))
+    assert (again[0] == one[5:25]).all() and (again[1] == two[5:25]).all()
+
+
 def test_slices_are_bounded_by_bytes():
     texts = ["x" * n for n in (10, 10, 90, 500, 5, 5, 5, 0, 0)] + [None]
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": texts})
