@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adpulse.functions.labels import direction
-from adpulse.functions.measures import RECORD, q, sql_str
+from adpulse.functions.measures import MEASURES, RECORD, q, sql_str
 from adpulse.operators.anchors import Anchors, anchors_of
-from adpulse.operators.totals import periods_totals
+from adpulse.operators.totals import brand_filter, periods_totals, sum_measures, typed_record
 
 DAY = dt.timedelta(days=1)
 
@@ -58,6 +58,41 @@ def multi_period(fact: DataFrame, start: dt.date | None = None, end: dt.date | N
     return periods_totals(fact, standard_periods(start, end), brand)
 
 
+def period_table(fact: DataFrame, periods: DataFrame, anchors: Anchors | None = None,
+                 brand: str | None = None) -> DataFrame:
+    """J4 and J6 for any number of periods: the 11-key record of every row of
+    ``periods`` (period_start, period_end, both days included; other columns are kept).
+    Periods may overlap and repeat; one that is empty, reversed or has a null bound
+    gives zeros.
+
+    One scan adds up the fact by day, and running sums over the days (one row a day, gaps
+    filled) turn a period into the difference of two of them. So a period costs two
+    equi-joins with the day table, however long it is, and no row of the fact meets more
+    than its day; the sums are exact DECIMALs, so the difference is exact as well.
+    """
+    a = anchors_of(fact, anchors)
+    daily = (brand_filter(fact, brand).where(F.col("activity_date").isNotNull())
+             .groupBy("activity_date").agg(*sum_measures()))
+    first, last = F.lit(a.d_min), F.lit(a.d_max)
+    spine = fact.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("activity_date"))
+    upto = Window.orderBy("activity_date").rowsBetween(Window.unboundedPreceding, 0)  # one row a day
+    running = spine.join(daily, "activity_date", "left").select(
+        "activity_date", *[F.coalesce(F.sum(m).over(upto), F.lit(0)).alias(m) for m in MEASURES])
+
+    def at(day: str, prefix: str) -> DataFrame:
+        return running.select(F.col("activity_date").alias(day), *[F.col(m).alias(f"{prefix}{m}") for m in MEASURES])
+
+    start, end = F.col("period_start"), F.col("period_end")
+    whole = start <= end
+    # the running sum ends with the last day; before the first it is nothing
+    keyed = (periods.withColumn("_to", F.when(whole, F.least(end, last)))
+             .withColumn("_before", F.when(whole, F.least(F.date_sub(start, 1), last))))
+    joined = keyed.join(at("_to", "_t_"), "_to", "left").join(at("_before", "_b_"), "_before", "left")
+    zero = F.lit(0)
+    sums = [(F.coalesce(F.col(f"_t_{m}"), zero) - F.coalesce(F.col(f"_b_{m}"), zero)).alias(m) for m in MEASURES]
+    return typed_record(joined.select(*periods.columns, *sums), periods.columns)
+
+
 def _pick(col: str, idx: int) -> str:
     """Metric ``col`` of period ``idx`` from the period records, as DOUBLE."""
     return f"max(CASE WHEN period_idx = {idx} THEN CAST({q(col)} AS DOUBLE) END)"

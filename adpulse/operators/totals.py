@@ -9,6 +9,7 @@ periods need no join and no repeated scan.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,18 +148,20 @@ def media_mtd(fact: DataFrame, anchors: Anchors | None = None,
 
 
 def roas_trend(fact: DataFrame, end: dt.date | None = None, n: int = 7,
-               anchors: Anchors | None = None) -> DataFrame:
+               anchors: Anchors | None = None, days: Sequence[dt.date] | None = None) -> DataFrame:
     """The last n distinct days up to ``end``: daily SS ROAS (rounded to
     0.1), cost in units of 10,000 (rounded to 0.1) and the plain mean of the
     rounded ROAS values over the window.
 
-    The n days are found on the date column alone (distinct + top-n) and
-    brought back as a list of at most n dates, so the fact is then read with a
-    literal ``IN`` filter: a partition filter on a day-partitioned snapshot
-    and a pushed Parquet filter on any other layout.
+    The n days come from ``days``, the list of a snapshot's days, or are found on
+    the date column alone (distinct + top-n) and brought back as a list of at most n
+    dates, so the fact is then read with a literal ``IN`` filter: a partition filter on
+    a day-partitioned snapshot and a pushed Parquet filter on any other layout.
     """
     if end is None:
         end = anchors_of(fact, anchors).d_max
+    if days is not None:
+        return _trend(fact, sorted({x for x in days if x <= end})[-n:])
     d = F.col("activity_date")
     days = [r[0] for r in fact.select(d).where(d.isNotNull() & (d <= F.lit(end))).distinct()
             .orderBy(d.desc()).limit(n).collect()]
@@ -198,9 +201,11 @@ def _trend(fact: DataFrame, days: list | None) -> DataFrame:
                       mean.alias("avg_roas_ss")).orderBy("activity_date")
 
 
-def _media_days(fact: DataFrame, start: dt.date | None, end: dt.date | None) -> tuple[DataFrame, list[str]]:
+def _media_days(fact: DataFrame, start: dt.date | None, end: dt.date | None,
+                days: Sequence[dt.date] | None = None) -> tuple[DataFrame, list[str]]:
     """The rows of the range with their day as yyyy-MM-dd (with the year, so
-    labels never collide), and the days with data (one entry a day)."""
+    labels never collide), and the days with data (one entry a day), looked up unless
+    the list of the frame's days is passed."""
     d = F.col("activity_date")
     f = fact.where(d.isNotNull())
     if start is not None:
@@ -208,18 +213,21 @@ def _media_days(fact: DataFrame, start: dt.date | None, end: dt.date | None) ->
     if end is not None:
         f = f.where(d <= F.lit(end))
     f = f.select("media", F.date_format(d, "yyyy-MM-dd").alias("day"), "rev_db")
+    if days is not None:
+        return f, [x.isoformat() for x in sorted(set(days)) if (start is None or x >= start) and (end is None or x <= end)]
     return f, sorted(r[0] for r in f.select("day").distinct().collect())
 
 
-def media_daily(fact: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+def media_daily(fact: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
+                days: Sequence[dt.date] | None = None) -> DataFrame:
     """A14 as rows: DB revenue of every media on every day with data, missing
     cells 0. One (media, day) aggregate, then each media's map is read off for
     every day: the form for a long history."""
-    f, days = _media_days(fact, start, end)
+    f, found = _media_days(fact, start, end, days)
     sums = f.groupBy("media", "day").agg(F.sum("rev_db").cast("double").alias("v"))
     per_media = sums.groupBy("media").agg(
         F.map_from_entries(F.collect_list(F.struct("day", "v"))).alias("m"))
-    day = F.explode(F.split(F.lit(",".join(days)), ","))
+    day = F.explode(F.split(F.lit(",".join(found)), ","))
     return per_media.select("media", "m", day.alias("day")).select(
         "media", "day", F.coalesce(F.col("m")[F.col("day")], F.lit(0.0)).alias("rev_db"))
 

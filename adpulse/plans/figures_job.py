@@ -5,8 +5,8 @@
         --snapshots <folder> --facts <folder> --out <folder>
 
 1. list the snapshot folder and pick the newest valid snapshot (or ``--tag``);
-2. ingest it to ``<facts>/tag=<YYMMDD>`` (typed, date-partitioned Parquet)
-   unless that output is already newer than the source;
+2. ingest it to ``<facts>/tag=<YYMMDD>`` (typed Parquet by day, changed days only)
+   unless that was made from the source as it is now;
 3. build every figure from that snapshot and write each as
    Parquet under ``<out>/tag=<YYMMDD>/<figure>``.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from adpulse.config import DEFAULT_CONFIG, TEST_CONFIG, FigureConfig
 from adpulse.operators.anchors import anchors_from_dates
 from adpulse.plans.figures import Figures
-from adpulse.sources import snapshots
+from adpulse.sources import snapshots, versions
 from adpulse.sources.targets import load_targets
 
 
@@ -43,8 +43,9 @@ def run_figures_job(spark: SparkSession, folder: str, facts: str, out: str,
               extra_headers: dict | None = None, persist: bool = False,
               parallel: int = 4, cache_recent: bool = False, brand: str | None = None,
               campaign: str | None = None, ad_group: str | None = None,
-              allow_unreadable: bool = False) -> dict:
-    cat = snapshots.snapshot_catalog(spark, folder)
+              allow_unreadable: bool = False, multi_line: bool = False,
+              name_re: str = snapshots.SNAPSHOT_NAME_RE) -> dict:
+    cat = snapshots.snapshot_catalog(spark, folder, name_re)
     readable = cat.where(F.col("ext").isin(*snapshots.READABLE))
     src = (snapshots.snapshot_by_tag(readable, tag) if tag
            else snapshots.newest_valid_snapshot(cat, as_of=as_of, exts=snapshots.READABLE))
@@ -52,17 +53,15 @@ def run_figures_job(spark: SparkSession, folder: str, facts: str, out: str,
         raise FileNotFoundError(f"no readable snapshot for tag {tag}")
     newest = snapshots.snapshot_by_tag(cat, tag) if tag else snapshots.newest_snapshot(cat)
     skipped = None if newest == src else newest  # newer, or preferred, but not readable or not valid
-    tag = re.search(snapshots.SNAPSHOT_NAME_RE, src.rstrip("/").rsplit("/", 1)[-1]).group(3)
+    tag = re.search(name_re, src.rstrip("/").rsplit("/", 1)[-1]).group(3)
     fact_path = f"{facts.rstrip('/')}/tag={tag}"
     audit = None
     if snapshots.needs_ingest(spark, src, fact_path):
         audit = snapshots.ingest_snapshot(spark, src, fact_path, extra_headers=extra_headers,
-                                         allow_unreadable=allow_unreadable)
-    fact = spark.read.parquet(fact_path)
-    # The snapshot is stored by day: its days are the partition directories,
-    # so the anchors need no scan at all.
-    days = snapshots.partition_values(spark, fact_path, "activity_date")
-    anchors = anchors_from_dates(dt.date.fromisoformat(d) for d in days) if days else None
+                                          allow_unreadable=allow_unreadable, multi_line=multi_line)
+    # The published days are listed: the anchors need no scan.
+    of = versions.published(spark, fact_path)
+    fact, anchors = versions.read_published(spark, fact_path, of), anchors_from_dates(of.dates)
     tgt = load_targets(spark, targets) if targets else None
     run = Figures(fact, cfg, tgt, persist=persist, anchors=anchors,
                          cache_recent=cache_recent, brand=brand, campaign=campaign,
@@ -94,6 +93,9 @@ def main(argv: list[str] | None = None) -> int:
                     help="another source header, such as that of the brand column (NAME: brand)")
     ap.add_argument("--allow-unreadable", action="store_true",
                     help="take a snapshot with unreadable cells in required measures")
+    ap.add_argument("--multi-line", action="store_true", help="CSV cells may hold line breaks")
+    ap.add_argument("--name-re", default=snapshots.SNAPSHOT_NAME_RE,
+                    help="pattern of snapshot names; groups: stem, separator, tag, extension")
     a = ap.parse_args(argv)
     headers = dict(h.rsplit("=", 1) for h in a.header)
     from adpulse.session import build_session
@@ -102,7 +104,8 @@ def main(argv: list[str] | None = None) -> int:
     print(json.dumps(run_figures_job(spark, a.snapshots, a.facts, a.out, cfg, a.tag, a.as_of,
                                a.targets, extra_headers=headers, cache_recent=a.cache_recent, brand=a.brand,
                                campaign=a.campaign, ad_group=a.ad_group,
-                               allow_unreadable=a.allow_unreadable), default=str))
+                               allow_unreadable=a.allow_unreadable, multi_line=a.multi_line,
+                               name_re=a.name_re), default=str))
     return 0
 
 

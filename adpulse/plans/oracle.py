@@ -562,6 +562,33 @@ FROM (SELECT *, row_number() OVER (PARTITION BY media ORDER BY rev_delta DESC NU
 GROUP BY media"""
     q["multi_period"] = multi_period_sql("a.d_max", "a.d_max", "1")
     q["multi_period_week"] = multi_period_sql("a.d_max - 6", "a.d_max", "7")
+    q["period_table"] = HEAD + f""",
+own AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS s FROM orders WHERE o_orderdate IS NOT NULL),
+ranges AS (SELECT s, CAST(s + 7 * CAST(month(s) AS INTEGER) - 1 AS DATE) AS e FROM own),
+p AS (SELECT s, e FROM ranges UNION ALL SELECT CAST(s + 3650 AS DATE), CAST(e + 3650 AS DATE) FROM ranges)
+SELECT s AS period_start, e AS period_end, {record_cols()}
+FROM (SELECT p.s, p.e, {SUM7} FROM p LEFT JOIN ad_fact f ON f.activity_date BETWEEN p.s AND p.e GROUP BY p.s, p.e) t"""
+    q["restated_days"] = HEAD + """,
+tagged AS (
+  SELECT 1 AS no, activity_date, cost, rev_ss, rev_db, buy_ss FROM ad_fact
+  UNION ALL
+  SELECT 2, activity_date, CASE WHEN media = 'NATION_3' AND buy_db = 1 THEN cost + 0.01 ELSE cost END, rev_ss, rev_db,
+         buy_ss FROM ad_fact WHERE NOT coalesce(media = 'NATION_12' AND brand = 'F', false)
+  UNION ALL
+  SELECT 3, activity_date, cost, rev_ss, rev_db, buy_ss FROM ad_fact, anch WHERE activity_date < d_max),
+per AS (SELECT no, activity_date, count(*) AS n, coalesce(sum(cost), 0) AS cost, coalesce(sum(rev_ss), 0) AS rev_ss,
+               coalesce(sum(rev_db), 0) AS rev_db, coalesce(sum(buy_ss), 0) AS buy_ss FROM tagged GROUP BY ALL),
+pairs AS (SELECT coalesce(b.no, a.no + 1) AS no, coalesce(b.activity_date, a.activity_date) AS activity_date,
+                 a.n AS n_a, b.n AS n_b, a.cost AS cost_a, b.cost AS cost_b, a.rev_ss AS rev_ss_a, b.rev_ss AS rev_ss_b,
+                 a.rev_db AS rev_db_a, b.rev_db AS rev_db_b, a.buy_ss AS buy_ss_a, b.buy_ss AS buy_ss_b
+          FROM per a FULL JOIN per b ON b.no = a.no + 1 AND a.activity_date = b.activity_date)
+SELECT 't' || no AS tag, 't' || (no - 1) AS previous_tag, activity_date,
+       CASE WHEN n_a IS NULL THEN 'added' WHEN n_b IS NULL THEN 'removed' ELSE 'restated' END AS change,
+       coalesce(n_a, 0) AS rows_before, coalesce(n_b, 0) AS rows_after, """ + ", ".join(
+        f"CAST(coalesce({m}_{side}, 0) AS DOUBLE) AS {m}_{name}"
+        for m in ("cost", "rev_ss", "rev_db", "buy_ss") for side, name in (("a", "before"), ("b", "after"))) + """
+FROM pairs WHERE no BETWEEN 2 AND 3 AND (n_a, cost_a, rev_ss_a, rev_db_a, buy_ss_a)
+  IS DISTINCT FROM (n_b, cost_b, rev_ss_b, rev_db_b, buy_ss_b)"""
     q["multi_period_delta"] = multi_period_delta_sql("ss")
     q["multi_period_delta_db"] = multi_period_delta_sql("db")
     q["period_delta"] = period_delta_core() + f"\nSELECT *, {dir3('delta')} AS direction FROM pd"
@@ -648,8 +675,8 @@ SELECT media, rows_a, rows_b, {', '.join(f'CAST({m}_{x} AS DOUBLE) AS {m}_{x}' f
 FROM per"""
     q["snapshot_parity"] = per_media + verdict
     q["snapshot_parity_diff"] = per_of(
-        "CASE WHEN media = 'CHINA' AND buy_db = 1 THEN CAST(cost + 0.01 AS DECIMAL(18,4)) ELSE cost END",
-        "NOT coalesce(media = 'FRANCE' AND brand = 'F', false)") + verdict
+        "CASE WHEN media = 'NATION_3' AND buy_db = 1 THEN CAST(cost + 0.01 AS DECIMAL(18,4)) ELSE cost END",
+        "NOT coalesce(media = 'NATION_12' AND brand = 'F', false)") + verdict
     q["snapshot_parity_totals"] = per_media + f""",
 tot AS (
   SELECT CAST(sum(rows_a) AS BIGINT) AS rows_a, CAST(sum(rows_b) AS BIGINT) AS rows_b,

@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from adpulse.config import TEST_CONFIG as CFG
 from adpulse.functions.formatting import CTR_DECIMALS, money_text, pct_text, signed_money_text, signed_points_text
 from adpulse.operators import dimensions, drivers, kpi, periods, products, promo, ranking, totals
-from adpulse.operators.anchors import Anchors, day_anchors, resolve_anchors
+from adpulse.operators.anchors import Anchors, anchors_from_dates, day_anchors
 from adpulse.operators.compare import two_day_compare
-from adpulse.operators.parity import parity_totals, snapshot_parity
+from adpulse.operators.parity import parity_totals, restated_days, snapshot_parity
 from adpulse.sources.schema import FACT_SCHEMA, conform
-from adpulse.sources.snapshots import audit_rows, file_identity, path_exists, write_fact
+from adpulse.sources.snapshots import audit_rows, write_fact
+from adpulse.sources.storage import file_identity, path_exists, read_text, write_new_text
 from adpulse.sources.targets import targets_frame
 from adpulse.sources.tpch_fact import FACT_CTE, ad_fact
 
@@ -53,6 +54,8 @@ CAMPAIGN, AD_GROUP = "Brand#8", "PROMO"
 SOURCE_TABLES = ("lineitem", "supplier", "nation", "region", "part")
 #: The setting that names the folder for snapshots (shared by all executors).
 SNAPSHOT_SETTING = "spark.adpulse.snapshots"
+#: The days of a snapshot, one a line, beside its files.
+DAY_LIST = "_days"
 INGEST_SECONDS: dict[str, float] = {}
 _LOCK = threading.Lock()
 
@@ -63,36 +66,50 @@ def snapshot_folder(spark: SparkSession) -> str:
     warehouse folder will do."""
     folder = spark.conf.get(SNAPSHOT_SETTING, None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        # a remote session does not say its master: it is not taken for a local one
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {SNAPSHOT_SETTING} to a folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir")
     return f"{folder.rstrip('/')}/adpulse"
 
 
-def snapshot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot_path(spark: SparkSession, sf_dir: str) -> str:
     """The snapshot of the driver tables, ingested once.
 
     As in the reference (a workbook is converted to Parquet once, then every
     figure reads the Parquet), the fact is derived from the source tables once
     per state of their files (names, lengths, modification times) and written
     by the same step as any snapshot. A changed part file gives another
-    snapshot; an interrupted write (no _SUCCESS marker) is redone.
+    snapshot. Its list of days is stored beside it, last: without that list an
+    interrupted write is redone.
     """
     tables = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
     state = repr((file_identity(spark, tables), FACT_CTE))
     path = f"{snapshot_folder(spark)}/ad_fact-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
     with _LOCK:
-        if not path_exists(spark, f"{path}/_SUCCESS"):
+        if not path_exists(spark, f"{path}/{DAY_LIST}"):
             t0 = time.perf_counter()
             write_fact(ad_fact(spark, sf_dir), path, partition_by=None)
+            days = spark.read.schema(FACT_SCHEMA).parquet(path).select("activity_date").distinct().na.drop()
+            listed = sorted(r["activity_date"].isoformat() for r in days.collect())  # one row a day
+            write_new_text(spark, f"{path}/{DAY_LIST}", "\n".join(listed))
             INGEST_SECONDS[sf_dir] = time.perf_counter() - t0
-    return spark.read.schema(FACT_SCHEMA).parquet(path)
+    return path
+
+
+def snapshot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(FACT_SCHEMA).parquet(snapshot_path(spark, sf_dir))
+
+
+def snapshot_days(spark: SparkSession, sf_dir: str) -> list[dt.date]:
+    """The days of the snapshot, from the list beside it: no job reads the fact."""
+    listed = read_text(spark, f"{snapshot_path(spark, sf_dir)}/{DAY_LIST}").split()
+    return [dt.date.fromisoformat(d) for d in listed]
 
 
 def _fa(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Anchors]:
-    """The snapshot and its anchors (a one-row job)."""
-    f = snapshot_fact(spark, sf_dir)
-    return f, resolve_anchors(f)
+    """The snapshot and its anchors."""
+    return snapshot_fact(spark, sf_dir), anchors_from_dates(snapshot_days(spark, sf_dir))
 
 
 def q_compare_media_ss(spark, sf_dir):
@@ -237,7 +254,7 @@ def q_media_top_products_day(spark, sf_dir):
 
 def q_media_daily(spark, sf_dir):
     """A14 as rows (the wide form's columns depend on the data)."""
-    return totals.media_daily(snapshot_fact(spark, sf_dir))
+    return totals.media_daily(snapshot_fact(spark, sf_dir), days=snapshot_days(spark, sf_dir))
 
 
 def q_promo_split(spark, sf_dir):
@@ -247,7 +264,7 @@ def q_promo_split(spark, sf_dir):
 
 def q_roas_trend(spark, sf_dir):
     f, a = _fa(spark, sf_dir)
-    return totals.roas_trend(f, a.d_max, 7)
+    return totals.roas_trend(f, a.d_max, 7, days=snapshot_days(spark, sf_dir))
 
 
 def q_product_top10(spark, sf_dir):
@@ -420,8 +437,8 @@ def q_snapshot_parity_totals(spark, sf_dir):
 def other_snapshot(fact: DataFrame) -> DataFrame:
     """A snapshot that differs from the first: one media lacks a brand's rows,
     another has 0.01 more cost in a row of each day."""
-    fewer = (F.col("media") == "FRANCE") & (F.col("brand") == "F")
-    more = (F.col("media") == "CHINA") & (F.col("buy_db") == 1)
+    fewer = (F.col("media") == "NATION_12") & (F.col("brand") == "F")
+    more = (F.col("media") == "NATION_3") & (F.col("buy_db") == 1)
     cost = F.when(more, F.col("cost") + F.lit(Decimal("0.0100"))).otherwise(F.col("cost"))
     return fact.where(~F.coalesce(fewer, F.lit(False))).withColumn("cost", cost.cast("decimal(18,4)"))
 
@@ -432,6 +449,31 @@ def q_snapshot_parity_diff(spark, sf_dir):
     return snapshot_parity(f, other_snapshot(f))
 
 
+RESTATED_TAGS = ("t1", "t2", "t3")
+
+
+def q_restated_days(spark, sf_dir):
+    """J20 over three snapshots: the stored one, one that differs in some rows, and the
+    stored one without its last day."""
+    f, a = _fa(spark, sf_dir)
+    columns = ["activity_date", "cost", "rev_ss", "rev_db", "buy_ss"]
+    whole = (f.select(F.lit("t1").alias("tag"), *columns)
+             .unionByName(other_snapshot(f).select(F.lit("t2").alias("tag"), *columns))
+             .unionByName(f.where(F.col("activity_date") < F.lit(a.d_max)).select(F.lit("t3").alias("tag"), *columns)))
+    return restated_days(whole, RESTATED_TAGS)
+
+
+def q_period_table(spark, sf_dir):
+    """J4/J6 for a table of periods: from every order date as many days as seven times
+    its month, and the same ten years later, where the fact has no rows left."""
+    f, a = _fa(spark, sf_dir)
+    days = (spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+            .select(F.to_date("o_orderdate").alias("period_start")).distinct().na.drop())
+    own = days.select("period_start", F.expr("date_add(period_start, 7 * month(period_start) - 1)").alias("period_end"))
+    later = own.select(*[F.date_add(c, 3650).alias(c) for c in own.columns])
+    return periods.period_table(f, own.unionByName(later), a)
+
+
 def q_dimension_values(spark, sf_dir):
     return dimensions.dimension_values(snapshot_fact(spark, sf_dir))
 

@@ -11,21 +11,24 @@ the catalog is then an ordinary small DataFrame and every choice on it
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 import os
-import re
-from urllib.parse import unquote
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adpulse.sources.schema import REQUIRED, conform, csv_reader, unreadable
+from adpulse.sources import versions
+from adpulse.sources.schema import (ABSENT, FACT_COLUMNS, REQUIRED, column_absent, conform, csv_reader,
+                                    unreadable)
+from adpulse.sources.storage import (_hadoop, _local, entries, file_identity, files, first_line, is_larger,  # noqa: F401
+                                     partition_values, path_exists, path_size)
 
-# File name of a daily snapshot: <stem>_Daily Report_YYMMDD.<ext> or the
-# hyphen form "Daily-Report", case-insensitive. Groups: stem, separator, tag,
-# extension.
-SNAPSHOT_NAME_RE = r"(?i)^(.+)_daily([- ])report_([0-9]{6})\.(xlsx|parquet|csv)$"
+# File name of a daily snapshot: any stem, a separator, the six digits of the date tag
+# (YYMMDD), the extension. A source's own pattern is a setting (``name_re``) with the same
+# four groups.
+SNAPSHOT_NAME_RE = r"(?i)^(.*?)([ _-]?)([0-9]{6})\.(xlsx|parquet|csv)$"
 
 CATALOG_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -36,95 +39,15 @@ CATALOG_SCHEMA = T.StructType([
 ])
 
 
-def _hadoop(spark: SparkSession, path: str):
-    """(FileSystem, Path) of a URI through the session's Hadoop configuration,
-    or None when the session has no local JVM (then local paths are used)."""
-    try:
-        context = spark.sparkContext
-    except AttributeError:  # a remote session has none
-        return None
-    p = context._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(context._jsc.hadoopConfiguration()), p
-
-
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def _fs_entries(spark: SparkSession, folder: str, sizes: bool = True,
-                match: str = "") -> list[tuple]:
-    """Direct children of a folder whose names match, via the Hadoop file system
-    of its URI.
-
-    A directory entry (a Parquet snapshot written by Spark) has the total
-    size of its content when ``sizes`` is set (one extra call per directory).
-    """
-    h = _hadoop(spark, folder)
-    if h is None:
-        return [e for e in _local_entries(_local(folder), sizes) if re.search(match, e[1])]
-    fs, root = h
-    if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
-        return []
-    out = []
-    for st in fs.listStatus(root):
-        p = st.getPath()
-        if not re.search(match, p.getName()):
-            continue
-        is_dir = st.isDirectory()
-        length = (fs.getContentSummary(p).getLength() if sizes else -1) if is_dir else st.getLen()
-        mtime = dt.datetime.fromtimestamp(st.getModificationTime() / 1000.0, dt.timezone.utc)
-        out.append((p.toString(), p.getName(), int(length), mtime.replace(tzinfo=None), is_dir))
-    return out
-
-
-def _local_entries(folder: str, sizes: bool = True) -> list[tuple]:
-    if not os.path.isdir(folder):
-        return []
-    out = []
-    for name in sorted(os.listdir(folder)):
-        full = os.path.join(folder, name)
-        is_dir = os.path.isdir(full)
-        if not is_dir:
-            size = os.path.getsize(full)
-        elif sizes:
-            size = sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(full) for f in fs)
-        else:
-            size = -1
-        mtime = dt.datetime.fromtimestamp(os.path.getmtime(full), dt.timezone.utc)
-        out.append((full, name, int(size), mtime.replace(tzinfo=None), is_dir))
-    return out
-
-
-def file_identity(spark: SparkSession, paths: list[str]) -> tuple:
-    """(path, number of files, bytes, digest of the files' names, lengths and
-    modification times) of each path, a file or a directory of part files. A
-    rewritten part file changes it."""
-    out = []
-    for path in paths:
-        h, files = _hadoop(spark, path), []
-        if h is not None:
-            found = h[0].listFiles(h[1], True)
-            while found.hasNext():
-                st = found.next()
-                files.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
-        else:
-            top = _local(path)
-            names = [top] if os.path.isfile(top) else [
-                os.path.join(r, f) for r, _, fs in os.walk(top) for f in fs]
-            files = [(f, os.path.getsize(f), os.stat(f).st_mtime_ns) for f in names]
-        digest = hashlib.sha1(repr(sorted(files)).encode()).hexdigest()
-        out.append((path, len(files), sum(f[1] for f in files), digest))
-    return tuple(out)
-
-
 def snapshot_catalog(spark: SparkSession, folder: str, name_re: str = SNAPSHOT_NAME_RE) -> DataFrame:
-    """Matching snapshot files with their date tag and ranks. Only the
-    matching names are sized.
+    """Matching snapshot files with their date tag and ranks, from one listing
+    of the folder. A directory (a snapshot in part files) has no length here:
+    the picks size the few they come to.
 
     Columns: path, name, length, mtime, is_dir, tag, tag_date, ext, ext_rank
-    (parquet 1, csv 1, xlsx 0), sep_rank (space form 1, hyphen form 0).
+    (parquet 1, csv 1, xlsx 0), sep_rank (a name with spaces 1, another form 0).
     """
-    rows = _fs_entries(spark, folder, match=name_re)
+    rows = entries(spark, folder, name_re)
     cat = spark.createDataFrame(rows, CATALOG_SCHEMA)
     name = F.col("name")
     ext = F.lower(F.regexp_extract(name, name_re, 4))
@@ -134,8 +57,7 @@ def snapshot_catalog(spark: SparkSession, folder: str, name_re: str = SNAPSHOT_N
                        F.to_date(F.regexp_extract(name, name_re, 3), "yyMMdd").alias("tag_date"),
                        ext.alias("ext"),
                        F.when(ext == "xlsx", F.lit(0)).otherwise(F.lit(1)).alias("ext_rank"),
-                       F.when(F.regexp_extract(name, name_re, 2) == " ", F.lit(1))
-                        .otherwise(F.lit(0)).alias("sep_rank")))
+                       F.when(name.contains(" "), F.lit(1)).otherwise(F.lit(0)).alias("sep_rank")))
 
 
 def _newest_first(cat: DataFrame) -> DataFrame:
@@ -164,16 +86,19 @@ def newest_valid_snapshot(cat: DataFrame, as_of: dt.date | None = None, max_days
                           min_bytes: int = 200, exts: tuple[str, ...] | None = None) -> str:
     """Newest snapshot tagged within the last ``max_days`` days (today
     included) and larger than ``min_bytes``; error when there is none.
-    ``exts`` keeps some formats (``READABLE``: those that can be loaded)."""
+    ``exts`` keeps some formats (``READABLE``: those that can be loaded).
+
+    The candidates (at most the window's names) are walked from the newest on, and
+    only a directory that is reached is sized."""
     if exts is not None:
         cat = cat.where(F.col("ext").isin(*exts))
     as_of = as_of or dt.date.today()
     lo = as_of - dt.timedelta(days=max_days - 1)
-    ok = cat.where(F.col("tag_date").between(lo, as_of) & (F.col("length") > min_bytes))
-    rows = _newest_first(ok).select("path").limit(1).collect()
-    if not rows:
-        raise FileNotFoundError(f"no valid snapshot within the last {max_days} days")
-    return rows[0]["path"]
+    large = F.col("is_dir") | (F.col("length") > min_bytes)
+    for row in _newest_first(cat.where(F.col("tag_date").between(lo, as_of) & large)).select("path", "is_dir").collect():
+        if not row["is_dir"] or is_larger(cat.sparkSession, row["path"], min_bytes):
+            return row["path"]
+    raise FileNotFoundError(f"no valid snapshot within the last {max_days} days")
 
 
 def snapshot_by_tag(cat: DataFrame, tag: str) -> str | None:
@@ -217,10 +142,62 @@ def read_source(spark: SparkSession, path: str, fmt: str | None = None,
     return spark.read.format(fmt).load(path)
 
 
+#: Part files whose schemas are read at a time, where they differ.
+_READERS = 16
+
+
+def source_groups(spark: SparkSession, path: str, fmt: str | None = None,
+                  multi_line: bool = False) -> list[DataFrame]:
+    """A raw source as frames of one schema each. Part files of a directory may type a
+    column differently (an exporter infers the types of each), or order a CSV
+    header differently; then there is a frame for each kind of file.
+
+    Parquet footers are merged by one distributed job; only if they contradict each
+    other are the schemas read file by file. Of CSV parts the first line is read.
+    """
+    fmt = fmt or _ext(path)
+    parts = []
+    if fmt in ("parquet", "csv") and path_exists(spark, path):
+        parts = sorted(f for f, _, _ in files(spark, path) if not f.rsplit("/", 1)[-1].startswith(("_", ".")))
+    if len(parts) < 2:
+        return [read_source(spark, path, fmt, multi_line)]
+    if fmt == "parquet":
+        reader = lambda: spark.read.option("basePath", path)
+        try:
+            return [reader().option("mergeSchema", True).parquet(path)]
+        except Exception as e:
+            if "CANNOT_MERGE" not in str(e):
+                raise
+        kind = lambda f: reader().parquet(f).schema.json()
+        read = lambda fs: reader().parquet(*fs)
+    else:
+        # a compressed part's header can't be seen here: such parts count as alike, and
+        # Spark compares each header with the first
+        kind = lambda f: first_line(spark, f) if f.lower().endswith(".csv") else ""
+        read = lambda fs: csv_reader(spark, multi_line).option("enforceSchema", False).csv(fs)
+    with ThreadPoolExecutor(_READERS) as pool:
+        kinds = list(pool.map(kind, parts))
+    of: dict[str, list[str]] = {}
+    for k, f in zip(kinds, parts):
+        of.setdefault(k, []).append(f)
+    return [read(fs) for fs in of.values()]
+
+
+def _united(facts: list[DataFrame]) -> DataFrame:
+    """Conformed frames as one; a column counts as absent if none of them had it."""
+    if len(facts) == 1:
+        return facts[0]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
+    gone = {c for c in FACT_COLUMNS if all(column_absent(f, c) for f in facts)}
+    return whole.select(*[F.col(f"`{c}`").alias(c, metadata={ABSENT: True} if c in gone else {})
+                          for c in whole.columns])
+
+
 def scan_snapshot(spark: SparkSession, path: str, fmt: str | None = None,
-                headers: dict | None = None, extra_headers: dict | None = None) -> DataFrame:
+                  headers: dict | None = None, extra_headers: dict | None = None,
+                  multi_line: bool = False) -> DataFrame:
     """A snapshot as the canonical fact (headers mapped, date coerced)."""
-    return conform(read_source(spark, path, fmt), headers, extra_headers)
+    return _united([conform(raw, headers, extra_headers) for raw in source_groups(spark, path, fmt, multi_line)])
 
 
 class UnreadableSnapshot(ValueError):
@@ -228,46 +205,66 @@ class UnreadableSnapshot(ValueError):
     missing, no row has a date, or a required measure has unreadable cells."""
 
 
+def _flagged(raw: DataFrame, headers: dict | None, extra_headers: dict | None) -> tuple[DataFrame, list[str]]:
+    """The conformed frame with a 0/1 column per column that may hold unreadable cells."""
+    bad = unreadable(raw, headers, extra_headers)
+    flags = [c.cast("int").alias(f"_bad_{n}") for n, c in bad.items()]
+    return conform(raw.select("*", *flags), headers, extra_headers), list(bad)
+
+
+def source_state(spark: SparkSession, src: str) -> str:
+    """A digest of the names, lengths and modification times of a source's files."""
+    return file_identity(spark, [src])[0][3]
+
+
 def ingest_snapshot(spark: SparkSession, src: str, out: str, fmt: str | None = None,
                     headers: dict | None = None, extra_headers: dict | None = None,
-                    partition_by: str | None = "activity_date", allow_unreadable: bool = False,
-                    multi_line: bool = False) -> dict:
-    """S6 + S8: conform a raw export and write it as typed Parquet, partitioned
-    by day so date predicates prune files; returns the audit: rows, MB and,
-    per date or measure column, the cells that could not be read.
-
-    Everything is counted in the pass that writes (``observe``), beside the
-    target; the result replaces ``out`` only if a row has a date and, unless
-    ``allow_unreadable``, all cells of the required measures could be read.
+                    allow_unreadable: bool = False, multi_line: bool = False,
+                    source_mtime: str = "", source_length: int | None = None) -> dict:
+    """S6 + S7 + S8: conforms a raw export and publishes it as typed Parquet by day.
+
+    The first pass reads the source and counts, per day, rows, the cells that can't be
+    read, and a digest of the rows; its aggregates come out of a shuffle, so a
+    task that runs twice counts once. A snapshot without dates, or (unless
+    ``allow_unreadable``) with unreadable cells in required measures, is refused
+    before anything is written. The second pass writes the days whose digest differs
+    from the published one: of a re-dump of the whole history, those that changed.
+    Then the rows of the written files are compared with the first pass, and the new
+    state becomes current at once (``versions``).
+
+    Returns the audit: rows and MB of the published snapshot, unreadable cells per
+    column, and the days written, kept and dropped.
     """
-    raw = read_source(spark, src, fmt, multi_line)
+    state = source_state(spark, src)
     try:
-        fact = conform(raw, headers, extra_headers)
+        parts = [_flagged(raw, headers, extra_headers)
+                 for raw in source_groups(spark, src, fmt, multi_line)]
     except ValueError as e:
         raise UnreadableSnapshot(str(e)) from e
-    bad = unreadable(raw, headers, extra_headers)
-    flags = [c.cast("int").alias(f"_bad_{n}") for n, c in bad.items()]
-    both = conform(raw.select("*", *flags), headers, extra_headers) if flags else fact
-    seen = Observation()
-    counted = both.observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.count("activity_date").alias("dated"),
-        *[F.coalesce(F.sum(F.col(f"_bad_{n}").cast("long")), F.lit(0)).alias(f"bad_{n}") for n in bad])
-    staged = f"{out.rstrip('/')}.incoming"
-    write_fact(counted.select(*fact.columns), staged, partition_by)
-    got = seen.get
-    cells = {n: int(got[f"bad_{n}"]) for n in bad}
-    if not got["dated"]:
+    both = _united([p for p, _ in parts])
+    bad = sorted({n for _, names in parts for n in names})
+    flags = [f"_bad_{n}" for n in bad]
+    counts: list[Column] = [F.coalesce(F.sum(F.col(f).cast("long")), F.lit(0)).alias(f) for f in flags]
+    found = versions.day_digests(both, *counts, keep=flags).collect()  # one row a day
+    cells = {n: sum(r[f"_bad_{n}"] for r in found) for n in bad}
+    if not any(r["activity_date"] for r in found):
         raise UnreadableSnapshot(f"{src} has no row with a readable date")
     refused = {n: k for n, k in cells.items() if k and n in REQUIRED and n != "activity_date"}
     if refused and not allow_unreadable:
         raise UnreadableSnapshot(f"{src} has unreadable cells in required measures: {refused}")
-    replace_path(spark, staged, out)
-    return {"rows": int(got["rows"]), "size_mb": path_size(spark, out) / (1024 * 1024),
-            "unreadable": {n: k for n, k in cells.items() if k}}
+    digests = {r["activity_date"].isoformat() if r["activity_date"] else None: (r["n_rows"], r["digest"]) for r in found}
+    before = versions.published(spark, out)
+    now, written = versions.publish(spark, out, both.drop(*flags), digests, src, state, source_mtime,
+                                    source_length, before)
+    versions.remove_superseded(spark, out)
+    dropped = {d.day for d in before.days} - digests.keys() if before else ()
+    return {"rows": now.rows, "size_mb": sum(d.bytes for d in now.days) / (1024 * 1024),
+            "unreadable": {n: k for n, k in cells.items() if k}, "days_written": len(written),
+            "days_kept": len(digests) - len(written), "days_dropped": len(dropped)}
 
 
 def write_fact(df: DataFrame, path: str, partition_by: str | None = "activity_date") -> None:
-    """Write a fact as Parquet. ``rebalance`` deals rows by day, and AQE splits a
+    """Write a fact as plain Parquet. ``rebalance`` deals rows by day, and AQE splits a
     day that holds a large share of them instead of writing one huge file.
 
     Without ``partition_by`` (days too small for a folder each) rows are dealt
@@ -281,56 +278,11 @@ def write_fact(df: DataFrame, path: str, partition_by: str | None = "activity_da
            .sortWithinPartitions("activity_date").write.mode("overwrite").parquet(path))
 
 
-def replace_path(spark: SparkSession, staged: str, out: str) -> None:
-    """Puts a finished folder in the place of an earlier one."""
-    h = _hadoop(spark, out)
-    if h is None:
-        import shutil
-        shutil.rmtree(_local(out), ignore_errors=True)
-        os.replace(_local(staged), _local(out))
-        return
-    fs, target = h
-    source = _hadoop(spark, staged)[1]
-    fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"{staged} could not be renamed to {out}")
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    h = _hadoop(spark, path)
-    return bool(h[0].exists(h[1])) if h is not None else os.path.exists(_local(path))
-
-
-def path_size(spark: SparkSession, path: str) -> int:
-    h = _hadoop(spark, path)
-    if h is not None:
-        return int(h[0].getContentSummary(h[1]).getLength())
-    return sum(x[2] for x in _local_entries(_local(path)))
-
-
-def partition_values(spark: SparkSession, path: str, column: str = "activity_date") -> list[str]:
-    """Values of a top-level ``column=value`` partition layout, from the
-    directory listing alone (no data read). The null partition is skipped."""
-    prefix = f"{column}="
-    names = [e[1] for e in _fs_entries(spark, path, sizes=False)
-             if e[4] and e[1].startswith(prefix)]
-    vals = [unquote(n[len(prefix):]) for n in names]
-    return sorted(v for v in vals if v != "__HIVE_DEFAULT_PARTITION__")
-
-
-def _mtime_ms(spark: SparkSession, path: str) -> int | None:
-    h = _hadoop(spark, path)
-    if h is not None:
-        return int(h[0].getFileStatus(h[1]).getModificationTime()) if h[0].exists(h[1]) else None
-    p = _local(path)
-    return int(os.path.getmtime(p) * 1000) if os.path.exists(p) else None
-
-
 def needs_ingest(spark: SparkSession, src: str, out: str) -> bool:
-    """S7 for one snapshot: convert when the output has no commit marker or
-    is older than the source."""
-    done = _mtime_ms(spark, f"{out.rstrip('/')}/_SUCCESS")
-    return done is None or done < (_mtime_ms(spark, src) or 0)
+    """S7 for one snapshot: convert unless the published state was made from this
+    source in the state that its files have now."""
+    done = versions.published(spark, out)
+    return done is None or done.source != src or done.state != source_state(spark, src)
 
 
 def audit_rows(fact: DataFrame) -> DataFrame:
@@ -341,20 +293,32 @@ def audit_rows(fact: DataFrame) -> DataFrame:
 
 
 def ingest_audit(spark: SparkSession, path: str) -> dict:
-    """Row count of a written snapshot and its size in MB."""
-    row = audit_rows(spark.read.parquet(path)).first()
-    return {"rows": int(row["n_rows"]), "size_mb": path_size(spark, path) / (1024 * 1024)}
+    """Rows and MB of a published snapshot, as its committed files say: rows are
+    counted from the footers of the listed days, bytes by listing them."""
+    of = versions.published(spark, path)
+    rows = versions.read_published(spark, path, of).count()
+    size = sum(n for d in of.days for _, n, _ in files(spark, f"{path.rstrip('/')}/{d.folder}"))
+    return {"rows": rows, "size_mb": size / (1024 * 1024)}
 
 
 def stale_conversions(src: DataFrame, dst: DataFrame) -> DataFrame:
-    """Source snapshots whose converted output is missing or older.
+    """Source snapshots whose converted output is missing, older, or, where
+    ``dst`` names them, made from another file or another length of it.
 
-    Matched by tag; one row per source that needs (re)conversion.
+    ``dst`` has tag and mtime (of the output, or of the source when it was converted),
+    and may have source_path and source_length. Matched by tag; one row per source
+    that needs (re)conversion.
     """
-    d = dst.groupBy("tag").agg(F.max("mtime").alias("dst_mtime"))
+    more = [c for c in ("source_path", "source_length") if c in dst.columns]
+    d = dst.groupBy("tag").agg(F.max("mtime").alias("dst_mtime"),
+                               *[F.max_by(c, "mtime").alias(f"_{c}") for c in more])
     j = src.join(d, "tag", "left")
-    return j.where(F.col("dst_mtime").isNull() | (F.col("dst_mtime") < F.col("mtime"))) \
-            .select("tag", "path", "mtime", "dst_mtime")
+    stale = F.col("dst_mtime").isNull() | (F.col("dst_mtime") < F.col("mtime"))
+    if "source_path" in more:
+        stale = stale | ~F.col("_source_path").eqNullSafe(F.col("path"))
+    if "source_length" in more:
+        stale = stale | ~F.col("_source_length").eqNullSafe(F.col("length"))
+    return j.where(stale).select("tag", "path", "mtime", "dst_mtime")
 
 
 def latest_per_tag(cat: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from test_snapshots import STEM, raw_pdf
 def test_figures_job_end_to_end(spark, tmp_path):
     folder = tmp_path / "snapshots"
     folder.mkdir()
-    raw_pdf(n_days=2).to_parquet(folder / f"{STEM} Report_260401.parquet", index=False)
-    raw_pdf(n_days=3).to_parquet(folder / f"{STEM} Report_260403.parquet", index=False)
+    raw_pdf(n_days=2).to_parquet(folder / f"{STEM} export_260401.parquet", index=False)
+    raw_pdf(n_days=3).to_parquet(folder / f"{STEM} export_260403.parquet", index=False)
     targets = tmp_path / "kpi.csv"
     targets.write_text("channel,cost,rev,roas\nStoreA,1,1000,1\nothermall,0,10,0\n")
     facts, out = str(tmp_path / "facts"), str(tmp_path / "out")
@@ -30,8 +30,8 @@ def test_newest_readable_snapshot_is_taken(spark, tmp_path):
     """A workbook can't be loaded here; the job names it and goes on."""
     folder = tmp_path / "snapshots"
     folder.mkdir()
-    raw_pdf(n_days=2).to_parquet(folder / f"{STEM} Report_260401.parquet", index=False)
-    (folder / f"{STEM} Report_260404.xlsx").write_bytes(b"x" * 500)
+    raw_pdf(n_days=2).to_parquet(folder / f"{STEM} export_260401.parquet", index=False)
+    (folder / f"{STEM} export_260404.xlsx").write_bytes(b"x" * 500)
     res = run_figures_job(spark, str(folder), str(tmp_path / "facts"), str(tmp_path / "out"), CFG,
                     as_of=dt.date(2026, 4, 5))
     assert res["tag"] == "260401" and res["skipped"].endswith("260404.xlsx")
@@ -42,7 +42,7 @@ def test_a_brand_column_by_its_header(spark, tmp_path):
     folder.mkdir()
     pdf = raw_pdf(n_days=2)
     pdf["split"] = ["one", "two", "one"] * 2
-    pdf.to_parquet(folder / f"{STEM} Report_260402.parquet", index=False)
+    pdf.to_parquet(folder / f"{STEM} export_260402.parquet", index=False)
     res = run_figures_job(spark, str(folder), str(tmp_path / "facts"), str(tmp_path / "out"), CFG,
                     as_of=dt.date(2026, 4, 5), extra_headers={"split": "brand"}, brand="two")
     got = spark.read.parquet(f"{res['out']}/campaign_mtd_top").collect()

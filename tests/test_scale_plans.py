@@ -105,3 +105,41 @@ def test_drill_down_leaves_the_callers_lists_to_spark(make_fact):
     f = make_fact([dict(activity_date=D0, media=m, rev_db=1) for m in "abc"])
     q = drivers.media_campaign_drivers(f, CFG, only_media=f.select("media"))
     assert "strategy=broadcast" not in q._jdf.queryExecution().analyzed().toString()
+
+
+@needs_data
+def test_no_query_starts_a_job_before_it_is_run(spark):
+    """the anchors come from the list of days, so building a query reads no fact.
+    (Three read driver tables beside it, whose schemas are looked up.)"""
+    QUERIES["mtd_totals"](spark, SF)  # the snapshot is written once
+    context = spark.sparkContext
+    jobs = {}
+    for name, fn in QUERIES.items():
+        context.setJobGroup(f"built-{name}", name)
+        fn(spark, SF)
+        jobs[name] = len(context.statusTracker().getJobIdsForGroup(f"built-{name}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert {k for k, n in jobs.items() if n} <= {"period_table", "snapshot_parity", "snapshot_parity_totals"}
+
+
+def test_a_table_of_periods_is_one_scan(spark, make_fact):
+    """1,000 overlapping periods equal a sum over their days."""
+    from adpulse.operators.periods import period_table
+    days = [D0 + dt.timedelta(days=i) for i in range(40) if i % 7]
+    fact = make_fact([dict(activity_date=d, cost=i + 1, clicks=i, brand="ab"[i % 2]) for i, d in enumerate(days * 3)]
+                     + [dict(activity_date=None, cost=99)])
+    made = [(i, D0 + dt.timedelta(days=i % 61 - 10), D0 + dt.timedelta(days=i % 61 - 10 + i % 23 - 2)) for i in range(1000)]
+    made += [(1000, None, D0), (1001, D0, None), (1002, D0, D0), (1002, D0, D0)]
+    table = spark.createDataFrame(made, "id int, period_start date, period_end date")
+    for brand in (None, "a"):
+        q = period_table(fact, table, brand=brand)
+        got = sorted((r["id"], r["cost"], r["clicks"]) for r in q.collect())
+        cells = [(r["activity_date"], float(r["cost"]), r["clicks"]) for r in fact.collect()
+                 if r["activity_date"] and brand in (None, r["brand"])]
+        want = []
+        for i, s, e in made:
+            own = [c for c in cells if s and e and s <= c[0] <= e]
+            want.append((i, sum(c[1] for c in own), sum(c[2] for c in own)))
+        assert got == sorted(want)
+    plan = period_table(fact, table)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -12,10 +12,10 @@ from adpulse.operators.compare import two_day_compare
 from adpulse.operators.parity import parity_totals, snapshot_parity
 from adpulse.sources import snapshots as snap
 from adpulse.sources.schema import SOURCE_HEADERS, conform
+from adpulse.sources.versions import read_published
 from conftest import CFG
 
-# File names and headers as the source writes them.
-STEM = "Acme_Daily"
+STEM = "Some"
 
 
 def touch(folder, name, size=500, mtime=None):
@@ -28,16 +28,16 @@ def touch(folder, name, size=500, mtime=None):
 
 def test_newest_tag_wins_and_parquet_preferred(spark, tmp_path):
     """R2: newest tag; parquet over workbook on an equal tag; unrelated names ignored."""
-    touch(tmp_path, f"{STEM} Report_260401.xlsx")
-    touch(tmp_path, f"{STEM} Report_260405.xlsx")
-    touch(tmp_path, f"{STEM} Report_260405.parquet")
-    touch(tmp_path, "notes_260409.xlsx")
+    touch(tmp_path, f"{STEM} export_260401.xlsx")
+    touch(tmp_path, f"{STEM} export_260405.xlsx")
+    touch(tmp_path, f"{STEM} export_260405.parquet")
+    touch(tmp_path, "notes_2604.xlsx")
     cat = snap.snapshot_catalog(spark, str(tmp_path))
     assert cat.count() == 3
-    assert snap.newest_snapshot(cat).endswith("Report_260405.parquet")
-    assert snap.newest_snapshot(cat, ext="xlsx").endswith("Report_260405.xlsx")
+    assert snap.newest_snapshot(cat).endswith("export_260405.parquet")
+    assert snap.newest_snapshot(cat, ext="xlsx").endswith("export_260405.xlsx")
     assert snap.snapshot_by_tag(cat, "260401").endswith("260401.xlsx")
-    assert snap.snapshot_by_name(cat, f"{STEM.lower()} report_260405.XLSX").endswith("260405.xlsx")
+    assert snap.snapshot_by_name(cat, f"{STEM.lower()} export_260405.XLSX").endswith("260405.xlsx")
     assert snap.snapshot_by_name(cat, "nope.xlsx") is None
     choices = [(r["tag"], r["ext"]) for r in snap.snapshot_choices(cat).collect()]
     assert choices == [("260405", "parquet"), ("260405", "xlsx"), ("260401", "xlsx")]
@@ -45,19 +45,19 @@ def test_newest_tag_wins_and_parquet_preferred(spark, tmp_path):
 
 
 def test_name_variants_and_case(spark, tmp_path):
-    touch(tmp_path, f"{STEM}-Report_260402.PARQUET")
-    touch(tmp_path, f"{STEM} Report_260402.parquet")
+    touch(tmp_path, f"{STEM}-export_260402.PARQUET")
+    touch(tmp_path, f"{STEM} export_260402.parquet")
     cat = snap.snapshot_catalog(spark, str(tmp_path))
     assert cat.count() == 2
     # Space form is tried before the hyphen form.
-    assert snap.newest_snapshot(cat).endswith(f"{STEM} Report_260402.parquet")
+    assert snap.newest_snapshot(cat).endswith(f"{STEM} export_260402.parquet")
 
 
 def test_newest_valid_window_and_size(spark, tmp_path):
     """> 200 bytes, within 120 days, else error."""
-    touch(tmp_path, f"{STEM} Report_260410.parquet", size=150)   # too small
-    touch(tmp_path, f"{STEM} Report_260405.xlsx", size=300)
-    touch(tmp_path, f"{STEM} Report_251201.parquet", size=900)   # older than 120 days
+    touch(tmp_path, f"{STEM} export_260410.parquet", size=150)   # too small
+    touch(tmp_path, f"{STEM} export_260405.xlsx", size=300)
+    touch(tmp_path, f"{STEM} export_251201.parquet", size=900)   # older than 120 days
     cat = snap.snapshot_catalog(spark, str(tmp_path))
     got = snap.newest_valid_snapshot(cat, as_of=dt.date(2026, 4, 12))
     assert got.endswith("260405.xlsx")
@@ -76,11 +76,11 @@ def test_stale_conversions(spark, tmp_path):
     src.mkdir()
     dst.mkdir()
     now = time.time()
-    touch(src, f"{STEM} Report_260401.xlsx", mtime=now - 100)
-    touch(src, f"{STEM} Report_260402.xlsx", mtime=now)
-    touch(src, f"{STEM} Report_260403.xlsx", mtime=now)
-    touch(dst, f"{STEM} Report_260401.parquet", mtime=now)        # fresh
-    touch(dst, f"{STEM} Report_260402.parquet", mtime=now - 500)  # stale (rewritten input)
+    touch(src, f"{STEM} export_260401.xlsx", mtime=now - 100)
+    touch(src, f"{STEM} export_260402.xlsx", mtime=now)
+    touch(src, f"{STEM} export_260403.xlsx", mtime=now)
+    touch(dst, f"{STEM} export_260401.parquet", mtime=now)        # fresh
+    touch(dst, f"{STEM} export_260402.parquet", mtime=now - 500)  # stale (rewritten input)
     stale = snap.stale_conversions(snap.snapshot_catalog(spark, str(src)),
                                    snap.snapshot_catalog(spark, str(dst)))
     assert sorted(r["tag"] for r in stale.collect()) == ["260402", "260403"]
@@ -105,7 +105,7 @@ def raw_pdf(n_days=3, date_kind="datetime"):
 
 def test_pandas_nanosecond_parquet_reads(spark, tmp_path):
     """H13 / hard 7: pandas writes TIMESTAMP(NANOS); read as long, coerced to DATE."""
-    p = tmp_path / f"{STEM} Report_260403.parquet"
+    p = tmp_path / f"{STEM} export_260403.parquet"
     raw_pdf().to_parquet(p, engine="pyarrow", index=False)
     fact = snap.scan_snapshot(spark, str(p))
     assert fact.schema["activity_date"].dataType == T.DateType()
@@ -145,12 +145,12 @@ def test_conform_mixed_types_and_missing_columns(spark):
 def test_ingest_round_trip_prunes_partitions(spark, tmp_path):
     """S6 + S8: the converted snapshot keeps rows and totals, stores DATE, and a
     day comparison on it reads only the two day partitions."""
-    src = tmp_path / f"{STEM} Report_260403.parquet"
+    src = tmp_path / f"{STEM} export_260403.parquet"
     raw_pdf().to_parquet(src, engine="pyarrow", index=False)
     out = str(tmp_path / "converted" / "tag=260403")
     audit = snap.ingest_snapshot(spark, str(src), out)
     assert audit["rows"] == 9 and audit["size_mb"] > 0
-    fact = spark.read.parquet(out)
+    fact = read_published(spark, out)
     assert fact.schema["activity_date"].dataType == T.DateType()
     assert fact.agg(F.sum("cost")).collect()[0][0] == 1800
     q = two_day_compare(fact, ["media"], "ss", dt.date(2026, 4, 3), dt.date(2026, 4, 2), CFG)
@@ -229,13 +229,13 @@ def test_thousands_and_unreadable_cells(spark, tmp_path):
     good = write_raw(tmp_path / "good.csv", ['2026-04-01,Search,"1,234"," 2,345,678.5 ",-3', '2026-04-01,Search,,1,2'])
     audit = snap.ingest_snapshot(spark, good, str(tmp_path / "out"))
     assert audit["rows"] == 2 and audit["unreadable"] == {}
-    got = spark.read.parquet(str(tmp_path / "out")).agg(F.sum("cost"), F.sum("rev_ss"), F.sum("rev_db")).first()
+    got = read_published(spark, str(tmp_path / "out")).agg(F.sum("cost"), F.sum("rev_ss"), F.sum("rev_db")).first()
     assert [float(x) for x in got] == [1234.0, 2345679.5, -1.0]
     bad = write_raw(tmp_path / "bad.csv", ["2026-04-01,Search,50%,100000000000000,4", '2026-04-01,Search,"1,23",2,3',
                                           "soon,Search,1,2,3"])
     with pytest.raises(snap.UnreadableSnapshot, match="'cost': 2, 'rev_ss': 1"):
         snap.ingest_snapshot(spark, bad, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2  # the earlier one stays
+    assert read_published(spark, str(tmp_path / "out")).count() == 2  # the earlier one stays
     audit = snap.ingest_snapshot(spark, bad, str(tmp_path / "out"), allow_unreadable=True)
     assert audit["rows"] == 3 and audit["unreadable"] == {"activity_date": 1, "cost": 2, "rev_ss": 1}
 
@@ -251,10 +251,10 @@ def test_missing_columns_and_dates_refuse_a_snapshot(spark, tmp_path):
 def test_latest_per_tag(spark, tmp_path):
     """The preferred file of every tag."""
     for name in ("260401.xlsx", "260401.parquet", "260402.xlsx"):
-        touch(tmp_path, f"{STEM} Report_{name}")
-    touch(tmp_path, f"{STEM}-Report_260401.parquet")
+        touch(tmp_path, f"{STEM} export_{name}")
+    touch(tmp_path, f"{STEM}-export_260401.parquet")
     got = snap.latest_per_tag(snap.snapshot_catalog(spark, str(tmp_path))).collect()
-    assert sorted(r["name"] for r in got) == [f"{STEM} Report_260401.parquet", f"{STEM} Report_260402.xlsx"]
+    assert sorted(r["name"] for r in got) == [f"{STEM} export_260401.parquet", f"{STEM} export_260402.xlsx"]
 
 
 def test_storage_errors_are_not_an_empty_folder(spark):

@@ -247,3 +247,12 @@ def test_choice_keys_stand_for_the_history(make_fact):
     assert rows(dimensions.dimension_values(keys)) == rows(dimensions.dimension_values(f))
     assert rows(dimensions.cascading_filter(keys, CFG)) == rows(dimensions.cascading_filter(f, CFG))
     assert rows(promo.promo_split(f, CFG, history=keys)) == rows(promo.promo_split(f, CFG))
+
+
+def test_days_that_are_known_need_no_look_up(make_fact):
+    days = [D0 + dt.timedelta(days=i) for i in (0, 1, 4, 9)]
+    f = make_fact([dict(activity_date=d, media=m, rev_ss=i, rev_db=i, cost=3) for i, d in enumerate(days) for m in "ab"])
+    for known in (days, days[::-1]):
+        assert totals.roas_trend(f, days[2], 2, days=known).collect() == totals.roas_trend(f, days[2], 2).collect()
+        for start, end in ((None, None), (days[1], days[2])):
+            assert sorted(totals.media_daily(f, start, end, known).collect()) == sorted(totals.media_daily(f, start, end).collect())
