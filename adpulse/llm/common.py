@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SLICE = 2000
 SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch, where the session leaves Spark's default.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Known pieces (some 40 bytes each) after which a worker's cache starts anew; the
 #: last one is still looked into. Pieces of more than CACHED_PIECE bytes are not kept.
 CACHED = 600_000
@@ -194,6 +194,9 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+_IN_USE: list[PieceCache] = []
+
+
 class PieceCache:
     """Token ids of whole texts, each distinct piece of text encoded once a slice,
     and pieces that were met lately not at all.
@@ -207,10 +210,17 @@ class PieceCache:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], split: Callable[[list[str]], pa.ListArray],
                  stretches: Callable[[str], list[str]], whole: Callable[[str], bool] = lambda text: False):
         self.encode, self.split, self.stretches, self.whole = encode, split, stretches, whole
+        self.forget()
+
+    def forget(self) -> None:
         self.known, self.older = Known(), Known()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
+        if _IN_USE != [self]:  # a worker keeps the pieces of one tokenizer
+            for other in _IN_USE:
+                other.forget()
+            _IN_USE[:] = [self]
         found: dict[str, bytes] = dict.fromkeys(texts, b"")  # equal texts once
         short = []
         for text in found:

@@ -1,18 +1,25 @@
 """Harmonic packing of tokenised documents into fixed-length sequences.
 
-Harmonic packing sorts lengths into classes (C/(j+1), C/j] of the capacity C and
-fills each bin of class j with exactly j items, so a bin's content needs no look
-at other bins. Here documents may be cut, so every document is cut greedily into
-lengths floor(C/j): whole sequences first, then the largest reciprocal that fits
-the rest. All pieces of class j then have the same length, j of them fill a
-sequence but for C mod floor(C/j) < j ids, and a piece's place follows from its rank in
-its class alone: sequence rank div j, offset (rank mod j) * length. Workers count
-their pieces by class; a prefix sum over these counts gives each worker its first
-rank, and the workers place their pieces independently.
-
-What is left in the last, not full bin of each class is at most j - 1 pieces: fewer
-than C * (ln C + 1) pieces in all, however large the corpus. These few go by first fit
-decreasing into shared sequences.
+Documents that fit a sequence of capacity C are partitioned by length into the classes
+(C/(j+1), C/j]. A bin of class j is filled with exactly j documents, whichever come, and
+then closed: no look at other bins, no search. Each worker does so by itself for the documents of
+its task, so there is no shuffle, and the sequences of different tasks are told apart by
+their task's number.
+
+What j documents leave of a sequence is a gap. Longer documents, which must be cut anyhow,
+are cut to fill gaps, the widest first, then whole sequences; what is left of one is an item
+like a document of its length. So a document that fits stays whole as long as longer ones come
+by. A worker keeps back the last items that it has read (`HELD` sequences' worth), and
+
+- while more than half as much room waits in gaps, an item goes whole to the narrowest
+  gap that holds it, or is cut like a long document if there is none;
+- at the task's end all open bins are gaps, and the items kept back go, the longest first,
+  whole to the narrowest gap that holds them, else to a new sequence if the gaps can't take
+  all that is left, else they are cut.
+
+There are at most 2 * sqrt(C) classes, so what is kept back outweighs the open bins and the
+waiting gaps, and in the end the room left over is less than one sequence a task, of
+some millions of ids.
 
 Defined cases: null text is an empty one (only the end id, one piece of length 1);
 doc_ids may be null or repeat, each row is packed; an empty table gives no pieces;
@@ -22,115 +29,149 @@ other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
+from math import isqrt
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from adpulse.llm.common import bpe, documents, in_slices, stored
+from adpulse.llm.common import bpe, documents, in_slices
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-          "part int, local_rank long")
-#: A reciprocal that would leave more than this share of a sequence empty is no class.
-MOST_WASTE = 0.01
+          "sequence_id long, offset long")
+#: Sequences' worth of documents that a worker keeps back.
+HELD = 256
+#: sequence_id = number of the task * TASK + number of the sequence there.
+TASK = 1 << 32
+
+
+class Packer:
+    """Packs the documents of one task. A document is any object beside its number of
+    ids; `placed` collects (document, start, length, number of ids, sequence, offset)."""
+
+    def __init__(self, capacity: int, held: int = HELD):
+        self.capacity, self.most_held = capacity, max(held, 4 * isqrt(capacity) + 4) * capacity
+        self.placed: list[tuple] = []
+        self.sequences = 0
+        self.open: dict[int, list[int]] = {}  # class: sequence, ids in it, items in it
+        self.gaps: list[tuple[int, int, int]] = []  # room, sequence, offset; by room
+        self.room = 0
+        self.kept: deque[tuple] = deque()  # length, document, start, number of ids
+        self.kept_ids = 0
+
+    def add(self, document, n: int) -> None:
+        if n > self.capacity:
+            self._cut(document, 0, n, n)
+        else:
+            self._keep(document, 0, n, n)
+        while self.kept_ids > self.most_held:
+            length, *item = self.kept.popleft()
+            self.kept_ids -= length
+            if self.room <= self.most_held // 2:
+                self._into_class(length, *item)
+            elif not self._into_gap(length, *item):
+                document, start, n = item
+                self._cut(document, start, start + length, n)
+
+    def end(self) -> None:
+        for sequence, used, _ in self.open.values():
+            self._leave(sequence, used)
+        self.open.clear()
+        items, left = sorted(self.kept, key=lambda x: -x[0]), self.kept_ids
+        self.kept.clear()
+        for length, document, start, n in items:
+            if not self._into_gap(length, document, start, n):
+                if left > self.room:
+                    self._put(document, start, length, n, self._new(), 0)
+                    self._leave(self.sequences - 1, length)
+                else:
+                    self._cut(document, start, start + length, n)
+            left -= length
+        self.kept_ids = 0
+
+    def _keep(self, document, start: int, length: int, n: int) -> None:
+        self.kept.append((length, document, start, n))
+        self.kept_ids += length
+
+    def _new(self) -> int:
+        self.sequences += 1
+        return self.sequences - 1
+
+    def _put(self, document, start: int, length: int, n: int, sequence: int, offset: int) -> None:
+        self.placed.append((document, start, length, n, sequence, offset))
+
+    def _leave(self, sequence: int, used: int) -> None:
+        """What is left of a sequence is a gap."""
+        if used < self.capacity:
+            insort(self.gaps, (self.capacity - used, sequence, used))
+            self.room += self.capacity - used
+
+    def _into_class(self, length: int, document, start: int, n: int) -> None:
+        """An item of class j to its open bin, the j-th closes it."""
+        j = self.capacity // length
+        own = self.open.get(j) or self.open.setdefault(j, [self._new(), 0, 0])
+        self._put(document, start, length, n, own[0], own[1])
+        own[1] += length
+        own[2] += 1
+        if own[2] == j:
+            self._leave(own[0], own[1])
+            del self.open[j]
+
+    def _into_gap(self, length: int, document, start: int, n: int) -> bool:
+        """A whole item to the narrowest gap that holds it."""
+        at = bisect_left(self.gaps, (length,))
+        if at == len(self.gaps):
+            return False
+        room, sequence, offset = self.gaps.pop(at)
+        self._put(document, start, length, n, sequence, offset)
+        self.room -= room
+        self._leave(sequence, offset + length)
+        return True
+
+    def _cut(self, document, start: int, end: int, n: int) -> None:
+        """The ids from start to end: to gaps, the widest first, then to sequences; the
+        rest is kept back."""
+        while start < end and self.gaps:
+            room, sequence, offset = self.gaps.pop()
+            self.room -= room
+            length = min(room, end - start)
+            self._put(document, start, length, n, sequence, offset)
+            self._leave(sequence, offset + length)
+            start += length
+        while end - start >= self.capacity:
+            self._put(document, start, self.capacity, n, self._new(), 0)
+            start += self.capacity
+        if start < end:
+            self._keep(document, start, end - start, n)
 
 
-def classes(capacity: int) -> list[int]:
-    """The lengths of pieces, largest first: floor(capacity / j)."""
-    lengths = {capacity // j: j for j in range(capacity, 0, -1)}
-    return [n for n, j in sorted(lengths.items(), reverse=True)
-            if n == 1 or capacity - n * (capacity // n) <= MOST_WASTE * capacity]
-
-
-def cuts(capacity: int) -> list[list[int]]:
-    """The pieces of each rest below the capacity."""
-    lengths, of = classes(capacity)[1:], [[]]
-    for rest in range(1, capacity):
-        first = next(n for n in lengths if n <= rest)
-        of.append([first, *of[rest - first]])
-    return of
-
-
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
-    """The pieces of all documents with their rank among their task's pieces of
-    the same length."""
-    rests = cuts(capacity)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part = bpe(tokenizer), TaskContext.get().partitionId()
-        ranks: Counter[int] = Counter()
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
+    """Each piece of each document with its sequence and its offset there."""
+    names = [x.split()[0] for x in PIECES.split(", ")] + (["ids"] if with_ids else [])
+    kinds = [pa.int64()] * 7 + [pa.binary()]
+
+    def rows(packer: Packer, part: int) -> pa.RecordBatch:
+        out = []
+        for (doc_id, ids), start, length, n, sequence, offset in packer.placed:
+            own = memoryview(ids)[4 * start:4 * (start + length)]
+            out.append((doc_id, start, length, zlib.crc32(own), n, part * TASK + sequence, offset,
+                        *((bytes(own),) if with_ids else ())))
+        packer.placed.clear()
+        columns = zip(*out) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, part, packer = bpe(tokenizer), TaskContext.get().partitionId(), Packer(capacity)
         tail = end_id.to_bytes(4, "little")
         for batch in in_slices(batches):
-            rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(),
-                                   cache.ids(batch.column("text").to_pylist())):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), cache.ids(batch.column("text").to_pylist())):
                 ids += tail
-                n = len(ids) // 4
-                view, start = memoryview(ids), 0
-                for length in [capacity] * (n // capacity) + rests[n % capacity]:
-                    own = view[4 * start:4 * (start + length)]
-                    rows.append((doc_id, start, length, zlib.crc32(own), n, part, ranks[length],
-                                 *((bytes(own),) if with_ids else ())))
-                    ranks[length] += 1
-                    start += length
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_rank",
-                     *(["ids"] if with_ids else [])]
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    return documents(docs).mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
-
-
-def first_fit_decreasing(capacity: int):
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        """A few thousand rows at most, see the module's text."""
-        rows = rows.sort_values(["length", "part", "local_rank"], ascending=[False, True, True])
-        used: list[int] = []
-        bins, offsets = [], []
-        for length in rows["length"]:
-            at = next((i for i, u in enumerate(used) if u + length <= capacity), len(used))
-            if at == len(used):
-                used.append(0)
-            bins.append(at)
-            offsets.append(used[at])
-            used[at] += length
-        return rows.assign(sequence_id=rows["first_sequence"] + np.array(bins, dtype=np.int64),
-                           offset=np.array(offsets, dtype=np.int64))
-    return place
-
+                packer.add((doc_id, ids), len(ids) // 4)
+            yield rows(packer, part)
+        packer.end()
+        yield rows(packer, part)
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
-    """Each piece of each document with its sequence and its offset there."""
-    cut = stored(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
-    counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stored(counts.withColumn("first_rank", F.coalesce(F.sum("n").over(before), F.lit(0))),
-                    "piece-counts")
-    # one row a class, so this window has about 2 * sqrt(capacity) rows
-    order = Window.orderBy(F.desc("length"))
-    per_bin = F.floor(F.lit(capacity) / F.col("length"))
-    sizes = (counts.groupBy("length").agg(F.sum("n").alias("total"))
-             .withColumn("per_bin", per_bin)
-             .withColumn("full", F.floor(F.col("total") / F.col("per_bin")))
-             .withColumn("first_bin", F.sum("full").over(order) - F.col("full"))
-             .withColumn("bins", F.sum("full").over(Window.partitionBy(F.lit(0)))))
-    ranked = (cut.join(counts.drop("n"), ["length", "part"])
-              .join(F.broadcast(sizes), "length")
-              .withColumn("rank", F.col("first_rank") + F.col("local_rank")))
-    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
-           *(["ids"] if with_ids else [])]
-    full = F.col("rank") < F.col("full") * F.col("per_bin")
-    placed = (ranked.where(full)
-              .withColumn("sequence_id", F.col("first_bin") + F.floor(F.col("rank") / F.col("per_bin")))
-              .withColumn("offset", (F.col("rank") % F.col("per_bin")) * F.col("length")))
-    rest = (ranked.where(~full)
-            .select(*[c for c in cut.columns], F.col("bins").alias("first_sequence")))
-    schema = PIECES + (", ids binary" if with_ids else "") + ", first_sequence long, sequence_id long, offset long"
-    rest = rest.groupBy().applyInPandas(first_fit_decreasing(capacity), schema)
-    return placed.select(*out).unionByName(rest.select(*out))
+    return documents(docs).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
