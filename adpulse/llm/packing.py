@@ -13,8 +13,8 @@ by. A worker keeps back the last items that it has read (`HELD` sequences' worth
 
 - while more than half as much room waits in gaps, an item goes whole to the narrowest
   gap that holds it, or is cut like a long document if there is none;
-- at the task's end all open bins are gaps, and the items kept back go, the longest first,
-  whole to the narrowest gap that holds them, else to a new sequence if the gaps can't take
+- at the task's end all open bins are gaps, and the items kept back go, whole documents
+  before what is left of cut ones and the longest first, whole to the narrowest gap that holds them, else to a new sequence if the gaps can't take
   all that is left, else they are cut.
 
 There are at most 2 * sqrt(C) classes, so what is kept back outweighs the open bins and the
@@ -80,7 +80,7 @@ class Packer:
         for sequence, used, _ in self.open.values():
             self._leave(sequence, used)
         self.open.clear()
-        items, left = sorted(self.kept, key=lambda x: -x[0]), self.kept_ids
+        items, left = sorted(self.kept, key=lambda x: (x[2] > 0, -x[0])), self.kept_ids
         self.kept.clear()
         for length, document, start, n in items:
             if not self._into_gap(length, document, start, n):

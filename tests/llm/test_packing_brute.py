@@ -69,7 +69,7 @@ def brute(lengths, capacity, held):
                 cut(e, start, start + m)
     closed.update(seq for seq, _ in open_bins.values())
     open_bins.clear()
-    items, left = sorted(kept, key=lambda x: -x[2]), sum(x for *_, x in kept)
+    items, left = sorted(kept, key=lambda x: (x[1] > 0, -x[2])), sum(x for *_, x in kept)
     kept.clear()
     for d, start, n in items:
         if not to_gap(d, start, n):
