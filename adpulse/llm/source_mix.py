@@ -53,7 +53,7 @@ BLOCK = 256
 MOST_TIMES = 3
 MOST_SOURCES = 10_000
 #: Documents of a bucket, by which a source's line is added up.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 #: Draws that a task hands on at a time.
 BATCH = 1 << 16
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -283,7 +283,8 @@ class Mix:
                  .withColumn("to", F.least((F.col("block") + 1) * size, F.col("line_start") + F.col("size")))
                  .withColumn("block_end", F.least((F.col("block") + 1) * size, F.col("source_size"))))
         to = F.least(F.col("to"), F.col("block_end") - F.col("cut"))
-        return (self.draws().join(spans, ["source_index", "block"]).where(to > F.col("from"))
+        # both sides grow with the mix, though the plan can't see it of the draws
+        return (self.draws().hint("merge").join(spans, ["source_index", "block"]).where(to > F.col("from"))
                 .select("shard", "source_index", "draw", "turn", "block", "line_start", "doc_id",
                         (F.col("from") - F.col("line_start")).alias("first_word"),
                         (to - F.col("from")).alias("n_words"),
