@@ -14,8 +14,9 @@ copies do no harm. A worker encodes each distinct word once (its pieces do not c
 white space).
 
 Defined cases: a null or empty text has no words and fails the base rules, its measures
-are 0; any language code, null too, falls back to the band of the text's script; rows
-with the same doc_id are judged one by one; other columns are left as they are.
+are 0; any language code, null too, falls back to the band of the text's script, and so do
+all texts of a table without the column lang; rows with the same doc_id are judged one by
+one; other columns are left as they are.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ def judge(texts: list[str], langs: list[str | None], vocabulary: str, bands: Map
     return rows
 
 
-def measures(vocabulary: str, bands: Mapping[str, Band] = BANDS) -> Column:
+def measures(docs: DataFrame, vocabulary: str, bands: Mapping[str, Band] = BANDS) -> Column:
     """The measures and the verdict of columns text and lang as a struct."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
 
@@ -184,15 +185,17 @@ def measures(vocabulary: str, bands: Mapping[str, Band] = BANDS) -> Column:
                 rows += judge(part.column("text").to_pylist(), part.column("lang").to_pylist(), vocabulary, bands)
             yield pd.DataFrame(rows, columns=names)
 
-    return measure(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("lang").cast("string"))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    return measure(F.coalesce(F.col("text").cast("string"), F.lit("")), lang.cast("string"))
 
 
 def rate(docs: DataFrame, vocabulary: str, bands: Mapping[str, Band] = BANDS) -> DataFrame:
-    """doc_id, lang and every measure and verdict of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang",
-                       measures(vocabulary, bands).alias("_m")).select("doc_id", "lang", "_m.*")
+    """doc_id, lang (where there is one) and every measure and verdict of each document."""
+    lang = ["lang"] if "lang" in docs.columns else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *lang,
+                       measures(docs, vocabulary, bands).alias("_m")).select("doc_id", *lang, "_m.*")
 
 
 def accepted(docs: DataFrame, vocabulary: str, bands: Mapping[str, Band] = BANDS) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    return docs.where(measures(vocabulary, bands)["kept"])
+    return docs.where(measures(docs, vocabulary, bands)["kept"])

@@ -114,3 +114,11 @@ def test_noise_goes_by_the_production_bands(make_docs):
     assert [(bands["en"] if i == 3 else bands[r[9]]).accepts(r[6], r[7], r[8], r[5])
             for i, r in enumerate(rows)] == [False] * 4 + [True]
     assert not any(r[-1] for r in rows[:4]) and not any(r[-2] for r in rows[:4])
+
+
+def test_a_table_without_languages(make_docs):
+    docs = make_docs([(i, PROSE) for i in range(3)] + [(3, None)]).drop("lang")
+    got = quality_rules.rate(docs, FILE)
+    assert "lang" not in got.columns and [r.kept for r in sorted(got.collect(), key=lambda r: r.doc_id)] == [True] * 3 + [False]
+    assert quality_rules.accepted(docs, FILE).columns == docs.columns
+    assert quality_rules.accepted(docs, FILE).count() == 3
