@@ -10,8 +10,9 @@ Split points are found by distributed histograms. A coordinate is a whole number
 dimension's value, then a hash of the row, so that even a value shared by most documents
 can be split. Each pass sums the bytes of every open node in BINS equal ranges of its
 interval, keeps the range with the split point, and goes on with it until that range
-holds a negligible share of a shard. The driver sees at most BINS sums a node and pass; all
-nodes of a level are worked on together. Only metadata is read again, never a text.
+holds a negligible share of a shard. The ranges' sums are added up on the executors, so that
+one row a node and pass reaches the driver; all nodes of a level are worked on together.
+Only metadata is read again, never a text.
 
 Slots are numbered gaplessly in each shard by counting small buckets of rows and adding
 up the counts, so no task holds a shard.
@@ -38,6 +39,9 @@ TOLERANCE = 0.0005
 VALUE_BITS, TIE_BITS = 20, 30
 #: Rows of a bucket when slots are numbered.
 SLOT_ROWS = 20_000
+#: Open nodes (one a shard at most, some 40 bytes each) up to which their table is sent to
+#: every task; more are joined.
+SENT_NODES = 50_000
 
 
 @dataclass
@@ -84,35 +88,37 @@ def _points(rows: DataFrame) -> DataFrame:
 def _own(points: DataFrame, nodes: dict[int, Node]) -> DataFrame:
     """The rows of these nodes with their coordinate x and the node's interval."""
     spark = points.sparkSession
-    table = spark.createDataFrame([(i, n.dim, n.low, n.high) for i, n in nodes.items()],
-                                  "node int, dim int, low long, high long")
+    table = spark.createDataFrame([(i, n.dim, n.low, n.high, n.below, n.wanted) for i, n in nodes.items()],
+                                  "node int, dim int, low long, high long, below long, wanted double")
     x = F.element_at(F.array(*[f"c{d}" for d in range(4)]), F.col("dim") + 1)
-    return points.join(F.broadcast(table), "node").withColumn("x", x)  # a row a shard at most
+    return points.join(F.broadcast(table) if len(nodes) <= SENT_NODES else table, "node").withColumn("x", x)
 
 
 def _split_points(points: DataFrame, nodes: dict[int, Node]) -> dict[int, int]:
     cuts: dict[int, int] = {}
+    upto = Window.partitionBy("node").orderBy("bin")  # BINS rows a node at most
     while nodes:
         step = F.greatest(F.ceil((F.col("high") - F.col("low")) / F.lit(BINS)), F.lit(1))
         inside = _own(points, nodes).where("x >= low and x < high")
         sums = (inside.withColumn("bin", F.floor((F.col("x") - F.col("low")) / step).cast("int"))
-                .groupBy("node", "bin").agg(F.sum("size").alias("bytes")).collect())
+                .groupBy("node", "bin", "below", "wanted").agg(F.sum("size").alias("bytes"))
+                .withColumn("upto", F.col("below") + F.sum("bytes").over(upto)))
+        # the first range at whose end the wanted bytes are reached
+        hit = {r["node"]: r["first"] for r in sums.where("upto >= wanted").groupBy("node")
+               .agg(F.min(F.struct("bin", "bytes", "upto")).alias("first")).collect()}
         for i in list(nodes):
             n = nodes[i]
             width = max(-(-(n.high - n.low) // BINS), 1)
-            at = n.below
-            for bin_, got in sorted((r["bin"], r["bytes"]) for r in sums if r["node"] == i):
-                n.low, before, at = n.low, at, at + got
-                if at >= n.wanted:
-                    low = n.low + bin_ * width
-                    if got <= TOLERANCE * n.share or width == 1:
-                        # the nearer end of the range
-                        cuts[i] = low if n.wanted - before < at - n.wanted else low + width
-                    else:
-                        n.low, n.high, n.below = low, min(n.high, low + width), before
-                    break
-            else:
+            if i not in hit:
                 cuts[i] = n.high
+            else:
+                bin_, got, at = hit[i]
+                low, before = n.low + bin_ * width, at - got
+                if got <= TOLERANCE * n.share or width == 1:
+                    # the nearer end of the range
+                    cuts[i] = low if n.wanted - before < at - n.wanted else low + width
+                else:
+                    n.low, n.high, n.below = low, min(n.high, low + width), before
             if i in cuts:
                 del nodes[i]
     return cuts
@@ -141,7 +147,7 @@ def shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | Non
         dim_of = {i: n.dim for i, n in searched.items()}
         cuts = _split_points(points, dict(searched))
         # a node is named by its first shard, so its second half is named by the middle one
-        table = {i: Node(open_nodes[i], dim_of[i], cuts[i], open_nodes[i] // 2) for i in cuts}
+        table = {i: Node(open_nodes[i], dim_of[i], cuts[i], open_nodes[i] // 2, 0, 0.0) for i in cuts}
         split = _own(points, table)
         points = stored(
             points.where(~F.col("node").isin(list(table))).unionByName(

@@ -48,8 +48,52 @@ def test_shards_follow_the_target(make_docs):
     assert len({r.shard for r in kd_shards.shards(docs, target_bytes=2500).collect()}) == 4
 
 
+def brute_tree(points, shards):
+    """{row: shard}: split along the widest dimension at the weighted median, written out."""
+    whole = [max(p[d] for p in points.values()) - min(p[d] for p in points.values()) for d in range(4)]
+    out = {}
+
+    def split(rows, first, n):
+        if n == 1 or not rows:
+            out.update(dict.fromkeys(rows, first))
+            return
+        spread = [(max(points[r][d] for r in rows) - min(points[r][d] for r in rows)) / max(1, whole[d]) for d in range(4)]
+        d = spread.index(max(spread))
+        total, wanted, at = sum(points[r][4] for r in rows), 0, 0
+        wanted = total * (n // 2) / n
+        sums = defaultdict(int)
+        for r in rows:
+            sums[points[r][d]] += points[r][4]
+        for x in sorted(sums):
+            before, at = at, at + sums[x]
+            if at >= wanted:
+                cut = x if wanted - before < at - wanted else x + 1
+                break
+        split([r for r in rows if points[r][d] < cut], first, n // 2)
+        split([r for r in rows if points[r][d] >= cut], first + n // 2, n - n // 2)
+
+    split(list(points), 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("n,sent", [(8, 50_000), (5, 0), (2, 50_000)])
+def test_the_tree_equals_brute_force(spark, monkeypatch, n, sent):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = kd_shards._rows(docs)
+    monkeypatch.setattr(kd_shards, "_rows", lambda _: rows)
+    monkeypatch.setattr(kd_shards, "TOLERANCE", 0)  # to the last bit of a coordinate
+    monkeypatch.setattr(kd_shards, "SENT_NODES", sent)
+    points = {r.row: (r.c0, r.c1, r.c2, r.c3, r["size"]) for r in kd_shards._points(rows).collect()}
+    want = brute_tree(points, n)
+    ids = {r.row: r.doc_id for r in rows.select("row", "doc_id").collect()}
+    got = {r.doc_id: r.shard for r in kd_shards.shards(docs, n).collect()}
+    assert got == {ids[r]: s for r, s in want.items()} and len(set(got.values())) == n
+
+
 def test_shards_keep_like_metadata_together(spark):
+    """Beside shards drawn by lot, those of the tree hold far fewer kinds of documents."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = kd_shards.shards(docs, 8).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
-    mixed = len({(r.shard, r.source) for r in got}) / len({r.source for r in got})
-    assert mixed < 8
+    kinds = lambda shard_of: sum(len({(r.source, r.lang) for r in got if shard_of(r) == s}) for s in range(8))
+    by_lot = kinds(lambda r: zlib.crc32(str(r.doc_id).encode()) % 8)
+    assert kinds(lambda r: r.shard) < 0.7 * by_lot
