@@ -64,12 +64,84 @@ def test_templates_are_found_in_part(make_docs):
             (4, "the rights of any person to use this software and the limitation of copies"),
             (5, "This work is licensed under the GNU General Public License, version 3.")]
     got = {r.doc_id: r for r in license_scan.scan(make_docs(rows)).collect()}
-    assert [s.label for s in got[1].spans] == ["MIT"] and got[1].spans[0].share == 1.0 and got[1].spans[0].first == 2
-    assert [s.label for s in got[2].spans] == ["MIT"] and 0.7 <= got[2].spans[0].share < 1.0
+    assert [s.label for s in got[1].spans] == ["mit"] and got[1].spans[0].share == 1.0 and got[1].spans[0].first == 2
+    assert [s.label for s in got[2].spans] == ["mit"] and 0.7 <= got[2].spans[0].share < 1.0
     assert not got[3].spans and not got[4].spans and 0 < got[3].score < 0.5
     assert [s.label for s in got[5].spans] == ["GPL-3.0"]
 
 
+def brute_chains(templates, words):
+    """(first, last, template, covered) of the best chain of each group of overlapping ones,
+    from every run that can't be extended and every way to link them."""
+    runs = []
+    for end in range(len(words)):
+        n = max((n for n in range(end + 2) if any(words[end + 1 - n:end + 1] == t[i:i + n]
+                                                  for t in templates for i in range(len(t) - n + 1))), default=0)
+        further = end + 1 < len(words) and any(words[end + 1 - n:end + 2] == t[i:i + n + 1]
+                                               for t in templates for i in range(len(t) - n))
+        if n >= license_scan.LEAST_MATCH and not further:
+            runs.append((end + 1 - n, n))
+    out = []
+    for number, t in enumerate(templates):
+        own = sorted((f, i, n) for f, n in runs for i in range(len(t) - n + 1) if t[i:i + n] == words[f:f + n])
+
+        def longest(m):  # the most words of a chain that ends with m, and its first word; the earliest of equals
+            best = (m[2], m[0])
+            for o in own[:own.index(m)]:
+                if 0 <= m[0] - (o[0] + o[2]) <= license_scan.GAP and 0 <= m[1] - (o[1] + o[2]) <= license_scan.GAP:
+                    covered, first = longest(o)
+                    if covered + m[2] > best[0]:
+                        best = (covered + m[2], first)
+            return best
+
+        groups = []
+        for m in own:
+            covered, first = longest(m)
+            entry = (covered, first, m[0] + m[2] - 1)
+            if groups and first <= groups[-1][2]:
+                groups[-1] = entry if covered > groups[-1][0] else groups[-1]
+            else:
+                groups.append(entry)
+        out += [(f, e, number, covered) for covered, f, e in groups]
+    return sorted(out)
+
+
+def test_chains_equal_brute_force():
+    rnd = random.Random(9)
+    some = 0
+    for _ in range(150):
+        letters = [b"a", b"b", b"c", b"d", b"e"][:rnd.choice([3, 5])]
+        templates = [[rnd.choice(letters) for _ in range(rnd.randint(4, 14))] for _ in range(3)]
+        words = []
+        for _ in range(rnd.randint(1, 3)):  # templates with words changed, left out and put in
+            for w in rnd.choice(templates):
+                words += rnd.choice([[w], [w], [w], [w], [w, b"x"], [], [rnd.choice(letters)]])
+            words += [b"x"] * rnd.choice([0, 2, 9])
+        a = license_scan.build(templates, [])
+        sizes = [len(t) for t in templates]
+        _, found = license_scan.matches(a, words, 1)
+        got = sorted((f, e, t, round(s * sizes[t])) for f, e, t, s in license_scan.chains(a, found, sizes))
+        want = [(f, e, t, min(covered, sizes[t])) for f, e, t, covered in brute_chains(templates, words)]
+        assert got == want
+        some += sum(covered > 6 for *_, covered in want)
+    assert some > 30
+
+
+def test_every_licence_has_one_label(make_docs):
+    templates = license_scan.TEMPLATES
+    assert len({label for label, _ in templates}) >= 50
+    assert not {"MIT", "Apache-2.0", "CC-BY-NC-4.0"} & {label for label, _ in templates}
+    rows = [(i, f"Notes on 12 things.\n# {text}.\nOther words follow") for i, (_, text) in enumerate(templates)]
+    got = {r.doc_id: r for r in license_scan.scan(make_docs(rows)).collect()}
+    for i, (label, _) in enumerate(templates):
+        assert {s.label for s in got[i].spans} | {p.label for p in got[i].places} == {label}
+
+
+def test_spans_in_one_another():
+    spans = [(0, 9, 0, 1.0), (0, 19, 1, 0.8), (5, 19, 2, 1.0), (30, 39, 0, 1.0), (30, 39, 2, 0.7), (38, 50, 1, 0.9), (60, 61, 0, 0.5)]
+    assert license_scan.outermost(spans, [10, 25, 15]) == [(0, 19, 1, 0.8), (30, 39, 2, 0.7), (38, 50, 1, 0.9)]
+
+
 def test_the_query_keeps_base_labels(spark):
     rows = QUERIES["op5_license_scan"](spark, "/root/testdata/sf0.01").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
