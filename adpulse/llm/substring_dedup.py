@@ -36,9 +36,10 @@ from adpulse.llm.common import (BitFilter, documents, gram_hashes, in_slices, st
                                 whole_groups, word_hashes)
 
 FILTER_BITS = 28  # 32 MB
-#: Minimisers with more than this share of all super-k-mers are dealt out by window;
-#: there are 100,000 of them at most.
-HOT_SHARE, HOT_LEAST = 1e-5, 2_000
+#: Minimisers of more super-k-mers than this are dealt out by window. They are known by a
+#: bit filter of fixed size (2 MB); one that it takes for such by mistake is dealt out as well,
+#: which changes no result.
+HOT_LEAST, HOT_BITS = 2_000, 24
 #: Bytes of super-k-mers a task gathers before it hands them on.
 GATHER_BYTES = 32 << 20
 
@@ -113,7 +114,7 @@ def super_kmers(texts: DataFrame, window: int, minimiser: int, repeated: BitFilt
                 key = hashlib.md5(text.encode()).digest()
                 new = key not in seen
                 seen.add(key)
-                single = np.isin(fp, hot_ones)
+                single = hot_ones(fp)
                 for f, n, h, alone in zip(first[sure].tolist(), count[sure].tolist(), fp[sure], single[sure]):
                     parts = [(i, 1) for i in range(f, f + n)] if alone else [(f, n)]
                     for i, m in parts:
@@ -192,11 +193,9 @@ def repeats(docs: DataFrame, window: int = 35, minimiser: int = 12) -> DataFrame
     (first window, flags)."""
     texts = documents(docs).select("text")
     counts = stored(count_minimisers(texts, window, minimiser), "minimisers")
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     repeated = BitFilter(counts.where("n > 1"), "fp", FILTER_BITS)
-    often = max(HOT_LEAST, HOT_SHARE * total)
-    hot = counts.where(F.col("n") > often).select("fp").toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-    sent = stored(super_kmers(texts, window, minimiser, repeated, np.sort(hot)), "super-kmers", "kind")
+    hot = BitFilter(counts.where(F.col("n") > HOT_LEAST), "fp", HOT_BITS)
+    sent = stored(super_kmers(texts, window, minimiser, repeated, hot), "super-kmers", "kind")
     flags = stored(repeated_windows(sent, window), "repeated-windows")
     places = sent.where(F.col("kind") == PLACE).select("key", "first", "digest")
     return stored(places.join(flags, "digest").groupBy("key")

@@ -25,6 +25,7 @@ gives an empty manifest; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -63,6 +64,12 @@ _T = _tables()
 _SHIFTS: dict[int, np.ndarray] = {}
 
 
+def storage(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that Spark names, and the path there. Hadoop calls an
+    object store s3a (or s3n) that Arrow calls s3."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def _feed(register: np.ndarray, word: np.ndarray) -> np.ndarray:
     x = register ^ word
     return _T[3][x & 255] ^ _T[2][(x >> 8) & 255] ^ _T[1][(x >> 16) & 255] ^ _T[0][x >> 24]
@@ -137,7 +144,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = storage(folder)
         cache, part, seq = bpe(tokenizer), task.partitionId(), 0
         out = index = None
         n_records = n_tokens = n_bytes = 0
@@ -201,8 +208,8 @@ def read_records(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                store, path = fs.FileSystem.from_uri(row["path"])
-                index_path = fs.FileSystem.from_uri(row["index_path"])[1]
+                store, path = storage(row["path"])
+                index_path = storage(row["index_path"])[1]
                 with store.open_input_file(index_path) as f:
                     entry = np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
                 first, last = row["first"], min(row["first"] + BLOCK_RECORDS, row["n_records"])

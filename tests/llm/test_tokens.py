@@ -163,6 +163,14 @@ def test_a_broken_record_is_found(spark, make_docs):
         token_records.read_records(manifest).collect()
 
 
+def test_names_of_object_stores(tmp_path):
+    assert token_records.storage(f"file://{tmp_path}")[1] == str(tmp_path)
+    try:
+        token_records.storage("s3a://bucket/folder?region=xx-none-1")
+    except Exception as e:
+        assert "Unrecognized filesystem type" not in str(e)
+
+
 def test_wide_ids_and_index(make_docs):
     ids = np.array([1, 70_000], "<u4")
     assert token_records.unpack(token_records.payload(-5, ids))[0] == -5
