@@ -34,7 +34,7 @@ from adpulse.config import DEFAULT_CONFIG, TEST_CONFIG, FigureConfig
 from adpulse.operators.anchors import anchors_from_dates
 from adpulse.plans.figures import Figures
 from adpulse.sources import snapshots, versions
-from adpulse.sources.targets import load_targets
+from adpulse.sources.targets import read_targets
 
 
 def run_figures_job(spark: SparkSession, folder: str, facts: str, out: str,
@@ -62,7 +62,7 @@ def run_figures_job(spark: SparkSession, folder: str, facts: str, out: str,
     # The published days are listed: the anchors need no scan.
     of = versions.published(spark, fact_path)
     fact, anchors = versions.read_published(spark, fact_path, of), anchors_from_dates(of.dates)
-    tgt = load_targets(spark, targets) if targets else None
+    tgt, problem = read_targets(spark, targets) if targets else (None, None)
     run = Figures(fact, cfg, tgt, persist=persist, anchors=anchors,
                          cache_recent=cache_recent, brand=brand, campaign=campaign,
                          ad_group=ad_group)
@@ -71,7 +71,7 @@ def run_figures_job(spark: SparkSession, folder: str, facts: str, out: str,
         figures = run.write_all(dest, parallel=parallel)
     finally:
         run.close()
-    return {"tag": tag, "source": src, "skipped": skipped, "ingested": audit, "out": dest, "figures": figures,
+    return {"tag": tag, "source": src, "skipped": skipped, "ingested": audit, "targets_not_read": problem, "out": dest, "figures": figures,
             "d_max": str(run.anchors.d_max), "d_prev": str(run.anchors.d_prev)}
 
 

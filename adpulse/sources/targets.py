@@ -4,7 +4,7 @@ Columns are positional (channel, target cost, target revenue, target ROAS);
 header names do not matter. The channel is trimmed, blank or unreadable
 numbers count as 0. A channel that appears again keeps its first place and takes
 the later values. A missing file gives an empty table, so figures without
-targets still come out; any other failure does so as well, but is logged.
+targets still come out; any other failure does so as well, but is logged and named.
 """
 
 from __future__ import annotations
@@ -50,9 +50,9 @@ def conform_targets(raw: DataFrame) -> DataFrame:
                         "channel", "v.*")
 
 
-def load_targets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Read a target file (csv with a header row, or parquet); empty if there is
-    none, or, with a warning in the log, if it can't be read."""
+def read_targets(spark: SparkSession, path: str, fmt: str = "csv") -> tuple[DataFrame, str | None]:
+    """A target file (csv with a header row, or parquet) as a table, and what was wrong:
+    the table is empty if there is no file, or if it can't be read."""
     try:
         if fmt == "csv":
             raw = csv_reader(spark).csv(path)
@@ -60,11 +60,17 @@ def load_targets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
             raw = spark.read.format(fmt).load(path)
         out = conform_targets(raw)
         out.take(1)
-        return out
+        return out, None
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            log.warning("targets %s not read, their figure stays empty: %s", path, e)
-        return spark.createDataFrame([], TARGET_SCHEMA)
+        problem = str(e).split("\n")[0]
+        if "PATH_NOT_FOUND" not in problem:
+            log.warning("targets %s not read, their figure stays empty: %s", path, problem)
+        return spark.createDataFrame([], TARGET_SCHEMA), problem
+
+
+def load_targets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The target table; empty if there is none or it can't be read."""
+    return read_targets(spark, path, fmt)[0]
 
 
 def targets_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:

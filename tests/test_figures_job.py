@@ -2,7 +2,7 @@ import datetime as dt
 
 from adpulse.plans.figures_job import run_figures_job
 from conftest import CFG
-from test_snapshots import STEM, raw_pdf
+from test_snapshots import STEM, raw_pdf, write_raw
 
 
 def test_figures_job_end_to_end(spark, tmp_path):
@@ -21,9 +21,31 @@ def test_figures_job_end_to_end(spark, tmp_path):
     assert {r["channel"] for r in kpi} == {"StoreA", "othermall"}
     summary = spark.read.parquet(f"{out}/tag=260403/media_summary")
     assert summary.count() == 3
+    assert res["targets_not_read"] is None
     # A second run finds the converted snapshot up to date and skips ingest.
     again = run_figures_job(spark, str(folder), facts, out, CFG, as_of=dt.date(2026, 4, 5))
     assert again["ingested"] is None
+    (tmp_path / "bad.csv").write_text("channel,cost\nStoreA,1\n")
+    for name, why in (("bad.csv", "four columns"), ("none.csv", "PATH_NOT_FOUND")):
+        named = run_figures_job(spark, str(folder), facts, out, CFG, as_of=dt.date(2026, 4, 5), targets=str(tmp_path / name))
+        assert why in named["targets_not_read"]
+
+
+def test_the_jobs_settings(spark, tmp_path, capsys):
+    """Names by the source's own pattern, and line breaks in cells, through the command line."""
+    import json
+    import shutil
+
+    from adpulse.plans import figures_job
+    folder = tmp_path / "snapshots"
+    folder.mkdir()
+    write_raw(folder / "260402-of-the-day.csv", ['2026-04-01,"two\nlines",1,2,3', "2026-04-02,Search,4,5,6", "2026-04-02,Shop " + "x" * 200 + ",4,5,6"])
+    shutil.copy(folder / "260402-of-the-day.csv", folder / "260403-of-the-day.txt")
+    args = ["--snapshots", str(folder), "--facts", str(tmp_path / "facts"), "--out", str(tmp_path / "out"), "--config", "test",
+            "--as-of", "2026-04-03", "--multi-line", "--name-re", r"^()()([0-9]{6})-of-the-day\.(csv)$"]
+    assert figures_job.main(args) == 0
+    got = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert got["tag"] == "260402" and got["ingested"]["rows"] == 3 and got["ingested"]["days_written"] == 2
 
 
 def test_newest_readable_snapshot_is_taken(spark, tmp_path):
