@@ -7,9 +7,14 @@ lattice gives in log space. Pieces do not cross white space, so a text's probabi
 the product of its words' and of an end token.
 
 Piece probabilities: the vocabulary file's own scores (ranks, read as a Zipf law) are the
-prior, to which the pieces in the training documents' words are added, cut as the
-public tokenizer cuts them. Characters without a piece go by their bytes' pieces.
-Training documents are those whose crc32(doc_id as text) mod 10 is not 0.
+prior. By it, every segmentation of the training documents' words has a weight, and the
+expected number of each piece over all of them, which a forward and a backward recursion
+give, is added to the prior, which counts for PRIOR_SHARE as many pieces. Characters without
+a piece go by their bytes' pieces. Training documents are those whose crc32(doc_id as text)
+mod 10 is not 0.
+
+Words of equal length go through the recursions together, place by place. A substring is
+looked for among the pieces by a 64-bit hash.
 
 One pass counts words: tasks count, then counts are added up by word. Each distinct word
 gets its lattice probability once. To score, every document's words need their word's
@@ -28,7 +33,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +46,10 @@ from adpulse.llm.common import documents, in_slices, stored
 FREQUENT = 200_000
 #: A counting task hands its counts on beyond so many different words.
 COUNT_ENTRIES = 300_000
-#: Weight of the vocabulary's prior, in pieces, and base smoothing.
-PRIOR_PIECES, SMOOTHING = 10_000.0, 0.1
+#: Weight of the vocabulary's prior, as a share of the pieces counted, and base smoothing.
+PRIOR_SHARE, SMOOTHING = 0.01, 0.1
+#: Characters of words that go through a recursion together; longer words go by themselves.
+TOGETHER, LONG = 100_000, 64
 _SPACE_MARK = "▁"  # stands for the white space before a word
 _LOG10 = math.log(10)
 
@@ -90,71 +97,143 @@ def vocabulary(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def count_pieces(words: DataFrame, path: str) -> dict[int, int]:
-    """How often each piece is in the training words, as the tokenizer cuts them.
-    As many rows as the vocabulary has pieces reach the driver."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = vocabulary(path)
-        total = np.zeros(sp.get_piece_size())
-        for batch in in_slices(batches, 5000):
-            cut = sp.encode(batch.column("word").to_pylist(), num_threads=1)
-            ids = np.fromiter((i for x in cut for i in x), dtype=np.int64)
-            weights = np.repeat(batch.column("c").to_numpy().astype(float), [len(x) for x in cut])
-            total += np.bincount(ids, weights, len(total))
-        got = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"piece": got.astype(np.int64), "c": total[got].astype(np.int64)})
-
-    rows = (words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, c long")
-            .groupBy("piece").agg(F.sum("c").alias("c")).collect())
-    return {r["piece"]: r["c"] for r in rows}
-
-
 class Lattice:
-    """Piece log probabilities (natural) and the forward recursion over words."""
+    """Pieces' log probabilities (natural) and the recursions over words' lattices."""
 
-    def __init__(self, path: str, counts: dict[int, int], ends: int):
-        sp = vocabulary(path)
+    _BASE, _MASK, _FILTER_BITS = 0x9E3779B97F4A7C15, (1 << 64) - 1, 20
+
+    def __init__(self, path: str, counts: Mapping[int, float] | None = None, ends: float = 0):
+        sp, counts = vocabulary(path), counts or {}
         usable = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i))]
         best = max(sp.get_score(i) for i in usable)
         prior = {i: 1.0 / (1.0 + best - sp.get_score(i)) for i in usable}
-        scale = PRIOR_PIECES / (sum(prior.values()) + 1)
-        total = sum(counts.get(i, 0) for i in usable) + ends + PRIOR_PIECES
-        log = {i: math.log((counts.get(i, 0) + scale * prior[i]) / total) for i in usable}
-        self.end = math.log((ends + scale) / total)
-        self.byte = [0.0] * 256
-        self.pieces: dict[str, float] = {}
+        counted = sum(counts.get(i, 0) for i in usable) + ends
+        mass = PRIOR_SHARE * counted or 1.0
+        scale = mass / (sum(prior.values()) + 1)
+        log = {i: math.log((counts.get(i, 0) + scale * prior[i]) / (counted + mass)) for i in usable}
+        self.end = math.log((ends + scale) / (counted + mass))
+        self.byte, self.byte_id = np.zeros(256), np.zeros(256, dtype=np.int64)
+        found: dict[int, int] = {}
+        self.longest = 1
         for i in usable:
+            piece = sp.id_to_piece(i)
             if sp.is_byte(i):
-                self.byte[int(sp.id_to_piece(i)[3:5], 16)] = log[i]
-            else:
-                self.pieces[sp.id_to_piece(i)] = log[i]
-        #: beginnings of pieces, with the piece's score where it is one
-        self.prefixes: dict[str, float | None] = {
-            p[:n]: self.pieces.get(p[:n]) for p in self.pieces for n in range(1, len(p) + 1)}
-
-    def log_probability(self, word: str) -> float:
-        text = _SPACE_MARK + word
-        n, get = len(text), self.prefixes.get
-        ways: list[list[float]] = [[] for _ in range(n + 1)]
-        ways[0].append(0.0)
-        for i in range(n):
-            into = ways[i]
-            if len(into) == 1:
-                alpha = into[0]
+                value = int(piece[3:5], 16)
+                self.byte[value], self.byte_id[value] = log[i], i
             else:
-                top = max(into)
-                alpha = top + math.log(sum([math.exp(x - top) for x in into]))
-            ways[i] = into[:0]
-            if text[i] not in self.pieces:
-                ways[i + 1].append(alpha + sum([self.byte[b] for b in text[i].encode()]))
-            j = i + 1
-            while j <= n and (p := text[i:j]) in self.prefixes:
-                if (score := get(p)) is not None:
-                    ways[j].append(alpha + score)
-                j += 1
-        into = ways[n]
-        top = max(into)
-        return top + math.log(sum([math.exp(x - top) for x in into]))
+                h = 0
+                for c in piece:
+                    h = (h * self._BASE + ord(c) + 1) & self._MASK
+                found[h] = i
+                self.longest = max(self.longest, len(piece))
+        self.hashes = np.array(sorted(found), dtype=np.uint64)
+        self.ids = np.array([found[int(h)] for h in self.hashes], dtype=np.int64)
+        self.scores = np.array([log[int(i)] for i in self.ids])
+        self.filter = np.zeros(1 << self._FILTER_BITS, dtype=bool)
+        self.filter[self._slot(self.hashes)] = True
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self._FILTER_BITS)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 for none."""
+        flat = hashes.ravel()
+        out = np.full(len(flat), -1, dtype=np.int64)
+        maybe = np.flatnonzero(self.filter[self._slot(flat)])
+        at = np.minimum(np.searchsorted(self.hashes, flat[maybe]), len(self.hashes) - 1)
+        same = self.hashes[at] == flat[maybe]
+        out[maybe[same]] = at[same]
+        return out.reshape(hashes.shape)
+
+    def _edges(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per length the pieces (-1: none) and log probabilities of the substrings that
+        start at each place (rows) of each word (columns). A character without a piece
+        has its bytes'."""
+        out, hashes = [], np.zeros_like(codes)
+        for n in range(1, min(self.longest, len(codes)) + 1):
+            hashes = hashes[:len(codes) - n + 1] * np.uint64(self._BASE) + codes[n - 1:] + np.uint64(1)
+            at = self._find(hashes)
+            score = np.where(at >= 0, self.scores[at], -np.inf)
+            if n == 1 and (at < 0).any():
+                spelt = {int(c): self.byte[list(chr(int(c)).encode())].sum() for c in np.unique(codes[at < 0])}
+                score[at < 0] = [spelt[int(c)] for c in codes[at < 0]]
+            out.append((at, score))
+        return out
+
+    @staticmethod
+    def _sum(rows: list[np.ndarray]) -> np.ndarray:
+        x = np.stack(rows)
+        top = x.max(axis=0)
+        return top + np.log(np.exp(x - top).sum(axis=0))
+
+    def _forward(self, edges: list, n: int) -> np.ndarray:
+        """The log probability of all ways to each place."""
+        alpha = np.zeros((n + 1, edges[0][1].shape[1]))
+        for j in range(1, n + 1):
+            alpha[j] = self._sum([alpha[j - k] + edges[k - 1][1][j - k] for k in range(1, min(len(edges), j) + 1)])
+        return alpha
+
+    def _backward(self, edges: list, n: int) -> np.ndarray:
+        beta = np.zeros((n + 1, edges[0][1].shape[1]))
+        for i in range(n - 1, -1, -1):
+            beta[i] = self._sum([edges[k - 1][1][i] + beta[i + k] for k in range(1, min(len(edges), n - i) + 1)])
+        return beta
+
+    def _together(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of words of equal length, and their characters, a column a word."""
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            most = max(1, TOGETHER // (n + 1)) if n <= LONG else 1
+            for first in range(0, len(own), most):
+                some = own[first:first + most]
+                text = "".join([_SPACE_MARK + words[i] for i in some])
+                codes = np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(len(some), n + 1)
+                yield some, np.ascontiguousarray(codes.T).astype(np.uint64)
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """The sum over all segmentations of each word."""
+        out = np.zeros(len(words))
+        for some, codes in self._together(words):
+            out[some] = self._forward(self._edges(codes), len(codes))[-1]
+        return out
+
+    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """By piece id, how often each piece is expected in the words, of which there are
+        `counts`, over all their segmentations."""
+        out = np.zeros(max(int(self.ids.max()), int(self.byte_id.max())) + 1)
+        for some, codes in self._together(words):
+            n, edges = len(codes), self._edges(codes)
+            alpha, beta = self._forward(edges, n), self._backward(edges, n)
+            for k, (at, score) in enumerate(edges, 1):
+                share = np.exp(alpha[:n - k + 1] + score + beta[k:] - alpha[n]) * counts[some]
+                real = at >= 0
+                out += np.bincount(self.ids[at[real]], share[real], len(out))
+                if k == 1 and not real.all():
+                    for c in np.unique(codes[~real]).tolist():
+                        weight = share[~real & (codes == np.uint64(c))].sum()
+                        np.add.at(out, self.byte_id[list(chr(c).encode())], weight)
+        return out
+
+
+def count_pieces(words: DataFrame, prior: Lattice) -> dict[int, float]:
+    """How often each piece is expected in the training words, by the prior's weights of
+    their segmentations. As many rows as the vocabulary has pieces reach the driver."""
+    sent = words.sparkSession.sparkContext.broadcast(prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in in_slices(batches, 20_000):
+            got = sent.value.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float))
+            total = got if total is None else total + got
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"piece": at.astype(np.int64), "c": total[at]})
+
+    rows = (words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, c double")
+            # whole numbers of 2^-20, so that the sum does not depend on the tasks' order
+            .groupBy("piece").agg((F.sum(F.round(F.col("c") * F.lit(float(1 << 20))).cast("decimal(38,0)"))).alias("c")).collect())
+    return {r["piece"]: float(r["c"]) / (1 << 20) for r in rows}
 
 
 def with_lattice(words: DataFrame, model: Lattice) -> DataFrame:
@@ -162,9 +241,8 @@ def with_lattice(words: DataFrame, model: Lattice) -> DataFrame:
     sent = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = sent.value.log_probability
-            score = [of(w) / _LOG10 for w in batch.column("word").to_pylist()]
+        for batch in in_slices(batches, 20_000):
+            score = sent.value.log_probabilities(batch.column("word").to_pylist()) / _LOG10
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())],
                                              names=[*batch.schema.names, "lattice"])
 
@@ -217,7 +295,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
                        F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train = (total["c"] or 0) + train_docs
     n_distinct = total["v"] + (train_docs > 0)
-    model = Lattice(path, count_pieces(counts, path), train_docs)
+    model = Lattice(path, count_pieces(counts, Lattice(path)), train_docs)
     words = stored(with_lattice(counts, model), "word-scores")
     frequent = words.where(F.col("n") * FREQUENT >= (total["n"] or 0)).select("word", "c", "lattice").toPandas()
     table = {"index": {w.encode(): i for i, w in enumerate(frequent["word"])},

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from adpulse.llm import lattice_lm
@@ -52,26 +53,82 @@ def test_without_training_rows(make_docs):
     assert row.base_score == pytest.approx(0.0) and row.score < 0
 
 
-def all_ways(model, text):
-    """The sum over every segmentation, one by one."""
-    total = 0.0
+def pieces_of(model):
+    sp = lattice_lm.vocabulary(FILE)
+    return {sp.id_to_piece(int(i)): (int(i), float(x)) for i, x in zip(model.ids, model.scores)}
+
+
+def all_ways(model, pieces, text):
+    """The sum over every segmentation, one by one, and the expected number of each piece."""
+    total, expected = 0.0, Counter()
     for cut in itertools.product([0, 1], repeat=len(text) - 1):
         ends = [i + 1 for i, c in enumerate(cut) if c] + [len(text)]
-        parts = [text[a:b] for a, b in zip([0, *ends], ends)]
-        scores = [model.pieces.get(p, sum(model.byte[b] for b in p.encode())
-                                   if len(p) == 1 else None) for p in parts]
-        if None not in scores:
-            total += math.exp(sum(scores))
-    return math.log(total)
+        used, score = [], 0.0
+        for a, b in zip([0, *ends], ends):
+            part = text[a:b]
+            if part in pieces:
+                used.append(pieces[part][0])
+                score += pieces[part][1]
+            elif len(part) == 1:
+                used += [int(model.byte_id[x]) for x in part.encode()]
+                score += sum(model.byte[x] for x in part.encode())
+            else:
+                break
+        else:
+            total += math.exp(score)
+            for i in used:
+                expected[i] += math.exp(score)
+    return math.log(total), {i: x / total for i, x in expected.items()}
+
+
+WORDS = ["a", "there", "information", "ouon,", "☃x☃", "漢字a", "été", "", "in", "\U0001f600\U0001f601", "there", "▁▁a"]
 
 
 def test_marginal_is_the_sum_over_all_segmentations():
+    for model in (lattice_lm.Lattice(FILE), lattice_lm.Lattice(FILE, {300: 50, 301: 20, 2000: 7}, 10)):
+        pieces = pieces_of(model)
+        got = model.log_probabilities(WORDS)
+        assert got == pytest.approx([all_ways(model, pieces, "▁" + w)[0] for w in WORDS])
+        total = sum(math.exp(x) for _, x in pieces.values()) + sum(map(math.exp, model.byte)) + math.exp(model.end)
+        assert total == pytest.approx(1.0)
+
+
+def test_expected_counts_are_those_of_all_segmentations():
     model = lattice_lm.Lattice(FILE, {300: 50, 301: 20, 2000: 7}, 10)
-    for word in ("a", "there", "information", "ouon,", "☃x☃", "漢字a", "été"):
-        assert model.log_probability(word) == pytest.approx(all_ways(model, "▁" + word))
-    assert model.log_probability("x" * 5000) > -math.inf
-    total = sum(map(math.exp, model.pieces.values())) + sum(map(math.exp, model.byte)) + math.exp(model.end)
-    assert total == pytest.approx(1.0)
+    pieces, want = pieces_of(model), Counter()
+    counts = [1 + i % 4 for i in range(len(WORDS))]
+    for w, n in zip(WORDS, counts):
+        for i, x in all_ways(model, pieces, "▁" + w)[1].items():
+            want[i] += n * x
+    got = model.expected(WORDS, np.array(counts, dtype=float))
+    assert {i: got[i] for i in np.flatnonzero(got > 1e-12)} == pytest.approx({i: x for i, x in want.items() if x > 1e-12})
+    # every character of a word is in one piece
+    assert sum(got[i] * len(p) for p, (i, _) in pieces.items() if not p.startswith("<0x")) == pytest.approx(
+        sum(n * (1 + len(w)) for w, n in zip(WORDS, counts))
+        - sum(n * sum(c not in pieces for c in w) for w, n in zip(WORDS, counts)))
+
+
+def test_long_words_and_chunks_change_nothing(monkeypatch):
+    model = lattice_lm.Lattice(FILE)
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("aeinrst漢é") for _ in range(rnd.choice([1, 5, 9, 70, 300]))) for _ in range(200)] + ["x" * 5000]
+    whole, counts = model.log_probabilities(words), model.expected(words, np.ones(len(words)))
+    assert np.isfinite(whole).all()
+    monkeypatch.setattr(lattice_lm, "TOGETHER", 30)
+    monkeypatch.setattr(lattice_lm, "LONG", 8)
+    assert model.log_probabilities(words) == pytest.approx(whole)
+    assert model.expected(words, np.ones(len(words))) == pytest.approx(counts)
+
+
+def test_the_models_training_lifts_held_out_text(spark):
+    """Counts over all segmentations beat the vocabulary's prior on held-out documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in lattice_lm.score(docs, FILE).collect() if r.held_out}
+    prior = lattice_lm.Lattice(FILE)
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in got}
+    before = sum(prior.log_probabilities([w.decode() for w in lattice_lm.words_of(t)]).sum() for t in texts.values()) / math.log(10)
+    after = sum(r.score for r in got.values())
+    assert len(got) > 50 and after > 0.9 * before
 
 
 def test_scores_add_up_over_words(make_docs, monkeypatch):
