@@ -97,19 +97,27 @@ def snapshot_path(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FACT_SCHEMA).parquet(path)
+
+
+def _days(spark: SparkSession, path: str) -> list[dt.date]:
+    return [dt.date.fromisoformat(d) for d in read_text(spark, f"{path}/{DAY_LIST}").split()]
+
+
 def snapshot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(FACT_SCHEMA).parquet(snapshot_path(spark, sf_dir))
+    return _read(spark, snapshot_path(spark, sf_dir))
 
 
 def snapshot_days(spark: SparkSession, sf_dir: str) -> list[dt.date]:
     """The days of the snapshot, from the list beside it: no job reads the fact."""
-    listed = read_text(spark, f"{snapshot_path(spark, sf_dir)}/{DAY_LIST}").split()
-    return [dt.date.fromisoformat(d) for d in listed]
+    return _days(spark, snapshot_path(spark, sf_dir))
 
 
 def _fa(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Anchors]:
     """The snapshot and its anchors."""
-    return snapshot_fact(spark, sf_dir), anchors_from_dates(snapshot_days(spark, sf_dir))
+    path = snapshot_path(spark, sf_dir)
+    return _read(spark, path), anchors_from_dates(_days(spark, path))
 
 
 def q_compare_media_ss(spark, sf_dir):
