@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -263,19 +264,21 @@ def ingest_snapshot(spark: SparkSession, src: str, out: str, fmt: str | None = N
             "days_kept": len(digests) - len(written), "days_dropped": len(dropped)}
 
 
-def write_fact(df: DataFrame, path: str, partition_by: str | None = "activity_date") -> None:
+def write_fact(df: DataFrame, path: str, partition_by: str | None = "activity_date",
+               derive: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Write a fact as plain Parquet. ``rebalance`` deals rows by day, and AQE splits a
     day that holds a large share of them instead of writing one huge file.
 
-    Without ``partition_by`` (days too small for a folder each) rows are dealt
-    by month and sorted by date, so that row groups cover few days and date
-    predicates skip the others.
+    Without ``partition_by`` (days too small for a folder each) rows stay in their
+    tasks, which sort them by date, so that pages cover few days and date predicates
+    skip the others by Parquet's page index. Then ``derive`` may make the fact from ``df``
+    by a projection (Spark drops sorts below joins), so that narrower rows are sorted.
     """
+    derive = derive or (lambda rows: rows)
     if partition_by:
-        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        derive(df).hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
     else:
-        (df.withColumn("_month", F.trunc("activity_date", "MM")).hint("rebalance", "_month").drop("_month")
-           .sortWithinPartitions("activity_date").write.mode("overwrite").parquet(path))
+        derive(df.sortWithinPartitions("activity_date")).write.mode("overwrite").parquet(path)
 
 
 def needs_ingest(spark: SparkSession, src: str, out: str) -> bool:

@@ -5,9 +5,10 @@ The driver tables carry no advertising data, so the fact is a fixed mapping of
 The same mapping exists as SQL text (``FACT_CTE``) for the DuckDB oracle.
 
 Joins: nation and region have a fixed size (25 and 5 rows), so they are
-broadcast explicitly. Supplier and part grow with the scale factor; their join
+broadcast explicitly. Supplier and part grow with the scale factor. Supplier's join
 strategy is left to Catalyst/AQE, which broadcasts only below
-``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles.
+``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles. Part always comes by a
+shuffle: the rows must be dealt to tasks once anyhow, to be sorted by date.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fact is derived from, a row a line item, with each label once. Part meets
+    the line items in a shuffle at any size, the only one that they make (where supplier
+    is small); it also deals them to tasks of like size."""
     li = _read(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -30,20 +34,25 @@ def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     geo = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    supp_geo = supplier.join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    # nation and region come after the shuffle, as a key until then
+    return (li.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+              .join(part.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
+              .join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
+              .select(F.to_date("l_shipdate").alias("activity_date"), "l_linenumber", "l_quantity", "l_extendedprice",
+                      "l_discount", "l_tax", "l_returnflag", "l_linestatus", "n_name", "r_name", "p_name", "p_brand", "p_type"))
 
-    f = (li.join(supp_geo, F.col("l_suppkey") == F.col("s_suppkey"))
-           .join(part, F.col("l_partkey") == F.col("p_partkey")))
 
+def fact_of(rows: DataFrame) -> DataFrame:
+    """The fact of `source_rows`, row by row: a projection, which keeps their order."""
     # Precision stays <= 18 through the products below (decimal(12,2) ×
     # decimal(4,2) → decimal(17,4)), so Spark keeps the long-backed decimal
     # path; extended prices are far below 10^10.
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     label = F.when(F.col("l_returnflag") == "N", F.lit("-")).otherwise(F.col("p_name"))
     zero = F.lit(0).cast(MONEY_TYPE)
-    out = f.select(
-        F.to_date("l_shipdate").alias("activity_date"),
+    out = rows.select(
+        "activity_date",
         (F.when(F.col("r_name") == "ASIA", F.lit("storefront"))
           .when(F.col("r_name") == "EUROPE", F.lit("market_a"))
           .when(F.col("r_name") == "MIDDLE EAST", F.lit(None).cast("string"))
@@ -75,6 +84,10 @@ def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*FACT_COLUMNS)
 
 
+def ad_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fact_of(source_rows(spark, sf_dir))
+
+
 # The same mapping as DuckDB SQL; oracle queries start with this CTE.
 FACT_CTE = """
 WITH ad_fact AS (

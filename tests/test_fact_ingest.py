@@ -1,0 +1,80 @@
+"""The ingest of the driver tables: each line item is shuffled once, and the files are sorted."""
+
+import datetime as dt
+import glob
+import os
+import random
+import re
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from adpulse.plans import registry
+from adpulse.sources.schema import FACT_COLUMNS
+from adpulse.sources.snapshots import write_fact
+from adpulse.sources.tpch_fact import FACT_CTE, ad_fact, fact_of, source_rows
+from conftest import D0
+
+NAMES = ["lineitem", "supplier", "nation", "region", "part"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Tables with null, repeated and dangling keys."""
+    at, rnd = str(tmp_path_factory.mktemp("tables")), random.Random(5)
+    key = lambda n: rnd.choice([None, *range(n)])
+    rows = [(key(30), key(12), rnd.choice([None, 1, 6, 7]), float(rnd.randint(1, 50)), rnd.randint(1, 10**7) / 100, rnd.randint(0, 10) / 100,
+             rnd.randint(0, 8) / 100, rnd.choice("NAR"), rnd.choice("OF"),
+             rnd.choice([None, dt.datetime(2026, 1, 1) + dt.timedelta(days=rnd.randint(0, 200), hours=5)])) for _ in range(3000)]
+    made = {
+        "lineitem": (rows, "l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double,"
+                           " l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        "supplier": ([(i, key(6)) for i in [*range(10), 3, None]], "s_suppkey long, s_nationkey int"),
+        "nation": ([(i, f"N{i}", i % 4) for i in [0, 1, 2, 3, 4]], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "ASIA"), (1, "EUROPE"), (2, "MIDDLE EAST"), (3, "AFRICA")], "r_regionkey int, r_name string"),
+        "part": ([(i, f"part {(i or 0) % 7}", rnd.choice([None, "B1"]), rnd.choice([None, "LARGE", "PROMO", "STANDARD", "X"]))
+                  for i in [*range(25), 4, 4, None]], "p_partkey long, p_name string, p_brand string, p_type string")}
+    for name, (data, schema) in made.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{at}/{name}.parquet")
+    return at
+
+
+def rows_of(df):
+    return sorted(map(str, df.select(*FACT_COLUMNS).collect()))
+
+
+def test_rows_equal_the_sql_text(spark, tables, tmp_path):
+    for name in NAMES:
+        spark.read.parquet(f"{tables}/{name}.parquet").createOrReplaceTempView(name)
+    want = rows_of(spark.sql(FACT_CTE + " SELECT * FROM ad_fact"))
+    write_fact(source_rows(spark, tables), f"{tmp_path}/fact", None, derive=fact_of)
+    assert rows_of(spark.read.parquet(f"{tmp_path}/fact")) == want == rows_of(ad_fact(spark, tables)) and len(want) > 1000
+
+
+def test_line_items_are_shuffled_once(spark, tables, tmp_path, monkeypatch):
+    """Whether part is small or not; the rows had one shuffle for each join that was not
+    broadcast and one, of the whole wide fact, by month."""
+    monkeypatch.setattr(registry, "snapshot_folder", lambda s: str(tmp_path))
+    shuffles = []
+    real = type(spark.range(1).write).parquet
+
+    def seen(self, path, *args, **kw):
+        plan = self._df._jdf.queryExecution().executedPlan().toString()
+        wide = [line for line in plan.split("\n") if "Exchange" in line and "BroadcastExchange" not in line]
+        shuffles.append([w for w in wide if "p_partkey" not in w])  # part's own shuffle
+        assert re.search(r"Sort \[activity_date", plan)
+        return real(self, path, *args, **kw)
+
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", seen)
+    registry.snapshot_path(spark, tables)
+    assert len(shuffles) == 1 and len(shuffles[0]) == 1 and "l_partkey" in shuffles[0][0], shuffles
+
+
+def test_files_are_sorted_by_date(make_fact, tmp_path):
+    days = [D0 + dt.timedelta(days=i % 300) for i in range(2000)]
+    fact = make_fact([dict(activity_date=d, clicks=i) for i, d in enumerate(days)]).repartition(3)
+    write_fact(fact.withColumn("_more", F.lit(1)), f"{tmp_path}/f", None, derive=lambda rows: rows.drop("_more"))
+    files = glob.glob(os.path.join(tmp_path, "f", "*.parquet"))
+    dates = [pq.read_table(f, columns=["activity_date"]).column(0).to_pylist() for f in files]
+    assert len(files) == 3 and all(d == sorted(d) for d in dates) and sorted(sum(dates, [])) == sorted(days)
